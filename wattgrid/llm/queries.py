@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from wattgrid.llm.bpe import round_trip
 from wattgrid.llm.exact_dedup import exact_duplicates
+from wattgrid.llm.html_text import extract_text
+from wattgrid.llm.packing import pack_documents
+from wattgrid.llm.quality import score_documents, train_on
 from wattgrid.llm.url_filter import judge_urls
 
 
@@ -12,6 +17,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs, train_on(docs, _table(spark, sf_dir, "labels")))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -20,10 +34,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {
-    "op3_exact_dedup": op3_exact_dedup,
-    "op4_url_filter": op4_url_filter,
-}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_text, op3_exact_dedup, op4_url_filter, op7_packing, op8_bpe_round_trip)}
 
 ORACLES = {
     "op3_exact_dedup": """
