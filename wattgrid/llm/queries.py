@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from wattgrid.llm.bpe import round_trip
 from wattgrid.llm.exact_dedup import exact_duplicates
 from wattgrid.llm.html_text import extract_text
+from wattgrid.llm.line_dedup import line_digests
+from wattgrid.llm.near_dups import near_duplicates
 from wattgrid.llm.packing import pack_documents
 from wattgrid.llm.quality import score_documents, train_on
 from wattgrid.llm.url_filter import judge_urls
@@ -34,6 +36,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -42,7 +48,11 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_text, op3_exact_dedup, op4_url_filter, op7_packing, op8_bpe_round_trip)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_text, op3_exact_dedup, op4_url_filter, op5_ngram_jaccard, op7_packing, op8_bpe_round_trip, op9_line_dedup)}
 
 ORACLES = {
     "op3_exact_dedup": """
