@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,11 @@ class Scratch:
         back._scratch_path = path
         return back
 
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps now: it does so when the driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
