@@ -12,7 +12,9 @@ from wattgrid.llm.line_dedup import line_digests
 from wattgrid.llm.near_dups import near_duplicates
 from wattgrid.llm.packing import pack_documents
 from wattgrid.llm.quality import score_documents, train_on
+from wattgrid.llm.substring_dedup import substring_digests
 from wattgrid.llm.url_filter import judge_urls
+from wattgrid.llm.vector_dedup import link_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -52,7 +58,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_text, op3_exact_dedup, op4_url_filter, op5_ngram_jaccard, op7_packing, op8_bpe_round_trip, op9_line_dedup)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_text, op3_exact_dedup, op4_url_filter, op5_ngram_jaccard, op6_vector_dedup, op7_packing, op8_bpe_round_trip, op9_line_dedup, op10_substring_dedup)}
 
 ORACLES = {
     "op3_exact_dedup": """
