@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wattgrid.functions.components import connected_components
 from wattgrid.functions.scratch import Scratch
-from wattgrid.llm.near_dups import groups_of
+from wattgrid.llm.near_dups import groups_of, mixed
 
 #: Projections of a vector; sets of leading ones; candidates a vector should meet by chance; standard deviations in half a window.
 PROJECTIONS, LEADS, MEET, HALF = 48, 2, 200, 2.3
@@ -59,11 +59,10 @@ def _unit(raw: list[bytes]) -> np.ndarray:
 
 
 def _cell_key(cells: np.ndarray, k: int) -> np.ndarray:
-    out = np.full(len(cells), k, np.int64).astype(np.uint64)
+    out = np.full(len(cells), k + 1, np.uint64)
     for c in cells.T:
-        out = (out ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out.astype(np.int64)
+        out = mixed(out) + c.astype(np.uint64)
+    return mixed(out).astype(np.int64)
 
 
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98) -> DataFrame:
@@ -144,7 +143,7 @@ def _links_of(classes: DataFrame, proj: Projections, dims: int, threshold: float
     met = met.select("cell", "block", "k", "role", "cid", "m", "raw")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups_of(batches, 2):
+        for g in groups_of(batches, 3):
             role, cid, m = (g.column(c).to_numpy() for c in ("role", "cid", "m"))
             home, probe = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
             if not len(home) or not len(probe):
@@ -190,6 +189,6 @@ def _links_of(classes: DataFrame, proj: Projections, dims: int, threshold: float
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root]), pa.array(linked)], names=["cid", "root", "linked"])
 
     n = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = met.repartition(n, "cell", "block").sortWithinPartitions("cell", "block").mapInArrow(compare, "cid bigint, root bigint, linked bigint")
+    found = met.repartition(n, "cell", "block").sortWithinPartitions("cell", "block", "k").mapInArrow(compare, "cid bigint, root bigint, linked bigint")
     found = scratch.cut(found)
     return found.select("cid", "linked"), found.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")).distinct()
