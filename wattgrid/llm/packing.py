@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,19 @@ END_ID = 1
 HORIZON_TOKENS = 4_000_000
 #: A window with more free places than this is cut into sequences whose lengths are powers of two, which need no padding.
 MOST_FREE = 32
-CACHED_WORDS = 200_000
+#: Words that a Python worker remembers, each with a few ids: about 200 bytes a word, in two tables.
+CACHED_WORDS = 900_000
 
 _encoders: dict[str, WordEncoder] = {}
 
 
+def trim(known: dict, most: int) -> None:
+    """Forgets the older half of a table that holds more than ``most``."""
+    if len(known) > most:
+        for key in list(islice(known, len(known) // 2)):
+            del known[key]
+
+
 class WordEncoder:
     """Token ids (little-endian unsigned 32-bit bytes) of whole texts; a word between white space is encoded once while it is remembered.
 
@@ -64,35 +73,41 @@ class WordEncoder:
                 self.cores.update(zip(some, self.whole(some)))
 
     def learn(self, words: set[str]) -> None:
-        for known in (self.words, self.cores):
-            if len(known) > self.most:
-                known.clear()
-        parts, letters, other = {}, set(), set()
+        trim(self.cores, self.most)
+        cores, tails, letters, other, known = [], [], set(), set(), self.cores
         for w in words:
             core = w.rstrip(".,")
-            if not (core and core[-1].isalpha()):
-                core = w
-            parts[w] = core, w[len(core) :]
-            for x in parts[w]:
-                if x and x not in self.cores:
-                    (letters if x.isalpha() and x.lower().isalpha() and unicodedata.is_normalized("NFC", x) else other).add(x)
+            if core.isalpha():  # letters alone: one piece, and A to Z encode as a to z
+                if core.isascii():
+                    core = core.lower()
+                    if core not in known:
+                        letters.add(core)
+                elif core not in known:
+                    (letters if core.lower().isalpha() and unicodedata.is_normalized("NFC", core) else other).add(core)
+            else:
+                if not (core and core[-1].isalpha()):
+                    core = w
+                if core not in known:
+                    other.add(core)
+            cores.append(core)
+            tails.append(w[len(core) :])
+        other |= {t for t in set(tails) if t and t not in known}
         self.plain(list(letters))
         more = list(other)
-        self.cores.update(zip(more, self.whole(more)))
-        for w, (core, tail) in parts.items():
-            self.words[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
+        known.update(zip(more, self.whole(more)))
+        self.words.update(zip(words, [known[c] + known[t] if t else known[c] for c, t in zip(cores, tails)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") or any(s in t for s in self.special) for t in texts]
         lists = [[] if o else t.split() for t, o in zip(texts, odd)]
-        new = {w for ws in lists for w in ws if w not in self.words}
+        words = self.words
+        found = [list(map(words.get, ws)) for ws in lists]
+        new = {w for ws, ids in zip(lists, found) if None in ids for w, x in zip(ws, ids) if x is None}
         if new:
-            if len(self.words) > self.most:
-                self.words.clear()
-                new = {w for ws in lists for w in ws}
             self.learn(new)
-        words = self.words
-        out = [b"".join([words[w] for w in ws]) for ws in lists]
+            found = [[words[w] if x is None else x for w, x in zip(ws, ids)] if None in ids else ids for ws, ids in zip(lists, found)]
+        out = [b"".join(ids) for ids in found]
+        trim(self.words, self.most)
         for i, t in enumerate(texts):
             if odd[i]:
                 out[i] = self.whole([t])[0]
