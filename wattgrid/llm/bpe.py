@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,9 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattgrid.llm.packing import trim
+
 #: Fixed value: how the vocabulary's pre-tokenizer splits texts.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_PIECES = 300_000
+#: Pieces, and pairs of tokens, that a Python worker remembers: about 200 bytes each.
+CACHED_PIECES = 900_000
 SHORT = 48
 STEP = 512
 
@@ -95,12 +99,37 @@ class Transducer:
                     pairs[k - 1] = get((ids[k - 1], ids[k]))
 
     def may_follow(self, a: int, b: int) -> bool:
+        """Whether b comes after a (or, for -1, first) in encodings: whether both together encode to just the two."""
         if (a, b) not in self.follows:
-            if len(self.follows) > CACHED_PIECES:
-                self.follows.clear()
+            trim(self.follows, CACHED_PIECES)
             self.follows[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b] if a >= 0 else self.merged(self.bytes_of[b]) == [b]
         return self.follows[a, b]
 
+    def fitted(self, piece: bytes) -> list[int]:
+        """Tokens of a piece short enough to be seen whole: the longest tokens that may follow one another, going back where none may."""
+        tokens: list[int] = []
+        dead: set[int] = set()  # places from which no tokens lead to the end
+        at, size, n, get, follows = 0, len(piece), len(piece), self.id_of.get, self.follows
+        while at < n:
+            last = tokens[-1] if tokens else -1
+            while size:
+                t = get(piece[at : at + size])
+                if t is not None and at + size not in dead:
+                    may = follows.get((last, t))
+                    if may or may is None and self.may_follow(last, t):
+                        break
+                size -= 1
+            if size:
+                tokens.append(t)
+                at += size
+                size = n - at
+            else:
+                dead.add(at)
+                size = len(self.bytes_of[tokens.pop()])
+                at -= size
+                size -= 1
+        return tokens
+
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Tokens of one piece that arrives in chunks; each is emitted once it is stable."""
         base, data = 0, bytearray()  # data: bytes from the last emitted boundary on
@@ -143,8 +172,8 @@ class Transducer:
 
     def piece(self, text: str) -> bytes:
         raw = text.encode()
-        ids = self.merged(raw) if len(raw) <= SHORT else list(self.stream([raw]))
-        return np.asarray(ids, "<u4").tobytes()
+        ids = self.fitted(raw) if len(raw) <= SHORT else list(self.stream([raw]))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; special tokens in the text are their own ids."""
@@ -157,12 +186,11 @@ class Transducer:
             try:
                 out += [known[p] for p in pieces]
             except KeyError:
-                if len(known) > CACHED_PIECES:
-                    known.clear()
                 for p in pieces:
                     if p not in known:
                         known[p] = self.piece(p)
                 out += [known[p] for p in pieces]
+        trim(known, CACHED_PIECES)
         return b"".join(out)
 
     def decode(self, ids: bytes, step: int = 65536) -> Iterator[str]:
