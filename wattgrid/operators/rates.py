@@ -25,9 +25,9 @@ def rate_type(energy: Column, weekday: Column, has_demand: Column) -> Column:
     )
 
 
-def tier_bounds(rows: DataFrame, keys: list[str], order: str, upper: str, lower: str = "tier_min") -> DataFrame:
+def tier_bounds(rows: DataFrame, keys: list[str], order: list[str], upper: str, lower: str = "tier_min") -> DataFrame:
     """Each tier's lower bound: the upper bound of the tier before it under the same keys, null for the first."""
-    return rows.withColumn(lower, F.lag(upper).over(Window.partitionBy(*keys).orderBy(order)))
+    return rows.withColumn(lower, F.lag(upper).over(Window.partitionBy(*keys).orderBy(*order)))
 
 
 def explode_components(records: DataFrame, id_col: str = "id") -> DataFrame:

@@ -328,9 +328,9 @@ def newest_version_dedup(t: Tables) -> DataFrame:
     return R.newest_version(t.tariffs, ["utility_id", "customer_class", "rate_type"], "effective_date", "last_verified", "id").select("id", "utility_id", "name")
 
 
-@query("""select tariff_id, ordinal, tier_max::double as tier_max, (lag(tier_max) over (partition by tariff_id, component_type order by ordinal))::double as tier_min from components""")
+@query("""select tariff_id, ordinal, tier_max::double as tier_max, (lag(tier_max) over (partition by tariff_id, component_type order by ordinal, tier_max))::double as tier_min from components""")
 def tier_bounds(t: Tables) -> DataFrame:
-    return rates.tier_bounds(t.components, ["tariff_id", "component_type"], "ordinal", "tier_max").select("tariff_id", "ordinal", "tier_max", "tier_min")
+    return rates.tier_bounds(t.components, ["tariff_id", "component_type"], ["ordinal", "tier_max"], "tier_max").select("tariff_id", "ordinal", "tier_max", "tier_min")
 
 
 @query("""+ p as (select p_partkey as id, split_part(p_name, ' ', 1) as stem, lower(p_name) as name from part)
@@ -466,10 +466,11 @@ def budgeted_calls(t: Tables) -> DataFrame:
     return R.budgeted(t.checks, ["source_id"], ["checked_us", "id"], F.lit(1), 20, F.col("content_hash") != "view", 5).select("id", "source_id")
 
 
-@query("""+ s as (select tariff_id, ordinal, sum(rate_value) over (partition by tariff_id order by ordinal rows between current row and 2 following) as score from components)
+@query("""+ o as (select tariff_id, ordinal, sum(rate_value) as v from components group by 1, 2), s as (select tariff_id, ordinal, sum(v) over (partition by tariff_id order by ordinal rows between current row and 2 following) as score from o)
     select tariff_id, arg_max(ordinal, (score, -ordinal)) as first, max(score)::double as score from s group by 1""")
 def best_windows(t: Tables) -> DataFrame:
-    return R.best_span(t.components, "tariff_id", "ordinal", F.col("rate_value"), 3)
+    per = t.components.groupBy("tariff_id", "ordinal").agg(F.sum("rate_value").alias("v"))
+    return R.best_span(per, "tariff_id", "ordinal", F.col("v"), 3)
 
 
 # Geography
