@@ -29,14 +29,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.cuts = 0
 
     def cut(self, df: DataFrame, files: int | None = None) -> DataFrame:
         """df, computed once and read back; files: upper bound of files where the result is small."""
-        path = f"{self.root}/{len(self.paths)}"
+        path, self.cuts = f"{self.root}/{self.cuts}", self.cuts + 1
         (df if files is None else df.coalesce(files)).write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
         back._scratch_path = path
         return back
 
