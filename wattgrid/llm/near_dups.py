@@ -6,56 +6,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattgrid.functions.components import connected_components
 from wattgrid.functions.scratch import Scratch
+from wattgrid.llm.words import distinct, hashed_words, mixed, rolled
 
 WORDS, PERCENT = 5, 80
-#: Words whose hashes a task remembers, classes whose keys it has written, and members of a group that are compared at once: memory of a task.
-REMEMBERED, SEEN, BLOCK = 400_000, 200_000, 1024
+#: Classes whose keys a task has written, and members of a group that are compared at once: memory of a task.
+SEEN, BLOCK = 200_000, 1024
 #: Candidate pairs tried per pair of components, group and round; further rounds try the rest.
 TRIED = 4
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hash_of = _Hashes()
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A one-to-one scrambling of 64-bit numbers (the finaliser of SplitMix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def shingle_sets(texts: list[str], seed: int = 0, words: int = WORDS) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text: A-Z lower-cased, words between ASCII white space."""
+    for h, _, _ in hashed_words([t.encode().lower() for t in texts]):
+        yield distinct(rolled(h + np.uint64(seed), min(words, len(h)))) if len(h) else h
 
 
 def shingle_set(text: str, seed: int = 0, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text: A-Z lower-cased, words between ASCII white space."""
-    found = text.encode().lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = mixed(np.fromiter(map(_hash_of.__getitem__, found), np.uint64, len(found)) + np.uint64(seed))
-    n = min(words, len(found))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
-    return np.unique(mixed(out))
+    return next(shingle_sets([text], seed, words))
 
 
 def set_identity(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit numbers, as signed ones, that depend on the whole set."""
-    both = np.array([np.bitwise_xor.reduce(mixed(s)), np.add.reduce(mixed(s + np.uint64(0x51ED270B9F652295)))])
+    both = np.array([np.bitwise_xor.reduce(s), np.add.reduce(s * (s >> np.uint64(29) | np.uint64(1)))])
     both[0:1] = mixed(both[0:1] + both[1:2])
-    return tuple(both.astype(np.int64).tolist())
+    return tuple(both.view(np.int64).tolist())
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -92,11 +71,10 @@ def part_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     for hi in bands(n, percent):
         parts = most_different(hi, hi, percent) * 5 // 4 + 1
         need = most_different(n, min(hi, 100 * n // percent), percent) + 1
-        part = (mixed(s + np.uint64(hi)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        part = ((s * np.uint64(2 * hi + 0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         count = np.bincount(part, minlength=parts)
-        value, there = np.zeros(parts, np.uint64), np.flatnonzero(count)
-        value[there] = np.bitwise_xor.reduceat(s[order], np.r_[0, np.cumsum(count[there])[:-1]])
+        value = np.zeros(parts, np.uint64)
+        np.bitwise_xor.at(value, part, s)
         key = mixed(value + np.arange(parts, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(hi * 0x2545F4914F6CDD1D & (1 << 64) - 1))
         if need >= parts:
             out.append(key)
@@ -245,8 +223,7 @@ class _Join:
             for b in batches:
                 for i in range(0, b.num_rows, 1000):
                     some, out = b.slice(i, 1000), []
-                    for t in some.column(1).to_pylist():
-                        s = shingle_set(t, seed, words)
+                    for s in shingle_sets(some.column(1).to_pylist(), seed, words):
                         out.append((len(s), *(set_identity(s) if len(s) else (0, 0)), sketch(s) if len(s) else b""))
                     n, k1, k2, sk = zip(*out)
                     yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sk, pa.binary())], names=["doc_id", "n", "cid", "k2", "sketch"])
@@ -262,8 +239,7 @@ class _Join:
             for b in batches:
                 for i in range(0, b.num_rows, 500):
                     some, key, cid = b.slice(i, 500), [], []
-                    for t in some.column(0).to_pylist():
-                        s = shingle_set(t, seed, words)
+                    for s in shingle_sets(some.column(0).to_pylist(), seed, words):
                         if not len(s):
                             continue
                         own = set_identity(s)
@@ -288,10 +264,9 @@ class _Join:
             last, x = None, None
             for b in batches:
                 out = []
-                for a, c, t, u in zip(*[b.column(i).to_pylist() for i in range(4)]):
+                for a, c, t, y in zip(*[b.column(i).to_pylist() for i in range(3)], shingle_sets(b.column(3).to_pylist(), seed, words)):
                     if a != last:
                         last, x = a, shingle_set(t, seed, words)
-                    y = shingle_set(u, seed, words)
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * both >= percent * (len(x) + len(y) - both):
                         out.append((a, c))
@@ -308,7 +283,7 @@ class _Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:  # an id may have several texts
-                keep = [c == set_identity(s)[0] if len(s := shingle_set(t, seed, words)) else False for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                keep = [len(s) > 0 and c == set_identity(s)[0] for c, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), seed, words))]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
         rows = self.rows.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").select("cid", "text")

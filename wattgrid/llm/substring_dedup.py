@@ -15,25 +15,13 @@ from pyspark.sql import functions as F
 
 from wattgrid.functions.scratch import Scratch
 from wattgrid.llm.fm_index import FMIndex
-from wattgrid.llm.near_dups import _hash_of, mixed
+from wattgrid.llm.words import hashed_words, mixed, rolled
 
 WINDOW, ANCHOR = 35, 8
 #: Words of a shard, and segments of one anchor that go to one shard; texts whose anchors a task has written. They bound the memory of a task.
 SHARD_WORDS, HOT_SEGMENTS, SEEN = 600_000, 4_000, 200_000
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return mixed(np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words)))
-
-
-def rolled(h: np.ndarray, n: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """A 64-bit hash of every n consecutive numbers."""
-    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
-    for k in range(n):
-        out = out * np.uint64(factor) + h[k : len(h) - n + 1 + k]
-    return mixed(out)
-
-
 def window_anchors(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
     """For each window the place of its anchor, the leftmost of its smallest hashes of ``anchor`` words, and all those hashes. Equal windows have equal anchors at equal places."""
     grams = rolled(h, anchor)
@@ -70,11 +58,12 @@ def repeated_in_shard(segments: pa.Table, window: int) -> Iterator[tuple]:
     t1, t2, start, windows, hot = (segments.column(i).to_numpy() for i in range(5))
     words = segments.column(5)
     order = np.lexsort((start, t2, t1))
+    hashes_of = [h for h, _, _ in hashed_words([w.encode() for w in words.to_pylist()])]
     parts, base, ends, at_text = [], [], [], 0
     place = np.zeros(len(order), np.int64)  # of a segment's first word in the shard's text
     last, reach = None, 0
     for i in order.tolist():
-        h = word_hashes(words[i].as_py().encode().split(b" "))
+        h = hashes_of[i]
         key, a = (t1[i], t2[i]), int(start[i])
         if key == last and a <= reach:
             place[i] = base[-1] + a
@@ -132,15 +121,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str = "text", wi
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 some, out = b.slice(i, 500), []
-                for a, c, t in zip(*[some.column(k).to_pylist() for k in range(3)]):
+                for a, c, (h, _, _) in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), hashed_words([t.encode() for t in some.column(2).to_pylist()])):
                     if (a, c) in seen:
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add((a, c))
-                    words = t.encode().split()
-                    if len(words) >= window:
-                        at, grams = window_anchors(word_hashes(words), window)
+                    if len(h) >= window:
+                        at, grams = window_anchors(h, window)
                         at = np.unique(at)
                         out.append((a, c, grams[at].astype(np.int64), at.astype(np.int32)))
                 if out:
@@ -162,9 +150,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str = "text", wi
                 times = some.column(3).flatten()
                 counts = np.r_[0, np.cumsum(pa.compute.list_value_length(some.column(3)).to_numpy())]
                 at_all, times_all = times.field("at").to_numpy(), times.field("times").to_numpy()
-                for k, (a, c, t) in enumerate(zip(*[some.column(j).to_pylist() for j in range(3)])):
-                    words = t.encode().split()
-                    h = word_hashes(words)
+                texts = [t.encode() for t in some.column(2).to_pylist()]
+                for k, (a, c, t, (h, starts, ends)) in enumerate(zip(some.column(0).to_pylist(), some.column(1).to_pylist(), texts, hashed_words(texts))):
                     anchor_at, grams = window_anchors(h, window)
                     often_at = np.zeros(len(grams), np.int64)
                     often_at[at_all[counts[k] : counts[k + 1]]] = times_all[counts[k] : counts[k + 1]]
@@ -176,7 +163,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str = "text", wi
                     cut = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (hot[1:] != hot[:-1]), True])
                     for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
                         if shard[x] >= 0:
-                            out.append((int(shard[x]), a, c, x, y - x, bool(hot[x]), b" ".join(words[x : y + window - 1]).decode()))
+                            out.append((int(shard[x]), a, c, x, y - x, bool(hot[x]), t[starts[x] : ends[y + window - 2]].decode()))
                 if out:
                     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out), kinds)], names=names)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from wattgrid.functions.components import connected_components
 from wattgrid.functions.scratch import Scratch
-from wattgrid.llm.near_dups import groups_of, mixed
+from wattgrid.llm.near_dups import groups_of
+from wattgrid.llm.words import mixed
 
 #: Projections of a vector; sets of leading ones; candidates a vector should meet by chance; standard deviations in half a window.
 PROJECTIONS, LEADS, MEET, HALF = 48, 2, 200, 2.3
