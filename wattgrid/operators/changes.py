@@ -84,3 +84,76 @@ def greedy_matches(pairs: DataFrame, group: str, left: str, right: str, rank: li
     return pairs.groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, `{left}` {kinds[left]}, `{right}` {kinds[right]}")
 
 
+
+
+def sweep(candidates: dict[str, DataFrame], rows: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(labelled, kept): ids to remove with the first category that names them, and the rows that stay; the first is the dry run."""
+    labelled = None
+    for k, (name, df) in enumerate(candidates.items()):
+        part = df.select(id_col).distinct().withColumns({"category": F.lit(name), "_k": F.lit(k)})
+        labelled = part if labelled is None else labelled.unionByName(part)
+    labelled = labelled.groupBy(id_col).agg(F.min_by("category", "_k").alias("category"))
+    return labelled, rows.join(labelled, id_col, "left_anti")
+
+
+def deactivate(rows: DataFrame, reasons: DataFrame, id_col: str = "id") -> DataFrame:
+    """rows with is_active false and a reason where reasons (id, reason) names them."""
+    out = rows.join(reasons.groupBy(id_col).agg(F.min("reason").alias("reason")), id_col, "left")
+    return out.withColumn("is_active", F.when(F.col("reason").isNotNull(), False).otherwise(F.col("is_active")))
+
+
+def upsert_fingerprints(known: DataFrame, seen: DataFrame, as_of: str) -> DataFrame:
+    """Fingerprints by (utility_id, url) after a check: new hashes replace old ones and set changed_at, equal ones only checked_at."""
+    now = F.lit(as_of).cast("timestamp")
+    new = seen.select("utility_id", "url", F.col("content_hash").alias("n_hash"), F.lit(True).alias("n_"))
+    out = known.join(new, ["utility_id", "url"], "full")
+    changed = F.col("n_") & ~F.col("n_hash").eqNullSafe(F.col("content_hash"))
+    return out.select("utility_id", "url", F.when(F.col("n_"), F.col("n_hash")).otherwise(F.col("content_hash")).alias("content_hash"), F.when(F.col("n_"), now).otherwise(F.col("checked_at")).alias("checked_at"), F.when(changed, now).otherwise(F.col("changed_at")).alias("changed_at"))
+
+
+def unchanged_utilities(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """Utilities all of whose pages have the stored hash, so that they need no new extraction."""
+    stored = known.select("utility_id", "url", F.col("content_hash").alias("_hash"))
+    per = pages.join(stored, ["utility_id", "url"], "left").groupBy("utility_id").agg(F.bool_and(F.coalesce(F.col("content_hash") == F.col("_hash"), F.lit(False))).alias("same"))
+    return per.where("same").select("utility_id")
+
+
+def update_values(rows: DataFrame, updates: DataFrame, key: str, column: str, valid: Column | None = None) -> DataFrame:
+    """rows with the column's new values from updates (key, column); null and invalid ones are left out."""
+    new = updates.where(F.col(column).isNotNull() & (valid if valid is not None else F.lit(True))).groupBy(key).agg(F.max(column).alias("_new"))
+    return rows.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+
+
+def insert_missing_sources(utilities: DataFrame, sources: DataFrame, urls: DataFrame) -> DataFrame:
+    """(utility_id, url, status) for active utilities without a source that have a url (id, url)."""
+    missing = utilities.where("is_active").select("id").join(sources.select(F.col("utility_id").alias("id")), "id", "left_anti")
+    return missing.join(urls.where("url is not null"), "id").select(F.col("id").alias("utility_id"), "url", F.lit("pending").alias("status"))
+
+
+def merge_new_names(existing: DataFrame, extra: DataFrame, group: str, name: str, order: str) -> DataFrame:
+    """Extra candidates whose plain name neither begins an existing or earlier one's name in their group nor begins with it."""
+    from wattgrid.functions.text import plain_name
+
+    e = existing.select(group, plain_name(F.col(name)).alias("other"), F.lit(-1).cast("long").alias("at"))
+    x = extra.withColumn("_plain", plain_name(F.col(name))).withColumn("_at", F.col(order).cast("long"))
+    others = e.unionByName(x.select(group, F.col("_plain").alias("other"), F.col("_at").alias("at")))
+    clash = (F.col("o.at") < F.col("x._at")) & (F.startswith(F.col("x._plain"), F.col("o.other")) | F.startswith(F.col("o.other"), F.col("x._plain")))
+    hits = x.alias("x").join(others.alias("o"), [F.col(f"x.{group}") == F.col(f"o.{group}"), clash], "left_anti")
+    return hits.select(*[F.col(f"x.`{c}`") for c in extra.columns])
+
+
+def supersede(seeds: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """(id, fresh_id): seed rows that a fresh row of the same keys describes too, by likely_same over names."""
+    from wattgrid.functions.text import likely_same
+
+    pairs = seeds.select(*keys, "id", F.col("name").alias("a")).join(fresh.select(*keys, F.col("id").alias("fresh_id"), F.col("name").alias("b")), keys)
+    return pairs.where(likely_same(F.col("a"), F.col("b"))).groupBy("id").agg(F.min("fresh_id").alias("fresh_id"))
+
+
+def nearest_components(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """Of pairs (group, want_no, got_no, component_type, want, got) of one type, the nearest values one to one, greedily, with whether they are close: 5 for fixed, 15 % else."""
+    apart = F.abs(F.col("want") - F.col("got"))
+    close = F.when(F.col("component_type") == "fixed", apart <= 5).otherwise(apart <= 0.15 * F.abs("want"))
+    keyed = pairs.withColumn("_group", F.concat_ws("|", *group)).withColumn("_apart", apart)
+    picked = greedy_matches(keyed.select("_group", "want_no", "got_no", "_apart"), "_group", "want_no", "got_no", ["_apart"])
+    return keyed.join(picked, ["_group", "want_no", "got_no"]).withColumn("close", close).drop("_group", "_apart")

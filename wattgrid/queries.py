@@ -563,3 +563,49 @@ def merge_prefixes(t: Tables) -> DataFrame:
     """Parts as tariffs of their brand: names that begin with another's name are merged into the richer one."""
     rows = t.read("part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("name"), F.col("p_size").alias("core"), F.col("p_retailprice").cast("long").alias("total"))
     return changes.merge_prefix_duplicates(rows, ["brand"], "id", "name", "core", "total")
+
+
+@query(r"""+ l as (select page_id, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)))) as place, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) as href, url from pages),
+    r as (select page_id, place, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0) || regexp_replace(href, '#.*$', '') as target from l where href like '/%')
+    select page_id, target, min(place)::int as place from r group by 1, 2""")
+def links_ranked(t: Tables) -> DataFrame:
+    from wattgrid.functions.pages import links
+
+    return links(t.read("pages")).select("page_id", "target", "place")
+
+
+@query("""select doc_id as id, length(text) as chars from documents""")
+def rate_windows(t: Tables) -> DataFrame:
+    from wattgrid.functions.pages import rate_windows as run
+
+    return run(t.read("documents"), "doc_id", "text").select("id", "chars")
+
+
+@query("""+ r as (select p_partkey as label, p_partkey % 2000 as eiaid, p_brand as utility from part), u as (select s_suppkey as id, s_suppkey as eia_id from supplier)
+    select label, min(u.id) as utility_id from r left join u on eiaid = eia_id group by 1""")
+def resolve_records(t: Tables) -> DataFrame:
+    from wattgrid.operators.resolve import resolve_utilities
+
+    records = t.read("part").select(F.col("p_partkey").alias("label"), (F.col("p_partkey") % 2000).alias("eiaid"), F.col("p_brand").alias("utility"))
+    utilities = t.read("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("eia_id"), F.col("s_name").alias("name"))
+    return resolve_utilities(records, utilities).select("label", "utility_id")
+
+
+@query("""+ f as (select source_id as utility_id, props as url, max(checked_us) as us, arg_max(content_hash, (checked_us, id)) as content_hash from checks group by 1, 2), o as (select utility_id, url, content_hash from f where us % 2 = 0)
+    select utility_id, count(*) as pages from f left join o using (utility_id, url) group by 1 having bool_and(coalesce(f.content_hash = o.content_hash, false))""")
+def unchanged_pages(t: Tables) -> DataFrame:
+    pages = t.checks.groupBy(F.col("source_id").alias("utility_id"), F.col("props").alias("url")).agg(F.max("checked_us").alias("us"), F.max_by("content_hash", F.struct("checked_us", "id")).alias("content_hash"))
+    same = changes.unchanged_utilities(pages.drop("us"), pages.where("us % 2 = 0").drop("us"))
+    return pages.join(same, "utility_id", "left_semi").groupBy("utility_id").agg(F.count("*").alias("pages"))
+
+
+@query("""select category, count(*) as n from (select id, case when rate_type = 'P' then 'A' when amount < 50000 then 'B' end as category from tariffs) where category is not null group by 1""")
+def quality_sweep(t: Tables) -> DataFrame:
+    labelled, _ = changes.sweep({"A": t.tariffs.where("rate_type = 'P'"), "B": t.tariffs.where("amount < 50000")}, t.tariffs)
+    return labelled.groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("""select id, case when id % 10 = 0 then false else is_active end as is_active, case when id % 10 = 0 then 'merged' end as reason from utilities""")
+def deactivate_listed(t: Tables) -> DataFrame:
+    reasons = t.utilities.where("id % 10 = 0").select("id", F.lit("merged").alias("reason"))
+    return changes.deactivate(t.utilities, reasons).select("id", "is_active", "reason")
