@@ -609,3 +609,133 @@ def quality_sweep(t: Tables) -> DataFrame:
 def deactivate_listed(t: Tables) -> DataFrame:
     reasons = t.utilities.where("id % 10 = 0").select("id", F.lit("merged").alias("reason"))
     return changes.deactivate(t.utilities, reasons).select("id", "is_active", "reason")
+
+
+# Further selections, roll-ups and reports
+
+
+@query("""+ ids as (select unnest([7, 3, 7, 11, 3, 5]) as id, unnest(range(6)) as pos), f as (select id, min(pos) as pos from ids group by 1)
+    select (row_number() over (order by pos) - 1)::int as place, u.id, u.name from f join utilities u using (id)""")
+def explicit_ids(t: Tables) -> DataFrame:
+    wanted = F.array_distinct(F.array(*[F.lit(i).cast("long") for i in (7, 3, 7, 11, 3, 5)]))
+    listed = t.spark.range(1).select(F.posexplode(wanted).alias("place", "id"))
+    return t.utilities.join(F.broadcast(listed), "id").select("place", "id", "name")
+
+
+@query(None)
+def seeded_sample(t: Tables) -> DataFrame:
+    """100 active utilities by a seeded hash of the id: the same ones in every run; the sample is the feature."""
+    return t.utilities.where("is_active").orderBy(F.xxhash64(F.lit(42), "id"), "id").limit(100).select("id", "name")
+
+
+@query("""select t.id, t.name, c.component_type, c.period, max(c.rate_value)::double as rate_value from tariffs t join components c on c.tariff_id = t.id where t.name like '%URGENT%' and t.rate_type = 'F' and c.component_type = 'R' group by all""")
+def named_plans(t: Tables) -> DataFrame:
+    named = t.tariffs.where(F.col("name").like("%URGENT%") & (F.col("rate_type") == "F")).select("id", "name")
+    parts = t.components.where("component_type = 'R'").select(F.col("tariff_id").alias("id"), "component_type", "period", "rate_value")
+    return named.join(parts, "id").groupBy("id", "name", "component_type", "period").agg(F.max("rate_value").alias("rate_value"))
+
+
+@query("""select u.name as utility, t.id, c.ordinal, c.component_type, c.rate_value::double as rate_value from utilities u join tariffs t on t.utility_id = u.id join components c on c.tariff_id = t.id where u.state = 'CANADA'""")
+def region_listing(t: Tables) -> DataFrame:
+    u = t.utilities.where("state = 'CANADA'").select(F.col("id").alias("utility_id"), F.col("name").alias("utility"))
+    rows = t.tariffs.select("id", "utility_id").join(u, "utility_id")
+    return rows.join(t.components.withColumnRenamed("tariff_id", "id"), "id").select("utility", "id", "ordinal", "component_type", "rate_value")
+
+
+@query("""+ l as (select source_id, content_hash, checked_us, row_number() over (partition by source_id order by checked_us desc, id desc) rn from checks where failed)
+    select u.id, l.checked_us as last_error_us from utilities u left join l on l.source_id = u.id and rn = 1 where u.is_active""")
+def latest_error(t: Tables) -> DataFrame:
+    last = R.latest(t.checks.where("failed"), ["source_id"], [F.desc("checked_us"), F.desc("id")]).select(F.col("source_id").alias("id"), F.col("checked_us").alias("last_error_us"))
+    return t.utilities.where("is_active").select("id").join(last, "id", "left")
+
+
+@query("""+ m(customer_class, rate) as (values ('residential', 0.087), ('commercial', 0.103)) select u.id, customer_class, rate::double as rate from utilities u cross join m where is_active and country = 'ASIA'""")
+def regulator_rates(t: Tables) -> DataFrame:
+    templates = t.spark.createDataFrame([("residential", 0.087), ("commercial", 0.103)], "customer_class string, rate double")
+    return t.utilities.where("is_active and country = 'ASIA'").select("id").crossJoin(F.broadcast(templates))
+
+
+@query("""+ b(state, p95) as (values ('CANADA', 0.05), (null, 0.08)), d as (select p95 from b where state is null)
+    select t.id, count(*) as high from tariffs t join utilities u on u.id = t.utility_id left join b on b.state = u.state cross join d join components c on c.tariff_id = t.id where c.rate_value > coalesce(b.p95, d.p95) group by 1""")
+def over_bounds(t: Tables) -> DataFrame:
+    bounds = t.spark.createDataFrame([("CANADA", 0.05), (None, 0.08)], "state string, p95 double")
+    u = t.utilities.select(F.col("id").alias("utility_id"), "state").join(F.broadcast(bounds.where("state is not null")), "state", "left")
+    limit = t.tariffs.select("id", "utility_id").join(u, "utility_id").crossJoin(F.broadcast(bounds.where("state is null").select(F.col("p95").alias("other")))).select("id", F.coalesce("p95", "other").cast("decimal(16,6)").alias("limit"))
+    return t.components.select(F.col("tariff_id").alias("id"), "rate_value").join(limit, "id").where("rate_value > limit").groupBy("id").agg(F.count("*").alias("high"))
+
+
+@query("""+ k as (select tariff_id, count(*) n from components group by 1), s as (select u.state, count(distinct u.id) utilities, count(t.id) tariffs, coalesce(sum(k.n), 0)::bigint as components from utilities u left join tariffs t on t.utility_id = u.id left join k on k.tariff_id = t.id where u.country = 'EUROPE' group by 1)
+    select *, round(tariffs / nullif(utilities, 0)::double, 3) as tariffs_each, round(components / nullif(tariffs, 0)::double, 3) as components_each from s""")
+def coverage_by_state(t: Tables) -> DataFrame:
+    k = t.components.groupBy(F.col("tariff_id").alias("id")).agg(F.count("*").alias("n"))
+    per = t.tariffs.join(k, "id", "left").groupBy(F.col("utility_id").alias("id")).agg(F.count("*").alias("t"), F.sum("n").alias("c"))
+    out = t.utilities.where("country = 'EUROPE'").join(per, "id", "left").groupBy("state").agg(F.count("*").alias("utilities"), F.coalesce(F.sum("t"), F.lit(0)).alias("tariffs"), F.coalesce(F.sum("c"), F.lit(0)).alias("components"))
+    return out.withColumns({"tariffs_each": F.round(F.col("tariffs") / F.nullif("utilities", F.lit(0)), 3), "components_each": F.round(F.col("components") / F.nullif("tariffs", F.lit(0)), 3)})
+
+
+@query("""+ h as (select u.country as batch, u.id, exists (select 1 from tariffs t where t.utility_id = u.id) as has from utilities u where is_active)
+    select coalesce(batch, 'TOTAL') as batch, count(*) as total, count(*) filter (has) as having, count(*) filter (not has) as missing from h group by rollup (batch)""")
+def batch_overview(t: Tables) -> DataFrame:
+    rows = R.with_counts(t.utilities.where("is_active"), t.tariffs, "id", "utility_id", n=F.lit(True))
+    out = rows.rollup("country").agg(F.count("*").alias("total"), F.count_if(F.col("n") > 0).alias("having"), F.count_if(F.col("n") == 0).alias("missing"))
+    return out.select(F.coalesce("country", F.lit("TOTAL")).alias("batch"), "total", "having", "missing")
+
+
+@query("""+ runs(run_id, started, ended) as (values (1, date '1996-01-01', date '1996-07-01'), (2, date '1996-05-01', date '1997-01-01'))
+    select run_id, count(*) as touched, count(distinct utility_id) as processed, count(*) filter (last_verified is null) as unverified from runs join tariffs on effective_date >= started and effective_date < ended group by 1""")
+def runs_from_trail(t: Tables) -> DataFrame:
+    runs = t.spark.createDataFrame([(1, "1996-01-01", "1996-07-01"), (2, "1996-05-01", "1997-01-01")], "run_id int, a string, b string").select("run_id", F.col("a").cast("date").alias("started"), F.col("b").cast("date").alias("ended"))
+    rows = t.tariffs.join(F.broadcast(runs), (F.col("effective_date") >= F.col("started")) & (F.col("effective_date") < F.col("ended")))  # two runs
+    return rows.groupBy("run_id").agg(F.count("*").alias("touched"), F.count_distinct("utility_id").alias("processed"), F.count_if(F.col("last_verified").isNull()).alias("unverified"))
+
+
+@query("""select source_id % 50 as batch, count(*) filter (content_hash = 'error') as error, count(*) filter (content_hash = 'view') as view, count(*) filter (content_hash = 'click') as click from checks group by 1""")
+def outcome_pivot(t: Tables) -> DataFrame:
+    return t.checks.groupBy((F.col("source_id") % 50).alias("batch")).pivot("content_hash", ["error", "view", "click"]).count().fillna(0)
+
+
+@query("""+ g as (select case when n >= 12 then 'A' when n >= 8 then 'B' else 'C' end as grade, n from (select utility_id, count(*) n from tariffs group by 1))
+    select grade, count(*) as audited, sum(n)::bigint as tariffs, round(100.0 * count(*) filter (grade in ('A', 'B')) / count(*), 1) as accuracy from g group by 1""")
+def audit_rollup(t: Tables) -> DataFrame:
+    n = t.tariffs.groupBy("utility_id").agg(F.count("*").alias("n"))
+    grade = F.when(F.col("n") >= 12, "A").when(F.col("n") >= 8, "B").otherwise("C")
+    out = n.groupBy(grade.alias("grade")).agg(F.count("*").alias("audited"), F.sum("n").alias("tariffs"))
+    return out.withColumn("accuracy", F.when(F.col("grade").isin("A", "B"), 100.0).otherwise(0.0))
+
+
+@query("""select id, source_id, round((max_us - checked_us) / 60000000.0, 1)::double as minutes from (select *, max(checked_us) over (partition by source_id) as max_us from checks) where content_hash = 'signup'""")
+def check_durations(t: Tables) -> DataFrame:
+    top = t.checks.groupBy("source_id").agg(F.max("checked_us").alias("top"))
+    rows = t.checks.where("content_hash = 'signup'").join(top, "source_id")
+    return rows.select("id", "source_id", F.round((F.col("top") - F.col("checked_us")) / F.lit(60000000.0), 1).alias("minutes"))
+
+
+@query("""select doc_id, list_aggregate(list_sort(list_distinct(list_filter(string_split(left(text, 200), ' '), lambda x: not list_contains(string_split(left(text, 100), ' '), x)))), 'string_agg', ',') as added from documents where lang = 'fr'""")
+def added_terms(t: Tables) -> DataFrame:
+    old, new = F.split(F.substring("text", 1, 100), " "), F.split(F.substring("text", 1, 200), " ")
+    return t.read("documents").where("lang = 'fr'").select("doc_id", F.nullif(F.array_join(F.sort_array(F.array_except(F.array_distinct(new), F.array_distinct(old))), ","), F.lit("")).alias("added"))
+
+
+@query("""select domain, pages, round(100.0 * pages / sum(pages) over (), 1)::double as pct, regexp_matches(domain, 'casino|pills|bets|farm') as hinted from (select regexp_extract(split_part(split_part(url, '://', 2), '/', 1), '[^.]+\\.[^.]+\\.[^.]+$', 0) as domain, count(*) as pages from pages group by 1)""")
+def domain_shares(t: Tables) -> DataFrame:
+    site = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    per = t.read("pages").groupBy(F.regexp_extract(site, r"[^.]+\.[^.]+\.[^.]+$", 0).alias("domain")).agg(F.count("*").alias("pages"))
+    total = t.read("pages").agg(F.count("*").alias("all"))
+    return per.crossJoin(F.broadcast(total)).select("domain", "pages", F.round(100.0 * F.col("pages") / F.col("all"), 1).alias("pct"), F.col("domain").rlike("casino|pills|bets|farm").alias("hinted"))
+
+
+@query("""select t.id, string_agg(c.component_type || ' ' || c.rate_value::varchar, '; ' order by c.ordinal, c.component_type, c.rate_value) as evidence from tariffs t join components c on c.tariff_id = t.id where t.rate_type = 'P' group by 1""")
+def evidence_lines(t: Tables) -> DataFrame:
+    rows = R.nested(t.tariffs.where("rate_type = 'P'").select("id"), t.components, "id", "tariff_id", ["ordinal", "component_type", "rate_value"], "parts").where(F.size("parts") > 0)
+    return rows.select("id", F.array_join(F.transform("parts", lambda c: F.concat_ws(" ", c["component_type"], c["rate_value"].cast("string"))), "; ").alias("evidence"))
+
+
+@query("""+ c as (select utility_id, count(*) filter (customer_class = '1-URGENT') as residential, count(*) filter (customer_class = '2-HIGH') as commercial from tariffs group by 1) select u.id, coalesce(residential, 0)::bigint as residential, coalesce(commercial, 0)::bigint as commercial from utilities u left join c on c.utility_id = u.id where is_active and coalesce(residential, 0) > 0""")
+def lookup_counts(t: Tables) -> DataFrame:
+    rows = R.with_counts(t.utilities.where("is_active").select("id"), t.tariffs, "id", "utility_id", residential=F.col("customer_class") == "1-URGENT", commercial=F.col("customer_class") == "2-HIGH")
+    return rows.where("residential > 0")
+
+
+@query("""select (id % 10)::bigint as batch, count(*) as tested, count(*) filter (is_active) as geocoded, bool_and(is_active) as all_active, string_agg(distinct state, ';' order by state) as states from utilities group by 1""")
+def lookup_summary(t: Tables) -> DataFrame:
+    return t.utilities.groupBy((F.col("id") % 10).alias("batch")).agg(F.count("*").alias("tested"), F.count_if("is_active").alias("geocoded"), F.bool_and("is_active").alias("all_active"), F.array_join(F.sort_array(F.collect_set("state")), ";").alias("states"))
