@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from wattgrid.functions import lists as L
 from wattgrid.functions import pages, text as X
 from wattgrid.functions.components import connected_components
 from wattgrid.functions.scratch import Scratch
@@ -84,6 +85,17 @@ def test_validation(spark):
     assert rates.validation_report(got).first().asDict() == {"total": 5, "valid": 2, "invalid": 3, "flagged": 1, "has_residential": True, "has_commercial": False}
 
 
+def test_lists(spark):
+    bounds = {r.state: (r.p95_energy, r.p99_demand) for r in rates.state_bounds(spark).collect()}
+    assert bounds[None] == (0.35, 80.0) and bounds["HI"] == (0.5, 100.0) and len(L.US_STATES) == 51 and len(L.STATE_BATCHES) == 15
+    assert one(spark, rates.stored_type(F.col("k")), k="tou_demand") == "complex" and one(spark, rates.stored_type(F.col("k")), k="tou") == "tou"
+    names = [(n, s, "CA") for n, s in L.CA_PROVINCES.items()] + [(n, s, "US") for n, s in L.US_STATES.items()]
+    assert tuple(one(spark, geo.parse_place(F.col("a"), names, False), a="Ontario, California")) == ("ON", "CA")
+    listed = spark.createDataFrame([(d,) for d in L.THIRD_PARTY_DOMAINS], "domain string")
+    rows = spark.createDataFrame([("https://en.wikipedia.org/x",), ("https://acme.com",)], "url string")
+    assert {r.url: r.is_blocked for r in resolve.blocked(rows, "url", listed).collect()} == {"https://en.wikipedia.org/x": True, "https://acme.com": False}
+
+
 def test_relational(spark):
     rows = spark.createDataFrame([(1, 1, "a", dt.date(2024, 1, 1), None), (2, 1, "a", dt.date(2024, 1, 1), dt.date(2025, 1, 1)), (3, 1, "a", None, None)], "id long, u long, n string, s date, e date")
     newest = R.newest_version(rows, ["u", "n"], "s", "e", "id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wattgrid.functions.lists import COMPARISON_PAGES
+
 # Patterns and word lists that results depend on.
 ERROR_RULES = [
     ("403_forbidden", ["403", "forbidden"]),
@@ -26,7 +28,6 @@ DISCRIMINATORS = (
 ).split()
 NAME_STOPWORDS = "and or for the of in to a an is by as on at with rate plan schedule service".split()
 BLURB_HINTS = "for with applies applicable whose when that including".split()
-COMPARISON_PAGES = "comparison-electricity-prices|comparison-of-electricity|comparing-electricity|rate-comparison|rates-comparison|average-electricity-rates|electricity-prices-20(19|2[0-6])"
 GAS_NAMES = r"(?i)\b(natural\s+gas|gas\s+distribution|gas\s+delivery|gas\s+supply|gas\s+service|gas\s+transmission|gds[\s\-]\d)\b"
 ELECTRIC_NAMES = r"(?i)\belectric|\bgas\s+turbine\b"
 RATE_SCHEDULES = (
@@ -80,8 +81,9 @@ def host_suffixes(h: Column) -> Column:
 
 
 def is_comparison_page(url: Column, title: Column | None = None) -> Column:
-    hit = F.coalesce(F.try_url_decode(url), url).rlike(f"(?i){COMPARISON_PAGES}")
-    return hit if title is None else hit | F.coalesce(title.rlike(f"(?i){COMPARISON_PAGES}"), F.lit(False))
+    pattern = "(?i)" + "|".join(COMPARISON_PAGES)
+    hit = F.coalesce(F.try_url_decode(url), url).rlike(pattern)
+    return hit if title is None else hit | F.coalesce(title.rlike(pattern), F.lit(False))
 
 
 def is_gas_only(name: Column) -> Column:

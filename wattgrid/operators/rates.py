@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wattgrid.functions.lists import COMPLEX_TYPES, RATE_BOUNDS
+
 # The words that results depend on.
 CLASSES = ["residential", "commercial"]
 COMPONENTS = ["energy", "demand", "fixed", "minimum", "adjustment"]
@@ -25,6 +27,16 @@ def rate_type(energy: Column, weekday: Column, has_demand: Column) -> Column:
     )
 
 
+def stored_type(kind: Column) -> Column:
+    """A candidate's rate type as it is stored: known ones as they are, other combinations as complex; unknown ones stay for validation."""
+    return F.when(kind.isin(COMPLEX_TYPES), "complex").otherwise(kind)
+
+
+def state_bounds(spark: SparkSession) -> DataFrame:
+    """The bounds of validate for the states that have their own, and a row for all others."""
+    return spark.createDataFrame([(s, *v) for s, v in RATE_BOUNDS.items()], "state string, " + ", ".join(f"{p}_{k} double" for k in ("energy", "fixed", "demand") for p in ("p95", "p99")))
+
+
 def tier_bounds(rows: DataFrame, keys: list[str], order: list[str], upper: str, lower: str = "tier_min") -> DataFrame:
     """Each tier's lower bound: the upper bound of the tier before it under the same keys, null for the first."""
     return rows.withColumn(lower, F.lag(upper).over(Window.partitionBy(*keys).orderBy(*order)))
