@@ -131,3 +131,18 @@ def request_tier(text: Column, is_pdf: Column) -> Column:
 
 def cache_key(content_hash: Column, model: str, version: str) -> Column:
     return F.sha2(F.concat_ws(":", content_hash, F.lit(model), F.lit(version)), 256)
+
+
+def failure_reason(c: dict[str, Column]) -> Column:
+    """Where an extraction without results broke off, from its counters: pages, sent, zero, failed, thin, off_topic, no_signal and, as booleans, had_page and aborted."""
+    said = lambda n, text: F.when(n > 0, F.concat(n.cast("string"), F.lit(text)))
+    skipped = F.concat_ws("; ", said(c["no_signal"], " pages had no rate content signals"), said(c["off_topic"], " pages were off-topic"), said(c["thin"], " pages had too little content"))
+    skipped = F.when(skipped != "", skipped).otherwise(F.concat(c["pages"].cast("string"), F.lit(" pages did not pass filters")))
+    zero = F.concat(F.lit("0 tariffs returned for all "), c["sent"].cast("string"), F.lit(" pages"), F.when(c["aborted"], " (stopped early after 5 in a row)").otherwise(""))
+    return (
+        F.when(c["pages"] == 0, F.when(c["had_page"], "No candidate pages found after visiting rate page").otherwise("No candidate pages found: search returned no usable URLs"))
+        .when(c["sent"] == 0, F.concat(F.lit("No pages were sent on: "), skipped))
+        .when((c["zero"] > 0) & (c["zero"] == c["sent"]), zero)
+        .when((c["failed"] > 0) & (c["failed"] >= c["sent"]), F.concat(F.lit("All "), c["sent"].cast("string"), F.lit(" attempts failed")))
+        .otherwise(F.concat(F.lit("Extracted tariffs did not pass validation ("), c["pages"].cast("string"), F.lit(" pages, "), c["sent"].cast("string"), F.lit(" sent, "), c["zero"].cast("string"), F.lit(" returned 0)")))
+    )

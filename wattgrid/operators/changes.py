@@ -157,3 +157,23 @@ def nearest_components(pairs: DataFrame, group: list[str]) -> DataFrame:
     keyed = pairs.withColumn("_group", F.concat_ws("|", *group)).withColumn("_apart", apart)
     picked = greedy_matches(keyed.select("_group", "want_no", "got_no", "_apart"), "_group", "want_no", "got_no", ["_apart"])
     return keyed.join(picked, ["_group", "want_no", "got_no"]).withColumn("close", close).drop("_group", "_apart")
+
+
+def touch_verified(rows: DataFrame, ids: DataFrame, key: str, as_of: str) -> DataFrame:
+    """rows whose key is among ids get as_of as last_verified."""
+    named = ids.select(key).distinct().withColumn("_touch", F.lit(True))
+    return rows.join(named, key, "left").withColumn("last_verified", F.when(F.col("_touch"), F.lit(as_of).cast("date")).otherwise(F.col("last_verified"))).drop("_touch")
+
+
+def benchmark_summary(expected: DataFrame, extracted: DataFrame, matches: DataFrame, close: DataFrame) -> DataFrame:
+    """recall, precision (percent, one decimal), rate_errors and perfect utilities.
+
+    expected and extracted: (utility_id, id); matches: (utility_id, want, got); close: (utility_id, close) per compared component.
+    """
+    e = expected.groupBy("utility_id").agg(F.count("*").alias("expected"))
+    x = extracted.groupBy("utility_id").agg(F.count("*").alias("extracted"))
+    m = matches.groupBy("utility_id").agg(F.count("*").alias("matched"))
+    c = close.groupBy("utility_id").agg(F.count_if(~F.col("close")).alias("errors"))
+    per = e.join(x, "utility_id", "left").join(m, "utility_id", "left").join(c, "utility_id", "left").fillna(0)
+    share = lambda a, b: F.round(100.0 * F.sum(a) / F.nullif(F.sum(b), F.lit(0)), 1)
+    return per.agg(share("matched", "expected").alias("recall"), share("matched", "extracted").alias("precision"), F.sum("errors").alias("rate_errors"), F.count_if((F.col("matched") == F.col("expected")) & (F.col("errors") == 0)).alias("perfect"))
