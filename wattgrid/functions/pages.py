@@ -16,6 +16,8 @@ LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
 RELEVANT = r"(?i)rate|tariff|pricing|schedule|residential|commercial|billing"
 FIRST = r"(?i)residential.*rate|rate.*schedule|tariff"
 SKIP = r"(?i)street.?light|interruptible|wholesale|interconnect|transmission.rate|industrial|lighting"
+DROPPED = ["script", "style", "nav", "footer", "header", "noscript", "iframe"]
+REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 SIGNAL = r"(?i)\$\s*\d|\bkwh\b|cents per"
 
 
@@ -37,6 +39,19 @@ def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     return rows.withColumn("priority", F.when(both.rlike(FIRST), 0).when(both.rlike(RELEVANT), 1).when(F.lower("target").endswith(".pdf"), 2).otherwise(3))
 
 
+def main_text(html: Column) -> Column:
+    """Text of a page: without scripts, styles, navigation, header, footer and frames; of the first article or main element if there is one, else of the body. White space is one space; the five named references of XML and &nbsp; are decoded."""
+    t = html
+    for tag in DROPPED:
+        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    main, article = (F.regexp_extract(t, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1) for tag in ("main", "article"))
+    t = F.when(main != "", main).when(article != "", article).otherwise(F.regexp_replace(t, r"(?is)^.*?</head\s*>", ""))
+    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
+    for name, char in REFERENCES:
+        t = F.replace(t, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
 def capped_links(found: DataFrame, first: int = 15) -> DataFrame:
     """The first links of each page by priority, superseded ones last; the cap is the crawl's own budget per page."""
     from wattgrid.operators.relational import latest

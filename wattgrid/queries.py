@@ -739,3 +739,12 @@ def lookup_counts(t: Tables) -> DataFrame:
 @query("""select (id % 10)::bigint as batch, count(*) as tested, count(*) filter (is_active) as geocoded, bool_and(is_active) as all_active, string_agg(distinct state, ';' order by state) as states from utilities group by 1""")
 def lookup_summary(t: Tables) -> DataFrame:
     return t.utilities.groupBy((F.col("id") % 10).alias("batch")).agg(F.count("*").alias("tested"), F.count_if("is_active").alias("geocoded"), F.bool_and("is_active").alias("all_active"), F.array_join(F.sort_array(F.collect_set("state")), ";").alias("states"))
+
+
+@query(r"""+ d as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?is)<nav\b[^>]*>.*?</nav\s*>', ' ', 'g'), '(?is)<footer\b[^>]*>.*?</footer\s*>', ' ', 'g'), '(?is)<header\b[^>]*>.*?</header\s*>', ' ', 'g'), '(?is)<noscript\b[^>]*>.*?</noscript\s*>', ' ', 'g'), '(?is)<iframe\b[^>]*>.*?</iframe\s*>', ' ', 'g') as t from pages), m as (select page_id, case when regexp_extract(t, '(?is)<main\b[^>]*>(.*)</main\s*>', 1) <> '' then regexp_extract(t, '(?is)<main\b[^>]*>(.*)</main\s*>', 1) when regexp_extract(t, '(?is)<article\b[^>]*>(.*)</article\s*>', 1) <> '' then regexp_extract(t, '(?is)<article\b[^>]*>(.*)</article\s*>', 1) else regexp_replace(t, '(?is)^.*?</head\s*>', '') end as t from d),
+    r as (select page_id, regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') as t from m), u as (select page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as t from r)
+    select page_id, sha256(trim(regexp_replace(t, '[ \t\n\r\f\v]+', ' ', 'g'))) as text_sha256 from u""")
+def page_text(t: Tables) -> DataFrame:
+    from wattgrid.functions.pages import main_text
+
+    return t.read("pages").select("page_id", F.sha2(main_text(F.col("html")).cast("binary"), 256).alias("text_sha256"))
