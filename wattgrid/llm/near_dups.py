@@ -201,10 +201,11 @@ def _close_pairs(batches: Iterator[pa.RecordBatch], percent: int, tried: int) ->
         out = []
         for _, i, j in sorted(found):
             pair = (min(comp[i], comp[j]), max(comp[i], comp[j]))
-            if taken.get(pair, 0) < tried:
-                taken[pair] = taken.get(pair, 0) + 1
+            taken[pair] = taken.get(pair, 0) + 1
+            if taken[pair] <= tried:
                 out.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+        a, b = zip(*out)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([len(found) > len(out)] * len(out), pa.bool_())], names=["a", "b", "cut"])
 
 
 class _Join:
@@ -294,17 +295,22 @@ class _Join:
         return self.scratch.cut(connected_components(links, self.scratch).select(F.col("id").alias("cid"), F.col("component_id").alias("comp")))
 
     def open_pairs(self, met: DataFrame, parts: DataFrame, size: DataFrame, tried: int) -> DataFrame:
-        """Pairs of different components that share a key and that sizes and sketches allow: ``tried`` of each two components, group and block, or all for 0."""
+        """(a, b, cut): pairs of different components, both not their group's leader, that share a key and that sizes and sketches allow.
+
+        ``tried`` of each two components, group and block are given (all for 0), with cut where there are more. Of groups with
+        the same members one is compared.
+        """
         percent = self.percent
-        rows = met.select("key", "cid").join(parts, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        mixed_keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-        rows = rows.join(mixed_keys.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "key")
+        rows = met.where("cid <> leader").select("key", "cid").join(parts, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        groups = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("cid")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("h2"))
+        groups = groups.where("lo < hi").groupBy("h1", "h2", "members").agg(F.min("key").alias("key"))
+        rows = rows.join(groups.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "key")
         rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         rows = rows.select("key", "cid", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "comp")
         rows = rows.join(size, "cid").select("key", "i", "j", "side", "cid", "comp", "n", "sketch")
         rows = rows.repartition(self.n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "cid")
-        return rows.mapInArrow(lambda b: _close_pairs(b, percent, tried or 1 << 60), "a bigint, b bigint").distinct()
+        return rows.mapInArrow(lambda b: _close_pairs(b, percent, tried or 1 << 60), "a bigint, b bigint, cut boolean")
 
 
 def _allowed(percent: int):
@@ -357,13 +363,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = j.components(links)
     rest = star.join(first, ["a", "b"], "left_anti")
     for limit in (None, TRIED, 0):
-        pairs = rest if limit is None else j.open_pairs(met, parts, size, limit).join(star, ["a", "b"], "left_anti")
+        if limit is None:
+            pairs = rest
+        else:
+            opened = scratch.cut(j.open_pairs(met, parts, size, limit))
+            pairs = opened.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
         sides = parts.toDF("a", "ca"), parts.toDF("b", "cb")
         pairs = pairs.join(sides[0], "a", "left").join(sides[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-        more = scratch.cut(j.verified(scratch.cut(pairs), texts))
-        if not more.isEmpty():
+        pairs = scratch.cut(pairs)
+        more = None if pairs.isEmpty() else scratch.cut(j.verified(pairs, texts))
+        if more is not None and not more.isEmpty():
             links = scratch.cut(links.union(more))
             parts = j.components(links)
+        if limit and opened.where("cut").isEmpty():
+            break
     reps = classes.join(parts, "cid", "left").select("cid", "rep", F.coalesce("comp", "cid").alias("comp"))
     least = reps.groupBy("comp").agg(F.min("rep").alias("component_id"))
     answer = scratch.cut(reps.join(least, "comp").select("cid", "component_id"))
