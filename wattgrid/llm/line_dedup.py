@@ -80,9 +80,10 @@ def find_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), *[pa.array(c, pa.int64()) for c in cols[2:]]], names=["h", "chunk", "doc_id", "k1", "k2", "first"])
 
         wanted = often.groupBy("k1", "k2").agg(F.collect_list("first").alias("wanted"))
-        chunks = rows.join(wanted, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "wanted").mapInArrow(texts, "h bigint, chunk string, doc_id bigint, k1 bigint, k2 bigint, first bigint")
+        chunks = rows.join(wanted.hint("merge"), ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "wanted").mapInArrow(texts, "h bigint, chunk string, doc_id bigint, k1 bigint, k2 bigint, first bigint")
         equal = chunks.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "k1", "k2", "first")).alias("keep"))
         groups = scratch.cut(equal.groupBy("h").agg(F.count("*").alias("n_texts"), F.min("keep").alias("keep")))
+        scratch.sweep()
         if groups.where("n_texts > 1").isEmpty():
             out = often.join(groups.select("h", "keep"), "h")
             return scratch.cut(out.where(~((F.col("k1") == F.col("keep.k1")) & (F.col("k2") == F.col("keep.k2")) & (F.col("first") == F.col("keep.first")))).select("k1", "k2", "first", "n"))
@@ -112,12 +113,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     two differ all chunks are hashed anew with another seed. Of equal chunks, also within a document, the one with the
     smallest id and line stays (a null id is the smallest); rows that repeat both id and text are treated alike.
     Null texts count as empty and have no lines. An empty table gives an empty result.
+
+    Texts meet the lists of their chunks twice, in sort-merge joins at every size: the lists have no bound for a broadcast.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     gone = find_repeats(docs, scratch, id_col, text_col).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n")).alias("gone"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), text.alias("text_"), *row_key(F.col(id_col), text))
-    return rows.join(gone, ["k1", "k2"], "left").select("row", F.pandas_udf(_without, "struct<text:string,n_lines:bigint,n_removed:bigint>")("text_", "gone").alias("done"))
+    return rows.join(gone.hint("merge"), ["k1", "k2"], "left").select("row", F.pandas_udf(_without, "struct<text:string,n_lines:bigint,n_removed:bigint>")("text_", "gone").alias("done"))
 
 
 def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
