@@ -16,7 +16,7 @@ from wattgrid.llm.near_dups import groups_of
 from wattgrid.llm.words import mixed
 
 #: Projections of a vector; sets of leading ones; candidates a vector should meet by chance; standard deviations in half a window.
-PROJECTIONS, LEADS, MEET, HALF = 48, 2, 200, 2.3
+PROJECTIONS, LEADS, MEET, HALF = 48, 2, 4000, 2.3
 #: Vectors of one cell that one task compares with others.
 BLOCK = 4096
 
