@@ -30,6 +30,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.cuts = 0
+        self.live: set[str] = set()
 
     def cut(self, df: DataFrame, files: int | None = None) -> DataFrame:
         """df, computed once and read back; files: upper bound of files where the result is small."""
@@ -37,6 +38,7 @@ class Scratch:
         (df if files is None else df.coalesce(files)).write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
+        self.live.add(path)
         return back
 
     def sweep(self) -> None:
@@ -45,6 +47,14 @@ class Scratch:
         self.spark._jvm.System.gc()
 
     def drop(self, *tables: DataFrame) -> None:
-        for df in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._delete({df._scratch_path for df in tables})
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Deletes all tables written so far but the given ones, which the result still reads."""
+        self._delete(self.live - {df._scratch_path for df in tables})
+
+    def _delete(self, paths: set[str]) -> None:
+        for name in paths & self.live:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.live -= paths
