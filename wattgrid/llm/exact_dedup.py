@@ -72,5 +72,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     known = rows.select("rid", "doc_id", "n_blocks", "text_sha256").join(named, "rid", "left").withColumn("name", F.coalesce("name", F.lit(-1)))
     known = scratch.cut(known)
     groups = scratch.cut(known.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size")))
+    scratch.keep_only(known, groups)
     out = known.join(groups, ["n_blocks", "name"])
     return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "text_sha256")

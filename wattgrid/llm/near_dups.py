@@ -380,5 +380,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = classes.join(parts, "cid", "left").select("cid", "rep", F.coalesce("comp", "cid").alias("comp"))
     least = reps.groupBy("comp").agg(F.min("rep").alias("component_id"))
     answer = scratch.cut(reps.join(least, "comp").select("cid", "component_id"))
+    scratch.keep_only(known, answer)
+    scratch.sweep()
     rows = known.select("doc_id", "n", F.when(F.expr("n > 0 and doc_id is not null"), F.col("cid")).alias("cid"))
     return rows.join(answer, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

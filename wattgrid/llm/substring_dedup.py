@@ -218,6 +218,8 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", window: int = WIND
     """
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     marks = repeated_spans(docs, scratch, text_col, window, hot_segments, shard_words)
+    scratch.keep_only(marks)
+    scratch.sweep()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), text.alias("text_"), *text_key(text))
     return rows.join(marks, ["t1", "t2"], "left").select("row", _kept(window)("text_", F.coalesce("whole", F.lit(False)), "gone").alias("done"))
