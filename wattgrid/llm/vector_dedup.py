@@ -17,8 +17,8 @@ from wattgrid.llm.words import mixed
 
 #: Projections of a vector; sets of leading ones; candidates a vector should meet by chance; standard deviations in half a window.
 PROJECTIONS, LEADS, MEET, HALF = 48, 2, 4000, 2.3
-#: Vectors of one cell that one task compares with others.
-BLOCK = 4096
+#: Homes, and probes, of a cell that are compared as one group; pairs of them that are held at once.
+BLOCK, SLICE = 4096, 400_000
 
 
 class Projections:
@@ -44,6 +44,12 @@ class Projections:
         #: Leading projections per set: enough for about MEET chance meetings, a cell and its neighbours holding a half of the vectors per projection.
         self.deep = max(2, min(10, PROJECTIONS // LEADS, math.ceil(math.log2(max(2, rows / MEET)))))
 
+    def recall(self) -> float:
+        """How probably a pair just at the threshold is found: it collides in a whole set of leading projections and in enough of all."""
+        p = math.erf(HALF / math.sqrt(2))
+        reach = lambda n, least: sum(math.comb(n, c) * p**c * (1 - p) ** (n - c) for c in range(max(0, least), n + 1))
+        return sum((-1) ** (s + 1) * math.comb(LEADS, s) * p ** (s * self.deep) * reach(PROJECTIONS - s * self.deep, self.need - s * self.deep) for s in range(1, LEADS + 1))
+
     def project(self, unit: np.ndarray) -> np.ndarray:
         return unit @ self.directions
 
@@ -71,8 +77,10 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Vectors with equal labels link at a cosine of threshold or more, in double precision; n_links counts the other vectors
     linked directly, component_id is the smallest id that links reach. Pairs are found when they collide in the windows of
-    all leading projections of one of LEADS sets and in enough of all projections, then verified; a pair just at the threshold
-    is found with a probability of about 0.98, a closer one with more, and no pair below it is linked.
+    all leading projections of one of LEADS sets and in enough of all projections, then verified; no pair below the threshold
+    is linked. A pair just at the threshold is found with the probability Projections.recall, which falls as the leading
+    projections grow with the rows: 0.998 up to 16,000 rows, 0.989 at 100,000, 0.974 at 1 million and 0.962 over 2
+    million. A closer pair is found with more.
 
     Null labels, and vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do
     vectors of different lengths. Equal vectors of a label form a class and are not compared with each other. Rows
@@ -105,6 +113,62 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def _met(dealt: DataFrame, block: int) -> DataFrame:
+    """Rows of cells where homes meet probes, dealt to groups (cell, home block, probe block) so that each home meets each probe once; block: homes, and probes, of a group on average."""
+    count = lambda role: F.count_if(F.col("role") == role)
+    full = dealt.groupBy("cell").agg(count(0).alias("homes"), count(1).alias("probes"), F.count("*").alias("n")).where("homes > 0 and n > 1")
+    full = full.select("cell", *[F.ceil(F.col(c) / block).cast("int").alias(f"{c}_in") for c in ("homes", "probes")])
+    own = lambda n: F.array(F.pmod(F.xxhash64("cid"), F.col(n)).cast("int"))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    home = F.col("role") == 0
+    met = dealt.join(full.where("probes_in > 0"), "cell")
+    met = met.withColumn("block", F.explode(F.when(home, own("homes_in")).otherwise(each("homes_in"))))
+    met = met.withColumn("other", F.explode(F.when(home, each("probes_in")).otherwise(own("probes_in"))))
+    return met.select("cell", "block", "other", "k", "role", "cid", "m", "raw")
+
+
+def _pairs(role: np.ndarray, cid: np.ndarray, unit: np.ndarray, k: int, proj: Projections, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs (probe, home) of the k-th set in one group, by row, verified; a slice of at most SLICE comparisons, or one probe, at a time."""
+    home, probe = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+    q = proj.project(unit)
+    sets = [proj.leads(q, before) for before in range(k + 1)]
+    spans = [(proj.cells(v - proj.half), proj.cells(v), proj.cells(v + proj.half)) for v in sets]
+    step = max(1, SLICE // max(1, len(home)))
+    for a in range(0, len(probe) if len(home) else 0, step):
+        rows = probe[a : a + step]
+        near = cid[rows][:, None] < cid[home][None, :]
+        count = np.zeros(near.shape, np.int8)
+        for d in range(PROJECTIONS):
+            count += np.abs(q[rows, d][:, None] - q[home, d][None, :]) <= proj.half
+        i, j = np.nonzero(near & (count >= proj.need))
+        x, y = rows[i], home[j]
+        for before, (low, cell, high) in enumerate(spans):
+            meets = ((low[x] <= cell[y]) & (cell[y] <= high[x])).all(axis=1)
+            real = meets if before == k else ~meets  # a pair that an earlier set of projections finds counts there; a cell's hash may stand for two cells
+            x, y = x[real], y[real]
+        real = [np.einsum("ij,ij->i", unit[x[s : s + 65536]], unit[y[s : s + 65536]]) >= threshold for s in range(0, len(x), 65536)]
+        if real and (real := np.concatenate(real)).any():
+            yield x[real], y[real]
+
+
+def _counted(role: np.ndarray, cid: np.ndarray, m: np.ndarray, unit: np.ndarray, k: int, proj: Projections, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cid, root, linked) of one group's members that link: the smallest member that links reach inside the group, and the vectors linked; summed slice by slice."""
+    ids, at = np.unique(cid, return_inverse=True)
+    root, linked = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+    for x, y in _pairs(role, cid, unit, k, proj, threshold):
+        a, b = at[x], at[y]
+        linked += (np.bincount(a, m[y], len(ids)) + np.bincount(b, m[x], len(ids))).astype(np.int64)
+        while len(a):  # larger roots move below smaller ones until all pairs share one
+            a, b = root[a], root[b]
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root != root[root]).any():
+                root = root[root]
+    some = linked > 0
+    return ids[some], ids[root[some]], linked[some]
+
+
 def _links_of(classes: DataFrame, proj: Projections, dims: int, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(cid, linked): vectors in other classes that a class's vectors link with, in parts to be summed; (a, b): edges that connect what links."""
 
@@ -138,58 +202,17 @@ def _links_of(classes: DataFrame, proj: Projections, dims: int, threshold: float
     kind = classes.schema["label"].dataType.simpleString()
     dealt = classes.select("label", "v", "cid", "m").mapInArrow(deal, f"label {kind}, cell bigint, k bigint, role bigint, cid bigint, m bigint, raw binary")
     dealt = scratch.cut(dealt.withColumn("cell", F.xxhash64("label", "cell")).drop("label"))
-    full = dealt.groupBy("cell").agg(F.count_if(F.col("role") == 0).alias("homes"), F.count("*").alias("n")).where("homes > 0 and n > 1").select("cell", F.ceil(F.col("homes") / BLOCK).cast("int").alias("blocks"))
-    met = dealt.join(full, "cell")
-    met = met.withColumn("block", F.explode(F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    met = met.select("cell", "block", "k", "role", "cid", "m", "raw")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups_of(batches, 3):
+        for g in groups_of(batches, 4):
             role, cid, m = (g.column(c).to_numpy() for c in ("role", "cid", "m"))
-            home, probe = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-            if not len(home) or not len(probe):
-                continue
-            unit = _unit(g.column("raw").to_pylist())
-            q = proj.project(unit)
-            k = g.column("k")[0].as_py()
-            pairs = []
-            step = max(1, 4_000_000 // len(home))
-            for a in range(0, len(probe), step):
-                rows = probe[a : a + step]
-                near = cid[rows][:, None] < cid[home][None, :]
-                count = np.zeros(near.shape, np.int8)
-                for d in range(PROJECTIONS):
-                    count += np.abs(q[rows, d][:, None] - q[home, d][None, :]) <= proj.half
-                i, j = np.nonzero(near & (count >= proj.need))
-                pairs.append(np.column_stack([rows[i], home[j]]))
-            x, y = np.concatenate(pairs).T
-            for before in range(k):  # a pair that an earlier set of projections finds counts there
-                v, w = proj.leads(q[x], before), proj.leads(q[y], before)
-                c = proj.cells(w)
-                new = ~((proj.cells(v - proj.half) <= c) & (c <= proj.cells(v + proj.half))).all(axis=1)
-                x, y = x[new], y[new]
-            v, w = proj.leads(q[x], k), proj.leads(q[y], k)  # a cell's hash may stand for two cells
-            c = proj.cells(w)
-            real = ((proj.cells(v - proj.half) <= c) & (c <= proj.cells(v + proj.half))).all(axis=1)
-            real &= np.concatenate([np.einsum("ij,ij->i", unit[x[s : s + 65536]], unit[y[s : s + 65536]]) for s in range(0, max(1, len(x)), 65536)]) >= threshold
-            x, y = x[real], y[real]
-            if not len(x):
+            if role.min() == 1 or role.max() == 0:
                 continue
-            ids, at = np.unique(np.concatenate([cid[x], cid[y]]), return_inverse=True)
-            linked = np.bincount(at, np.concatenate([m[y], m[x]]), len(ids)).astype(np.int64)
-            root, a, b = np.arange(len(ids)), at[: len(x)], at[len(x) :]
-            while True:  # smallest member that links reach inside the group
-                low = np.minimum(root[a], root[b])
-                new = root.copy()
-                np.minimum.at(new, a, low)
-                np.minimum.at(new, b, low)
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root]), pa.array(linked)], names=["cid", "root", "linked"])
+            ids, root, linked = _counted(role, cid, m, _unit(g.column("raw").to_pylist()), g.column("k")[0].as_py(), proj, threshold)
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(linked)], names=["cid", "root", "linked"])
 
     n = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = met.repartition(n, "cell", "block").sortWithinPartitions("cell", "block", "k").mapInArrow(compare, "cid bigint, root bigint, linked bigint")
+    found = _met(dealt, BLOCK).repartition(n, "cell", "block", "other").sortWithinPartitions("cell", "block", "other", "k").mapInArrow(compare, "cid bigint, root bigint, linked bigint")
     found = scratch.cut(found)
     return found.select("cid", "linked"), found.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")).distinct()
