@@ -19,6 +19,9 @@ SKIP = r"(?i)street.?light|interruptible|wholesale|interconnect|transmission.rat
 DROPPED = ["script", "style", "nav", "footer", "header", "noscript", "iframe"]
 REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 SIGNAL = r"(?i)\$\s*\d|\bkwh\b|cents per"
+HOME_SIGNAL = r"(?i)\bdomestic\b|residential\s+(?:service|rate|customer)|rate\s+no\.\s*1|schedule\s+(?:r|rs|d|ds)\b|\b[12]\.\d\s+domestic\b"
+PER_UNIT = r"(?i)per\s+(?:month|kWh|kW)|\$/\s*(?:kWh|kW|day|month)|¢/\s*kWh"
+SPACES = [(r"\n{3,}", "\n\n"), (r"[ \t]{4,}", "  "), (r"(?:\n\s*){3,}", "\n\n")]
 
 
 def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -69,37 +72,67 @@ def is_complex(text: Column, least_chars: int = 8000, least_signals: int = 5) ->
     return (F.char_length(text) >= least_chars) & (F.regexp_count(text, F.lit(r"(?i)on-peak|off-peak|tier|season|summer|winter|demand|block")) >= least_signals)
 
 
+def _dense_window(text: str, budget: int, block: int = 500) -> str:
+    """The run of whole blocks within the budget with the most signs of rates: amounts 3, rate words 2, schedules 2 a block; of equal ones the first."""
+    signs = ((re.compile(X.RATE_AMOUNTS), 3), (re.compile(X.RATE_WORDS), 2), (re.compile(X.RATE_SCHEDULES), 2))
+    scores = [sum(n for sign, n in signs if sign.search(text, a, a + block)) for a in range(0, len(text), block)]
+    width = budget // block
+    if width >= len(scores):
+        return text[:budget]
+    best, top, now = 0, sum(scores[:width]), sum(scores[:width])
+    for k in range(1, len(scores) - width + 1):
+        now += scores[k + width - 1] - scores[k - 1]
+        if now > top:
+            best, top = k, now
+    return text[best * block : best * block + budget]
+
+
 def best_windows(text: str, budget: int = 30_000, near: int = 2500) -> str:
-    """The parts of a text around rate words that have an amount nearby: whole if it fits, else windows merged where they meet, in order, within the budget."""
+    """The parts of a text, runs of white space shortened, that say most about residential rates, in order, within the budget; whole if it fits.
+
+    Anchors are residential signals with an amount and a unit in the next ``near`` characters. Anchors over 10,000 characters
+    apart, or a budget over 30,000, give one contiguous window that leads in 10,000 characters before the first; closer
+    ones windows merged where they nearly meet; a text without anchors its densest window. Parts are joined by line ends,
+    without marks where text is left out.
+    """
+    for pattern, short in SPACES:
+        text = re.sub(pattern, short, text)
+    text = text.strip()
     if len(text) <= budget:
         return text
-    amounts = [m.start() for m in re.finditer(X.RATE_AMOUNTS, text)]
+    amount, unit = re.compile(X.RATE_AMOUNTS), re.compile(PER_UNIT)
+    anchors = [m.start() for m in re.finditer(HOME_SIGNAL, text) if amount.search(text, m.start(), m.start() + near) and unit.search(text, m.start(), m.start() + near)]
+    if not anchors:
+        return _dense_window(text, budget)
+    if anchors[-1] - anchors[0] > 10_000 or budget > 30_000:
+        start = max(0, anchors[0] - 10_000)
+        return text[start : start + budget]
     spans: list[list[int]] = []
-    k = 0
-    for m in re.finditer(X.RATE_WORDS, text):
-        while k < len(amounts) and amounts[k] < m.start() - near:
-            k += 1
-        if k < len(amounts) and amounts[k] <= m.end() + near:
-            a, b = max(0, m.start() - near), min(len(text), m.end() + near)
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = b
-            else:
-                spans.append([a, b])
+    for at in anchors:
+        a, b = max(0, at - 1000), min(len(text), at + 6000)
+        if spans and a <= spans[-1][1] + 500:
+            spans[-1][1] = b
+        else:
+            spans.append([a, b])
     out, left = [], budget
-    for a, b in spans or [[0, budget]]:
+    for a, b in spans:
         out.append(text[a : min(b, a + left)])
-        left -= len(out[-1])
-        if left <= 0:
+        left -= len(out[-1]) + 1
+        if left <= 500:
             break
     return "\n".join(out)
 
 
-def rate_windows(docs: DataFrame, id_col: str, text_col: str, budget: int = 30_000) -> DataFrame:
-    """(id, chars, kept, window): the windows of each text; whole texts go in, one at a time per row."""
+def rate_windows(docs: DataFrame, id_col: str, text_col: str, budget: int = 30_000, long: int = 50_000) -> DataFrame:
+    """(id, chars, kept, window): the windows of each text, with three times the budget for texts over ``long`` characters; whole texts go in, one at a time per row."""
+
+    def window(text: str) -> str:
+        size = len(best_windows(text, len(text)))
+        return best_windows(text, 3 * budget if size > long else budget)
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            kept = [best_windows(t or "", budget) for t in pdf["text"]]
+            kept = [window(t or "") for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "chars": [len(t or "") for t in pdf["text"]], "kept": [len(t) for t in kept], "window": kept})
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, chars long, kept long, window string")

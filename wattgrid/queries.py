@@ -581,6 +581,13 @@ def rate_windows(t: Tables) -> DataFrame:
     return run(t.read("documents"), "doc_id", "text").select("id", "chars")
 
 
+@query(None)
+def rate_window_texts(t: Tables) -> DataFrame:
+    from wattgrid.functions.pages import rate_windows as run
+
+    return run(t.read("documents"), "doc_id", "text").select("id", "kept", F.sha2(F.col("window").cast("binary"), 256).alias("window_sha256"))
+
+
 @query("""+ r as (select p_partkey as label, p_partkey % 2000 as eiaid, p_brand as utility from part), u as (select s_suppkey as id, s_suppkey as eia_id from supplier)
     select label, min(u.id) as utility_id from r left join u on eiaid = eia_id group by 1""")
 def resolve_records(t: Tables) -> DataFrame:
