@@ -177,6 +177,13 @@ def dead_sources(t: Tables) -> DataFrame:
     return R.all_children_match(t.checks.where("id % 3 = 0"), "source_id", F.col("content_hash").isin("error", "view"))
 
 
+@query("""select source_id, props as url, count(*) as total from checks group by 1, 2 having count(*) = count(*) filter (content_hash in ('error', 'view'))""")
+def dead_pages(t: Tables) -> DataFrame:
+    """Pages of a source none of whose checks, of all, had another outcome."""
+    pages = t.checks.select(F.struct("source_id", F.col("props").alias("url")).alias("page"), "content_hash")
+    return R.all_children_match(pages, "page", F.col("content_hash").isin("error", "view")).select("page.*", "total")
+
+
 @query("""+ s as (select *, last_value(case when not failed then content_hash end ignore nulls) over (partition by source_id order by checked_us, id rows between unbounded preceding and 1 preceding) as before from checks)
     select id, source_id, not failed and before is not null and before <> content_hash as changed, case when failed then 'error' when before is null then 'first' when before <> content_hash then 'changed' else 'unchanged' end as outcome,
       case when failed or (before is not null and before <> content_hash) then 'pending' else 'dismissed' end as review from s""")
@@ -516,6 +523,22 @@ def address_lookup(t: Tables) -> DataFrame:
     return geo.lookup(addresses, polygon, code, utilities).groupBy("address_id", "utility_id", "match_method").agg(F.count("*").alias("n"))
 
 
+@query(EDGES_SQL + """, ut as (select u.id, state, country, is_active, (select count(*) from tariffs t where t.utility_id = u.id) n from utilities u), a as (select vec_id as address_id, state, country from embeddings join utilities on id = vec_id + 1),
+    poly as (select h.point_id as address_id, o.uid as utility_id from hit h join (values (1, 1), (2, 2), (3, 1)) o(tid, uid) on o.tid = h.territory_id join ut on ut.id = o.uid and is_active join a on a.address_id = h.point_id where a.country = ut.country),
+    code as (select a.address_id, ut.id as utility_id from a join ut on is_active and ut.id % 100 = a.address_id % 100 where a.address_id not in (select address_id from poly)),
+    m as (select address_id, utility_id, 'polygon' as match_method from poly union all select *, 'code' from code),
+    s as (select a.address_id, ut.id as utility_id from a join ut on is_active and a.state = ut.state and a.country = ut.country where (a.address_id not in (select address_id from m) or ut.n > 0) and not exists (select 1 from m where m.address_id = a.address_id and m.utility_id = ut.id))
+    select address_id, utility_id, match_method, count(*) as n from (select * from m union all select *, 'state' from s) group by all""")
+def all_address_lookup(t: Tables) -> DataFrame:
+    owners = t.spark.createDataFrame([(i, u) for i, u, _ in POLYGONS], "territory_id long, utility_id long")
+    addresses = t.read("embeddings").select(F.col("vec_id").alias("address_id"), (F.col("vec_id") + 1).alias("id")).join(t.utilities, "id").select("address_id", "state", "country")
+    polygon = _inside(t).join(F.broadcast(owners), "territory_id").select(F.col("point_id").alias("address_id"), "utility_id")
+    keyed = t.utilities.select(F.col("id").alias("utility_id"), (F.col("id") % 100).alias("key"))
+    code = addresses.select("address_id", (F.col("address_id") % 100).alias("key")).join(keyed, "key").select("address_id", "utility_id")
+    utilities = R.with_counts(t.utilities, t.tariffs, "id", "utility_id", n_tariffs=F.lit(True))
+    return geo.lookup(addresses, polygon, code, utilities).groupBy("address_id", "utility_id", "match_method").agg(F.count("*").alias("n"))
+
+
 # Rates
 
 
