@@ -442,6 +442,11 @@ def normalized_text(t: Tables) -> DataFrame:
     return t.read("documents").where("lang = 'en'").select("doc_id", F.sha2(X.normalized_page(F.col("text")).cast("binary"), 256).alias("page_hash"))
 
 
+@query(r"""select doc_id, sha256(regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))), '\b\d{1,2}/\d{1,2}/\d{2,4}\b', '', 'g'), '\b\d{4}-\d{2}-\d{2}\b', '', 'g')) as page_hash from documents""")
+def all_normalized_text(t: Tables) -> DataFrame:
+    return t.read("documents").select("doc_id", F.sha2(X.normalized_page(F.col("text")).cast("binary"), 256).alias("page_hash"))
+
+
 @query("""select gate, count(*) as pages from (select case when contains(url, 'spam-farm') then 'blocked' when length(html) < 900 then 'thin' when contains(html, 'tion') then 'sent' else 'no signal' end as gate from pages) group by 1""")
 def page_gate(t: Tables) -> DataFrame:
     gate = F.when(F.col("url").contains("spam-farm"), "blocked").when(F.char_length("html") < 900, "thin").when(F.col("html").contains("tion"), "sent").otherwise("no signal")
@@ -746,6 +751,18 @@ def added_terms(t: Tables) -> DataFrame:
     return t.read("documents").where("lang = 'fr'").select("doc_id", F.nullif(F.array_join(F.sort_array(F.array_except(F.array_distinct(new), F.array_distinct(old))), ","), F.lit("")).alias("added"))
 
 
+@query(None)
+def document_term_changes(t: Tables) -> DataFrame:
+    """What each document adds to the one before it of its source, by id, and drops; over whole texts of all languages. Only ids are sorted by source, texts are joined."""
+    from wattgrid.functions.pages import term_changes
+
+    docs = t.read("documents")
+    before = F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
+    pairs = docs.select("doc_id", "source").select("doc_id", before.alias("before"))
+    old, new = docs.select(F.col("doc_id").alias("before"), F.col("text").alias("old")), docs.select("doc_id", F.col("text").alias("new"))
+    return pairs.join(old, "before", "left").join(new, "doc_id").select("doc_id", "before", term_changes(F.col("old"), F.col("new")).alias("changes"))
+
+
 @query("""select domain, pages, round(100.0 * pages / sum(pages) over (), 1)::double as pct, regexp_matches(domain, 'casino|pills|bets|farm') as hinted from (select regexp_extract(split_part(split_part(url, '://', 2), '/', 1), '[^.]+\\.[^.]+\\.[^.]+$', 0) as domain, count(*) as pages from pages group by 1)""")
 def domain_shares(t: Tables) -> DataFrame:
     site = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
