@@ -16,8 +16,12 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-CANONICAL = r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>;]+)"""
+CANONICAL = r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*(?<![\w-])href\s*=\s*["']?([^"'\s>]+)"""
+REFRESH = r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+#: Character references, what lies between them, and an & alone.
+REFERENCE = r"(?s)&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|amp|lt|gt|quot|apos);|[^&]+|&"
+NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
 
 
 def _ascii_lower(c: Column) -> Column:
@@ -55,13 +59,50 @@ def _node(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), F.when(tail == "", F.lit("/")).otherwise(tail)))
 
 
+def decoded(text: Column) -> Column:
+    """text with numeric references and the five named ones of XML decoded, once."""
+
+    def one(x: Column) -> Column:
+        digits = lambda pattern: F.regexp_extract(x, pattern, 1)
+        code = F.when(x.startswith("&#x") | x.startswith("&#X"), F.conv(digits("^&#[xX]([0-9A-Fa-f]+);$"), 16, 10)).when(x.startswith("&#"), digits("^&#([0-9]+);$")).try_cast("int")
+        char = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        named = F.element_at(F.create_map(*[F.lit(v) for pair in NAMED.items() for v in pair]), x)
+        return F.coalesce(char, named, x)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), one), "")
+
+
+def _without_dots(path: Column) -> Column:
+    """An absolute path without '.' and '..' steps."""
+    steps = F.split(path, "/")
+    up = lambda kept: F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda kept, x: F.when(x == "..", up(kept)).when(x == ".", kept).otherwise(F.concat(kept, F.array(x))))
+    return F.concat(F.array_join(kept, "/"), F.when(F.element_at(steps, -1).isin(".", ".."), "/").otherwise(""))
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """A target as it stands on the page at url, in full: with a scheme and '//' as it is, else completed from the page's scheme, host, path or folder; null for other schemes, mere fragments and pages without an absolute url. A base element is not looked at."""
+    scheme = F.regexp_extract(url, SCHEME + "//", 0)
+    base, path = F.concat(scheme, host_of(url)), path_of(url)
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    own = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    folder = F.concat(F.regexp_replace(path, r"(?s)[^/]*$", ""), F.when(path.contains("/"), "").otherwise("/"))
+    relative = (
+        F.when(target.rlike(SCHEME) | target.startswith("#") | (target == "") | (scheme == ""), F.lit(None))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(scheme, SCHEME, 0), target))
+        .when(target.startswith("/"), F.concat(base, _without_dots(own), rest))
+        .when(target.startswith("?"), F.concat(base, F.when(path == "", "/").otherwise(path), target))
+        .otherwise(F.concat(base, _without_dots(F.concat(folder, own)), rest))
+    )
+    return F.when(target.rlike(SCHEME + "//"), target).otherwise(relative)
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
-    """Edges (a, b) between url nodes from canonical links and refresh redirects in the html, and from redirects (source, target)."""
+    """Edges (a, b) between url nodes from all canonical links and refresh redirects in the html, and from redirects (source, target)."""
     url, html = F.col(url_col), F.col(html_col)
-    targets = F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1))
-    base = F.concat(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1), F.lit("://"), host_of(url))
-    full = lambda t: F.when(t.contains("://"), t).when(t.startswith("/"), F.concat(base, t))
-    found = pages.where(html.rlike("(?i)canonical|refresh")).select(_node(url).alias("a"), F.explode(F.transform(targets, lambda t: _node(full(t)))).alias("b"))
+    targets = F.concat(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(REFRESH), F.lit(1)))
+    found = pages.where(html.rlike("(?i)canonical|refresh")).select(_node(url).alias("a"), url.alias("url"), F.explode(targets).alias("t"))
+    found = found.select("a", _node(resolved(decoded(F.col("t")), F.col("url"))).alias("b"))
     edges = found.where("a is not null and b is not null and a <> b")
     if redirects is not None:
         more = redirects.select(_node(F.col("source")).alias("a"), _node(F.col("target")).alias("b")).where("a is not null and b is not null and a <> b")
