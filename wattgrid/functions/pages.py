@@ -42,6 +42,17 @@ def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     return rows.withColumn("priority", F.when(both.rlike(FIRST), 0).when(both.rlike(RELEVANT), 1).when(F.lower("target").endswith(".pdf"), 2).otherwise(3))
 
 
+def kept_pages(pages: DataFrame, doc_cols: list[str], text_col: str) -> DataFrame:
+    """Pages of each document that are worth reading: those of priority 0; where these are under 3, up to 1; where none are, up to 2; else all."""
+    ranked = pages.withColumn("priority", X.page_priority(F.coalesce(text_col, F.lit(""))))
+    upto = lambda p: F.count_if(F.col("priority") <= p)
+    most = ranked.groupBy(*[F.col(c).alias(f"{c}_doc") for c in doc_cols]).agg(F.when(upto(0) >= 3, 0).when(upto(1) > 0, 1).when(upto(2) > 0, 2).otherwise(3).alias("most"))
+    same = F.lit(True)
+    for c in doc_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_doc"))
+    return ranked.join(most, same & (F.col("priority") <= F.col("most")), "left_semi")
+
+
 def main_text(html: Column) -> Column:
     """Text of a page: without scripts, styles, navigation, header, footer and frames; of the first article or main element if there is one, else of the body. White space is one space; the five named references of XML and &nbsp; are decoded."""
     t = html

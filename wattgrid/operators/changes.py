@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattgrid.functions.text import host
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], fill: list[str], children_per_key: str = "n_components") -> DataFrame:
     """old and new rows by key: a new non-empty value of the fill columns goes before the old one; action is kept, added, updated or rejected.
@@ -19,12 +21,20 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], fill: list[str], chi
     return out.select(*keys, *[value(c) for c in fill], action.alias("action"))
 
 
-def reconcile(stored: DataFrame, existing: DataFrame, group: str, keys: list[str], residential: Column, least_share: float = 0.75, least_existing: int = 3) -> DataFrame:
-    """Existing rows that a re-extraction no longer has and may retire: per group it must have stored something, a residential row among it, and not under least_share of least_existing or more existing rows."""
+def reconcile(stored: DataFrame, existing: DataFrame, group: str, keys: list[str], residential: Column, least_share: float = 0.75, least_existing: int = 3, source_url: str | None = None) -> DataFrame:
+    """Existing rows that a re-extraction no longer has and may retire: per group it must have stored something, a residential row among it, and not under least_share of least_existing or more existing rows.
+
+    With source_url, a column of both tables, only rows whose url has a domain that the group's stored rows were fetched
+    from may retire; rows without a url stay.
+    """
     s = stored.groupBy(group).agg(F.count("*").alias("n_stored"), F.bool_or(residential).alias("home"))
     e = existing.groupBy(group).agg(F.count("*").alias("n_existing"))
     guard = s.join(e, group).where("n_stored > 0 and home").where(~((F.col("n_stored") < least_share * F.col("n_existing")) & (F.col("n_existing") >= least_existing)))
-    return existing.join(guard.select(group), group, "left_semi").join(stored.select(*keys).distinct(), keys, "left_anti")
+    gone = existing.join(guard.select(group), group, "left_semi").join(stored.select(*keys).distinct(), keys, "left_anti")
+    if source_url is None:
+        return gone
+    fetched = stored.select(F.col(group).alias("g_"), host(F.col(source_url)).alias("domain_")).where("domain_ <> ''").distinct()
+    return gone.join(fetched, (F.col(group) == F.col("g_")) & (host(F.col(source_url)) == F.col("domain_")), "left_semi")
 
 
 def newest_only(rows: DataFrame, newest: DataFrame, id_col: str, children: DataFrame, child_key: str) -> tuple[DataFrame, DataFrame]:

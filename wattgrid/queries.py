@@ -377,6 +377,18 @@ def reconcile_missing(t: Tables) -> DataFrame:
     return changes.reconcile(stored, existing, "utility_id", ["utility_id", "name"], F.col("customer_class") == "1-URGENT").select("id", "utility_id", "name")
 
 
+@query("""+ w as (select *, case when rate_type <> 'P' then 'https://www.' || lower(rate_type) || '.example/' || id end as source_url, case when rate_type <> 'P' then lower(rate_type) end as domain from tariffs),
+    e as (select utility_id, name, id, domain from w where effective_date < date '1999-01-01'), s as (select utility_id, name, customer_class, domain from w where effective_date >= date '1999-01-01'),
+    g as (select utility_id from (select utility_id, count(*) ns, bool_or(customer_class = '1-URGENT') home from s group by 1) a join (select utility_id, count(*) ne from e group by 1) b using (utility_id) where home and not (ns < 0.75 * ne and ne >= 3))
+    select e.id, e.utility_id, e.name from e join g using (utility_id) where not exists (select 1 from s where s.utility_id = e.utility_id and s.name = e.name) and exists (select 1 from s where s.utility_id = e.utility_id and s.domain = e.domain)""")
+def reconcile_fetched(t: Tables) -> DataFrame:
+    """Missing tariffs of the domains that were fetched; pending ones have no url."""
+    cut, kind = F.lit("1999-01-01").cast("date"), F.lower("rate_type")
+    rows = t.tariffs.withColumn("source_url", F.when(F.col("rate_type") != "P", F.concat(F.lit("https://www."), kind, F.lit(".example/"), F.col("id").cast("string"))))
+    stored, existing = rows.where(F.col("effective_date") >= cut), rows.where(F.col("effective_date") < cut).select("utility_id", "name", "id", "source_url")
+    return changes.reconcile(stored, existing, "utility_id", ["utility_id", "name"], F.col("customer_class") == "1-URGENT", source_url="source_url").select("id", "utility_id", "name")
+
+
 @query(f"""select distinct id from (select source_id as id from checks where content_hash = 'view' and checked_at >= timestamp '2024-01-20'
     union all select u.id from utilities u where is_active and not exists (select 1 from tariffs t where t.utility_id = u.id and t.last_verified > date '{AS_OF}' - 270))""")
 def refresh_targets(t: Tables) -> DataFrame:
