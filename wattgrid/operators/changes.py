@@ -49,33 +49,18 @@ def cascade_delete(parents: DataFrame, children: DataFrame, gone: DataFrame, id_
 
 
 def merge_prefix_duplicates(rows: DataFrame, group: list[str], id_col: str, name_col: str, core: str, total: str) -> DataFrame:
-    """(group, id, merged_into): within a group in name order, a name that begins with the current leader's and goes on at a token end is its duplicate; of each run the row with most core, then all components (then the smallest id) stays.
+    """(group, id, merged_into): within a group, a name that begins with another's and goes on at a blank is its duplicate; of all names under the shortest such one the row with most core, then all components (then the smallest id) stays.
 
-    A group is the tariffs of one utility and class, so it is small and goes through one pandas frame.
+    Names are met with their own word prefixes by equality, so a group may have any size. Rows without a name stay.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([name_col, id_col], kind="stable")
-        out, cluster = [], []
-
-        def close() -> None:
-            best = min(cluster, key=lambda r: (-r[core], -r[total], r[id_col]))
-            out.extend({**{g: r[g] for g in group}, id_col: r[id_col], "merged_into": best[id_col]} for r in cluster)
-
-        for r in pdf.to_dict("records"):
-            if cluster and (r[name_col] == cluster[0][name_col] or r[name_col].startswith(cluster[0][name_col] + " ")):
-                cluster.append(r)
-                continue
-            if cluster:
-                close()
-            cluster = [r]
-        if cluster:
-            close()
-        return pd.DataFrame(out, columns=[*group, id_col, "merged_into"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*group, id_col]) + f", merged_into {kinds[id_col]}"
-    return rows.groupBy(*group).applyInPandas(run, schema)
+    rows = rows.withColumn("g_", F.struct(*group))
+    names = rows.where(F.col(name_col).isNotNull()).groupBy("g_", F.col(name_col).alias("name_")).agg(F.min(F.struct(F.col(core).isNull(), -F.col(core), F.col(total).isNull(), -F.col(total), F.col(id_col).alias("id"))).alias("best_"))
+    own = F.split("name_", " ")
+    prefixes = names.select("g_", F.col("name_").alias("of_"), F.explode(F.transform(F.sequence(F.lit(1), F.size(own)), lambda n: F.array_join(F.slice(own, F.lit(1), n), " "))).alias("name_"))
+    leaders = prefixes.join(names.select("g_", "name_"), ["g_", "name_"], "left_semi").groupBy("g_", "of_").agg(F.min_by("name_", F.char_length("name_")).alias("leader_"))
+    best = leaders.join(names.select("g_", F.col("name_").alias("of_"), "best_"), ["g_", "of_"]).groupBy("g_", "leader_").agg(F.min("best_").alias("best_"))
+    merged = leaders.join(best, ["g_", "leader_"]).select("g_", F.col("of_").alias(name_col), F.col("best_.id").alias("merged_into"))
+    return rows.select("g_", *group, id_col, name_col).join(merged, ["g_", name_col], "left").select(*group, id_col, F.coalesce("merged_into", id_col).alias("merged_into"))
 
 
 def greedy_matches(pairs: DataFrame, group: str, left: str, right: str, rank: list[str]) -> DataFrame:

@@ -78,9 +78,8 @@ def tariff_detail(t: Tables) -> DataFrame:
 
 @query("""select country, count(distinct state) as states, count(*) as utilities, min(name) as first_name from utilities group by 1""")
 def filter_tree(t: Tables) -> DataFrame:
-    tree = R.option_tree(t.utilities, "country", "state", ["name", "id"])
-    leaves = F.flatten(F.map_values("tree"))
-    return tree.select("country", F.size("tree").cast("long").alias("states"), F.size(leaves).cast("long").alias("utilities"), F.array_min(F.transform(leaves, lambda x: x["name"])).alias("first_name"))
+    states = t.utilities.groupBy("country", "state").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
+    return states.groupBy("country").agg(F.count("state").alias("states"), F.sum("n").alias("utilities"), F.min("first_name").alias("first_name"))
 
 
 @query("""select distinct country, state, case when country = 'AMERICA' then 0 else 1 end as place from utilities where state <> 'FRANCE'""")
@@ -344,8 +343,10 @@ def tier_bounds(t: Tables) -> DataFrame:
     select a.id, min(b.id) as longer from p a join p b on a.stem = b.stem and a.id <> b.id and b.name <> a.name and starts_with(b.name, a.name || ' ') group by 1""")
 def prefix_duplicates(t: Tables) -> DataFrame:
     p = t.read("part").select(F.col("p_partkey").alias("id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("stem"), F.lower("p_name").alias("name"))
-    pairs = p.alias("a").join(p.alias("b"), "stem").where("a.id <> b.id and a.name <> b.name and startswith(b.name, concat(a.name, ' '))")
-    return pairs.groupBy("a.id").agg(F.min("b.id").alias("longer"))
+    words = F.split("name", " ")
+    starts = p.where(F.size(words) > 1).select("stem", F.col("id").alias("longer"), F.explode(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))).alias("name"))
+    first = starts.groupBy("stem", "name").agg(F.min("longer").alias("longer"))
+    return p.join(first, ["stem", "name"]).select("id", "longer")
 
 
 @query("""select utility_id, state, customer_class, n, least(n, 3) as kept from (select utility_id, customer_class, count(*) n from tariffs group by 1, 2) t join utilities u on u.id = t.utility_id where n > 1""")
