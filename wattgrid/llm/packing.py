@@ -50,6 +50,7 @@ class WordEncoder:
             self.ends[i] = token.endswith("</w>")
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.splits: dict[str, bool] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -60,6 +61,13 @@ class WordEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def parts_from_stop(self, c: str) -> bool:
+        """Whether a stop or comma after this character is a piece of its own."""
+        if c not in self.splits:
+            alone, both = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in (c, c + "."))
+            self.splits[c] = len(alone) < len(both) and both[: len(alone)] == alone
+        return self.splits[c]
+
     def plain(self, cores: list[str]) -> None:
         """Encodes runs of letters, many in one text; their last tokens are marked in the vocabulary."""
         for i in range(0, len(cores), 2000):
@@ -77,6 +85,8 @@ class WordEncoder:
         cores, tails, letters, other, known = [], [], set(), set(), self.cores
         for w in words:
             core = w.rstrip(".,")
+            if len(core) < len(w) and core and not core[-1].isascii() and not self.parts_from_stop(core[-1]):
+                core = w
             if core.isalpha():  # letters alone: one piece, and A to Z encode as a to z
                 if core.isascii():
                     core = core.lower()
