@@ -212,9 +212,10 @@ def test_bpe_streams():
         word = "".join(rng.choice(["a", "th", "ing", "é", "zz", "Q", "日"]) for _ in range(rng.randint(1, 900)))
         raw = word.encode()
         want = tok.encode(word, add_special_tokens=False).ids
-        assert list(machine.stream(raw[i : i + 7] for i in range(0, len(raw), 7))) == want == machine.fitted(raw)
-        ids = [rng.randrange(50257) for _ in range(40)]
-        assert "".join(machine.decode(np.asarray(ids, "<u4").tobytes(), step=3)) == tok.decode(ids, skip_special_tokens=False)
+        assert [t for some in machine.stream(raw[i : i + 7] for i in range(0, len(raw), 7)) for t in some] == want == machine.tokens(raw)
+        ids, decode = [rng.randrange(50257) for _ in range(40)], machine.decoder()
+        parts = [decode(np.asarray(ids[i : i + 3], "<u4").tobytes(), False) for i in range(0, 40, 3)]
+        assert "".join([*parts, decode(b"", True)]) == tok.decode(ids, skip_special_tokens=False)
 
 
 def test_html(spark, sf):
