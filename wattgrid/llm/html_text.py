@@ -18,14 +18,6 @@ from wattgrid.llm.labelled_pages import labelled_pages
 TRAINING_PAGES, STEPS, RIDGE = 600, 150, 2e-3
 
 
-def above_features(above: tuple[tuple[str, str], ...]) -> set[str]:
-    """Tags and names on the way to the block, and the lowest tag with its parent."""
-    found = {f"tag={t}" for t, _ in above} | {f"name={w}" for _, names in above for w in names.split()}
-    if above:
-        found.add(f"last={above[-1][0]}")
-    return found
-
-
 def text_features(block: Block) -> list[str]:
     n = len(block.text)
     words = block.text.count(" ") + 1
@@ -43,12 +35,13 @@ class Field:
     step: tuple[tuple[float, float], tuple[float, float]]
     start: float
 
-    def scores(self, blocks: list[Block], above=None) -> list[float]:
-        above = above or self.above
-        return [above(b.above) + sum(self.weights.get(f, 0.0) for f in text_features(b)) for b in blocks]
-
-    def above(self, path: tuple) -> float:
-        return sum(self.weights.get(f, 0.0) for f in above_features(path))
+    def scores(self, blocks: list[Block]) -> list[float]:
+        weight = lambda features: sum(self.weights.get(f, 0.0) for f in features)
+        above: dict[frozenset[str], float] = {}
+        for b in blocks:
+            if b.above not in above:
+                above[b.above] = weight(sorted(b.above))
+        return [above[b.above] + weight(text_features(b)) for b in blocks]
 
     def viterbi(self, scores: list[float]) -> list[int]:
         """The most likely labels; of equal ones label 0."""
@@ -66,12 +59,36 @@ class Field:
         return labels[::-1]
 
 
+def likelihood(w: np.ndarray, x: np.ndarray, y: np.ndarray, there: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log-likelihood of the labels y (pages by blocks) given the features x, and its slope in w (features, four steps, start); there: blocks that a page has."""
+    n_pages, longest, n_features = x.shape
+    flat, both = x.reshape(-1, n_features), there[:, 1:]
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
+    s = (flat @ w[:-5].astype(x.dtype)).reshape(n_pages, longest).astype(float)
+    step, emit = w[-5:-1].reshape(2, 2), np.zeros((n_pages, longest, 2))
+    emit[:, :, 1] = np.where(there, s, 0)
+    emit[:, 0, 1] += w[-1]
+    alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
+    alpha[:, 0] = emit[:, 0]
+    for t in range(1, longest):
+        alpha[:, t] = np.where(there[:, t, None], np.logaddexp.reduce(alpha[:, t - 1, :, None] + step, axis=1) + emit[:, t], alpha[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        beta[:, t] = np.where(there[:, t + 1, None], np.logaddexp.reduce(step[None] + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2), 0)
+    z = np.logaddexp.reduce(alpha[:, -1], axis=1)
+    p1 = np.where(there, np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None]), 0)
+    pair = np.exp(alpha[:, :-1, :, None] + step + (emit[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[:, :, None, None]
+    slope = [flat.T @ (np.where(there, y, 0) - p1).reshape(-1).astype(x.dtype), (seen - pair.sum((0, 1))).ravel(), [(y[:, 0] - p1[:, 0]).sum()]]
+    own = (emit[:, :, 1] * np.where(there, y, 0)).sum() + (seen * step).sum()
+    return float(own - z.sum()), np.concatenate(slope)
+
+
 def train(pages: list[tuple[str, list[int]]], steps: int = STEPS, ridge: float = RIDGE) -> Field:
     """Maximises the likelihood of the labels given the blocks, by Adam over all pages at once; forward and backward sums run for all pages in step."""
     found = [(leaf_blocks(html), labels) for html, labels in pages]
     found = [(b, y) for b, y in found if b and len(b) == len(y)]
     index: dict[str, int] = {}
-    features = [[[index.setdefault(f, len(index)) for f in sorted(above_features(b.above)) + text_features(b)] for b in blocks] for blocks, _ in found]
+    features = [[[index.setdefault(f, len(index)) for f in sorted(b.above) + text_features(b)] for b in blocks] for blocks, _ in found]
     n_pages, longest = len(found), max(len(b) for b, _ in found)
     x = np.zeros((n_pages, longest, len(index)), np.float32)
     y, there = np.zeros((n_pages, longest), int), np.zeros((n_pages, longest), bool)
@@ -79,36 +96,19 @@ def train(pages: list[tuple[str, list[int]]], steps: int = STEPS, ridge: float =
         for t, fs in enumerate(rows):
             x[p, t, fs] = 1
         y[p, : len(labels)], there[p, : len(labels)] = labels, True
-    flat = x.reshape(-1, len(index))
-    both = there[:, 1:]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
     w = np.zeros(len(index) + 5)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, steps + 1):
-        s = (flat @ w[:-5].astype(np.float32)).reshape(n_pages, longest).astype(float)
-        step, emit = w[-5:-1].reshape(2, 2), np.zeros((n_pages, longest, 2))
-        emit[:, :, 1] = np.where(there, s, 0)
-        emit[:, 0, 1] += w[-1]
-        alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
-        alpha[:, 0] = emit[:, 0]
-        for t in range(1, longest):
-            alpha[:, t] = np.where(there[:, t, None], np.logaddexp.reduce(alpha[:, t - 1, :, None] + step, axis=1) + emit[:, t], alpha[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            beta[:, t] = np.where(there[:, t + 1, None], np.logaddexp.reduce(step[None] + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2), 0)
-        z = np.logaddexp.reduce(alpha[:, -1], axis=1)
-        p1 = np.where(there, np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None]), 0)
-        pair = np.exp(alpha[:, :-1, :, None] + step + (emit[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[:, :, None, None]
-        slope = np.concatenate([flat.T @ (np.where(there, y, 0) - p1).reshape(-1).astype(np.float32), (seen - pair.sum((0, 1))).ravel(), [(y[:, 0] - p1[:, 0]).sum()]]) / n_pages - ridge * w
+        slope = likelihood(w, x, y, there)[1] / n_pages - ridge * w
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         w += 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
     step = tuple(tuple(float(a) for a in row) for row in w[-5:-1].reshape(2, 2))
     return Field({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-4}, step, float(w[-1]))
 
 
-def main_text(page: str, field: Field, above=None) -> str:
-    blocks = leaf_blocks(page)
-    return " ".join(b.text for b, label in zip(blocks, field.viterbi(field.scores(blocks, above))) if label)
+def main_text(page: str, field: Field) -> str:
+    blocks = leaf_blocks(page, field.weights)
+    return " ".join(b.text for b, label in zip(blocks, field.viterbi(field.scores(blocks))) if label)
 
 
 @lru_cache(1)
@@ -125,11 +125,10 @@ def extract_text(pages: DataFrame, field: Field | None = None, id_col: str = "pa
     model = field or default_field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        above = lru_cache(10_000)(model.above)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)
-                texts = [main_text(h or "", model, above) for h in some.column(2).to_pylist()]
+                texts = [main_text(h or "", model) for h in some.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
