@@ -2,9 +2,11 @@
 
 from urllib.parse import urljoin
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from wattgrid.llm import queries
 from wattgrid.llm.url_filter import decoded, judge_urls, link_edges, resolved
 
 PAGES = ["http://a.example.org/x/y/z?q=1#f", "https://B.example.org", "http://a.example.org/x/"]
@@ -49,3 +51,31 @@ def test_clean_pages_stay_and_aliases_are_blocked(spark):
     ]
     got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
+def test_links_in_comments_and_scripts_are_none(spark):
+    rows = [("http://p.org/", "<!-- <link rel=canonical href=/a> --><script>'<link rel=canonical href=/b>'</script><link rel=canonical href=/c><!-- <link rel=canonical href=/d>")]
+    assert {r.b for r in link_edges(spark.createDataFrame(rows, "url string, html string")).collect()} == {"p.org/c"}
+
+
+def test_query_and_sql_agree_on_links(spark, tmp_path):
+    link, refresh = '<link rel="canonical" href="{}">', "<meta http-equiv=refresh content='0; url={}'>"
+    blocked = "http://a.example.net/es/x"
+    rows = [(1, blocked, ""), (2, "http://a.example.net/es/x?k=1&l=2", ""), (3, "http://a.example.net/es/", ""), (4, "http://a.example.net/es/d/x", "")]
+    targets = [
+        "http://a.example.net/es/x", "//a.example.net/es/x", "//A.example.net/es/x", "/es/x", "../x", "../../es/x", "./../x", "x", "?k=1&amp;l=2", "http://a.example.net/es/x?k=1&amp;l=2", "http://a.example.net/es/x?k=1&#38;l=2",
+        "/go?u=http://a.example.net/es/x", "mailto:x@a.example.net", "#x", "http://a.example.net/es/x#part", "d/../x", "..", ".", "/es/d/./x", "&#x2F;es&#47;x", "../../../../es/x",
+    ]
+    pages = ["http://other.example.org/es/y/z", "http://A.example.net/xx/y/z", "http://a.example.net/d/q", "http://a.example.net", "http://a.example.net/es2"]
+    for u in pages:
+        for k, t in enumerate(targets):
+            form = link if k % 2 else refresh
+            rows.append((len(rows) + 1, f"{u}/{len(rows)}" if u.count("/") > 2 else f"{u}?{len(rows)}", form.format(t)))
+            rows.append((len(rows) + 1, f"{u}/c{len(rows)}" if u.count("/") > 2 else f"{u}?c{len(rows)}", f"<!-- {form.format(t)} --><script>{form.format(t)}</script>{link.format('/nothing')}{form.format(t) if k % 3 else ''}"))
+    rows += [(len(rows) + 1, None, link.format(blocked)), (len(rows) + 2, "no scheme", link.format(blocked)), (len(rows) + 3, "http://q.org/", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = {tuple(r) for r in queries.op4_url_filter(spark, f"file://{tmp_path}").select("page_id", "host", "path", "rule", "verdict").collect()}
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(f"select page_id, host, path, rule, verdict from ({queries.ORACLES['op4_url_filter']})").fetchall()
+    assert got == set(want) and len(want) == len(rows) and sum(r[4] == "block" and r[3] is None for r in want) > 60

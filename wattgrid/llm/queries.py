@@ -81,13 +81,29 @@ ORACLES = {
         n as (select *, case when host <> '' then host || case when tail = '' then '/' else tail end end as node from p),
         fits as (select page_id, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(own, length(rh || rp)) as own
                  from n join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id),
-        t as (select node as a, scheme || '://' || host as base, unnest([
-                regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-                regexp_extract(html, '(?i)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
-                regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>;]+)', 1)]) as t from n),
-        f as (select a, case when t like '%://%' then t when t like '/%' then base || t end as u from t),
-        e as (select a, lower(regexp_extract(u, '^.*?://([^/?#]*)', 1)) || case when regexp_extract(u, '^.*?://[^/?#]*([^#]*)', 1) = '' then '/' else regexp_extract(u, '^.*?://[^/?#]*([^#]*)', 1) end as b
-              from f where a is not null and u is not null),
+        h as (select node as a, scheme, host, path, regexp_replace(html, '(?is)<!--.*?(-->|$)|<script[\s/>].*?(</script[\s/>]|$)', '', 'g') as html from n where node is not null),
+        tags as (
+            select a, scheme, host, path, regexp_extract(tag, '(?i)[\s"''/]href\s*=\s*["'']?([^"''\s>]+)', 1) as t
+            from (select *, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*>')) as tag from h) where regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b')
+            union all
+            select a, scheme, host, path, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)
+            from (select *, unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*>')) as tag from h) where regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')),
+        marks as (select *, regexp_extract_all(t, '(?s)&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|amp|lt|gt|quot|apos);|[^&]+|&') as parts from tags where t <> ''),
+        codes as (select *, list_transform(parts, lambda x: case when starts_with(lower(x), '&#x') and ends_with(x, ';') then try_cast('0x' || x[4:-2] as bigint) when starts_with(x, '&#') and ends_with(x, ';') then try_cast(x[3:-2] as bigint) end) as nums from marks),
+        d as (select a, scheme, host, path, array_to_string(list_transform(parts, lambda x, i: case
+                when nums[i] between 1 and 55295 or nums[i] between 57344 and 1114111 then chr(nums[i]::int) when x = '&amp;' then '&' when x = '&lt;' then '<' when x = '&gt;' then '>'
+                when x = '&quot;' then '"' when x = '&apos;' then chr(39) else x end), '') as t from codes),
+        g as (select *, regexp_extract(t, '(?s)^[^?#]*', 0) as own, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) as rest from d),
+        abs as (select *, case when starts_with(own, '/') then own when own = '' then null else regexp_replace(case when path = '' then '/' else path end, '[^/]*$', '') || own end as whole from g),
+        steps as (select *, string_split(whole, '/') as s from abs),
+        clean as (select *, '/' || ltrim(list_reduce(list_concat([''], s[2:]), lambda acc, x: case when x = '..' then regexp_replace(acc, '/[^/]*$', '') when x = '.' then acc else acc || '/' || x end), '/')
+                         || case when s[-1] in ('.', '..') and len(s) > 2 then '/' else '' end as dotless from steps),
+        f as (select a, case
+                when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') or t = '' or starts_with(t, '#') or scheme = '' then null
+                when starts_with(t, '//') then scheme || ':' || t when starts_with(t, '?') then scheme || '://' || host || case when path = '' then '/' else path end || t
+                else scheme || '://' || host || regexp_replace(dotless, '//+$', '/') || rest end as u from clean),
+        e as (select a, lower(regexp_extract(u, '^.*?://([^/?#]*)', 1)) || case when regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) = '' then '/' else regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) end as b
+              from f where u is not null and regexp_extract(u, '^.*?://([^/?#]*)', 1) <> ''),
         reach(x, y) as (
             select node, node from n join fits using (page_id) where own = 'block' and node is not null
             union
