@@ -41,29 +41,91 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of sequences given by links: names[i] > 0 is the symbol at i, and after[i] the place that follows it or -1.
+    """Index of the sequences of a text: symbols from 1 on, and 0 after each sequence.
 
-    Suffixes are sorted by their first two symbols, which is all that backward search for patterns of up to three needs.
+    Suffixes are sorted up to the end of their sequence or ``depth`` symbols, by doubling; lcp[r] is how many symbols rows r - 1
+    and r share, capped at ``depth``. The transform lies in a wavelet matrix, and minima of lcp over powers of two lead from
+    an interval of rows to the one of a shorter match.
     """
 
-    def __init__(self, names: np.ndarray, after: np.ndarray):
-        self.largest = int(names.max())
-        following = np.where(after >= 0, names[after], 0)
-        before = np.zeros(len(names), np.int64)
-        linked = np.flatnonzero(after >= 0)
-        before[after[linked]] = names[linked]
-        order = np.argsort(names * (self.largest + 1) + following, kind="stable")
-        ends = names[after < 0]  # the empty suffixes come first; each is preceded by the last symbol of its sequence
-        self.first = np.r_[0, len(ends), len(ends) + np.cumsum(np.bincount(names, minlength=self.largest + 1)[1:])]
-        self.matrix = WaveletMatrix(np.concatenate([ends, before[order]]), self.largest)
+    def __init__(self, text: np.ndarray, depth: int):
+        n, ends = len(text), np.flatnonzero(text == 0)
+        rank = text + len(ends)
+        rank[ends] = np.arange(len(ends))  # ends differ from one another, so no match crosses one
+        ranks, width = [], 1
+        while True:
+            order = np.argsort(rank, kind="stable")
+            new = np.r_[False, rank[order[1:]] != rank[order[:-1]]]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(new)
+            ranks.append(rank)
+            if width >= depth or rank[order[-1]] == n - 1:
+                break
+            rank = rank * (n + 1) + np.r_[rank[width:] + 1, np.zeros(min(width, n), np.int64)]
+            width *= 2
+        lcp, a, b = np.zeros(n + 1, np.int64), order[:-1].copy(), order[1:].copy()
+        for level in reversed(range(len(ranks))):
+            same = np.flatnonzero((a < n) & (b < n))
+            same = same[ranks[level][a[same]] == ranks[level][b[same]]]
+            for x in (a, b):
+                x[same] += 1 << level
+            lcp[same + 1] += 1 << level
+        self.n, self.largest = n, int(text.max(initial=0))
+        self.first = np.r_[0, np.cumsum(np.bincount(text, minlength=self.largest + 1))]
+        self.matrix = WaveletMatrix(text[order - 1], self.largest)  # before the first place stands an end, the last
+        self.least = [np.minimum(lcp, depth).astype(np.int16)]
+        while (1 << len(self.least)) <= n:
+            half = 1 << (len(self.least) - 1)
+            self.least.append(np.minimum(self.least[-1][:-half], self.least[-1][half:]))
 
-    def occurrences(self, patterns: np.ndarray) -> np.ndarray:
-        """How often each row of patterns occurs; rows that occur once at most are given up early, with their count so far or 1."""
-        last = patterns[:, -1]
-        low, high = self.first[last], self.first[last + 1]
-        for k in range(patterns.shape[1] - 2, -1, -1):
-            live = np.flatnonzero(high - low > 1)
-            c = patterns[live, k]
-            at = self.matrix.rank(np.concatenate([c, c]), np.concatenate([low[live], high[live]]))
-            low[live], high[live] = self.first[c] + at[: len(c)], self.first[c] + at[len(c) :]
-        return high - low
+    def backward(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that begin with a symbol and then what rows low to high begin with."""
+        at = self.matrix.rank(np.concatenate([symbols, symbols]), np.concatenate([low, high]))
+        return self.first[symbols] + at[: len(symbols)], self.first[symbols] + at[len(symbols) :]
+
+    def shorter(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length, low, high) of the longest beginning of these rows that more rows share."""
+        lcp = self.least[0]
+        length = np.maximum(lcp[low], lcp[high])
+        low, high = low.copy(), high.copy()
+        for k in reversed(range(len(self.least))):
+            least, step = self.least[k], 1 << k
+            fits = low >= step  # rows low - step + 1 .. low all share it with the one before
+            wide = np.flatnonzero(fits)
+            low[wide[least[low[wide] - step + 1] >= length[wide]]] -= step
+            wide = np.flatnonzero(high + step <= self.n)
+            high[wide[least[high[wide]] >= length[wide]]] += step
+        all_rows = length == 0
+        low[all_rows], high[all_rows] = 0, self.n
+        return length.astype(np.int64), low, high
+
+    def matching_statistics(self, text: np.ndarray, start: np.ndarray, stop: np.ndarray, least: int = 2) -> np.ndarray:
+        """For each place from start to stop of each streamed piece of a text, one piece after the other, the length of the longest match from there, up to stop, that occurs ``least`` times in the index.
+
+        Pieces are read backwards, all at once: a match grows by the symbol before it by backward search; where the grown one
+        is too rare, the match is shortened at its end and tried again. Symbols below 1 match nothing.
+        """
+        size = stop - start
+        found, offset = np.zeros(int(size.sum()), np.int64), np.cumsum(size) - size - start
+        at = stop - 1
+        low, high, length = np.zeros(len(at), np.int64), np.full(len(at), self.n), np.zeros(len(at), np.int64)
+        live = np.flatnonzero(at >= start)
+        while len(live):
+            symbol = text[at[live]]
+            known = (symbol > 0) & (symbol <= self.largest)
+            new_low, new_high = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
+            new_low[known], new_high[known] = self.backward(symbol[known], low[live[known]], high[live[known]])
+            grows = new_high - new_low >= least
+            up = live[grows]
+            low[up], high[up] = new_low[grows], new_high[grows]
+            length[up] += 1
+            found[offset[up] + at[up]] = length[up]
+            at[up] -= 1
+            rare = live[~grows]
+            none = rare[length[rare] == 0]
+            at[none] -= 1
+            cut = rare[length[rare] > 0]
+            if len(cut):
+                length[cut], low[cut], high[cut] = self.shorter(low[cut], high[cut])
+            live = live[at[live] >= start[live]]
+        return found

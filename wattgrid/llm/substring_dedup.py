@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from wattgrid.llm.fm_index import FMIndex
 from wattgrid.llm.words import hashed_words, mixed, rolled
 
 WINDOW, ANCHOR = 35, 8
+#: Words of a piece that is streamed through an index.
+PIECE = 128
 #: Words of a shard, and segments of one anchor that go to one shard; texts whose anchors a task has written. They bound the memory of a task.
 SHARD_WORDS, HOT_SEGMENTS, SEEN = 600_000, 4_000, 200_000
 
@@ -48,67 +51,58 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
 def repeated_in_shard(segments: pa.Table, window: int) -> Iterator[tuple]:
     """Rows (t1, t2, start, n, h1, h2, kind) for one shard of segments (t1, t2, start, windows, hot, words).
 
-    The shard's texts are cut into overlapping blocks of words, so that a window is three blocks, a fixed stride apart. The
-    index holds the sequences of blocks at that stride; all windows are streamed through it by backward search. kind 0: n
-    words from start are covered by windows that occur elsewhere in the shard. Windows of a hot segment, whose equals may be
-    in other shards, also leave their hash: kind 1 once for each window without an equal here, kind 2 once for those with one.
+    The shard's words are numbered by their bytes and its texts are indexed; then they are streamed through the index in
+    pieces, and where the matching statistic, the longest match that the index holds twice, reaches the window, it is
+    repeated. kind 0: n words from start are covered by windows that occur elsewhere in the shard. Windows of a hot
+    segment, whose equals may be in other shards, also leave 128 bits of their bytes: kind 1 once for each window without an
+    equal here, kind 2 once for those with one.
     """
-    stride = (window - 1) // 3
-    block = window - 2 * stride
     t1, t2, start, windows, hot = (segments.column(i).to_numpy() for i in range(5))
-    words = segments.column(5)
-    order = np.lexsort((start, t2, t1))
-    hashes_of = [h for h, _, _ in hashed_words([w.encode() for w in words.to_pylist()])]
-    parts, base, ends, at_text = [], [], [], 0
-    place = np.zeros(len(order), np.int64)  # of a segment's first word in the shard's text
-    last, reach = None, 0
-    for i in order.tolist():
-        h = hashes_of[i]
-        key, a = (t1[i], t2[i]), int(start[i])
-        if key == last and a <= reach:
-            place[i] = base[-1] + a
-            h = h[reach - a :]
+    words = [w.encode().split() for w in segments.column(5).to_pylist()]
+    named = pa.array([w for some in words for w in some], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    cuts = np.cumsum([len(w) for w in words])[:-1]
+    names_of = np.split(named, cuts)
+    parts, place, at_text = [], np.zeros(len(words), np.int64), 0  # place: of a segment's first word in the shard's text
+    last, reach, base = None, 0, 0
+    for i in np.lexsort((start, t2, t1)).tolist():
+        some, key, a = names_of[i], (t1[i], t2[i]), int(start[i])
+        if key == last and a <= reach:  # segments of a text that touch are one sequence
+            some = some[reach - a :]
         else:
             if last is not None:
-                ends.append(at_text)
-            base.append(at_text - a)
-            place[i], last, reach = at_text, key, a
-        parts.append(h)
-        at_text += len(h)
-        reach += len(h)
-    ends.append(at_text)
-    text = np.concatenate(parts)
-    end_of = np.repeat(np.array(ends), np.diff(np.r_[0, ends]))
-    whole = np.flatnonzero(np.arange(len(text)) + block <= end_of)
-    grams = rolled(text, block)
-    names = np.zeros(len(text), np.int64)
-    names[whole] = np.unique(grams[whole], return_inverse=True)[1] + 1
-    nth = np.full(len(text) + stride, -1)
-    nth[whole] = np.arange(len(whole))
-    after = np.where(whole + stride + block <= end_of[whole], nth[whole + stride], -1)
-    index = FMIndex(names[whole], after)
-    ask = np.concatenate([np.arange(p, p + n) for p, n in zip(place, windows)])
-    twice = index.occurrences(np.column_stack([names[ask], names[ask + stride], names[ask + 2 * stride]])) > 1
-    at = 0
-    hashes: tuple[np.ndarray, np.ndarray] | None = None
-    told: set[tuple[int, int]] = set()
+                parts.append(np.zeros(1, np.int64))
+                at_text += 1
+            base, last, reach = at_text - a, key, a
+        place[i] = base + a
+        parts.append(some)
+        at_text += len(some)
+        reach += len(some)
+    text = np.concatenate([*parts, np.zeros(1, np.int64)])
+    ends = np.flatnonzero(text == 0)
+    starts = np.r_[0, ends[:-1] + 1]
+    begin = np.concatenate([np.arange(a, b, PIECE) for a, b in zip(starts, ends)])
+    stop = np.minimum(begin + PIECE + window - 1, np.repeat(ends, -(-(ends - starts) // PIECE)))
+    longest = FMIndex(text, PIECE + window).matching_statistics(text, begin, stop)
+    size = stop - begin
+    offset = np.arange(len(longest)) - np.repeat(np.cumsum(size) - size, size)
+    own = np.flatnonzero(offset < PIECE)  # places beyond are the next piece's
+    twice = np.zeros(len(text), bool)
+    twice[(np.repeat(begin, size) + offset)[own]] = longest[own] >= window
+    told: set[bytes] = set()
     for i in range(len(place)):
         n = int(windows[i])
-        found = twice[at : at + n]
-        at += n
+        found = twice[place[i] : place[i] + n]
         key, first = (int(t1[i]), int(t2[i])), int(start[i])
         for a, k in _runs(found):
             yield (*key, first + a, k + window - 1, 0, 0, 0)
         if hot[i]:
-            if hashes is None:
-                hashes = rolled(text, window).astype(np.int64), rolled(text, window, 0xD1342543DE82EF95).astype(np.int64)
             for k in range(n):
-                h = int(hashes[0][place[i] + k]), int(hashes[1][place[i] + k])
+                digest = xxhash.xxh3_128_digest(b" ".join(words[i][k : k + window]))
                 if not found[k]:
-                    yield (*key, first + k, window, *h, 1)
-                elif h not in told:
-                    told.add(h)
-                    yield (*key, first + k, window, *h, 2)
+                    yield (*key, first + k, window, *np.frombuffer(digest, np.int64).tolist(), 1)
+                elif digest not in told:
+                    told.add(digest)
+                    yield (*key, first + k, window, *np.frombuffer(digest, np.int64).tolist(), 2)
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str = "text", window: int = WINDOW, hot_segments: int = HOT_SEGMENTS, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -211,7 +205,8 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", window: int = WIND
     Words lie between ASCII white space, unchanged. Every word in a window of ``window`` words whose sequence also starts
     anywhere else, in the same text or another row, is removed, all occurrences alike; windows are judged on the input.
     Windows with equal anchors meet in a shard; where very many share one, its shards are salted by text, and windows that two
-    of them report are repeated too. Words are told apart by 64-bit hashes.
+    of them report are repeated too. In a shard words are told apart by their bytes; hashes of 64 bits only choose anchors. Texts, and
+    windows of two such shards, are told apart by 128 bits: among 10^13 of them two differing ones meet with a chance of 10^-12.
 
     Null texts count as empty. Shorter texts than a window lose nothing. Ids play no part: rows that repeat are occurrences
     of their own. An empty table gives an empty result.
