@@ -15,6 +15,8 @@ from wattgrid.functions.scratch import Scratch
 
 #: A chunk ends where the rolling hash of its last WINDOW lines is 0 modulo MEAN, not before LEAST lines.
 WINDOW, MEAN, LEAST = 2, 3, 2
+#: Hashes that hold over one in MOST_HOT of all chunks are broadcast; there are at most MOST_HOT of them, whatever the input.
+MOST_HOT = 10_000
 
 
 def chunk_spans(hashes: list[int], window: int = WINDOW, mean: int = MEAN, least: int = LEAST) -> list[tuple[int, int]]:
@@ -51,6 +53,14 @@ def row_key(id_col: Column, text: Column) -> list[Column]:
     return [F.xxhash64(id_col, text).alias("k1"), F.xxhash64(F.lit(1), text, id_col).alias("k2")]
 
 
+def _by_hash(rows: DataFrame, table: DataFrame, total: int) -> DataFrame:
+    """rows joined with table (one row per h, with times) on h; a hash with very many rows meets none of them in one task."""
+    hot = F.col("times") * MOST_HOT > total
+    many = F.broadcast(table.where(hot))
+    rest = rows.join(F.broadcast(table.where(hot).select("h")), "h", "left_anti").join(table.where(~hot).hint("merge"), "h")
+    return rows.join(many, "h").union(rest)
+
+
 def find_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, first, n): the chunks to remove, by row_key. Of equal chunks the one with the smallest (id, key, line) stays."""
     doc, text = F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -65,8 +75,8 @@ def find_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["k1", "k2", "doc_id", "h", "first", "n"])
 
         found = scratch.cut(rows.mapInArrow(hashed, "k1 bigint, k2 bigint, doc_id bigint, h bigint, first bigint, n bigint").distinct())
-        often = found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
-        often = scratch.cut(found.join(often, "h").select("k1", "k2", "doc_id", "h", "first", "n"))
+        total, counts = found.count(), scratch.cut(found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"))
+        often = scratch.cut(_by_hash(found, counts, total).select("k1", "k2", "doc_id", "h", "first", "n"))
         scratch.drop(found)
 
         def texts(batches: Iterator[pa.RecordBatch], seed: int = seed) -> Iterator[pa.RecordBatch]:
@@ -82,12 +92,12 @@ def find_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
         wanted = often.groupBy("k1", "k2").agg(F.collect_list("first").alias("wanted"))
         chunks = rows.join(wanted.hint("merge"), ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "wanted").mapInArrow(texts, "h bigint, chunk string, doc_id bigint, k1 bigint, k2 bigint, first bigint")
         equal = chunks.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "k1", "k2", "first")).alias("keep"))
-        groups = scratch.cut(equal.groupBy("h").agg(F.count("*").alias("n_texts"), F.min("keep").alias("keep")))
+        groups = scratch.cut(equal.groupBy("h").agg(F.count("*").alias("n_texts"), F.min("keep").alias("keep")).join(counts, "h"))
         scratch.sweep()
         if groups.where("n_texts > 1").isEmpty():
-            out = often.join(groups.select("h", "keep"), "h")
+            out = _by_hash(often, groups.select("h", "keep", "times"), total)
             return scratch.cut(out.where(~((F.col("k1") == F.col("keep.k1")) & (F.col("k2") == F.col("keep.k2")) & (F.col("first") == F.col("keep.first")))).select("k1", "k2", "first", "n"))
-        scratch.drop(often, groups)
+        scratch.drop(often, groups, counts)
         seed += 1
 
 
