@@ -35,9 +35,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links join, the one with the smallest id; documents without an id stay."""
+    """Of the documents that links join, the one with the smallest id, and of rows that share that id one; documents without an id stay."""
     gone = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n_rows")).where("n_rows > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    one = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(one).select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each but the last is written and read again, so that the next one's passes don't repeat it."""
+    """All stages; each but the last is written and read again, so that the next one's passes don't repeat it, and what it was made from is deleted."""
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for _, stage in STAGES[:-1]:
-        docs = scratch.cut(stage(spark, docs, sf_dir))
+        with Scratch.collected() as made:
+            docs = scratch.cut(stage(spark, docs, sf_dir))
+        scratch.keep_only(docs)
+        for used in made:
+            used.keep_only()
     return STAGES[-1][1](spark, docs, sf_dir)
