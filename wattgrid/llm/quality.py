@@ -170,7 +170,7 @@ def score_documents(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id"
 def keep_good(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns as they are, whose text scores threshold or more."""
     stats = {f"_{s}_stat": c for s, c in statistics(F.col(text_col).cast("string")).items()}
-    packed = F.struct(*[c.alias(s) for s, c in stats.items()])
-    kept = docs.select(F.struct("*").alias("row_"), packed.alias("stats_"))
-    kept = kept.where(model.score({s: F.col(f"stats_._{s}_stat") for s in statistics(F.lit(""))}) >= threshold)
+    # A filter is not moved below a projection that numbers rows; if it were, each rule would compute its statistics anew.
+    kept = docs.select(F.struct("*").alias("row_"), F.monotonically_increasing_id().alias("number_"), *[c.alias(s) for s, c in stats.items()])
+    kept = kept.where((model.score({s: F.col(f"_{s}_stat") for s in statistics(F.lit(""))}) >= threshold) & (F.col("number_") >= 0))
     return kept.select("row_.*")
