@@ -157,13 +157,13 @@ def test_resolving(spark):
     results = spark.createDataFrame([(1, 0, "http://www.blocked.com/acme", "t", "d"), (1, 1, "http://sub.acme.com/rates", "Acme rates", "electric residential"), (1, 2, "http://acme.com/", "t", "d")], "utility_id long, position int, url string, title string, description string")
     domains = spark.createDataFrame([("blocked.com",)], "domain string")
     assert resolve.own_domain(results, u.select(F.col("id").alias("utility_id"), "name"), domains).first().host == "acme.com"
-    scored = resolve.score_results(resolve.blocked(results, "url", domains).withColumns({"domain": F.lit("acme.com"), "utility": F.lit("Acme"), "state": F.lit("TX")}), ["TX", "AL"]).collect()
+    scored = resolve.score_results(resolve.blocked(results, "url", domains).withColumns({"domain": F.lit("acme.com"), "utility": F.lit("Acme"), "state": F.lit("TX")}), {"TX": "texas", "AL": "alabama"}).collect()
     by = {x.position: x.score for x in scored}
     assert by[0] == -999 and by[1] > by[2]
-    assert one(spark, resolve.wrong_state(F.col("u"), F.lit("NY"), ["NY", "AL"]), u="http://a.com/al/x") is True and one(spark, resolve.wrong_state(F.col("u"), F.lit("NY"), ["NY", "AL"]), u="http://a.com/ny/x") is False
+    assert one(spark, resolve.wrong_state(F.col("u"), F.lit("NY"), {"NY": "new york", "AL": "alabama"}), u="http://a.com/al/x") is True and one(spark, resolve.wrong_state(F.col("u"), F.lit("NY"), {"NY": "new york", "AL": "alabama"}), u="http://a.com/ny/x") is False
     tries = resolve.url_rewrites(spark.createDataFrame([(1, "https://www.a.com/x?y")], "source_id long, url string"), ["/rates"])
     assert {x.url for x in tries.collect()} == {"http://www.a.com/x?y", "https://www.a.com/x", "https://a.com/x?y", "https://www.a.com/", "https://www.a.com/rates"}
-    foreign = resolve.foreign_names(spark.createDataFrame([(1, "Metro plan", "Acme"), (2, "Metro plan", "Metro Power"), (3, "x", "Acme")], "id long, name string, utility string"), spark.createDataFrame([("metro", "metro")], "marker string, owner string"))
+    foreign = resolve.foreign_names(spark.createDataFrame([(1, "Metro plan", "Acme"), (2, "Metro plan", "Metro Power"), (3, "x", "Acme")], "id long, name string, utility string"), ["metro"])
     assert {(x.id, x.foreign) for x in foreign.collect()} == {(1, True), (2, False), (3, False)}
     pages_ = spark.createDataFrame([(1, "Acme Springfield", "acme rates"), (1, "Acme Springfield", "springfield"), (2, "Nordkraft", "other")], "utility_id long, utility string, content string")
     assert {(x.utility_id, x.verdict) for x in resolve.identity_verdict(pages_).collect()} == {(1, "own"), (2, "other")}
@@ -189,3 +189,72 @@ def test_reasons_touches_and_benchmarks(spark):
     m = spark.createDataFrame([(1, 1, 9), (2, 3, 8)], "utility_id long, want long, got long")
     c = spark.createDataFrame([(1, False), (2, True)], "utility_id long, close boolean")
     assert changes.benchmark_summary(e, e, m, c).first().asDict() == {"recall": 66.7, "precision": 66.7, "rate_errors": 1, "perfect": 1}
+
+
+def test_greedy_matches_take_pairs_in_order(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = list({(g, a, b): (g, a, b, rng.randint(0, 4)) for g in range(6) for a in range(8) for b in range(8) if rng.random() < 0.4}.values())
+    want, used = set(), set()
+    for g, a, b, r in sorted(rows, key=lambda x: (x[0], x[3], x[1], x[2])):
+        if ("l", g, a) not in used and ("r", g, b) not in used:
+            used |= {("l", g, a), ("r", g, b)}
+            want.add((g, a, b))
+    df = spark.createDataFrame([*rows, (None, 1, 1, 0), (1, None, 1, 0)], "g long, a long, b long, r int")
+    assert {tuple(x) for x in changes.greedy_matches(df, "g", "a", "b", ["r"]).collect()} == want
+    assert changes.greedy_matches(df.where("1 = 0"), "g", "a", "b", ["r"]).count() == 0
+
+
+def test_candidates_in_the_order_of_the_wanted(spark):
+    wanted = spark.createDataFrame([(1, 1, "Residential", "r"), (1, 2, "Residential Service Plan", "r"), (1, 3, "Small Farm Pumps", "r"), (1, 4, "Farm", "c")], "utility_id long, id long, name string, customer_class string")
+    found = spark.createDataFrame([(1, 10, "Residential Service", "r"), (1, 11, "residential", "r"), (1, 12, "Pumps, Small", "r"), (1, 13, "Farm", "r")], "utility_id long, id long, name string, customer_class string")
+    pairs = changes.match_candidates(wanted, found)
+    assert {(r.want, r.got) for r in changes.greedy_matches(pairs, "utility_id", "want", "got", ["want", "stage", "overlap"]).collect()} == {(1, 11), (2, 10), (3, 13)}
+    assert {(r.want, r.got): r.stage for r in pairs.collect()} == {(1, 10): 1, (1, 11): 0, (2, 10): 1, (2, 11): 1, (3, 12): 2, (3, 13): 1}
+
+
+def test_rejected_names_stand_in_nobodys_way(spark):
+    import random
+
+    from wattgrid.functions.text import plain_name
+
+    def kept(existing, extra):
+        taken, out = list(existing), []
+        for n in extra:
+            if not any(n.startswith(t) or t.startswith(n) for t in taken):
+                taken.append(n)
+                out.append(n)
+        return out
+
+    rng = random.Random(9)
+    groups = {1: (["rate d service"], ["rate d", "rate d x", "other", "other plan"])}
+    for g in range(2, 12):
+        name = lambda: "".join(rng.choice("ab ") for _ in range(rng.randint(1, 5))).strip() or "c"  # noqa: E731, B023
+        groups[g] = ([name() for _ in range(rng.randint(0, 2))], [name() for _ in range(rng.randint(1, 9))])
+    e = spark.createDataFrame([(g, n) for g, (a, _) in groups.items() for n in a], "u long, n string")
+    x = spark.createDataFrame([(g, n, i) for g, (_, b) in groups.items() for i, n in enumerate(b)], "u long, n string, at long")
+    plain = {n: r for n, r in x.union(e.selectExpr("u", "n", "0L")).select("n", plain_name(F.col("n"))).collect()}
+    got = {}
+    for r in changes.merge_new_names(e, x, "u", "n", "at").orderBy("u", "at").collect():
+        got.setdefault(r.u, []).append(plain[r.n])
+    assert got == {g: k for g, (a, b) in groups.items() if (k := kept([plain[n] for n in a], [plain[n] for n in b]))}
+    assert got[1] == ["rate d x", "other"] or got[1] == ["other"]
+
+
+def test_containment(spark):
+    names = ["a", "ab", "abcdef", "xabcdefy", "duke", "dukeenergy carolinas", "", None, "é", "bcdefy"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    real = [n for n in names if n]
+    assert {tuple(r) for r in resolve.contained_names(df, df).collect()} == {(a, b) for a in real for b in real if a in b or b in a}
+
+
+def test_text_rules(spark):
+    assert one(spark, X.compressed(F.col("t")), t=" a \t b \n\n\n\n c ") == "a b\n\nc"
+    assert one(spark, geo.looks_canadian(F.col("a")), a="Portage MB SK") is True and one(spark, geo.looks_canadian(F.col("a")), a="12 Ontario St, CA") is False and one(spark, geo.looks_canadian(F.col("a")), a="x K1A 0B1") is True
+    gone = changes.supersede(spark.createDataFrame([(1, 1, "Rate D"), (1, 2, "Rate DP"), (2, 3, "Rate D")], "u long, id long, name string"), spark.createDataFrame([(1, 9, "Rate D Service"), (1, 8, "Rate D Service")], "u long, id long, name string"), ["u"])
+    assert {tuple(r) for r in gone.collect()} == {(1, 8)}
+    sources = changes.insert_missing_sources(spark.createDataFrame([(1, True), (2, False), (3, True), (4, True)], "id long, is_active boolean"), spark.createDataFrame([(3,)], "utility_id long"), spark.createDataFrame([(1, "u"), (2, "v"), (3, "w"), (4, None)], "id long, url string"))
+    assert [tuple(r) for r in sources.collect()] == [(1, "u", "pending")]
+    best = resolve.best_url(spark.createDataFrame([(1, "s"), (2, None), (3, "t")], "id long, website_url string"), spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "", 3), (3, None, 1)], "utility_id long, source_url string, updated_at int"))
+    assert {tuple(r) for r in best.collect()} == {(1, "b"), (2, None), (3, "t")}

@@ -6,16 +6,28 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattgrid.functions import text as X
 
 LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
-# Words that make a link or page relevant.
+# Words that make a link or page relevant, or not.
+RATE_PAGES = r"(?i)rate|tariff|pricing|schedule|electric.*charge|billing.*rate|residential.*rate|commercial.*rate|general.*service|small.*business|fee.*schedule|cost.*service|price.*electricity"
+STRONG = r"(?i)electricity.rate|electric.rate|residential.rate|commercial.rate|business.rate|rate.schedule|rate.tariff"
+SKIP = (
+    r"(?i)irrigation|fleet.*electrif|shore.*power|street.*light|unmetered|transmission.*rate|industrial|large.*power|large.*general|large.*service|interruptible|standby|wholesale|interconnect|wheeling|curtailment|generation|"
+    r"supplement.*\d{2,}|lighting|outdoor.*light|area.*light|security.*light|pumping|mining|smelting|data.center|high.voltage|primary.*service|subtransmission"
+)
+TITLES = r"(?i)\brate[s]?\b|\btariff|\bpricing|\bbilling.*rate|\bschedule\b|\belectric.*charge|\bresidential.*service|\bgeneral.*service|\bcost.*electric|\belectricity.*cost"
+CONTENT = (
+    r"(?i)\$/kwh|cents/kwh|per kwh|\bkwh\b.*\d|\$/kw[^h]|\$/month|\bcharge\b.*\$|\$.*\bcharge\b|rate.*schedule|schedule.*rate|energy charge|demand charge|service charge|basic charge|customer charge|delivery charge|"
+    r"residential.*rate|commercial.*rate|general.*service|tier\s*[12]|step\s*[12]|block\s*[12]|on.peak|off.peak|shoulder|summer.*rate|winter.*rate|seasonal"
+)
+NUMERIC = r"(?i)\$\s*\d+\.\d{2,4}|\d+\.\d+\s*(?:cents|¢)|\d+\.\d+\s*/\s*kwh|\d+\.\d+\s*/\s*kw\b|\$\d+\s*/\s*month"
+COMPLEX = r"(?i)tier|step|block|on.peak|off.peak|shoulder|summer|winter|seasonal|schedule\s+[a-z]|rate\s+[a-z]"
 RELEVANT = r"(?i)rate|tariff|pricing|schedule|residential|commercial|billing"
 FIRST = r"(?i)residential.*rate|rate.*schedule|tariff"
-SKIP = r"(?i)street.?light|interruptible|wholesale|interconnect|transmission.rate|industrial|lighting"
 DROPPED = ["script", "style", "nav", "footer", "header", "noscript", "iframe"]
 REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 SIGNAL = r"(?i)\$\s*\d|\bkwh\b|cents per"
@@ -42,6 +54,40 @@ def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     return rows.withColumn("priority", F.when(both.rlike(FIRST), 0).when(both.rlike(RELEVANT), 1).when(F.lower("target").endswith(".pdf"), 2).otherwise(3))
 
 
+def link_priority(target: Column, label: Column) -> Column:
+    """0 for electricity rates, 1 for residential or commercial ones, 2 for other rates, 3 for the rest."""
+    both = F.lower(F.concat_ws(" ", target, label))
+    rate = both.contains("rate")
+    return F.when(rate & both.contains("electricity"), 0).when(rate & (both.contains("residential") | both.contains("commercial")), 1).when(rate, 2).otherwise(3)
+
+
+def relevant_links(found: DataFrame, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rate_pages: str = RATE_PAGES, skip: str = SKIP, titles: str = TITLES) -> DataFrame:
+    """Of links (page_id, place, target, label) those worth a visit, with priority and whether they are superseded.
+
+    A link counts if it is no homepage, looks like rates, is of no skipped kind, and, unless it speaks of rates strongly, of no
+    irrelevant one. On pages whose title or url is about rates, or whose text has signs of them, all PDFs of the site count too.
+    Regulators' filings never do.
+    """
+    title = F.regexp_extract(html_col, r"(?is)<title[^>]*>(.*?)</title", 1)
+    themed = pages.select(F.col(id_col).alias("page_id"), (F.concat_ws(" ", title, url_col).rlike(titles) | F.coalesce(F.col(html_col).rlike(CONTENT), F.lit(False))).alias("themed"))
+    both = F.concat_ws(" ", "target", "label")
+    good = ~X.is_homepage(F.col("target")) & (both.rlike(STRONG) | ~both.rlike(X.IRRELEVANT)) & both.rlike(rate_pages) & ~both.rlike(skip)
+    rows = found.join(themed, "page_id").where(good | (F.col("themed") & F.lower("target").endswith(".pdf")))
+    rows = rows.where(~X.is_filing(F.col("target"), F.col("label"))).drop("themed", "priority")
+    return rows.withColumns({"priority": link_priority(F.col("target"), F.col("label")), "superseded": X.is_superseded(F.col("target"), F.col("label"))})
+
+
+def has_rates(text: Column, title: Column, url: Column, content: str = CONTENT, titles: str = TITLES) -> Column:
+    """Whether a page likely holds rates: by its text, else by its title or url."""
+    yes = lambda c, p: F.coalesce(c.rlike(p), F.lit(False))
+    return yes(text, content) | yes(title, titles) | yes(url, titles)
+
+
+def has_numbers(text: Column) -> Column:
+    """Whether a text holds an amount in the form of a rate."""
+    return F.coalesce(text.rlike(NUMERIC), F.lit(False))
+
+
 def kept_pages(pages: DataFrame, doc_cols: list[str], text_col: str) -> DataFrame:
     """Pages of each document that are worth reading: those of priority 0; where these are under 3, up to 1; where none are, up to 2; else all."""
     ranked = pages.withColumn("priority", X.page_priority(F.coalesce(text_col, F.lit(""))))
@@ -74,13 +120,22 @@ def capped_links(found: DataFrame, first: int = 15) -> DataFrame:
     return latest(found, ["page_id"], [old.cast("int"), F.col("priority"), F.col("place")], first)
 
 
-def gate(url: Column, text: Column, is_blocked: Column, thin: int = 100) -> Column:
-    """Why a page is not sent on, or sent: blocked host, thin text, words to skip, no sign of rates."""
-    return F.when(is_blocked, "blocked").when(F.char_length(F.coalesce(text, F.lit(""))) < thin, "thin").when(url.rlike(SKIP), "irrelevant").when(~text.rlike(SIGNAL), "no signal").otherwise("sent")
+def gate(url: Column, text: Column, is_blocked: Column, title: Column | None = None, thin: int = 100, skip: str = SKIP, content: str = CONTENT, titles: str = TITLES) -> Column:
+    """Why a page is not sent on, or sent: blocked host, thin text, words to skip in url or title, no sign of rates."""
+    title = F.lit("") if title is None else title
+    short = F.char_length(F.trim(F.coalesce(text, F.lit("")))) < thin
+    skipped = F.concat_ws(" ", url, title).rlike(skip)
+    return F.when(is_blocked, "blocked").when(short, "thin").when(skipped, "irrelevant").when(~has_rates(text, title, url, content, titles), "no signal").otherwise("sent")
+
+
+def deepest_first(pages: DataFrame, keys: list[str], url_col: str, id_col: str) -> DataFrame:
+    """pages with their place per key: most steps in the path first, of equal ones the smaller id."""
+    depth = F.char_length(F.regexp_replace(X.path(F.col(url_col)), "[^/]", ""))
+    return pages.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(depth), id_col)))
 
 
 def is_complex(text: Column, least_chars: int = 8000, least_signals: int = 5) -> Column:
-    return (F.char_length(text) >= least_chars) & (F.regexp_count(text, F.lit(r"(?i)on-peak|off-peak|tier|season|summer|winter|demand|block")) >= least_signals)
+    return (F.char_length(text) >= least_chars) & (F.regexp_count(text, F.lit(COMPLEX)) >= least_signals)
 
 
 def _dense_window(text: str, budget: int, block: int = 500) -> str:
@@ -169,10 +224,11 @@ def dollars(text: Column) -> Column:
 
 
 def effective_date(text: Column) -> Column:
-    """The date after 'effective', as 'January 1, 2024' or ISO."""
-    word = F.regexp_extract(text, r"(?i)effective\D{0,20}?([A-Z][a-z]+ \d{1,2}, \d{4})", 1)
+    """The date after 'effective', as 'January 1, 2024', with the month's first letters alone, or ISO."""
+    word = r"(?i)effective\D{0,20}?([A-Z][a-z]{2})[a-z]*\.? (\d{1,2}),? (\d{4})"
+    parts = F.concat_ws(" ", F.initcap(F.regexp_extract(text, word, 1)), F.regexp_extract(text, word, 2), F.regexp_extract(text, word, 3))
     iso = F.regexp_extract(text, r"(?i)effective\D{0,20}?(\d{4}-\d{2}-\d{2})", 1)
-    return F.coalesce(F.try_to_timestamp(F.nullif(word, F.lit("")), F.lit("MMMM d, yyyy")).cast("date"), F.nullif(iso, F.lit("")).try_cast("date"))
+    return F.coalesce(F.try_to_timestamp(F.nullif(F.trim(parts), F.lit("")), F.lit("MMM d yyyy")).cast("date"), F.nullif(iso, F.lit("")).try_cast("date"))
 
 
 def term_changes(old: Column, new: Column, sample: int = 10) -> Column:
@@ -184,14 +240,55 @@ def term_changes(old: Column, new: Column, sample: int = 10) -> Column:
     return F.when(old.isNull() | (old == ""), "Initial check - no previous content to compare").when(new.isNull() | (new == ""), "Content became unavailable").otherwise(F.when(said != "", said).otherwise("Content changed (details in full diff)"))
 
 
-def request_tier(text: Column, is_pdf: Column) -> Column:
-    return F.when(is_pdf | is_complex(text), "B").otherwise("A")
+def request_tier(text: Column, is_pdf: Column, first_found: Column | None = None) -> Column:
+    """B for documents and complex pages, else A; after a first try that found nothing (first_found 0) C where the text holds amounts, else none."""
+    tier = F.when(is_pdf | is_complex(text), "B").otherwise("A")
+    return tier if first_found is None else F.when(first_found > 0, "done").when(has_numbers(text), "C").otherwise("none")
+
+
+def thresholds(text: Column) -> Column:
+    """Struct (summer, winter) of the first two numbers of a text; of one number both; 600 and 1000 without any."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\d,]*\d[\d,]*)"), 1), lambda x: F.regexp_replace(x, ",", "").cast("int"))
+    return F.struct(F.coalesce(F.get(found, F.lit(0)), F.lit(600)).alias("summer"), F.coalesce(F.get(found, F.lit(1)), F.get(found, F.lit(0)), F.lit(1000)).alias("winter"))
+
+
+#: Kinds of rate sets: the heading in a page's text, and the labels of its prices in order.
+RATE_SETS = {"tou": ("Time-of-Use", ["Off-Peak", "Mid-Peak", "On-Peak"]), "tiered": ("Tiered rates", ["Lower Tier", "Higher Tier"]), "ulo": ("Ultra-Low", ["Ultra-Low Overnight", "Weekend Off-Peak", "Mid-Peak", "On-Peak"])}
+
+
+def rate_sets(text: Column) -> Column:
+    """Array of (kind, prices in dollars): for each kind the first numbers with one decimal after its heading, in cents; kinds with a missing price are left out."""
+    out = []
+    for kind, (heading, labels) in RATE_SETS.items():
+        gap = r"\s+" if kind != "tiered" else r"\s+.*?"
+        pattern = rf"(?is){heading}.*?" + gap.join([r"(\d+\.\d)"] * len(labels))
+        prices = F.array(*[dollars(F.concat(F.regexp_extract(text, pattern, k + 1), F.lit(" cents"))) for k in range(len(labels))])
+        out.append(F.when(text.rlike(pattern) & ~F.exists(prices, lambda p: p.isNull()), F.struct(F.lit(kind).alias("kind"), prices.alias("prices"))))
+    return F.array_compact(F.array(*out))
+
+
+def tariff_templates(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, customer_class, rate_type, name, label, rate_value) of the rate sets in texts: each set is a tariff for two classes, each price a component."""
+    sets = pages.select(F.col(id_col).alias("id"), F.explode(rate_sets(F.coalesce(text_col, F.lit("")))).alias("s"))
+    names = F.create_map(*[F.lit(x) for kv in (("tou", "Time-of-Use (TOU)"), ("tiered", "Tiered"), ("ulo", "Ultra-Low Overnight (ULO)")) for x in kv])
+    labels = F.create_map(*[x for kind, (_, ls) in RATE_SETS.items() for x in (F.lit(kind), F.array(*map(F.lit, ls)))])
+    classes = F.array(F.struct(F.lit("residential").alias("c"), F.lit("Residential").alias("l")), F.struct(F.lit("commercial").alias("c"), F.lit("Small Business").alias("l")))
+    rows = sets.select("id", "s.kind", "s.prices", F.explode(classes).alias("k"))
+    rows = rows.select("id", "kind", "k", F.posexplode("prices").alias("at", "rate_value"))
+    kind = F.when(F.col("kind") == "ulo", "tou").otherwise(F.col("kind"))
+    return rows.select("id", F.col("k.c").alias("customer_class"), kind.alias("rate_type"), F.concat(F.element_at(names, F.col("kind")), F.lit(" — "), F.col("k.l")).alias("name"), F.get(F.element_at(labels, F.col("kind")), F.col("at")).alias("label"), "rate_value")
 
 
 def cache_key(content_hash: Column, model: str, version: str) -> Column:
     return F.sha2(F.concat_ws(":", content_hash, F.lit(model), F.lit(version)), 256)
 
 
+def cached_results(requests: DataFrame, results: DataFrame, as_of: Column, days: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(hits, misses) of requests (cache_key): hits with the newest stored result (cache_key, stored_at, result) that is at most ``days`` old."""
+    fresh = results.where(F.col("stored_at") >= as_of - F.make_dt_interval(F.lit(days))).groupBy("cache_key").agg(F.max_by("result", "stored_at").alias("result"))
+    return requests.join(fresh, "cache_key"), requests.join(fresh.select("cache_key"), "cache_key", "left_anti")
+
+
 def failure_reason(c: dict[str, Column]) -> Column:
     """Where an extraction without results broke off, from its counters: pages, sent, zero, failed, thin, off_topic, no_signal and, as booleans, had_page and aborted."""
     said = lambda n, text: F.when(n > 0, F.concat(n.cast("string"), F.lit(text)))

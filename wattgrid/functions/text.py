@@ -38,6 +38,43 @@ RATE_WORDS = r"(?i)kwh|per month|energy charge|customer charge|basic charge|dema
 RATE_AMOUNTS = r"\$\s*\d+\.?\d*|\d+\.\d+\s*(?:cents|¢)"
 
 
+# What urls and titles of explainers, regulators' filings and superseded tariffs hold.
+EXPLAINERS = [
+    r"understanding[-_]", r"how[-_]it[-_]works", r"how[-_]is[-_]", r"how[-_]your[-_]bill", r"comment[-_](?:fonctionne|calculer|lire)", r"learn[-_]about", r"about[-_]your[-_](?:bill|rates?|electricity)",
+    r"glossary", r"explanation", r"explained\.", r"demystify", r"comprendre", r"deposit[-_]payment", r"estimate[-_]electric", r"power[-_]demand", r"//energized\.edison\.com/", r"/stories/", r"/newsroom/",
+    r"/news[-_]?releases?/", r"/press[-_]?releases?/", r"/media[-_]?releases?/", r"/blog/", r"/blogs/",
+]
+FILINGS = [
+    r"://[a-z]{2,4}\.dps\.ny\.gov", r"/rate[-_]case[-_]", r"/rate[-_]case/", r"[-_]rate[-_]case[-_]filing", r"[-_]rate[-_]case[-_]summary", r"[-_]rate[-_]case[-_]staff", r"[-_]filing[-_]memo",
+    r"[-_]staff[-_]broadcast[-_]memo", r"/dockets?/", r"/proceedings?/", r"docket[-_]?no[-_\.]?\d",
+]
+SUPERSEDED = r"cancell?ed|superse[dt]ed|historic(?:al)?|archive[ds]?|withdrawn|expired|obsolete|rescinded"
+IRRELEVANT = (
+    r"(?i)natural.gas|gas.rate|gas.tariff|gas.bill|gas.*submission|our.gas.utility|gas.bcuc|gas.marketer|propane|operating.agreement|annual.report|investor|careers|job|press.release|news.event|media.centre|"
+    r"contact.us|login|sign.in|my.account|rebate|incentive|conservation|energy.saving|outage|storm|safety|emergency"
+)
+
+
+def _url_or_title(pattern: str, url: Column, title: Column | None) -> Column:
+    hit = F.coalesce(F.coalesce(F.try_url_decode(url), url).rlike(pattern), F.lit(False))
+    return hit if title is None else hit | F.coalesce(title.rlike(pattern), F.lit(False))
+
+
+def is_explainer(url: Column, title: Column | None = None) -> Column:
+    """News and customer education, not rates."""
+    return _url_or_title("(?i)" + "|".join(EXPLAINERS), url, title)
+
+
+def is_filing(url: Column, title: Column | None = None) -> Column:
+    """A regulator's docket or memo, not a tariff."""
+    return _url_or_title("(?i)" + "|".join(FILINGS), url, title)
+
+
+def is_superseded(url: Column, title: Column | None = None) -> Column:
+    """A cancelled or replaced tariff, by a word of its own between separators or word boundaries."""
+    return _url_or_title(rf"(?i)(?:[/_\-\s]|%20)(?:{SUPERSEDED})(?:[/_\-\s]|%20|$)|\b(?:{SUPERSEDED})\b", url, title)
+
+
 def normalized_page(text: Column) -> Column:
     """Page text as it is hashed: white space collapsed, lower case, d/m/y and ISO dates dropped."""
     t = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))

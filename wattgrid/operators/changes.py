@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattgrid.functions.text import host
+from wattgrid.functions.scratch import Scratch
+from wattgrid.functions.text import host, likely_same, plain_name
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], fill: list[str], children_per_key: str = "n_components") -> DataFrame:
@@ -14,13 +14,26 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], fill: list[str], chi
 
     New rows without usable components (children_per_key 0) change nothing: they appear as rejected where there is no old row.
     """
-    a, b = old.select(*keys, *[F.col(c).alias(f"o_{c}") for c in fill], F.lit(True).alias("o_")), new.select(*keys, *[F.col(c).alias(f"n_{c}") for c in fill], (F.col(children_per_key) > 0).alias("n_"))
+    a = old.select(*keys, *[F.col(c).alias(f"o_{c}") for c in fill], F.lit(True).alias("o_"))
+    b = new.select(*keys, *[F.col(c).alias(f"n_{c}") for c in fill], (F.col(children_per_key) > 0).alias("n_"))
     out = a.join(b, keys, "full")
-    value = lambda c: F.when(F.col("n_"), F.coalesce(F.nullif(F.col(f"n_{c}"), F.lit("").cast(new.schema[c].dataType)) if new.schema[c].dataType.simpleString() == "string" else F.col(f"n_{c}"), F.col(f"o_{c}"))).otherwise(F.col(f"o_{c}")).alias(c)
+
+    def value(c: str) -> Column:
+        given = F.col(f"n_{c}")
+        if new.schema[c].dataType.simpleString() == "string":
+            given = F.nullif(given, F.lit(""))
+        return F.when(F.col("n_"), F.coalesce(given, F.col(f"o_{c}"))).otherwise(F.col(f"o_{c}")).alias(c)
+
     action = F.when(F.col("n_") & F.col("o_"), "updated").when(F.col("n_") & F.col("o_").isNull(), "added").when(F.col("o_"), "kept").otherwise("rejected")
     return out.select(*keys, *[value(c) for c in fill], action.alias("action"))
 
 
+def replace_children(old: DataFrame, new: DataFrame, actions: DataFrame, keys: list[str]) -> DataFrame:
+    """Children after an upsert: of updated and added rows the new ones, of kept rows the old ones; actions (keys, action) as upsert gives them. Null keys are equal to nothing."""
+    fresh = actions.where("action in ('updated', 'added')").select(*keys)
+    return old.join(fresh, keys, "left_anti").unionByName(new.join(fresh, keys, "left_semi").select(*old.columns))
+
+
 def reconcile(stored: DataFrame, existing: DataFrame, group: str, keys: list[str], residential: Column, least_share: float = 0.75, least_existing: int = 3, source_url: str | None = None) -> DataFrame:
     """Existing rows that a re-extraction no longer has and may retire: per group it must have stored something, a residential row among it, and not under least_share of least_existing or more existing rows.
 
@@ -64,21 +77,73 @@ def merge_prefix_duplicates(rows: DataFrame, group: list[str], id_col: str, name
 
 
 def greedy_matches(pairs: DataFrame, group: str, left: str, right: str, rank: list[str]) -> DataFrame:
-    """(group, left, right): pairs taken in rank order per group, each side at most once; a group is the candidates of one utility."""
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    """(group, left, right): pairs taken in rank order per group, then by left and right, each side at most once.
+
+    In each round the pairs that are the first of both their sides are taken, which the order would take too, and pairs of
+    taken sides go. So groups may have any size; rounds follow the longest chain of pairs that wait for one another.
+    Null groups and sides match nothing.
+    """
+    scratch = Scratch(pairs.sparkSession, "greedy")
+    order = F.struct(*dict.fromkeys([*rank, left, right]))
+    rows = pairs.where(" and ".join(f"`{c}` is not null" for c in (group, left, right)))
+    rows = scratch.cut(rows.select(F.col(group).alias("g_"), F.col(left).alias("l_"), F.col(right).alias("r_"), order.alias("o_")).distinct())
+    taken = None
+    while True:
+        first = lambda side: rows.groupBy("g_", side).agg(F.min("o_").alias("o_"))  # noqa: E731, B023
+        both = scratch.cut(rows.join(first("l_"), ["g_", "l_", "o_"], "left_semi").join(first("r_"), ["g_", "r_", "o_"], "left_semi").select("g_", "l_", "r_"))
+        taken = both if taken is None else taken.union(both)
+        rest = scratch.cut(rows.join(both.select("g_", "l_"), ["g_", "l_"], "left_anti").join(both.select("g_", "r_"), ["g_", "r_"], "left_anti").select("g_", "l_", "r_", "o_"))
+        scratch.drop(rows)
+        rows = rest
+        if rows.isEmpty():
+            return taken.toDF(group, left, right)
+
+
+def match_candidates(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """(utility_id, want, got, stage, overlap): pairs of a utility and class whose names are equal (stage 0), one inside the other (1) or share two words or more (2), of equal stages with less overlap the larger first.
+
+    wanted, found: utility_id, id, name, customer_class; names are compared without case and punctuation. Pairs of one
+    utility and class are joined, which are its own few tariffs.
+    """
+    one = lambda df, name: df.select("utility_id", "customer_class", F.col("id").alias(name), plain_name(F.col("name")).alias(f"{name}_name"))
+    pairs = one(wanted, "want").join(one(found, "got"), ["utility_id", "customer_class"])
+    a, b = F.col("want_name"), F.col("got_name")
+    overlap = F.size(F.array_intersect(F.split(a, " "), F.split(b, " ")))
+    stage = F.when(a == b, 0).when(F.contains(a, b) | F.contains(b, a), 1).when(overlap >= 2, 2)
+    return pairs.select("utility_id", "want", "got", stage.alias("stage"), F.when(stage == 2, -overlap).otherwise(0).alias("overlap")).where("stage is not null")
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_l, used_r, out = set(), set(), []
-        for g, a, b in pdf.sort_values([*rank, left, right])[[group, left, right]].itertuples(index=False):
-            if a not in used_l and b not in used_r:
-                used_l.add(a)
-                used_r.add(b)
-                out.append((g, a, b))
-        return pd.DataFrame(out, columns=[group, left, right])
+def keep_richest(rows: DataFrame, keys: list[str], components: str, position: str) -> DataFrame:
+    """Of rows with equal keys the one with most components, of equal ones the first by position; null keys are equal, null components fewest."""
+    from wattgrid.operators.relational import latest
 
-    return pairs.groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, `{left}` {kinds[left]}, `{right}` {kinds[right]}")
+    return latest(rows, keys, [F.col(components).desc_nulls_last(), F.col(position).asc_nulls_last()])
 
 
+def near_prefixes(rows: DataFrame, group: list[str], id_col: str, name_col: str, least_suffix: int = 4) -> DataFrame:
+    """(group, id, of): names of a group that equal an earlier id's name, or go on after another's with least_suffix characters or more (blanks around them not counted); of: the smallest such id.
+
+    Names are met with their own beginnings by equality. Names are compared without case and punctuation; empty ones, and
+    rows with a null in the group, are left out.
+    """
+    names = rows.select(*group, F.col(id_col).alias("id"), plain_name(F.col(name_col)).alias("n_")).where("n_ <> ''")
+    whole = names.groupBy(*group, "n_").agg(F.min("id").alias("of"))
+    size = F.char_length("n_")
+    starts = names.select(*group, "id", F.col("n_").alias("long_"), F.explode(F.transform(F.sequence(F.lit(1), size), lambda k: F.substring(F.col("n_"), F.lit(1), k))).alias("n_"))
+    suffix = F.char_length(F.trim(F.expr("substring(long_, char_length(n_) + 1)")))
+    hits = starts.join(whole, [*group, "n_"]).where(((F.col("long_") == F.col("n_")) & (F.col("of") < F.col("id"))) | (suffix >= least_suffix))
+    return hits.groupBy(*group, "id").agg(F.min("of").alias("of"))
+
+
+def purge(tariffs: DataFrame, sources: DataFrame, domains: DataFrame, url: str = "source_url") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(gone, kept, sources): tariffs from blocked domains, with the domain; the others; and the sources, where those of affected utilities have the status CHANGED."""
+    from wattgrid.operators.resolve import blocked
+
+    judged = blocked(tariffs, url, domains)
+    gone = judged.where("is_blocked").withColumn("domain", host(F.col(url))).drop("is_blocked")
+    hit = gone.select("utility_id").distinct().withColumn("hit_", F.lit(True))
+    flagged = sources.join(hit, "utility_id", "left").withColumn("status", F.when(F.col("hit_"), "CHANGED").otherwise(F.col("status"))).drop("hit_")
+    return gone, judged.where("not is_blocked").drop("is_blocked"), flagged
 
 
 def sweep(candidates: dict[str, DataFrame], rows: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -126,23 +191,54 @@ def insert_missing_sources(utilities: DataFrame, sources: DataFrame, urls: DataF
 
 
 def merge_new_names(existing: DataFrame, extra: DataFrame, group: str, name: str, order: str) -> DataFrame:
-    """Extra candidates whose plain name neither begins an existing or earlier one's name in their group nor begins with it."""
-    from wattgrid.functions.text import plain_name
+    """Extra candidates, in their order, whose plain name neither begins an existing or accepted name of their group nor begins with one; rejected ones stand in nobody's way.
 
-    e = existing.select(group, plain_name(F.col(name)).alias("other"), F.lit(-1).cast("long").alias("at"))
-    x = extra.withColumn("_plain", plain_name(F.col(name))).withColumn("_at", F.col(order).cast("long"))
-    others = e.unionByName(x.select(group, F.col("_plain").alias("other"), F.col("_at").alias("at")))
-    clash = (F.col("o.at") < F.col("x._at")) & (F.startswith(F.col("x._plain"), F.col("o.other")) | F.startswith(F.col("o.other"), F.col("x._plain")))
-    hits = x.alias("x").join(others.alias("o"), [F.col(f"x.{group}") == F.col(f"o.{group}"), clash], "left_anti")
-    return hits.select(*[F.col(f"x.`{c}`") for c in extra.columns])
+    Clashes are found by equality of names with beginnings of names. In each round candidates that clash with an accepted
+    one go, and those without an undecided clash before them are accepted. Order is unique in a group.
+    """
+    scratch = Scratch(extra.sparkSession, "new-names")
+    begin = lambda n: F.explode(F.transform(F.sequence(F.lit(0), F.char_length(n)), lambda k: F.substring(n, F.lit(1), k)))
+    x = scratch.cut(extra.select(F.col(group).alias("g_"), F.col(order).alias("at_"), F.coalesce(plain_name(F.col(name)), F.lit("")).alias("n_")))
+    e = existing.select(F.col(group).alias("g_"), F.coalesce(plain_name(F.col(name)), F.lit("")).alias("n_")).distinct()
+
+    def clashes(a: DataFrame, b: DataFrame) -> DataFrame:
+        """(g_, at_) of a beside the columns of b whose name begins one's of a, or the other way round."""
+        up = a.select("g_", "at_", begin(F.col("n_")).alias("p_")).join(b.withColumnRenamed("n_", "p_"), ["g_", "p_"])
+        down = a.withColumnRenamed("n_", "p_").join(b.withColumn("p_", begin(F.col("n_"))).drop("n_"), ["g_", "p_"])
+        return up.drop("p_").unionByName(down.drop("p_"))
+
+    left = scratch.cut(x.join(clashes(x, e).distinct(), ["g_", "at_"], "left_anti").select("g_", "at_", "n_"))
+    waits = clashes(left, left.withColumnRenamed("at_", "before_")).where("before_ < at_").distinct()
+    waits, accepted = scratch.cut(waits), None
+    left = left.select("g_", "at_")
+    while True:
+        new = scratch.cut(left.join(waits, ["g_", "at_"], "left_anti"))
+        accepted = new if accepted is None else accepted.union(new)
+        gone = waits.join(new.withColumnRenamed("at_", "before_"), ["g_", "before_"], "left_semi").select("g_", "at_").distinct()
+        left = scratch.cut(left.join(new.union(gone), ["g_", "at_"], "left_anti"))
+        if left.isEmpty():
+            break
+        open_ = left.withColumnRenamed("at_", "before_")
+        waits = scratch.cut(waits.join(left, ["g_", "at_"], "left_semi").join(open_, ["g_", "before_"], "left_semi").select("g_", "at_", "before_"))
+    taken = accepted.select(F.col("g_").alias(group), F.col("at_").alias(order))
+    return extra.join(taken, [group, order], "left_semi").select(*extra.columns)
+
+
+def same_names(names: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, b): distinct names of names (keys, a) and (keys, b) that describe one product, by likely_same; given as rows (keys, side, name).
+
+    Each pair of distinct names is compared once, however many rows have them.
+    """
+    one = lambda side: names.where(F.col("side") == side).select(*keys, F.col("name").alias(side)).distinct()
+    return one("a").join(one("b"), keys).where(likely_same(F.col("a"), F.col("b")))
 
 
 def supersede(seeds: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """(id, fresh_id): seed rows that a fresh row of the same keys describes too, by likely_same over names."""
-    from wattgrid.functions.text import likely_same
-
-    pairs = seeds.select(*keys, "id", F.col("name").alias("a")).join(fresh.select(*keys, F.col("id").alias("fresh_id"), F.col("name").alias("b")), keys)
-    return pairs.where(likely_same(F.col("a"), F.col("b"))).groupBy("id").agg(F.min("fresh_id").alias("fresh_id"))
+    """(id, fresh_id): seed rows that a fresh row of the same keys describes too, by likely_same over their names; the smallest such row."""
+    sides = seeds.select(*keys, F.lit("a").alias("side"), "name").union(fresh.select(*keys, F.lit("b").alias("side"), "name"))
+    first = fresh.groupBy(*keys, F.col("name").alias("b")).agg(F.min("id").alias("fresh_id"))
+    met = same_names(sides, keys).join(first, [*keys, "b"]).groupBy(*keys, "a").agg(F.min("fresh_id").alias("fresh_id"))
+    return seeds.select(*keys, "id", F.col("name").alias("a")).join(met, [*keys, "a"]).select("id", "fresh_id")
 
 
 def nearest_components(pairs: DataFrame, group: list[str]) -> DataFrame:

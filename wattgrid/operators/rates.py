@@ -65,6 +65,28 @@ def explode_components(records: DataFrame, id_col: str = "id") -> DataFrame:
     return out
 
 
+def load_records(records: DataFrame, utilities: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tariffs, components, rejects) of bulk records, as normalize_bulk gives them; known: labels that are loaded already, so that repeating a load adds nothing.
+
+    Records need a customer class, a utility (by number or name) and at least one component; rejects hold the label and
+    the first of these reasons. Of records with equal labels one is loaded; records without a label are rejected too.
+    """
+    from wattgrid.operators.resolve import resolve_utilities
+
+    rows = records.dropDuplicates(["label"])
+    owner = resolve_utilities(rows.select("label", "eiaid", "utility"), utilities).select("label", "utility_id")
+    parts = explode_components(rows, "label")
+    loaded = known.select("label").distinct().withColumn("known_", F.lit(True))
+    n = parts.groupBy("label").agg(F.count("*").alias("n_components"))
+    rows = rows.join(owner, "label", "left").join(loaded, "label", "left").join(n, "label", "left")
+    reason = F.when(F.col("label").isNull(), "no id").when(F.col("known_"), "known").when(F.col("customer_class").isNull(), "no class").when(F.col("utility_id").isNull(), "no utility").when(F.coalesce("n_components", F.lit(0)) == 0, "no components")
+    has_demand = F.col("demandstructure").isNotNull() | F.col("flatdemandstructure").isNotNull()
+    kind = stored_type(rate_type(F.col("energyratestructure"), F.col("energyweekdayschedule"), has_demand))
+    rows = rows.withColumns({"reason": reason, "rate_type": kind})
+    tariffs = rows.where("reason is null").select("label", "utility_id", "customer_class", "rate_type")
+    return tariffs, parts.join(tariffs.select("label"), "label", "left_semi"), rows.where("reason is not null").select("label", "reason")
+
+
 def validate(tariffs: DataFrame, components: DataFrame, bounds: DataFrame, valid_classes: list[str] = CLASSES, valid_types: list[str] = RATE_TYPES) -> DataFrame:
     """tariffs (id, name, customer_class, rate_type, state) with issues (array), valid and needs_review.
 

@@ -89,3 +89,44 @@ def best_span(rows: DataFrame, key: str, position: str, score: Column, width: in
     w = Window.partitionBy(key).orderBy(position).rowsBetween(0, width - 1)
     sums = rows.select(key, F.col(position).alias("first"), F.sum(score).over(w).alias("score"))
     return sums.groupBy(key).agg(F.max(F.struct("score", (-F.col("first")).alias("neg"))).alias("m")).select(key, (-F.col("m.neg")).alias("first"), F.col("m.score").alias("score"))
+
+
+def browse_tariffs(
+    tariffs: DataFrame, utilities: DataFrame, components: DataFrame, country: str | None = None, state: str | None = None, utility_id: int | None = None,
+    utility_search: str | None = None, customer_class: str | None = None, rate_type: str | None = None, offset: int = 0, limit: int = 50,
+) -> tuple[DataFrame, DataFrame]:
+    """(page, total): tariffs of active utilities that pass the filters given, with their component counts, by country, state, utility, class, name and id; a utility_id goes before a search."""
+    u = utilities.where("is_active")
+    for column, value in (("country", country), ("state", state)):
+        if value:
+            u = u.where(F.col(column) == value)
+    if utility_id:
+        u = u.where(F.col("id") == utility_id)
+    elif utility_search:
+        u = u.where(F.col("name").ilike(f"%{utility_search}%"))
+    t = tariffs
+    for column, value in (("customer_class", customer_class), ("rate_type", rate_type)):
+        if value:
+            t = t.where(F.col(column) == value)
+    rows = t.join(u.select(F.col("id").alias("utility_id"), F.col("name").alias("utility"), "country", "state"), "utility_id")
+    page = browse(rows, [], [F.col(c) for c in ("country", "state", "utility", "customer_class", "name", "id")], offset, limit)
+    return with_counts(page, components, "id", "tariff_id", n_components=F.lit(True)), rows.agg(F.count("*").alias("total"))
+
+
+def capped(rows: DataFrame, keys: list[str], order: list[Column], caps: dict[int, int], level: str = "level") -> DataFrame:
+    """The first rows of each key and level, as many as caps allows the level; the caps are the budget of a crawl."""
+    most = F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col(level))
+    place = F.row_number().over(Window.partitionBy(*keys, level).orderBy(*order))
+    return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
+def audit_summary(audits: DataFrame) -> DataFrame:
+    """(what, name, n, pct) of audits (utility_id, grade, issues: array of severity and type): utilities by grade, issues by severity and type, utilities without fault and their share, and those that need attention with their issues."""
+    none = F.lit(None).cast("double").alias("pct")
+    grades = audits.groupBy(F.col("grade").alias("name")).agg(F.count("*").alias("n")).select(F.lit("grade").alias("what"), "name", "n", none)
+    issues = audits.select(F.explode("issues").alias("i"))
+    kinds = [issues.groupBy(F.coalesce(F.col("i")[k], F.lit(other)).alias("name")).agg(F.count("*").alias("n")).select(F.lit(k).alias("what"), "name", "n", none) for k, other in (("severity", "medium"), ("type", "other"))]
+    perfect = F.count_if(F.col("grade") == "A")
+    best = audits.agg(F.lit("perfect").alias("what"), F.lit("A").alias("name"), perfect.alias("n"), F.round(100.0 * perfect / F.nullif(F.count("*"), F.lit(0)), 1).cast("double").alias("pct"))
+    poor = audits.where("grade in ('C', 'D', 'F')").select(F.lit("attention").alias("what"), F.concat_ws(" ", "utility_id", "grade").alias("name"), F.size("issues").cast("long").alias("n"), none)
+    return grades.union(kinds[0]).union(kinds[1]).union(best).union(poor)

@@ -27,26 +27,48 @@ def name_words(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(plain_utility(name), " "), lambda w: (F.length(w) > 2) & ~F.array_contains(common, w)))
 
 
+def contained_names(a: DataFrame, b: DataFrame, gram: int = 5) -> DataFrame:
+    """(a, b): names of a and b (one column each, distinct) one of which contains the other.
+
+    The shorter name's first ``gram`` characters, or all of a shorter one, are among the grams of the longer name, so the
+    join is an equality on grams that is verified, and not a product. Empty and null names are contained in nothing.
+    """
+    a, b = (x.toDF("name").where("name <> ''") for x in (a, b))
+    grams = lambda n: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda k: F.when(F.char_length(n) >= k, F.transform(F.sequence(F.lit(1), F.char_length(n) - k + 1), lambda i: F.substring(n, i, k))).otherwise(F.array().cast("array<string>")))))
+    head = lambda x, name: x.select(F.col("name").alias(name), F.substring("name", 1, gram).alias("gram"))
+    inside = lambda x, name: x.select(F.col("name").alias(name), F.explode(grams(F.col("name"))).alias("gram"))
+    up = head(a, "a").join(inside(b, "b"), "gram").where(F.contains("b", "a"))
+    down = head(b, "b").join(inside(a, "a"), "gram").where(F.contains("a", "b"))
+    return up.select("a", "b").union(down.select("a", "b")).distinct()
+
+
 def resolve_utilities(records: DataFrame, utilities: DataFrame, key: str = "label") -> DataFrame:
     """(key, utility_id, how) by number, exact name, plain name, then containment of plain names either way (the smallest id); records without a match have nulls.
 
-    records: key, eiaid, utility; utilities: id, eia_id, name. The last stage compares only records that are left with names
-    that share a word, so it is an equality join on words and not a product.
+    records: key, eiaid, utility; utilities: id, eia_id, name. The last stage compares the distinct names that are left.
     """
     u = utilities.select(F.col("id").alias("uid"), "eia_id", F.col("name").alias("uname"), plain_utility(F.col("name")).alias("uplain"))
     r = records.select(key, "eiaid", "utility", plain_utility(F.col("utility")).alias("plain"))
-    first = lambda on, how: r.join(u, on).groupBy(key).agg(F.min("uid").alias(how))
-    out = r.join(first(F.col("eiaid") == F.col("eia_id"), "number"), key, "left").join(first(F.col("utility") == F.col("uname"), "name"), key, "left")
-    out = out.join(first((F.col("plain") == F.col("uplain")) & (F.col("plain") != ""), "same"), key, "left")
-    left = out.where("coalesce(number, name, same) is null and plain <> ''")
-    words = left.select(key, "plain", F.explode(F.array_distinct(F.split("plain", " "))).alias("word"))
-    uwords = u.where("uplain <> ''").select("uid", "uplain", F.explode(F.array_distinct(F.split("uplain", " "))).alias("word"))
-    holds = F.contains(F.col("plain"), F.col("uplain")) | F.contains(F.col("uplain"), F.col("plain"))
-    out = out.join(words.join(uwords, "word").where(holds).groupBy(key).agg(F.min("uid").alias("inside")), key, "left")
+    least = lambda c: u.groupBy(c).agg(F.min("uid").alias("m"))
+    out = r.join(least("eia_id").toDF("eiaid", "number"), "eiaid", "left").join(least("uname").toDF("utility", "name"), "utility", "left")
+    out = out.join(least("uplain").where("uplain <> ''").toDF("plain", "same"), "plain", "left")
+    left = out.where("coalesce(number, name, same) is null").select("plain").distinct()
+    near = contained_names(left, u.select("uplain").distinct()).join(least("uplain").toDF("b", "m"), "b").groupBy(F.col("a").alias("plain")).agg(F.min("m").alias("inside"))
+    out = out.join(near, "plain", "left")
     how = F.when(F.col("number").isNotNull(), "number").when(F.col("name").isNotNull(), "name").when(F.col("same").isNotNull(), "plain").when(F.col("inside").isNotNull(), "inside")
     return out.select(key, F.coalesce("number", "name", "same", "inside").alias("utility_id"), how.alias("how"))
 
 
+def territory_owners(territories: DataFrame, utilities: DataFrame) -> DataFrame:
+    """(territory_id, utility_id) by name without regard to case; else the first utility, by id, whose name contains the territory's; null without one."""
+    t = territories.select(F.col("id").alias("territory_id"), F.lower("name").alias("low"))
+    u = utilities.groupBy(F.lower("name").alias("ulow")).agg(F.min("id").alias("uid"))
+    exact = t.join(u, t.low == u.ulow, "left").select("territory_id", "low", F.col("uid").alias("same"))
+    wanted = exact.where("same is null").select("low").distinct()
+    holds = contained_names(wanted, u.select("ulow")).where(F.contains("b", "a")).join(u, F.col("b") == F.col("ulow")).groupBy(F.col("a").alias("low")).agg(F.min("uid").alias("near"))
+    return exact.join(holds, "low", "left").select("territory_id", F.coalesce("same", "near").alias("utility_id"))
+
+
 def missing_utilities(found: DataFrame, known: DataFrame) -> DataFrame:
     """Found names that are no known utility's, exactly or plain (where both plain names are over six characters long)."""
     f = found.select("name", F.lower("name").alias("low"), plain_utility(F.col("name")).alias("plain"))
@@ -76,7 +98,7 @@ def own_domain(results: DataFrame, names: DataFrame, domains: DataFrame) -> Data
     return rows.where(fits).groupBy("utility_id").agg(F.min_by(X.host(F.col("url")), "position").alias("host"))
 
 
-def score_results(results: DataFrame, states: list[str]) -> DataFrame:
+def score_results(results: DataFrame, states: dict[str, str]) -> DataFrame:
     """results (url, title, description, domain, utility, state, is_blocked) with a score: weighted hits in path, title and description; -999 for blocked hosts and comparison pages."""
     url, p, text = F.col("url"), F.lower(X.path(F.col("url"))), F.lower(F.concat_ws(" ", "title", "description"))
     points = lambda hit, n: F.when(F.coalesce(hit, F.lit(False)), n).otherwise(0)
@@ -91,15 +113,35 @@ def score_results(results: DataFrame, states: list[str]) -> DataFrame:
     words = name_words(F.col("utility"))
     hits = F.size(F.filter(words, lambda w: F.contains(text, w)))
     score = score + F.when(F.size(words) == 0, 0).when(hits >= 2, 25).when((hits == 1) & (F.size(words) <= 2), 15).when(hits == 0, -10).otherwise(0)
-    score = score + points(X.is_homepage(url), -30) + points(wrong_state(url, F.col("state"), states), -40) + points(F.lower(F.concat_ws(" ", url, "title", "description")).rlike("cancel+ed|superseded|historical|archived?"), -50)
+    score = score + points(X.is_explainer(url, F.col("title")), -30) + points(X.is_homepage(url), -30) + points(wrong_state(url, F.col("state"), states), -40) + points(X.is_superseded(url, F.concat_ws(" ", "title", "description")), -50)
     return results.withColumn("score", F.when(F.col("is_blocked") | X.is_comparison_page(url, F.col("title")), -999).otherwise(score))
 
 
-def wrong_state(url: Column, state: Column, states: list[str]) -> Column:
-    """Whether the host's labels or the path's parts name another state's two-letter code and not the given one."""
-    parts = F.filter(F.split(F.lower(F.concat(X.host(url), X.path(url))), r"[./]"), lambda x: F.length(x) == 2)
-    codes = F.array_intersect(parts, F.array(*[F.lit(s.lower()) for s in states]))
-    return (F.size(codes) > 0) & ~F.array_contains(codes, F.lower(state))
+def ranked_results(results: DataFrame, states: dict[str, str]) -> DataFrame:
+    """results with their score and place in their utility's list (utility_id): best score first, of equal ones the earlier result (position); blocked ones are left out."""
+    scored = score_results(results, states).where("score > -999")
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy("utility_id").orderBy(F.desc("score"), "position")))
+
+
+def wrong_state(url: Column, state: Column, states: dict[str, str]) -> Column:
+    """Whether a url names another state than the given one: by a two-letter code that is a whole path part or host label, or by a full name between separators.
+
+    states: full names by code. A url that also spells out the given state's name is not wrong by names; without a known state nothing is.
+    """
+    code = F.coalesce(
+        F.when(F.length(F.trim(state)) == 2, F.lower(F.trim(state))),
+        F.element_at(F.create_map(*[F.lit(x) for c, name in states.items() for x in (name.replace(" ", ""), c.lower())]), F.regexp_replace(F.lower(F.trim(state)), "[ -]", "")),
+    )
+    labels = F.split(F.lower(X.host(url)), r"\.")
+    tokens = F.concat(F.split(F.lower(X.path(url)), "/"), F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0))))
+    codes = F.array(*[F.lit(c.lower()) for c in states])
+    other = F.size(F.filter(F.array_intersect(tokens, codes), lambda c: c != code)) > 0
+    spelt = lambda name: F.lower(url).rlike(rf"(?:^|[/\-_.]){name.lower().replace(' ', '-')}(?:$|[/\-_.])")
+    named, own = F.lit(False), F.lit(False)
+    for c, name in states.items():
+        named = named | ((code != c.lower()) & spelt(name))
+        own = own | ((code == c.lower()) & spelt(name))
+    return F.coalesce(other | (named & ~own), F.lit(False))
 
 
 def url_rewrites(sources: DataFrame, paths: list[str]) -> DataFrame:
@@ -114,11 +156,13 @@ def url_rewrites(sources: DataFrame, paths: list[str]) -> DataFrame:
     return rows.groupBy("source_id", "url").agg(F.min("prio").alias("prio"))
 
 
-def foreign_names(tariffs: DataFrame, markers: DataFrame) -> DataFrame:
-    """tariffs (id, name, utility) with foreign: the first marker (marker, owner) in the name belongs to another utility. markers is a short fixed table."""
-    hits = tariffs.join(F.broadcast(markers), F.contains(F.lower("name"), F.col("marker")))
-    first = hits.groupBy("id").agg(F.min_by("owner", F.struct(F.expr("instr(lower(name), marker)"), F.col("marker"))).alias("owner"))
-    return tariffs.join(first, "id", "left").withColumn("foreign", F.coalesce(~F.contains(F.lower("utility"), F.col("owner")), F.lit(False))).drop("owner")
+def foreign_names(tariffs: DataFrame, markers: list[str]) -> DataFrame:
+    """tariffs (id, name, utility) with foreign: the first marker of the list that the name holds is no part of the utility's name. The list is short and fixed, so it is part of the expression."""
+    name, utility = F.lower(F.coalesce("name", F.lit(""))), F.lower("utility")
+    held = F.lit(None)
+    for m in reversed(markers):
+        held = F.when(name.contains(m), m).otherwise(held)
+    return tariffs.withColumn("foreign", F.coalesce(~F.contains(utility, held), F.lit(False)))
 
 
 def identity_verdict(pages: DataFrame, least_share: float = 0.5) -> DataFrame:

@@ -2,44 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattgrid.functions import lists as L
 from wattgrid.functions import text as X
 from wattgrid.operators import changes, geo, rates
 from wattgrid.operators import relational as R
-from wattgrid.plans.adaptors import SQL, Tables
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-AS_OF = "2001-08-01"
-
-
-def query(sql: str | None):
-    """Registers a function of Tables under its name, with SQL that follows the views of the tariff schema."""
-
-    def add(f: Callable[[Tables], DataFrame]):
-        def run(spark: SparkSession, folder: str) -> DataFrame:
-            out = f(Tables(spark, folder))
-            return out.withColumns({c: F.col(c).cast("double") for c, kind in out.dtypes if kind.startswith("decimal")})
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLES[f.__name__] = f"with {SQL}{',' if sql.lstrip().startswith('+') else ''}\n{sql.lstrip().removeprefix('+')}"
-        return f
-
-    return add
-
+from wattgrid.plans.adaptors import Tables
+from wattgrid.registry import AS_OF, ORACLES, QUERIES, query  # noqa: F401
 
 # Browsing
 
 
-@query("""select u.id, u.name, u.state, u.country, count(t.id) as n_tariffs from utilities u left join tariffs t on t.utility_id = u.id where u.is_active and u.state ilike '%an%' group by all""")
+@query("""
+    select u.id, u.name, u.state, u.country, count(t.id) as n_tariffs from utilities u left join tariffs t on t.utility_id = u.id
+    where u.is_active and u.country = 'ASIA' and u.state ilike '%n_1%' and u.name ilike '%5%' group by all order by u.name, u.id limit 20 offset 2""")
 def utility_list(t: Tables) -> DataFrame:
-    rows = t.utilities.where(F.col("is_active") & F.col("state").ilike("%an%")).select("id", "name", "state", "country")
-    return R.with_counts(rows, t.tariffs, "id", "utility_id", n_tariffs=F.lit(True))
+    """A page of active utilities by name, with a country and parts of state and name given."""
+    filters = [F.col("is_active"), F.col("country") == "ASIA", F.col("state").ilike("%n_1%"), F.col("name").ilike("%5%")]
+    page = R.browse(t.utilities.select("id", "name", "state", "country", "is_active"), filters, [F.col("name"), F.col("id")], 2, 20)
+    return R.with_counts(page.drop("is_active"), t.tariffs, "id", "utility_id", n_tariffs=F.lit(True))
 
 
 @query("""select id, name, country, (select count(*) from tariffs t where t.utility_id = u.id) as n_tariffs from utilities u where id = (select min(utility_id) from tariffs)""")
@@ -49,7 +32,8 @@ def utility_detail(t: Tables) -> DataFrame:
     return R.with_counts(rows, t.tariffs, "id", "utility_id", n_tariffs=F.lit(True))
 
 
-@query("""select t.id, t.name, u.name as utility, u.state, t.customer_class, cast(coalesce(c.n, 0) as bigint) as n_components
+@query("""
+    select t.id, t.name, u.name as utility, u.state, t.customer_class, cast(coalesce(c.n, 0) as bigint) as n_components
     from tariffs t join utilities u on u.id = t.utility_id left join (select tariff_id, count(*) n from components group by 1) c on c.tariff_id = t.id
     where u.country = 'EUROPE' and t.rate_type = 'O'""")
 def tariff_browse(t: Tables) -> DataFrame:
@@ -58,6 +42,29 @@ def tariff_browse(t: Tables) -> DataFrame:
     return R.with_counts(rows, t.components, "id", "tariff_id", n_components=F.lit(True))
 
 
+BROWSED = """+ b as (
+        select t.id, t.name, u.name as utility, u.country, u.state, t.customer_class, t.utility_id, t.rate_type from tariffs t join utilities u on u.id = t.utility_id where u.is_active),
+    n as (select tariff_id, count(*) as n from components group by 1)
+    select b.id, b.name, utility, cast(coalesce(n, 0) as bigint) as n_components, total
+    from (select *, count(*) over () as total from b where {} order by country, state, utility, customer_class, name, id limit 40 offset 5) b left join n on tariff_id = b.id"""
+
+
+def _browsed(t: Tables, **filters) -> DataFrame:
+    page, total = R.browse_tariffs(t.tariffs, t.utilities, t.components, offset=5, limit=40, **filters)
+    return page.crossJoin(total).select("id", "name", "utility", "n_components", "total")
+
+
+@query(BROWSED.format("country = 'EUROPE' and utility ilike '%1%' and customer_class = '1-URGENT' and rate_type = 'O'"))
+def tariff_search(t: Tables) -> DataFrame:
+    return _browsed(t, country="EUROPE", utility_search="1", customer_class="1-URGENT", rate_type="O")
+
+
+@query(BROWSED.format("utility_id = 7"))
+def tariffs_by_utility_id(t: Tables) -> DataFrame:
+    """The search counts for nothing beside a utility's id."""
+    return _browsed(t, utility_id=7, utility_search="no such name")
+
+
 @query("""select t.id, t.name, count(*) over () as total from tariffs t join utilities u on u.id = t.utility_id where u.is_active and t.customer_class = '1-URGENT' order by t.name, t.id limit 50 offset 20""")
 def tariff_page(t: Tables) -> DataFrame:
     rows = t.tariffs.where("customer_class = '1-URGENT'").join(t.utilities.where("is_active").select(F.col("id").alias("utility_id")), "utility_id", "left_semi").select("id", "name")
@@ -69,9 +76,9 @@ def tariffs_of_utility(t: Tables) -> DataFrame:
     return R.browse(t.tariffs, [F.col("customer_class") == "2-HIGH", F.col("rate_type") == "F"], [F.col("utility_id"), F.col("id")]).select("utility_id", "id", "name", "rate_type")
 
 
-@query("""select t.id, t.name, string_agg(c.ordinal || ':' || c.component_type, ',' order by c.ordinal, c.component_type) as parts from tariffs t left join components c on c.tariff_id = t.id where t.rate_type = 'P' group by all""")
+@query("""select t.id, t.name, string_agg(c.ordinal || ':' || c.component_type, ',' order by c.ordinal, c.component_type) as parts from tariffs t left join components c on c.tariff_id = t.id group by all""")
 def tariff_detail(t: Tables) -> DataFrame:
-    rows = R.nested(t.tariffs.where("rate_type = 'P'").select("id", "name"), t.components, "id", "tariff_id", ["ordinal", "component_type"], "components")
+    rows = R.nested(t.tariffs.select("id", "name"), t.components, "id", "tariff_id", ["ordinal", "component_type"], "components")
     parts = F.array_join(F.transform("components", lambda c: F.concat(c["ordinal"].cast("string"), F.lit(":"), c["component_type"])), ",")
     return rows.select("id", "name", F.nullif(parts, F.lit("")).alias("parts"))
 
@@ -82,10 +89,14 @@ def filter_tree(t: Tables) -> DataFrame:
     return states.groupBy("country").agg(F.count("state").alias("states"), F.sum("n").alias("utilities"), F.min("first_name").alias("first_name"))
 
 
-@query("""select distinct country, state, case when country = 'AMERICA' then 0 else 1 end as place from utilities where state <> 'FRANCE'""")
+@query("""
+    select row_number() over (order by case when country = 'AMERICA' then 0 else 1 end, country, state) as place, country, state
+    from (select distinct country, state from utilities where state <> 'NATION_13')""")
 def facet_lists(t: Tables) -> DataFrame:
-    place = F.when(F.col("country") == "AMERICA", 0).otherwise(1)
-    return t.utilities.where("state <> 'FRANCE'").select("country", "state", place.alias("place")).distinct()
+    """Countries and states to choose from, one country before the others and without the state that stands for unknown."""
+    rows = t.utilities.where("state <> 'NATION_13'").select("country", "state").distinct()
+    first = F.when(F.col("country") == "AMERICA", 0).otherwise(1)
+    return rows.select(F.row_number().over(Window.orderBy(first, "country", "state")).cast("long").alias("place"), "country", "state")  # a row per state
 
 
 @query("""select id, name, cast(last_verified as varchar) as verified, amount > 100000 as approved from tariffs where last_verified is not null""")
@@ -98,10 +109,13 @@ def check_queue(t: Tables) -> DataFrame:
     return t.checks.orderBy(F.col("checked_us").asc_nulls_first(), "id").limit(100).select("id", "source_id", "checked_us")
 
 
-@query("""+ failed as (select distinct source_id from checks where failed), done as (select distinct source_id from checks where content_hash = 'purchase')
-    select source_id from failed where source_id not in (select source_id from done)""")
+@query("""+ done as (select distinct source_id, props from checks where content_hash = 'purchase')
+    select source_id, props as url from (select distinct source_id, props from checks where failed) anti join done using (source_id, props) order by source_id, url limit 50""")
 def unattempted_errors(t: Tables) -> DataFrame:
-    return R.without(t.checks.where("failed").select("source_id").distinct(), t.checks.where("content_hash = 'purchase'").select("source_id").distinct(), "source_id")
+    """The first 50 pages in error that no action was taken on."""
+    page = ["source_id", F.col("props").alias("url")]
+    failed, done = t.checks.where("failed").select(*page).distinct(), t.checks.where("content_hash = 'purchase'").select(*page)
+    return R.browse(R.without(failed, done, ["source_id", "url"]), [], [F.col("source_id"), F.col("url")], 0, 50)
 
 
 @query("""select id, 'missing' as target from utilities u where is_active and not exists (select 1 from tariffs t where t.utility_id = u.id)
@@ -134,17 +148,30 @@ def component_sections(t: Tables) -> DataFrame:
     return t.components.groupBy("tariff_id", F.coalesce(F.nullif(F.trim(season), F.lit("")), F.lit("All Seasons")).alias("season"), section.alias("section")).agg(F.count("*").alias("parts"), F.max("rate_value").alias("top"))
 
 
-@query("""+ b(batch, state) as (values ('west', 'CANADA'), ('west', 'UNITED STATES'), ('east', 'CHINA'), ('east', 'JAPAN'))
-    select batch, id, name from b join utilities u using (state) where is_active""")
+BATCHES = {name: [f"NATION_{k}" for k in range(i, 25, 15)] for i, name in enumerate(L.STATE_BATCHES)}
+
+
+@query(f"""+ b(batch, state) as (values {", ".join(f"('{b}', '{s}')" for b, states in BATCHES.items() for s in states)})
+    select batch, id, name, row_number() over (partition by batch order by state, name, id) as place from b join utilities u using (state) where is_active""")
 def region_batches(t: Tables) -> DataFrame:
-    groups = t.spark.createDataFrame([("west", "CANADA"), ("west", "UNITED STATES"), ("east", "CHINA"), ("east", "JAPAN")], "batch string, state string")
-    return t.utilities.where("is_active").join(F.broadcast(groups), "state").select("batch", "id", "name")
+    """Utilities of each named batch of states in the order in which they are worked through."""
+    groups = t.spark.createDataFrame([(b, s) for b, states in BATCHES.items() for s in states], "batch string, state string")
+    rows = t.utilities.where("is_active").join(F.broadcast(groups), "state")  # a row per state
+    return rows.select("batch", "id", "name", F.row_number().over(Window.partitionBy("batch").orderBy("state", "name", "id")).cast("long").alias("place"))
 
 
-@query("""+ q(template) as (values ('%s electric rates'), ('%s tariff')) select id, replace(template, '%s', lower(name)) as search from utilities cross join q where is_active""")
+@query(r"""+ q(template) as (values ('{name} electric rates {state}'), ('{name} tariff')), c as (
+        select id, state, lower(regexp_replace(name, '(?i)[\s,]+(inc|llc|co|corp|corporation|company|ltd|limited)\.?$', '')) as name
+        from (select id, state, name || case id % 3 when 0 then ', Inc.' when 1 then ' Company' else '' end as name from utilities where is_active))
+    select id, replace(replace(template, '{name}', regexp_replace(name, '[^a-z0-9\s]', '', 'g')), '{state}', state) as search from c cross join q""")
 def search_queries(t: Tables) -> DataFrame:
-    templates = t.spark.createDataFrame([("%s electric rates",), ("%s tariff",)], "template string")
-    return t.utilities.where("is_active").crossJoin(F.broadcast(templates)).select("id", F.replace("template", F.lit("%s"), F.lower("name")).alias("search"))
+    """Every template filled in with each utility's name, without corporate suffix, and state."""
+    from wattgrid.operators.resolve import plain_utility
+
+    suffix = F.get(F.array(F.lit(", Inc."), F.lit(" Company"), F.lit("")), (F.col("id") % 3).cast("int"))
+    templates = t.spark.createDataFrame([("{name} electric rates {state}",), ("{name} tariff",)], "template string")
+    rows = t.utilities.where("is_active").withColumn("plain", plain_utility(F.concat("name", suffix))).crossJoin(F.broadcast(templates))
+    return rows.select("id", F.replace(F.replace("template", F.lit("{name}"), F.col("plain")), F.lit("{state}"), F.col("state")).alias("search"))
 
 
 # Monitoring
@@ -171,9 +198,11 @@ def error_categories(t: Tables) -> DataFrame:
     return rows.groupBy(X.error_category(F.col("message"), F.col("url")).alias("category")).agg(F.count("*").alias("checks"), F.count_distinct("source_id").alias("sources"))
 
 
-@query("""select source_id, count(*) as total from checks where id % 3 = 0 group by 1 having count(*) = count(*) filter (content_hash in ('error', 'view'))""")
+@query("""select source_id // 2 as site, checked_us // 21600000000 as quarter, count(*) as total from checks group by 1, 2 having count(*) = count(*) filter (content_hash in ('error', 'view'))""")
 def dead_sources(t: Tables) -> DataFrame:
-    return R.all_children_match(t.checks.where("id % 3 = 0"), "source_id", F.col("content_hash").isin("error", "view"))
+    """Sites none of whose checks, of all of a quarter of a day, had another outcome."""
+    site = F.struct(F.floor(F.col("source_id") / 2).alias("site"), F.floor(F.col("checked_us") / 21600000000).alias("quarter"))
+    return R.all_children_match(t.checks.select(site.alias("k"), "content_hash"), "k", F.col("content_hash").isin("error", "view")).select("k.site", "k.quarter", "total")
 
 
 @query("""select source_id, props as url, count(*) as total from checks group by 1, 2 having count(*) = count(*) filter (content_hash in ('error', 'view'))""")
@@ -320,9 +349,12 @@ def verified_share(t: Tables) -> DataFrame:
     return out.withColumn("pct", F.round(100.0 * F.col("verified") / F.nullif("tariffs", F.lit(0)), 1).cast("double"))
 
 
-@query("""select u.id, u.name, l.id as check_id from utilities u left join (select source_id, min(id) as id from checks group by 1) l on l.source_id = u.id where is_active and not exists (select 1 from tariffs t where t.utility_id = u.id)""")
+@query("""
+    select u.id, u.name, l.id as check_id from utilities u left join (select source_id, min(id) as id from checks group by 1) l on l.source_id = u.id
+    where is_active and not exists (select 1 from tariffs t where t.utility_id = u.id and t.rate_type = 'P')""")
 def zero_tariff_utilities(t: Tables) -> DataFrame:
-    u = R.without(t.utilities.where("is_active").select("id", "name"), t.tariffs.select(F.col("utility_id").alias("id")), "id")
+    """Active utilities without a pending tariff, each with its first check."""
+    u = R.without(t.utilities.where("is_active").select("id", "name"), t.tariffs.where("rate_type = 'P'").select(F.col("utility_id").alias("id")), "id")
     return u.join(t.checks.groupBy(F.col("source_id").alias("id")).agg(F.min("id").alias("check_id")), "id", "left")
 
 
@@ -339,14 +371,15 @@ def tier_bounds(t: Tables) -> DataFrame:
     return rates.tier_bounds(t.components, ["tariff_id", "component_type"], ["ordinal", "tier_max"], "tier_max").select("tariff_id", "ordinal", "tier_max", "tier_min")
 
 
-@query("""+ p as (select p_partkey as id, split_part(p_name, ' ', 1) as stem, lower(p_name) as name from part)
-    select a.id, min(b.id) as longer from p a join p b on a.stem = b.stem and a.id <> b.id and b.name <> a.name and starts_with(b.name, a.name || ' ') group by 1""")
+@query(r"""+ p as (
+        select p_brand as brand, p_partkey as id, trim(lower(p_name || case p_partkey % 4 when 0 then '' when 1 then ' A' when 2 then ' Service' else ' Time-of-Use' end)) as raw from part),
+    n as (select brand, id, trim(regexp_replace(regexp_replace(raw, '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) as name from p)
+    select a.brand, a.id, min(b.id) as of from n a join n b on a.brand = b.brand and a.id <> b.id and starts_with(a.name, b.name) and ((a.name = b.name and b.id < a.id) or length(trim(a.name[length(b.name) + 1:])) >= 4) group by 1, 2""")
 def prefix_duplicates(t: Tables) -> DataFrame:
-    p = t.read("part").select(F.col("p_partkey").alias("id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("stem"), F.lower("p_name").alias("name"))
-    words = F.split("name", " ")
-    starts = p.where(F.size(words) > 1).select("stem", F.col("id").alias("longer"), F.explode(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))).alias("name"))
-    first = starts.groupBy("stem", "name").agg(F.min("longer").alias("longer"))
-    return p.join(first, ["stem", "name"]).select("id", "longer")
+    """Names that repeat another of their brand or go on after it with four characters or more; shorter endings are other rates."""
+    ending = F.get(F.array(F.lit(""), F.lit(" A"), F.lit(" Service"), F.lit(" Time-of-Use")), (F.col("p_partkey") % 4).cast("int"))
+    rows = t.read("part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), F.concat("p_name", ending).alias("name"))
+    return changes.near_prefixes(rows, ["brand"], "id", "name")
 
 
 @query("""select utility_id, state, customer_class, n, least(n, 3) as kept from (select utility_id, customer_class, count(*) n from tariffs group by 1, 2) t join utilities u on u.id = t.utility_id where n > 1""")
@@ -433,10 +466,10 @@ BLOCKED = ["cheap-pills.example.com", "casino-win.example.org", "free-bets.examp
 @query(r"""+ h as (select page_id, regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^www\.', '') as host from pages), b(d) as (values ('cheap-pills.example.com'), ('casino-win.example.org'), ('free-bets.example.com'), ('spam-farm.example.org'))
     select page_id, host from h where exists (select 1 from b where host = d or ends_with(host, '.' || d))""")
 def blocked_pages(t: Tables) -> DataFrame:
-    rows = t.read("pages").select("page_id", X.host(F.col("url")).alias("host"))
-    listed = t.spark.createDataFrame([(d,) for d in BLOCKED], "suffix string")
-    hits = rows.select("page_id", "host", F.explode(X.host_suffixes(F.col("host"))).alias("suffix")).join(F.broadcast(listed), "suffix", "left_semi")
-    return hits.select("page_id", "host").distinct()
+    from wattgrid.operators.resolve import blocked
+
+    listed = t.spark.createDataFrame([(d,) for d in BLOCKED], "domain string")
+    return blocked(t.read("pages"), "url", listed).where("is_blocked").select("page_id", X.host(F.col("url")).alias("host"))
 
 
 @query(r"""select page_id, case when regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) in ('', '/') then true else false end as homepage, contains(url, 'utm_source') as tracked, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path from pages""")
@@ -450,36 +483,19 @@ def page_hash(t: Tables) -> DataFrame:
     return t.read("pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("content_hash"), (F.char_length("html") < 500).alias("thin"))
 
 
-@query(r"""select doc_id, sha256(regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))), '\b\d{1,2}/\d{1,2}/\d{2,4}\b', '', 'g'), '\b\d{4}-\d{2}-\d{2}\b', '', 'g')) as page_hash from documents where lang = 'en'""")
-def normalized_text(t: Tables) -> DataFrame:
-    return t.read("documents").where("lang = 'en'").select("doc_id", F.sha2(X.normalized_page(F.col("text")).cast("binary"), 256).alias("page_hash"))
+NORMALIZED = r"""
+    select doc_id, sha256(regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))), '\b\d{1,2}/\d{1,2}/\d{2,4}\b', '', 'g'), '\b\d{4}-\d{2}-\d{2}\b', '', 'g')) as page_hash
+    from documents"""
 
 
-@query(r"""select doc_id, sha256(regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))), '\b\d{1,2}/\d{1,2}/\d{2,4}\b', '', 'g'), '\b\d{4}-\d{2}-\d{2}\b', '', 'g')) as page_hash from documents""")
-def all_normalized_text(t: Tables) -> DataFrame:
+@query(NORMALIZED)
+def normalized_text(t: Tables) -> DataFrame:
     return t.read("documents").select("doc_id", F.sha2(X.normalized_page(F.col("text")).cast("binary"), 256).alias("page_hash"))
 
 
-@query("""select gate, count(*) as pages from (select case when contains(url, 'spam-farm') then 'blocked' when length(html) < 900 then 'thin' when contains(html, 'tion') then 'sent' else 'no signal' end as gate from pages) group by 1""")
-def page_gate(t: Tables) -> DataFrame:
-    gate = F.when(F.col("url").contains("spam-farm"), "blocked").when(F.char_length("html") < 900, "thin").when(F.col("html").contains("tion"), "sent").otherwise("no signal")
-    return t.read("pages").groupBy(gate.alias("gate")).agg(F.count("*").alias("pages"))
-
-
-@query("""+ s as (select page_id, (case when url like '%/en/%' then 15 else 0 end) + (case when url like 'https%' then 10 else 0 end) - (case when url like '%utm_source%' then 30 else 0 end) + (case when lower(html) like '%for%' then 3 else 0 end) as score, url from pages)
-    select page_id, case when url like '%spam-farm%' then -999 else score end as score from s""")
-def url_scores(t: Tables) -> DataFrame:
-    url, html = F.col("url"), F.lower("html")
-    points = lambda hit, n: F.when(hit, n).otherwise(0)
-    score = points(url.contains("/en/"), 15) + points(url.startswith("https"), 10) - points(url.contains("utm_source"), 30) + points(html.contains("for"), 3)
-    return t.read("pages").select("page_id", F.when(url.contains("spam-farm"), -999).otherwise(score).alias("score"))
-
-
-@query("""+ p as (select page_id, split_part(split_part(url, '://', 2), '/', 1) as host, page_id as rank from pages)
-    select page_id, row_number() over (partition by host order by rank) = 1 as first_of_host from p""")
-def unseen_hosts(t: Tables) -> DataFrame:
-    first = F.row_number().over(Window.partitionBy("host").orderBy("page_id")) == 1
-    return t.read("pages").select("page_id", F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host")).select("page_id", first.alias("first_of_host"))
+@query(NORMALIZED)
+def all_normalized_text(t: Tables) -> DataFrame:
+    return normalized_text(t)
 
 
 @query("""+ o as (select source_id, id, checked_us, row_number() over (partition by source_id order by checked_us, id) rn, case when content_hash = 'view' then 0 else 1 end hit from checks),
@@ -525,36 +541,31 @@ def points_in_territory(t: Tables) -> DataFrame:
     return _inside(t)
 
 
-@query(EDGES_SQL + """, ut as (select u.id, state, country, is_active, (select count(*) from tariffs t where t.utility_id = u.id) n from utilities u), a as (select vec_id as address_id, state, country from embeddings join utilities on id = vec_id + 1 where vec_id % 7 <> 0),
+LOOKUP = EDGES_SQL + """, ut as (select u.id, state, country, is_active, (select count(*) from tariffs t where t.utility_id = u.id) n from utilities u),
+    a as (select vec_id as address_id, state, country, lpad((vec_id * 13 % 1000)::varchar, 5, '0') as zip from embeddings join utilities on id = vec_id + 1),
     poly as (select h.point_id as address_id, o.uid as utility_id from hit h join (values (1, 1), (2, 2), (3, 1)) o(tid, uid) on o.tid = h.territory_id join ut on ut.id = o.uid and is_active join a on a.address_id = h.point_id where a.country = ut.country),
-    code as (select a.address_id, ut.id as utility_id from a join ut on is_active and ut.id % 100 = a.address_id % 100 and ut.id < 300 where a.address_id not in (select address_id from poly)),
+    code as (select distinct a.address_id, ut.id as utility_id from a join ut on is_active and zip in (lpad((ut.id % 1000)::varchar, 5, '0'), lpad(((ut.id + 1) % 1000)::varchar, 5, '0')) where a.address_id not in (select address_id from poly)),
     m as (select address_id, utility_id, 'polygon' as match_method from poly union all select *, 'code' from code),
     s as (select a.address_id, ut.id as utility_id from a join ut on is_active and a.state = ut.state and a.country = ut.country where (a.address_id not in (select address_id from m) or ut.n > 0) and not exists (select 1 from m where m.address_id = a.address_id and m.utility_id = ut.id))
-    select address_id, utility_id, match_method, count(*) as n from (select * from m union all select *, 'state' from s) group by all""")
+    select address_id, utility_id, match_method, count(*) as n from (select * from m union all select *, 'state' from s) group by all"""
+
+
+@query(LOOKUP)
 def address_lookup(t: Tables) -> DataFrame:
+    """All addresses to utilities: by polygon, else by ZIP, then by state."""
     owners = t.spark.createDataFrame([(i, u) for i, u, _ in POLYGONS], "territory_id long, utility_id long")
-    addresses = t.read("embeddings").where("vec_id % 7 <> 0").select(F.col("vec_id").alias("address_id"), (F.col("vec_id") + 1).alias("id")).join(t.utilities, "id").select("address_id", "state", "country")
+    code = lambda n: F.lpad((n % 1000).cast("string"), 5, "0")
+    addresses = t.read("embeddings").select(F.col("vec_id").alias("address_id"), (F.col("vec_id") + 1).alias("id"), code(F.col("vec_id") * 13).alias("zip")).join(t.utilities, "id").select("address_id", "state", "country", "zip")
     polygon = _inside(t).join(F.broadcast(owners), "territory_id").select(F.col("point_id").alias("address_id"), "utility_id")
-    keyed = t.utilities.where("id < 300").select(F.col("id").alias("utility_id"), (F.col("id") % 100).alias("key"))
-    code = addresses.select("address_id", (F.col("address_id") % 100).alias("key")).join(keyed, "key").select("address_id", "utility_id")
+    areas = t.utilities.select(F.col("id").alias("utility_id"), F.array(code(F.col("id")), code(F.col("id") + 1)).alias("zip_codes"))
     utilities = R.with_counts(t.utilities, t.tariffs, "id", "utility_id", n_tariffs=F.lit(True))
-    return geo.lookup(addresses, polygon, code, utilities).groupBy("address_id", "utility_id", "match_method").agg(F.count("*").alias("n"))
+    found = geo.lookup(addresses, polygon, geo.by_zip(addresses, areas), utilities)
+    return found.groupBy("address_id", "utility_id", "match_method").agg(F.count("*").alias("n"))
 
 
-@query(EDGES_SQL + """, ut as (select u.id, state, country, is_active, (select count(*) from tariffs t where t.utility_id = u.id) n from utilities u), a as (select vec_id as address_id, state, country from embeddings join utilities on id = vec_id + 1),
-    poly as (select h.point_id as address_id, o.uid as utility_id from hit h join (values (1, 1), (2, 2), (3, 1)) o(tid, uid) on o.tid = h.territory_id join ut on ut.id = o.uid and is_active join a on a.address_id = h.point_id where a.country = ut.country),
-    code as (select a.address_id, ut.id as utility_id from a join ut on is_active and ut.id % 100 = a.address_id % 100 where a.address_id not in (select address_id from poly)),
-    m as (select address_id, utility_id, 'polygon' as match_method from poly union all select *, 'code' from code),
-    s as (select a.address_id, ut.id as utility_id from a join ut on is_active and a.state = ut.state and a.country = ut.country where (a.address_id not in (select address_id from m) or ut.n > 0) and not exists (select 1 from m where m.address_id = a.address_id and m.utility_id = ut.id))
-    select address_id, utility_id, match_method, count(*) as n from (select * from m union all select *, 'state' from s) group by all""")
+@query(LOOKUP)
 def all_address_lookup(t: Tables) -> DataFrame:
-    owners = t.spark.createDataFrame([(i, u) for i, u, _ in POLYGONS], "territory_id long, utility_id long")
-    addresses = t.read("embeddings").select(F.col("vec_id").alias("address_id"), (F.col("vec_id") + 1).alias("id")).join(t.utilities, "id").select("address_id", "state", "country")
-    polygon = _inside(t).join(F.broadcast(owners), "territory_id").select(F.col("point_id").alias("address_id"), "utility_id")
-    keyed = t.utilities.select(F.col("id").alias("utility_id"), (F.col("id") % 100).alias("key"))
-    code = addresses.select("address_id", (F.col("address_id") % 100).alias("key")).join(keyed, "key").select("address_id", "utility_id")
-    utilities = R.with_counts(t.utilities, t.tariffs, "id", "utility_id", n_tariffs=F.lit(True))
-    return geo.lookup(addresses, polygon, code, utilities).groupBy("address_id", "utility_id", "match_method").agg(F.count("*").alias("n"))
+    return address_lookup(t)
 
 
 # Rates
@@ -581,22 +592,42 @@ def confidence_scores(t: Tables) -> DataFrame:
     return t.tariffs.join(per, "id").select("id", score.alias("score"))
 
 
-@query("""+ s as (select id, utility_id, customer_class, name, effective_date from tariffs where rate_type = 'O'), f as (select id, utility_id, customer_class, effective_date from tariffs where rate_type = 'F')
-    select s.id, min(f.id) as fresh_id from s join f using (utility_id, customer_class) group by 1""")
+SEED_NAMES, FRESH_NAMES = ["Rate D", "SC1C (TOU)", "General Service Small", "Residential Service - applies when a meter is read"], ["Rate D Service", "Service Classification No. 1C", "General Service Large", "Residential Service", "Rate DP"]
+SAME = {(0, 0), (1, 1), (3, 3)}  # by hand, from the rule: equal heads or codes, enough shared words, equal discriminators
+
+
+@query(f"""+ same(a, b) as (values {", ".join(map(str, sorted(SAME)))}), o as (select id, utility_id, customer_class, (id % {len(SEED_NAMES)}) as a from tariffs where rate_type = 'O'),
+    f as (select id, utility_id, customer_class, (id % {len(FRESH_NAMES)}) as b from tariffs where rate_type = 'F')
+    select o.id, min(f.id) as fresh_id from o join f using (utility_id, customer_class) join same using (a, b) group by 1""")
 def same_product(t: Tables) -> DataFrame:
-    name = F.concat(F.col("customer_class"), F.lit(" Service Classification No. 1C"))
-    seed = t.tariffs.where("rate_type = 'O'").select("id", "utility_id", "customer_class", F.concat(F.col("customer_class"), F.lit(" SC1C (TOU)")).alias("a"))
-    fresh = t.tariffs.where("rate_type = 'F'").select(F.col("id").alias("fresh_id"), "utility_id", "customer_class", name.alias("b"))
-    return seed.join(fresh, ["utility_id", "customer_class"]).where(X.likely_same(F.col("a"), F.col("b"))).groupBy("id").agg(F.min("fresh_id").alias("fresh_id"))
+    """Open tariffs that a filled one of the same utility and class describes too, under names that match in some cases only."""
+    named = lambda kind, names: t.tariffs.where(F.col("rate_type") == kind).select("id", "utility_id", "customer_class", F.get(F.array(*map(F.lit, names)), (F.col("id") % len(names)).cast("int")).alias("name"))
+    return changes.supersede(named("O", SEED_NAMES), named("F", FRESH_NAMES), ["utility_id", "customer_class"])
+
+
+WANTED_NAMES, FOUND_NAMES = ["Residential Service", "Residential Time of Use", "Small General Service", "Farm"], ["Residential Service", "Residential Service Rider", "General Service Time", "Time of Use Residential Pilot", "Street Lighting"]
+
+
+def _benchmark_pairs(t: Tables) -> DataFrame:
+    named = lambda kind, names: t.tariffs.where(F.col("rate_type") == kind).select("id", "utility_id", "customer_class", F.get(F.array(*map(F.lit, names)), (F.col("id") % len(names)).cast("int")).alias("name"))
+    return changes.match_candidates(named("O", WANTED_NAMES), named("F", FOUND_NAMES))
+
+
+@query(f"""+ w as (select id, utility_id, customer_class, lower(list_extract({WANTED_NAMES}, (id % {len(WANTED_NAMES)} + 1)::int)) as name from tariffs where rate_type = 'O'),
+    f as (select id, utility_id, customer_class, lower(list_extract({FOUND_NAMES}, (id % {len(FOUND_NAMES)} + 1)::int)) as name from tariffs where rate_type = 'F'),
+    p as (select utility_id, w.id as want, f.id as got, case when w.name = f.name then 0 when contains(f.name, w.name) or contains(w.name, f.name) then 1
+            when len(list_intersect(string_split(w.name, ' '), string_split(f.name, ' '))) >= 2 then 2 end as stage, len(list_intersect(string_split(w.name, ' '), string_split(f.name, ' '))) as shared
+          from w join f using (utility_id, customer_class))
+    select utility_id, want, got, stage, case when stage = 2 then -shared else 0 end as overlap from p where stage is not null""")
+def benchmark_candidates(t: Tables) -> DataFrame:
+    """Pairs of a wanted and a found tariff of a utility and class that may be one, with how they match."""
+    return _benchmark_pairs(t)
 
 
 @query(None)
 def benchmark_match(t: Tables) -> DataFrame:
-    """Greedy one-to-one matches of open and filled tariffs of a utility, nearest amounts first, same class before others."""
-    a = t.tariffs.where("rate_type = 'O'").select("utility_id", F.col("id").alias("want"), "amount", "customer_class")
-    b = t.tariffs.where("rate_type = 'F'").select("utility_id", F.col("id").alias("got"), F.col("amount").alias("amount_b"), F.col("customer_class").alias("class_b"))
-    pairs = a.join(b, "utility_id").select("utility_id", "want", "got", (F.col("customer_class") != F.col("class_b")).cast("int").alias("other_class"), F.abs(F.col("amount") - F.col("amount_b")).cast("double").alias("apart"))
-    return changes.greedy_matches(pairs, "utility_id", "want", "got", ["other_class", "apart"])
+    """For each wanted tariff, in order of id, the best candidate that is still free: equal names, one inside the other, then most shared words."""
+    return changes.greedy_matches(_benchmark_pairs(t), "utility_id", "want", "got", ["want", "stage", "overlap"])
 
 
 @query(None)
@@ -615,11 +646,15 @@ def links_ranked(t: Tables) -> DataFrame:
     return links(t.read("pages")).select("page_id", "target", "place")
 
 
-@query("""select doc_id as id, length(text) as chars from documents""")
+@query(r"""+ d as (select doc_id as id, text, regexp_replace(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{4,}', '  ', 'g'), '(?:\n\s*){3,}', chr(10) || chr(10), 'g') as short from documents)
+    select id, length(text) as chars, length(text) <= 30000 as whole, case when length(text) <= 30000 then sha256(trim(short, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) end as window_sha256 from d""")
 def rate_windows(t: Tables) -> DataFrame:
+    """The window kept of each document; where the text fits the budget it is the whole text with its runs of white space shortened, which SQL can check."""
     from wattgrid.functions.pages import rate_windows as run
 
-    return run(t.read("documents"), "doc_id", "text").select("id", "chars")
+    rows = run(t.read("documents"), "doc_id", "text")
+    whole = F.col("chars") <= 30_000
+    return rows.select("id", "chars", whole.alias("whole"), F.when(whole, F.sha2(F.col("window").cast("binary"), 256)).alias("window_sha256"))
 
 
 @query(None)
@@ -629,21 +664,40 @@ def rate_window_texts(t: Tables) -> DataFrame:
     return run(t.read("documents"), "doc_id", "text").select("id", "kept", F.sha2(F.col("window").cast("binary"), 256).alias("window_sha256"))
 
 
-@query("""+ r as (select p_partkey as label, p_partkey % 2000 as eiaid, p_brand as utility from part), u as (select s_suppkey as id, s_suppkey as eia_id from supplier)
-    select label, min(u.id) as utility_id from r left join u on eiaid = eia_id group by 1""")
+RECORDS = r"""+ u as (select s_suppkey as id, s_suppkey + 100000 as eia_id, case s_suppkey % 3 when 0 then 'Énergie ' || s_suppkey || ', Inc.' when 1 then 'Power' || s_suppkey || ' Light' else 'Town of T' || s_suppkey end as name from supplier),
+    v as (select *, trim(regexp_replace(translate(lower(regexp_replace(name, '[\s,]+Inc\.?$', '')), 'é', 'e'), '[^a-z0-9 ]', '', 'g')) as plain from u),
+    k as (select p_partkey as label, p_partkey % 150 as n, p_partkey % 7 as form from part),
+    r as (select label, case when form = 0 then n + 100000 end as eiaid, case form when 1 then 'Énergie ' || n || ', Inc.' when 2 then 'ENERGIE ' || n when 3 then 'Power' || n when 4 then 'The Town of T' || n || ' Utilities' when 5 then '' when 6 then null else 'x' end as utility from k),
+    w as (select *, trim(regexp_replace(translate(lower(regexp_replace(coalesce(utility, ''), '[\s,]+Inc\.?$', '')), 'é', 'e'), '[^a-z0-9 ]', '', 'g')) as plain from r),
+    m as (select label, (select min(id) from u where eia_id = eiaid) as a, (select min(id) from u where name = utility) as b, (select min(id) from v where v.plain = w.plain and w.plain <> '') as c,
+            (select min(id) from v where w.plain <> '' and v.plain <> '' and (contains(v.plain, w.plain) or contains(w.plain, v.plain))) as d from w)"""
+
+
+def _records(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Records that name utilities by number, in full, in other spellings, by a part of the name or not at all; and the utilities."""
+    i, text = F.col("s_suppkey"), lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    name = F.when(i % 3 == 0, text("Énergie ", i, ", Inc.")).when(i % 3 == 1, text("Power", i, " Light")).otherwise(text("Town of T", i))
+    utilities = t.read("supplier").select(i.alias("id"), (i + 100000).alias("eia_id"), name.alias("name"))
+    n, form = F.col("p_partkey") % 150, F.col("p_partkey") % 7
+    said = F.when(form == 1, text("Énergie ", n, ", Inc.")).when(form == 2, text("ENERGIE ", n)).when(form == 3, text("Power", n)).when(form == 4, text("The Town of T", n, " Utilities")).when(form == 5, "").when(form == 0, "x")
+    return t.read("part").select(F.col("p_partkey").alias("label"), F.when(form == 0, n + 100000).alias("eiaid"), said.alias("utility")), utilities
+
+
+@query(RECORDS + " select label, coalesce(a, b, c, d) as utility_id, case when a is not null then 'number' when b is not null then 'name' when c is not null then 'plain' when d is not null then 'inside' end as how from m")
 def resolve_records(t: Tables) -> DataFrame:
     from wattgrid.operators.resolve import resolve_utilities
 
-    records = t.read("part").select(F.col("p_partkey").alias("label"), (F.col("p_partkey") % 2000).alias("eiaid"), F.col("p_brand").alias("utility"))
-    utilities = t.read("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("eia_id"), F.col("s_name").alias("name"))
-    return resolve_utilities(records, utilities).select("label", "utility_id")
+    return resolve_utilities(*_records(t)).select("label", "utility_id", "how")
 
 
-@query("""+ f as (select source_id as utility_id, props as url, max(checked_us) as us, arg_max(content_hash, (checked_us, id)) as content_hash from checks group by 1, 2), o as (select utility_id, url, content_hash from f where us % 2 = 0)
+@query("""+ f as (select source_id as utility_id, props as url, max(checked_us) as us, arg_max(content_hash, (checked_us, id)) as content_hash from checks group by 1, 2),
+    o as (select utility_id, url, case when us % 20 = 0 then 'old' else content_hash end as content_hash from f where us % 97 <> 0 or utility_id % 5 = 0)
     select utility_id, count(*) as pages from f left join o using (utility_id, url) group by 1 having bool_and(coalesce(f.content_hash = o.content_hash, false))""")
 def unchanged_pages(t: Tables) -> DataFrame:
+    """Sources all of whose pages have the stored hash; of some pages another hash is stored, or none."""
     pages = t.checks.groupBy(F.col("source_id").alias("utility_id"), F.col("props").alias("url")).agg(F.max("checked_us").alias("us"), F.max_by("content_hash", F.struct("checked_us", "id")).alias("content_hash"))
-    same = changes.unchanged_utilities(pages.drop("us"), pages.where("us % 2 = 0").drop("us"))
+    stored = pages.where("us % 97 <> 0 or utility_id % 5 = 0").withColumn("content_hash", F.when(F.col("us") % 20 == 0, "old").otherwise(F.col("content_hash")))
+    same = changes.unchanged_utilities(pages.drop("us"), stored.drop("us"))
     return pages.join(same, "utility_id", "left_semi").groupBy("utility_id").agg(F.count("*").alias("pages"))
 
 
@@ -683,9 +737,9 @@ def named_plans(t: Tables) -> DataFrame:
     return named.join(parts, "id").groupBy("id", "name", "component_type", "period").agg(F.max("rate_value").alias("rate_value"))
 
 
-@query("""select u.name as utility, t.id, c.ordinal, c.component_type, c.rate_value::double as rate_value from utilities u join tariffs t on t.utility_id = u.id join components c on c.tariff_id = t.id where u.state = 'CANADA'""")
+@query("""select u.name as utility, t.id, c.ordinal, c.component_type, c.rate_value::double as rate_value from utilities u join tariffs t on t.utility_id = u.id join components c on c.tariff_id = t.id where u.state = 'NATION_3'""")
 def region_listing(t: Tables) -> DataFrame:
-    u = t.utilities.where("state = 'CANADA'").select(F.col("id").alias("utility_id"), F.col("name").alias("utility"))
+    u = t.utilities.where("state = 'NATION_3'").select(F.col("id").alias("utility_id"), F.col("name").alias("utility"))
     rows = t.tariffs.select("id", "utility_id").join(u, "utility_id")
     return rows.join(t.components.withColumnRenamed("tariff_id", "id"), "id").select("utility", "id", "ordinal", "component_type", "rate_value")
 
@@ -703,10 +757,10 @@ def regulator_rates(t: Tables) -> DataFrame:
     return t.utilities.where("is_active and country = 'ASIA'").select("id").crossJoin(F.broadcast(templates))
 
 
-@query("""+ b(state, p95) as (values ('CANADA', 0.05), (null, 0.08)), d as (select p95 from b where state is null)
+@query("""+ b(state, p95) as (values ('NATION_3', 0.05), (null, 0.08)), d as (select p95 from b where state is null)
     select t.id, count(*) as high from tariffs t join utilities u on u.id = t.utility_id left join b on b.state = u.state cross join d join components c on c.tariff_id = t.id where c.rate_value > coalesce(b.p95, d.p95) group by 1""")
 def over_bounds(t: Tables) -> DataFrame:
-    bounds = t.spark.createDataFrame([("CANADA", 0.05), (None, 0.08)], "state string, p95 double")
+    bounds = t.spark.createDataFrame([("NATION_3", 0.05), (None, 0.08)], "state string, p95 double")
     u = t.utilities.select(F.col("id").alias("utility_id"), "state").join(F.broadcast(bounds.where("state is not null")), "state", "left")
     limit = t.tariffs.select("id", "utility_id").join(u, "utility_id").crossJoin(F.broadcast(bounds.where("state is null").select(F.col("p95").alias("other")))).select("id", F.coalesce("p95", "other").cast("decimal(16,6)").alias("limit"))
     return t.components.select(F.col("tariff_id").alias("id"), "rate_value").join(limit, "id").where("rate_value > limit").groupBy("id").agg(F.count("*").alias("high"))
@@ -758,10 +812,24 @@ def check_durations(t: Tables) -> DataFrame:
     return rows.select("id", "source_id", F.round((F.col("top") - F.col("checked_us")) / F.lit(60000000.0), 1).alias("minutes"))
 
 
-@query("""select doc_id, list_aggregate(list_sort(list_distinct(list_filter(string_split(left(text, 200), ' '), lambda x: not list_contains(string_split(left(text, 100), ' '), x)))), 'string_agg', ',') as added from documents where lang = 'fr'""")
+@query(r"""+ d as (select doc_id, lag(text) over (partition by source order by doc_id) as old, text as new from documents),
+    p as (select doc_id, old, new from d where old <> '' and new <> ''), o as (select distinct doc_id, unnest(string_split_regex(old, '\s+')) as w from p), n as (select distinct doc_id, unnest(string_split_regex(new, '\s+')) as w from p),
+    a as (select doc_id, count(*) as c from n anti join o using (doc_id, w) group by 1), r as (select doc_id, count(*) as c from o anti join n using (doc_id, w) group by 1)
+    select doc_id, coalesce(a.c, 0) as added, coalesce(r.c, 0) as removed from p left join a using (doc_id) left join r using (doc_id)""")
 def added_terms(t: Tables) -> DataFrame:
-    old, new = F.split(F.substring("text", 1, 100), " "), F.split(F.substring("text", 1, 200), " ")
-    return t.read("documents").where("lang = 'fr'").select("doc_id", F.nullif(F.array_join(F.sort_array(F.array_except(F.array_distinct(new), F.array_distinct(old))), ","), F.lit("")).alias("added"))
+    """How many words each document adds to the one before it of its source, and drops; over whole texts."""
+    pairs = _before(t).where("old <> '' and new <> ''")
+    words = lambda c: F.array_distinct(F.split(c, r"\s+"))
+    return pairs.select("doc_id", F.size(F.array_except(words("new"), words("old"))).cast("long").alias("added"), F.size(F.array_except(words("old"), words("new"))).cast("long").alias("removed"))
+
+
+def _before(t: Tables) -> DataFrame:
+    """(doc_id, before, old, new): each document beside the one before it of its source. Only ids are sorted by source, texts are joined."""
+    docs = t.read("documents")
+    before = F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
+    pairs = docs.select("doc_id", before.alias("before"))
+    old, new = docs.select(F.col("doc_id").alias("before"), F.col("text").alias("old")), docs.select("doc_id", F.col("text").alias("new"))
+    return pairs.join(old, "before", "left").join(new, "doc_id")
 
 
 @query(None)
@@ -769,24 +837,20 @@ def document_term_changes(t: Tables) -> DataFrame:
     """What each document adds to the one before it of its source, by id, and drops; over whole texts of all languages. Only ids are sorted by source, texts are joined."""
     from wattgrid.functions.pages import term_changes
 
-    docs = t.read("documents")
-    before = F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
-    pairs = docs.select("doc_id", "source").select("doc_id", before.alias("before"))
-    old, new = docs.select(F.col("doc_id").alias("before"), F.col("text").alias("old")), docs.select("doc_id", F.col("text").alias("new"))
-    return pairs.join(old, "before", "left").join(new, "doc_id").select("doc_id", "before", term_changes(F.col("old"), F.col("new")).alias("changes"))
+    return _before(t).select("doc_id", "before", term_changes(F.col("old"), F.col("new")).alias("changes"))
 
 
 @query("""select domain, pages, round(100.0 * pages / sum(pages) over (), 1)::double as pct, regexp_matches(domain, 'casino|pills|bets|farm') as hinted from (select regexp_extract(split_part(split_part(url, '://', 2), '/', 1), '[^.]+\\.[^.]+\\.[^.]+$', 0) as domain, count(*) as pages from pages group by 1)""")
 def domain_shares(t: Tables) -> DataFrame:
     site = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
     per = t.read("pages").groupBy(F.regexp_extract(site, r"[^.]+\.[^.]+\.[^.]+$", 0).alias("domain")).agg(F.count("*").alias("pages"))
-    total = t.read("pages").agg(F.count("*").alias("all"))
+    total = per.agg(F.sum("pages").alias("all"))
     return per.crossJoin(F.broadcast(total)).select("domain", "pages", F.round(100.0 * F.col("pages") / F.col("all"), 1).alias("pct"), F.col("domain").rlike("casino|pills|bets|farm").alias("hinted"))
 
 
-@query("""select t.id, string_agg(c.component_type || ' ' || c.rate_value::varchar, '; ' order by c.ordinal, c.component_type, c.rate_value) as evidence from tariffs t join components c on c.tariff_id = t.id where t.rate_type = 'P' group by 1""")
+@query("""select t.id, string_agg(c.component_type || ' ' || c.rate_value::varchar, '; ' order by c.ordinal, c.component_type, c.rate_value) as evidence from tariffs t join components c on c.tariff_id = t.id group by 1""")
 def evidence_lines(t: Tables) -> DataFrame:
-    rows = R.nested(t.tariffs.where("rate_type = 'P'").select("id"), t.components, "id", "tariff_id", ["ordinal", "component_type", "rate_value"], "parts").where(F.size("parts") > 0)
+    rows = R.nested(t.tariffs.select("id"), t.components, "id", "tariff_id", ["ordinal", "component_type", "rate_value"], "parts").where(F.size("parts") > 0)
     return rows.select("id", F.array_join(F.transform("parts", lambda c: F.concat_ws(" ", c["component_type"], c["rate_value"].cast("string"))), "; ").alias("evidence"))
 
 
@@ -808,3 +872,6 @@ def page_text(t: Tables) -> DataFrame:
     from wattgrid.functions.pages import main_text
 
     return t.read("pages").select("page_id", F.sha2(main_text(F.col("html")).cast("binary"), 256).alias("text_sha256"))
+
+
+from wattgrid import queries_jobs, queries_reports  # noqa: E402, F401  (they register themselves)

@@ -19,6 +19,7 @@ TIERS = {"energyratestructure": "energyRateTiers", "demandstructure": "demandRat
 SECTORS = {"Residential": "residential", "Commercial": "commercial", "Industrial": "industrial", "Lighting": "lighting"}
 CANADA = ["CAN", "CANADA", "CA"]
 OWNERSHIP_COLUMNS = {"eia_id": ["Utility Number", "utility_id"], "name": ["Utility Name", "utility_name"], "state": ["State"], "ownership": ["Ownership", "Ownership Type"]}
+FEATURE = "struct<properties:struct<NAME:string,ID:string,STATE:string,ZIP:string>,geometry:struct<type:string,coordinates:string>>"
 RESPONSE = (
     "array<struct<name:string,code:string,customer_class:string,rate_type:string,description:string,effective_date:string,confidence:double,"
     "components:array<struct<component_type:string,unit:string,rate_value:double,tier_min_kwh:double,tier_max_kwh:double,tier_label:string,period_label:string,season:string>>>>"
@@ -75,7 +76,11 @@ def resolve_columns(df: DataFrame, wanted: dict[str, list[str]]) -> dict[str, st
 
 def read_utility_master(spark: SparkSession, path: str, ownership: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of the utility list: eia_id, name, state (Unknown where blank) and utility_type (other for unknown ownerships); rejects lack a number or name."""
-    raw = spark.read.option("header", True).csv(path)
+    return utility_master(spark.read.option("header", True).csv(path), ownership)
+
+
+def utility_master(raw: DataFrame, ownership: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of a utility list whose columns are strings under any of the known headings."""
     c = resolve_columns(raw, OWNERSHIP_COLUMNS)
     kinds = F.create_map(*[F.lit(x) for kv in ownership.items() for x in kv])
     text = lambda n: F.nullif(F.trim(F.col(f"`{c[n]}`")), F.lit("")) if n in c else F.lit(None).cast("string")
@@ -86,9 +91,14 @@ def read_utility_master(spark: SparkSession, path: str, ownership: dict[str, str
 
 def read_territories(spark: SparkSession, path: str) -> DataFrame:
     """Territories of a GeoJSON file: name, id, state, zip_codes (array) and geometry as MultiPolygon; other geometries are dropped."""
+    schema = f"features array<{FEATURE}>"
+    return territory_rows(spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f")))
+
+
+def territory_rows(features: DataFrame) -> DataFrame:
+    """Territories of features (column f, of the type FEATURE)."""
     point = "array<array<array<double>>>"
-    schema = "features array<struct<properties:struct<NAME:string,ID:string,STATE:string,ZIP:string>,geometry:struct<type:string,coordinates:string>>>"
-    rows = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("points"))
+    rows = features.select("f.properties.*", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("points"))
     shape = F.when(F.col("kind") == "Polygon", F.array(F.from_json("points", point))).when(F.col("kind") == "MultiPolygon", F.from_json("points", f"array<{point}>"))
     zips = F.filter(F.transform(F.split("ZIP", ","), lambda z: F.trim(z)), lambda z: z != "")
     return rows.where(F.col("kind").isin("Polygon", "MultiPolygon")).select(F.col("NAME").alias("name"), F.col("ID").alias("id"), F.col("STATE").alias("state"), F.coalesce(zips, F.array().cast("array<string>")).alias("zip_codes"), shape.alias("geometry"))
@@ -111,7 +121,12 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     part = "component_type:string,rate_value:double,unit:string,tier_label:string,tier_min_kwh:double,tier_max_kwh:double,season:string,period_label:string"
     tariff = f"name:string,customer_class:string,rate_type:string,components:array<struct<{part}>>"
     schema = f"utilities array<struct<utility_id:bigint,name:string,state:string,country:string,rate_url:string,tariffs:array<struct<{tariff}>>>>"
-    u = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("utilities").alias("u"))
+    return truth_rows(spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("utilities").alias("u")))
+
+
+def truth_rows(answers: DataFrame) -> DataFrame:
+    """One row per component of answers (column u: a utility with its tariffs with their components)."""
+    u = answers
     t = u.select("u.utility_id", F.col("u.name").alias("utility"), "u.state", F.posexplode("u.tariffs").alias("tariff_no", "t"))
     c = t.select("utility_id", "utility", "state", "tariff_no", F.col("t.name").alias("tariff"), "t.customer_class", "t.rate_type", F.posexplode("t.components").alias("component_no", "c"))
     return c.select(*[x for x in c.columns if x != "c"], "c.*")
@@ -121,32 +136,43 @@ def parse_responses(responses: DataFrame, key: str, column: str) -> tuple[DataFr
     """(tariffs, rejects): the tariffs of answers that hold a JSON array or object, bare, in a code fence or inside other text; rejects hold none."""
     body = F.regexp_extract(column, r"(?s)```(?:json)?\s*(.*?)```", 1)
     body = F.when(body != "", body).otherwise(F.col(column))
-    listed, single = F.regexp_extract(body, r"(?s)(\[\s*(?:\{.*\}\s*)?\])", 1), F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    json = F.when(listed != "", listed).when(single != "", F.concat(F.lit("["), single, F.lit("]")))
-    rows = responses.select(key, column, F.from_json(json, RESPONSE).alias("found"))
+    listed, single = F.regexp_extract(body, r"(?s)(\[.*\])", 1), F.regexp_extract(body, r"(?s)(\{.*\})", 1)
+    parsed = [F.from_json(F.when(listed != "", listed), RESPONSE), F.from_json(F.when(single != "", F.concat(F.lit("["), single, F.lit("]"))), RESPONSE)]
+    first = F.regexp_extract(body, r"[\[{]", 0)  # what opens first is tried first
+    rows = responses.select(key, column, F.when(first == "{", F.coalesce(parsed[1], parsed[0])).otherwise(F.coalesce(*parsed)).alias("found"))
     found = rows.where("found is not null").select(key, F.posexplode("found").alias("place", "t")).where("t is not null").select(key, "place", "t.*")
     return found, rows.where("found is null").select(key, column)
 
 
 def read_error_details(spark: SparkSession, path: str) -> DataFrame:
-    """(source_id, utility_id, url, message) of the error_details of run summaries."""
+    """(source_id, utility_id, url, message) of the errors beside a run summary that write_summary wrote."""
+    return spark.read.schema("source_id bigint, utility_id bigint, url string, message string").json(f"{path}/errors")
+
+
+def error_details(summaries: DataFrame, text: str = "value") -> DataFrame:
+    """(source_id, utility_id, url, message) of the error_details in the texts of run summaries, one JSON object each."""
     schema = "error_details array<struct<source_id:bigint,utility_id:bigint,url:string,message:string>>"
-    return spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("error_details").alias("e")).select("e.*")
+    return summaries.select(F.explode(F.from_json(text, schema)["error_details"]).alias("e")).select("e.*")
 
 
 def read_homepage_fixes(spark: SparkSession, path: str) -> DataFrame:
     """(source_id, old_url, new_url) of key=value log lines whose new url is a bare homepage; the first of each source in file order."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    return homepage_fixes(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line")))
+
+
+def homepage_fixes(lines: DataFrame) -> DataFrame:
+    """(source_id, old_url, new_url) of log lines (line, value) whose new url is a bare homepage; the first of each source."""
     value = lambda k: F.nullif(F.regexp_extract("value", rf"\b{k}=(\S+)", 1), F.lit(""))
     rows = lines.select("line", value("source_id").try_cast("long").alias("source_id"), value("old_url").alias("old_url"), value("new_url").alias("new_url"))
     rows = rows.where(F.col("source_id").isNotNull() & X.is_homepage(F.col("new_url")))
-    return rows.groupBy("source_id").agg(F.min(F.struct("line", "old_url", "new_url")).alias("m")).select("source_id", "m.old_url", "m.new_url")
+    first = rows.groupBy("source_id").agg(F.min(F.struct("line", "old_url", "new_url")).alias("m"))
+    return first.select("source_id", "m.old_url", "m.new_url")
 
 
-def write_summary(counts: DataFrame, errors: DataFrame, path: str, limit: int = 1000) -> None:
-    """One JSON object: the counts (one row) with up to ``limit`` error rows, which is the report's own size."""
-    few = errors.limit(limit).agg(F.collect_list(F.struct("*")).alias("error_details"))
-    counts.crossJoin(few).coalesce(1).write.mode("overwrite").json(path)
+def write_summary(counts: DataFrame, errors: DataFrame, path: str) -> None:
+    """A run summary: one JSON object with the counts (one row), and beside it all error rows, one JSON object a line."""
+    counts.coalesce(1).write.mode("overwrite").json(f"{path}/counts")
+    errors.write.mode("overwrite").json(f"{path}/errors")
 
 
 def write_lookup_results(rows: DataFrame, path: str) -> None:

@@ -73,3 +73,52 @@ def stream_run_progress(results: DataFrame, delay: str = "6 hours") -> DataFrame
     """(run_id, start, processed, errors) per session of results (run_id, reported_at, failed) of a run; a session ends after ``delay`` of silence."""
     rows = results.withWatermark("reported_at", delay).groupBy("run_id", F.session_window("reported_at", delay).alias("s"))
     return rows.agg(F.count("*").alias("processed"), F.count_if("failed").alias("errors")).select("run_id", F.col("s.start").alias("start"), "processed", "errors")
+
+
+def finish_stalled(runs: DataFrame, as_of: str, hours: int = 6) -> DataFrame:
+    """runs with stalled, where those that stalled_runs names get as_of as their end; runs with an end stay as they are, so repeating it changes nothing."""
+    gone = stalled_runs(runs, as_of, hours).select("run_id").distinct().withColumn("stalled", F.lit(True))
+    out = runs.join(gone, "run_id", "left").withColumn("stalled", F.coalesce("stalled", F.lit(False)))
+    return out.withColumn("finished_at", F.when(F.col("stalled"), F.lit(as_of).cast("timestamp")).otherwise(F.col("finished_at")))
+
+
+def run_completion(runs: DataFrame, results: DataFrame) -> DataFrame:
+    """(run_id, targeted, reported, errors, complete) of runs (run_id, targeted) by their results (run_id, failed) so far; runs without results are left out."""
+    per = results.groupBy("run_id").agg(F.count("*").alias("reported"), F.count_if("failed").alias("errors"))
+    return runs.join(per, "run_id").select("run_id", "targeted", "reported", "errors", (F.col("reported") >= F.col("targeted")).alias("complete"))
+
+
+def stream_run_completion(results: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, reported, errors, complete) once a run's last result is in, from a stream of results (run_id, failed); runs: (run_id, targeted), a table.
+
+    State per run is how many results it has; a run is told of once, when as many are in as were targeted.
+    """
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        reported, errors = state.get if state.exists else (0, 0)
+        before, targeted = reported, None
+        for pdf in pdfs:
+            reported, errors, targeted = reported + len(pdf), errors + int(pdf["failed"].sum()), int(pdf["targeted"].iloc[0])
+        state.update((reported, errors))
+        if targeted is not None and before < targeted <= reported:
+            yield pd.DataFrame([(key[0], reported, errors, True)], columns=["run_id", "reported", "errors", "complete"])
+
+    rows = results.join(runs, "run_id").select("run_id", "failed", "targeted")
+    return rows.groupBy("run_id").applyInPandasWithState(step, "run_id long, reported long, errors long, complete boolean", "reported long, errors long", "append", GroupStateTimeout.NoTimeout)
+
+
+def write_changed_pages(pages: DataFrame, spark, folder: str, checkpoint: str):
+    """A query over a stream of pages (utility_id, url, content_hash) that stores, batch by batch, those that are new or changed; folder holds one table of fingerprints per batch.
+
+    A batch that is written again after a failure replaces its own table, so nothing is stored twice.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        seen = batch.select("utility_id", "url", "content_hash").dropDuplicates(["utility_id", "url"])
+        if number:
+            earlier = spark.read.schema("utility_id bigint, url string, content_hash string, batch bigint").parquet(*[f"{folder}/{k}" for k in range(number)])
+            known = earlier.groupBy("utility_id", "url").agg(F.max_by("content_hash", "batch").alias("content_hash"))
+            seen = seen.join(known, ["utility_id", "url", "content_hash"], "left_anti")
+        seen.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/{number}")
+
+    return pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
