@@ -22,7 +22,7 @@ MOST_FREE = 32
 #: Words that a Python worker remembers, each with a few ids: about 200 bytes a word, in two tables.
 CACHED_WORDS = 900_000
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 def trim(known: dict, most: int) -> None:
@@ -53,10 +53,10 @@ class WordEncoder:
         self.splits: dict[str, bool] = {}
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        if path not in _encoders:
-            _encoders[path] = cls(path)
-        return _encoders[path]
+    def of(cls, path: str, most: int = CACHED_WORDS) -> WordEncoder:
+        if (path, most) not in _encoders:
+            _encoders[path, most] = cls(path, most)
+        return _encoders[path, most]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -195,13 +195,14 @@ def sequences(rests: list[tuple[int, bytes]], window: int, most_free: int) -> It
                 yield chosen
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, horizon: int = HORIZON_TOKENS, most_free: int = MOST_FREE) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, horizon: int = HORIZON_TOKENS, most_free: int = MOST_FREE, cached_words: int = CACHED_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its token ids and end_id. Full windows are cut off its front; the rests of all documents of a task are
     packed longest first, each into the tightest open window that holds it. Windows that stay emptier than most_free
     are cut into sequences of power-of-two lengths. Tasks pack what they read, in portions of horizon tokens, so nothing is
-    shuffled and memory does not grow with the input. vocabulary is the path of a tokenizer file on every executor.
+    shuffled and memory does not grow with the input. vocabulary is the path of a tokenizer file on every executor;
+    cached_words bounds the words that each of its Python workers remembers, which costs time but changes no result.
 
     Null and empty texts are documents of end_id alone. Ids may be null or repeat: each row is a document of its own.
     Other columns are ignored; an empty table gives an empty result.
@@ -209,7 +210,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder.of(vocabulary), np.asarray([end_id], "<u4").tobytes()
+        encoder, end = WordEncoder.of(vocabulary, cached_words), np.asarray([end_id], "<u4").tobytes()
         next_id, full = TaskContext.get().partitionId() << 33, 4 * window
         rows: list[tuple] = []
         rests: list[tuple] = []
