@@ -17,6 +17,8 @@ from wattgrid.llm.packing import pack_documents
 from wattgrid.llm.quality import keep_good, train_on
 from wattgrid.llm.substring_dedup import dedup_substrings
 
+CACHED_WORDS = 300_000
+
 
 def _with_text(done: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of (row, done) with the text of done."""
@@ -51,8 +53,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The pieces of all documents in sequences of at most 2048 tokens; workers that other stages have used remember fewer words."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=CACHED_WORDS)
 
 
 STAGES = [
