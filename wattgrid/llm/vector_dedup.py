@@ -15,40 +15,46 @@ from wattgrid.functions.scratch import Scratch
 from wattgrid.llm.near_dups import groups_of
 from wattgrid.llm.words import mixed
 
-#: Projections of a vector; sets of leading ones; candidates a vector should meet by chance; standard deviations in half a window.
-PROJECTIONS, LEADS, MEET, HALF = 48, 2, 4000, 2.3
+#: Projections of a vector that are counted; comparisons that cost as much as one more copy of a vector; least recall at the threshold; standard deviations in half a window.
+PROJECTIONS, COPY_COST, RECALL, HALF = 48, 200, 0.92, 2.3
 #: Homes, and probes, of a cell that are compared as one group; pairs of them that are held at once.
 BLOCK, SLICE = 4096, 400_000
 
 
 class Projections:
-    """Directions, window and the number of collisions that a pair needs, fitted to a threshold.
+    """Directions, window and the number of collisions that a pair needs, fitted to a threshold and the rows of the largest label.
 
     Directions are rows of random rotations. Two unit vectors at the threshold are sqrt(2 - 2 t) apart, so their
     projections differ by about a normal error of that over sqrt(dimensions); the half-window is HALF such errors. The
     count that a pair needs is the largest that a pair at the threshold reaches in all but a thousandth of cases.
+
+    The sorted lines of ``deep`` leading projections are cut into cells twice as wide as a window. A probe's window lies in
+    1.5 cells of a line on average and holds about half of the vectors, so a vector is copied 1.5 ** deep times and compared
+    rows / 2 ** deep times per set; deep makes the sum of both least. Both then grow with the rows to the power 0.37, at any
+    size. Sets of leading projections, two at first, are added until recall reaches RECALL.
     """
 
     def __init__(self, dims: int, rows: int, threshold: float):
-        rng = np.random.default_rng(dims)
-        turns = [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(-(-PROJECTIONS // dims))]
-        self.directions = np.concatenate(turns)[:PROJECTIONS].T
-        error = math.sqrt(2 - 2 * threshold) / math.sqrt(dims)
-        self.half = HALF * error
-        self.cell = 4 * self.half
+        self.deep = min(range(2, 64), key=lambda d: rows / 2**d + COPY_COST * 1.5**d)
         p = math.erf(HALF / math.sqrt(2))
         below, need = 0.0, 0
         while below + (q := math.comb(PROJECTIONS, need) * p**need * (1 - p) ** (PROJECTIONS - need)) < 1e-3:
             below, need = below + q, need + 1
-        self.need = need
-        #: Leading projections per set: enough for about MEET chance meetings, a cell and its neighbours holding a half of the vectors per projection.
-        self.deep = max(2, min(10, PROJECTIONS // LEADS, math.ceil(math.log2(max(2, rows / MEET)))))
+        self.need, self.sets = need, 2
+        while self.recall() < RECALL:
+            self.sets += 1
+        rng = np.random.default_rng(dims)
+        n = max(PROJECTIONS, self.sets * self.deep)
+        turns = [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(-(-n // dims))]
+        self.directions = np.concatenate(turns)[:n].T
+        self.half = HALF * math.sqrt(2 - 2 * threshold) / math.sqrt(dims)
+        self.cell = 4 * self.half
 
     def recall(self) -> float:
-        """How probably a pair just at the threshold is found: it collides in a whole set of leading projections and in enough of all."""
+        """How probably a pair just at the threshold is found, at least: it collides in a whole set of leading projections, and in enough of those counted."""
         p = math.erf(HALF / math.sqrt(2))
-        reach = lambda n, least: sum(math.comb(n, c) * p**c * (1 - p) ** (n - c) for c in range(max(0, least), n + 1))
-        return sum((-1) ** (s + 1) * math.comb(LEADS, s) * p ** (s * self.deep) * reach(PROJECTIONS - s * self.deep, self.need - s * self.deep) for s in range(1, LEADS + 1))
+        missed = (1 - p**self.deep) ** self.sets
+        return 1 - missed - 1e-3
 
     def project(self, unit: np.ndarray) -> np.ndarray:
         return unit @ self.directions
@@ -60,8 +66,9 @@ class Projections:
         return np.floor(v / self.cell).astype(np.int64)
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f4").reshape(len(raw), -1).astype(np.float64)
+def _unit(raw: list[bytes], dims: int) -> np.ndarray:
+    """Unit vectors in double precision from the bytes of floats or doubles."""
+    x = np.frombuffer(b"".join(raw), f"<f{len(raw[0]) // dims if raw else 8}").reshape(len(raw), dims).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -77,10 +84,10 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Vectors with equal labels link at a cosine of threshold or more, in double precision; n_links counts the other vectors
     linked directly, component_id is the smallest id that links reach. Pairs are found when they collide in the windows of
-    all leading projections of one of LEADS sets and in enough of all projections, then verified; no pair below the threshold
-    is linked. A pair just at the threshold is found with the probability Projections.recall, which falls as the leading
-    projections grow with the rows: 0.998 up to 16,000 rows, 0.989 at 100,000, 0.974 at 1 million and 0.962 over 2
-    million. A closer pair is found with more.
+    all leading projections of one set and in enough of PROJECTIONS, then verified; no pair below the threshold
+    is linked. A pair just at the threshold is found with the probability Projections.recall or more: 0.99 up to 20,000 rows of a
+    label, 0.98 at 200,000, 0.96 at 10 million, and RECALL at least at any number. A closer pair is found with more. Vectors of
+    doubles are taken as they are, others as floats.
 
     Null labels, and vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do
     vectors of different lengths. Equal vectors of a label form a class and are not compared with each other. Rows
@@ -89,11 +96,13 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vector-dedup")
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
+    kind = "double" if vectors.schema[vector_col].dataType.simpleString() == "array<double>" else "float"
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
     whole = F.expr("vec_id is not null and label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(v, x -> x <> 0)")
     rows = rows.withColumn("ok", F.coalesce(whole, F.lit(False)))
     classes = scratch.cut(rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("cid"), F.count("*").alias("m")))
-    shape = classes.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
+    per = classes.groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high"))
+    shape = per.agg(F.max("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).first()  # n: of the largest label
     sizes = [r[0] for r in classes.select(F.size("v").alias("n")).distinct().collect()] if shape["n"] and shape["low"] != shape["high"] else [shape["high"]] if shape["n"] else []
     links = edges = None
     for dims in sizes:
@@ -128,19 +137,31 @@ def _met(dealt: DataFrame, block: int) -> DataFrame:
 
 
 def _pairs(role: np.ndarray, cid: np.ndarray, unit: np.ndarray, k: int, proj: Projections, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs (probe, home) of the k-th set in one group, by row, verified; a slice of at most SLICE comparisons, or one probe, at a time."""
+    """Linked pairs (probe, home) of the k-th set in one group, by row, verified; a slice of at most SLICE comparisons, or one probe, at a time.
+
+    The homes are sorted by each projection; a probe's window is a run of each order, and the runs that hold a home are counted.
+    """
     home, probe = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+    if not len(home) or not len(probe):
+        return
     q = proj.project(unit)
     sets = [proj.leads(q, before) for before in range(k + 1)]
     spans = [(proj.cells(v - proj.half), proj.cells(v), proj.cells(v + proj.half)) for v in sets]
-    step = max(1, SLICE // max(1, len(home)))
-    for a in range(0, len(probe) if len(home) else 0, step):
+    place = np.zeros((PROJECTIONS, len(home)), np.uint16 if len(home) < 1 << 15 else np.uint32)
+    first, width = (np.zeros((PROJECTIONS, len(probe)), place.dtype) for _ in range(2))
+    for d in range(PROJECTIONS):
+        order = np.argsort(q[home, d])
+        place[d, order] = np.arange(len(home))
+        line = q[home[order], d]
+        first[d] = np.searchsorted(line, q[probe, d] - proj.half, "left")
+        width[d] = np.searchsorted(line, q[probe, d] + proj.half, "right") - first[d]
+    step = max(1, SLICE // len(home))
+    for a in range(0, len(probe), step):
         rows = probe[a : a + step]
-        near = cid[rows][:, None] < cid[home][None, :]
-        count = np.zeros(near.shape, np.int8)
+        count = np.zeros((len(rows), len(home)), np.int8)
         for d in range(PROJECTIONS):
-            count += np.abs(q[rows, d][:, None] - q[home, d][None, :]) <= proj.half
-        i, j = np.nonzero(near & (count >= proj.need))
+            count += place[d][None, :] - first[d, a : a + step, None] < width[d, a : a + step, None]  # places before the window wrap to large numbers
+        i, j = np.nonzero((count >= proj.need) & (cid[rows][:, None] < cid[home][None, :]))
         x, y = rows[i], home[j]
         for before, (low, cell, high) in enumerate(spans):
             meets = ((low[x] <= cell[y]) & (cell[y] <= high[x])).all(axis=1)
@@ -176,12 +197,12 @@ def _links_of(classes: DataFrame, proj: Projections, dims: int, threshold: float
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 b = batch.slice(i, 2000)
-                flat = b.column(1).flatten().to_numpy().astype("<f4")
+                flat = b.column(1).flatten().to_numpy()
                 raw = [flat[k : k + dims].tobytes() for k in range(0, len(flat), dims)]
-                q = proj.project(_unit(raw))
+                q = proj.project(_unit(raw, dims))
                 label, cid, m = b.column(0), b.column(2).to_numpy(), b.column(3).to_numpy()
                 vectors = pa.array(raw, pa.binary())
-                for k in range(LEADS):
+                for k in range(proj.sets):
                     v = proj.leads(q, k)
                     low, high = proj.cells(v - proj.half), proj.cells(v + proj.half)
                     outs = [(np.arange(len(v)), proj.cells(v), 0)]
@@ -208,7 +229,7 @@ def _links_of(classes: DataFrame, proj: Projections, dims: int, threshold: float
             role, cid, m = (g.column(c).to_numpy() for c in ("role", "cid", "m"))
             if role.min() == 1 or role.max() == 0:
                 continue
-            ids, root, linked = _counted(role, cid, m, _unit(g.column("raw").to_pylist()), g.column("k")[0].as_py(), proj, threshold)
+            ids, root, linked = _counted(role, cid, m, _unit(g.column("raw").to_pylist(), dims), g.column("k")[0].as_py(), proj, threshold)
             if len(ids):
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(linked)], names=["cid", "root", "linked"])
 
