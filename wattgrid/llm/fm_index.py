@@ -54,7 +54,7 @@ class FMIndex:
         rank[ends] = np.arange(len(ends))  # ends differ from one another, so no match crosses one
         ranks, width = [], 1
         while True:
-            order = np.argsort(rank, kind="stable")
+            order = np.argsort(rank)
             new = np.r_[False, rank[order[1:]] != rank[order[:-1]]]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(new)
