@@ -1,5 +1,6 @@
 """Targets of canonical links and refresh redirects, in each form that pages have."""
 
+import time
 from urllib.parse import urljoin
 
 import duckdb
@@ -79,3 +80,9 @@ def test_query_and_sql_agree_on_links(spark, tmp_path):
     con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     want = con.sql(f"select page_id, host, path, rule, verdict from ({queries.ORACLES['op4_url_filter']})").fetchall()
     assert got == set(want) and len(want) == len(rows) and sum(r[4] == "block" and r[3] is None for r in want) > 60
+
+
+@pytest.mark.parametrize("page", ["<link " * 300_000 + "canonical>", "<meta refresh " * 100_000, "<link rel=canonical x " * 50_000 + ">", "<!-- canonical " * 100_000, "<script " * 200_000 + "refresh>"])
+def test_pages_of_any_length_take_linear_time(spark, page):
+    began = time.time()
+    assert link_edges(spark.createDataFrame([("http://p.org/", page)], "url string, html string")).count() == 0 and time.time() - began < 30

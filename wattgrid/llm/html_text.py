@@ -119,7 +119,7 @@ def default_field() -> Field:
 def extract_text(pages: DataFrame, field: Field | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars. The field is trained on the labelled pages unless one is given.
 
-    Null and empty html have an empty text, as have pages without a block that the field takes for main text. Null or
+    Ids are numbers. Null and empty html have an empty text, as have pages without a block that the field takes for main text. Null or
     repeated ids and urls are passed on; other columns are ignored; an empty table gives an empty result.
     """
     model = field or default_field()

@@ -122,7 +122,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     never removed. Chunks count as equal only when their bytes are: the bytes of chunks with equal hashes are grouped, and if
     two differ all chunks are hashed anew with another seed. Of equal chunks, also within a document, the one with the
     smallest id and line stays (a null id is the smallest); rows that repeat both id and text are treated alike.
-    Null texts count as empty and have no lines. An empty table gives an empty result.
+    Ids are numbers. Null texts count as empty and have no lines. An empty table gives an empty result.
 
     Texts meet the lists of their chunks twice, in sort-merge joins at every size: the lists have no bound for a broadcast.
     """

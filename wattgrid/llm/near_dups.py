@@ -335,7 +335,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by whole sketches, in blocks, and pairs between components that the sketches allow are verified by their sets,
     round by round, until none is left. So no link between components is lost, and pairs within a component are not listed.
 
-    Null and empty texts have 0 shingles and link with nothing. Rows with a null id link with nothing and have a null
+    Ids are numbers. Null and empty texts have 0 shingles and link with nothing. Rows with a null id link with nothing and have a null
     component_id. Rows that share an id are one node, with the links of each of its texts. Other columns are ignored; an
     empty table gives an empty result.
     """

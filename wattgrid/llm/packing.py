@@ -204,7 +204,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     shuffled and memory does not grow with the input. vocabulary is the path of a tokenizer file on every executor;
     cached_words bounds the words that each of its Python workers remembers, which costs time but changes no result.
 
-    Null and empty texts are documents of end_id alone. Ids may be null or repeat: each row is a document of its own.
+    Null and empty texts are documents of end_id alone. Ids are numbers and may be null or repeat: each row is a document of its own.
     Other columns are ignored; an empty table gives an empty result.
     """
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"

@@ -16,8 +16,9 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-CANONICAL = r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*(?<![\w-])href\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+TAGS = r"(?i)<(?:link|meta)\b[^>]*>"
+CANONICAL = r"""(?i)^<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*(?<![\w-])href\s*=\s*["']?([^"'\s>]+)"""
+REFRESH = r"""(?i)^<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
 #: What browsers don't read as mark-up: comments and scripts.
 UNREAD = r"(?is)<!--.*?(?:-->|\z)|<script(?=[\s/>]).*?(?:</script(?=[\s/>])|\z)"
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
@@ -101,9 +102,12 @@ def resolved(target: Column, url: Column) -> Column:
 
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) between url nodes from all canonical links and refresh redirects in the html, outside comments and scripts, and from redirects (source, target)."""
-    url, html = F.col(url_col), F.regexp_replace(html_col, UNREAD, "")
-    targets = F.concat(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(REFRESH), F.lit(1)))
-    found = pages.where(F.col(html_col).rlike("(?i)canonical|refresh")).select(_node(url).alias("a"), url.alias("url"), F.explode(targets).alias("t"))
+    closed = F.expr(f"left(`{html_col}`, length(`{html_col}`) - length(substring_index(`{html_col}`, '>', -1)))")  # up to the last '>', so that every search for one ends soon
+    tags = F.regexp_extract_all(F.regexp_replace(closed, UNREAD, ""), F.lit(TAGS), F.lit(0))
+    inside = lambda tag, pattern: F.nullif(F.regexp_extract(tag, pattern, 1), F.lit(""))
+    targets = F.array_compact(F.transform(tags, lambda tag: F.coalesce(inside(tag, CANONICAL), inside(tag, REFRESH))))
+    url, marked = F.col(url_col), F.col(html_col).rlike("(?i)canonical|refresh") & F.col(html_col).contains(">")
+    found = pages.where(marked).select(_node(url).alias("a"), url.alias("url"), F.explode(targets).alias("t"))
     found = found.select("a", _node(resolved(decoded(F.col("t")), F.col("url"))).alias("b"))
     edges = found.where("a is not null and b is not null and a <> b")
     if redirects is not None:

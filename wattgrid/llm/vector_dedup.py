@@ -89,7 +89,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     label, 0.98 at 200,000, 0.96 at 10 million, and RECALL at least at any number. A closer pair is found with more. Vectors of
     doubles are taken as they are, others as floats.
 
-    Null labels, and vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do
+    Ids are numbers. Null labels, and vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do
     vectors of different lengths. Equal vectors of a label form a class and are not compared with each other. Rows
     that share an id count as vectors of their own that have one component. Null ids link with nothing and have a null
     component and kept false. Other columns are ignored; an empty table gives an empty result.
