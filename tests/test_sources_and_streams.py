@@ -91,3 +91,9 @@ def test_windows_and_runs(spark, tmp_path):
     assert progress.agg(F.sum("errors")).first()[0] == 1
     runs = spark.createDataFrame([(1, "2024-01-01 00:00:00", None), (2, "2024-01-01 09:00:00", None), (3, "2024-01-01 00:00:00", "2024-01-01 01:00:00")], "id long, a string, b string").select("id", F.col("a").cast("timestamp").alias("started_at"), F.col("b").cast("timestamp").alias("finished_at"))
     assert [r.id for r in C.stalled_runs(runs, "2024-01-01 10:00:00").collect()] == [1]
+
+
+def test_bulk_records_by_line(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"label": "a", "tiers": [1]},\n{"label": "b"}\n]\n')
+    (tmp_path / "b.json").write_text('{"label": "c", "x": {"y": 2}}\n\n')
+    assert {r.r["label"]: r.r.get("x") for r in S.read_bulk_lines(spark, str(tmp_path)).collect()} == {"a": None, "b": None, "c": '{"y":2}'}

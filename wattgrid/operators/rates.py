@@ -97,7 +97,7 @@ def validate(tariffs: DataFrame, components: DataFrame, bounds: DataFrame, valid
     """
     names = [f"{p}_{k}" for k in CORE for p in ("p95", "p99")]
     other = bounds.where("state is null").select(*[F.col(n).alias(f"d_{n}") for n in names])
-    rows = tariffs.join(F.broadcast(bounds.where("state is not null")), "state", "left").crossJoin(F.broadcast(other))  # a row per state
+    rows = tariffs.join(bounds.where("state is not null"), "state", "left").crossJoin(other)  # other: one row
     rows = rows.select(*tariffs.columns, *[F.coalesce(n, f"d_{n}").alias(n) for n in names])
     value, kind = F.col("rate_value"), F.col("component_type")
     over = lambda p, times: F.coalesce(*[F.when(kind == k, value > F.col(f"{p}_{k}") * times) for k in CORE], F.lit(False))

@@ -32,6 +32,17 @@ def read_bulk_rates(spark: SparkSession, path: str) -> DataFrame:
     return body.select(F.explode(F.from_json("body", "array<map<string,string>>")).alias("r"))
 
 
+def read_bulk_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Bulk rate records, raw as read_bulk_rates gives them, from files with one JSON object a line; these are split over tasks by size, so files of any length do.
+
+    read_bulk_rates takes a file as one value, as its array may be one line: files up to 2 GB, one task each. Larger ones are
+    to be given in this form; commas and brackets around the objects of an array that has one object a line are let be.
+    """
+    line = F.regexp_replace(F.trim("value"), r"^\[\s*|\s*[,\]]\s*$", "")
+    rows = spark.read.text(path).select(line.alias("line")).where(F.col("line").startswith("{"))
+    return rows.select(F.from_json("line", "map<string,string>").alias("r"))
+
+
 def _moment(c: Column) -> Column:
     """Epoch seconds or an object with an ISO $date, as a timestamp."""
     iso = F.from_json(c, "map<string,string>")["$date"]
