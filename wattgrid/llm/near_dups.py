@@ -328,7 +328,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document's set holds its distinct shingles of ``words`` words (all words as one if there are fewer; A-Z lower-cased;
     words between ASCII white space). Two documents link when 100 * intersection >= percent * union. component_id is the
-    smallest id that links reach. Shingles are told apart by 64-bit hashes.
+    smallest id that links reach. Shingles are told apart by 64-bit hashes: two texts of 1,000 shingles each hold two different
+    ones with equal hashes with a chance of 5e-14, and that matters only to a pair that a single shingle decides.
 
     Documents with equal sets form a class, and classes are compared. Classes that share a key of their parity sketch
     are candidates; each is first verified against one leader, then groups that still hold several components are compared
