@@ -258,3 +258,30 @@ def test_text_rules(spark):
     assert [tuple(r) for r in sources.collect()] == [(1, "u", "pending")]
     best = resolve.best_url(spark.createDataFrame([(1, "s"), (2, None), (3, "t")], "id long, website_url string"), spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "", 3), (3, None, 1)], "utility_id long, source_url string, updated_at int"))
     assert {tuple(r) for r in best.collect()} == {(1, "b"), (2, None), (3, "t")}
+
+
+@pytest.mark.parametrize("cell", [0.05, 0.3, 5.0])
+def test_points_in_random_polygons(spark, cell):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    shapes = []
+    for k in range(12):
+        n = int(rng.integers(3, 12))
+        angle = np.sort(rng.uniform(0, 2 * np.pi, n))
+        ring = rng.uniform(-1, 1, 2) + np.c_[np.cos(angle), np.sin(angle)] * rng.uniform(0.1, 1.2, (n, 1))
+        if k % 3 == 0:
+            ring = np.round(ring * 10) / 10  # corners on the lines of the grid
+        shapes.append((k, [[[*ring.tolist(), ring[0].tolist()]]]))
+    square = [[-0.6, -0.6], [0.6, -0.6], [0.6, 0.6], [-0.6, 0.6], [-0.6, -0.6]]
+    shapes.append((12, [[square, [[0.5 * v for v in p] for p in square]]]))
+    at = rng.uniform(-2, 2, (400, 2))
+    want = set()
+    for k, polygons in shapes:
+        for i, (x, y) in enumerate(at):
+            n = sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for rings in polygons for ring in rings for (x1, y1), (x2, y2) in zip(ring, ring[1:]))
+            if n % 2:
+                want.add((i, k))
+    edges = geo.rings(spark.createDataFrame(shapes, "id long, geometry array<array<array<array<double>>>>")).withColumnRenamed("id", "territory_id")
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)] + [(900, None, 0.0), (901, float("nan"), 0.0)], "point_id long, x double, y double")
+    assert {tuple(r) for r in geo.points_in(points, edges, cell).collect()} == want and len(want) > 200

@@ -100,12 +100,13 @@ def kept_pages(pages: DataFrame, doc_cols: list[str], text_col: str) -> DataFram
 
 
 def main_text(html: Column) -> Column:
-    """Text of a page: without scripts, styles, navigation, header, footer and frames; of the first article or main element if there is one, else of the body. White space is one space; the five named references of XML and &nbsp; are decoded."""
+    """Text of a page: without scripts, styles, navigation, header, footer and frames; of the main element, article or element with that role if there is one, else of the body. White space is one space; the five named references of XML and &nbsp; are decoded."""
     t = html
     for tag in DROPPED:
         t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
     main, article = (F.regexp_extract(t, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1) for tag in ("main", "article"))
-    t = F.when(main != "", main).when(article != "", article).otherwise(F.regexp_replace(t, r"(?is)^.*?</head\s*>", ""))
+    role = F.regexp_extract(t, r"(?is)<(\w+)\b[^>]*\brole\s*=\s*[\"']?main\b[^>]*>(.*)</\1\s*>", 2)
+    t = F.when(main != "", main).when(article != "", article).when(role != "", role).otherwise(F.regexp_replace(t, r"(?is)^.*?</head\s*>", ""))
     t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
     for name, char in REFERENCES:
         t = F.replace(t, F.lit(name), F.lit(char))
