@@ -12,6 +12,7 @@ from wattgrid.llm.line_dedup import line_digests
 from wattgrid.llm.near_dups import near_duplicates
 from wattgrid.llm.packing import pack_documents
 from wattgrid.llm.quality import score_documents, train_on
+from wattgrid.llm.ranked_search import ranked_search
 from wattgrid.llm.substring_dedup import substring_digests
 from wattgrid.llm.url_filter import judge_urls
 from wattgrid.llm.vector_dedup import link_vectors
@@ -62,7 +63,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_text, op3_exact_dedup, op4_url_filter, op5_ngram_jaccard, op6_vector_dedup, op7_packing, op8_bpe_round_trip, op9_line_dedup, op10_substring_dedup)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_html_text, op3_exact_dedup, op4_url_filter, op5_ngram_jaccard, op6_vector_dedup, op7_packing, op8_bpe_round_trip, op9_line_dedup, op10_substring_dedup,
+        op11_ranked_search,
+    )
+}
 
 ORACLES = {
     "op3_exact_dedup": """
@@ -110,4 +121,15 @@ ORACLES = {
             select r.x, s.b from reach r join (select a, b from e union select b, a from e) s on r.y = s.a)
         select n.page_id, host, path, rule, coalesce(own, case when node in (select y from reach) then 'block' else 'allow' end) as verdict
         from n left join fits using (page_id)""",
+    "op11_ranked_search": r"""
+        with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+        total as (select count(*) as n_docs, sum(len(terms))::bigint as n_terms from d where len(terms) > 0),
+        tf as (select r, doc_id, n, term, count(*) as tf from (select r, doc_id, len(terms) as n, unnest(terms) as term from d) group by all),
+        df as (select term, count(*) as df from tf group by term),
+        asked as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+        scores as (
+            select item_id, r, doc_id, sum(floor(1000 * ln((2.0::double * n_docs + 2) / (2.0::double * df + 1)))::bigint * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::bigint as score
+            from asked join tf using (term) join df using (term), total group by item_id, r, doc_id),
+        ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scores where score > 0)
+        select item_id, rank, doc_id, score from ranked where rank <= 10""",
 }
