@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wattgrid.llm.bpe import round_trip
+from wattgrid.llm.conversation_repair import repair_digests
 from wattgrid.llm.exact_dedup import exact_duplicates
 from wattgrid.llm.html_text import extract_text
 from wattgrid.llm.line_dedup import line_digests
@@ -67,11 +68,15 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_html_text, op3_exact_dedup, op4_url_filter, op5_ngram_jaccard, op6_vector_dedup, op7_packing, op8_bpe_round_trip, op9_line_dedup, op10_substring_dedup,
-        op11_ranked_search,
+        op11_ranked_search, op13_conversation_repair,
     )
 }
 
