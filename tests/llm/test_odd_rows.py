@@ -122,4 +122,4 @@ def test_pipeline(spark, docs, tmp_path):
 
 
 def test_all_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))

@@ -12,6 +12,7 @@ from wattgrid.llm.html_text import extract_text
 from wattgrid.llm.line_dedup import line_digests
 from wattgrid.llm.near_dups import near_duplicates
 from wattgrid.llm.packing import pack_documents
+from wattgrid.llm.personal_data import personal_digests
 from wattgrid.llm.quality import score_documents, train_on
 from wattgrid.llm.ranked_search import ranked_search
 from wattgrid.llm.substring_dedup import substring_digests
@@ -68,6 +69,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digests(_table(spark, sf_dir, "conversations"))
 
@@ -76,7 +81,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_html_text, op3_exact_dedup, op4_url_filter, op5_ngram_jaccard, op6_vector_dedup, op7_packing, op8_bpe_round_trip, op9_line_dedup, op10_substring_dedup,
-        op11_ranked_search, op13_conversation_repair,
+        op11_ranked_search, op12_personal_data, op13_conversation_repair,
     )
 }
 
