@@ -116,7 +116,7 @@ def test_changes(spark):
     gone = changes.reconcile(stored, existing, "g", ["g", "n"], F.col("home"))
     assert {r.g for r in gone.collect()} == {2} and gone.count() == 25
     names = spark.createDataFrame([(1, 1, "rate d", 1, 1), (1, 2, "rate d service", 2, 2), (1, 3, "rate dp", 1, 1), (1, 4, "rate d", 1, 5)], "u long, id long, n string, c long, t long")
-    assert {(r.id, r.merged_into) for r in changes.merge_prefix_duplicates(names, ["u"], "id", "n", "c", "t").collect()} == {(1, 2), (2, 2), (4, 2), (3, 3)}
+    assert {(r.id, r.merged_into) for r in changes.absorb_duplicates(names, ["u"], "id", "n", "c", "t").collect()} == {(1, 4), (4, 2), (2, 2), (3, 3)}
     known = spark.createDataFrame([(1, "u", "h", None, None), (2, "v", "h", None, None)], "utility_id long, url string, content_hash string, checked_at timestamp, changed_at timestamp")
     seen = spark.createDataFrame([(1, "u", "h"), (3, "w", "k")], "utility_id long, url string, content_hash string")
     first = changes.upsert_fingerprints(known, seen, "2024-01-01")
@@ -165,8 +165,6 @@ def test_resolving(spark):
     assert {x.url for x in tries.collect()} == {"http://www.a.com/x?y", "https://www.a.com/x", "https://a.com/x?y", "https://www.a.com/", "https://www.a.com/rates"}
     foreign = resolve.foreign_names(spark.createDataFrame([(1, "Metro plan", "Acme"), (2, "Metro plan", "Metro Power"), (3, "x", "Acme")], "id long, name string, utility string"), ["metro"])
     assert {(x.id, x.foreign) for x in foreign.collect()} == {(1, True), (2, False), (3, False)}
-    pages_ = spark.createDataFrame([(1, "Acme Springfield", "acme rates"), (1, "Acme Springfield", "springfield"), (2, "Nordkraft", "other")], "utility_id long, utility string, content string")
-    assert {(x.utility_id, x.verdict) for x in resolve.identity_verdict(pages_).collect()} == {(1, "own"), (2, "other")}
     order = resolve.alternate_order(spark.createDataFrame([(1, "http://a/x/1", 0), (1, "http://a/x/2", 1), (1, "http://b/", 2)], "utility_id long, url string, rank int")).orderBy("place").collect()
     assert [x.rank for x in order] == [0, 2, 1]
 

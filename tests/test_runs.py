@@ -3,6 +3,7 @@
 import pytest
 
 from wattgrid.streaming import checks as M
+from wattgrid.streaming import fingerprints
 
 
 def drain(query):
@@ -29,7 +30,7 @@ def test_pages_are_stored_when_they_change(spark, tmp_path):
     add = lambda *rows: spark.createDataFrame(list(rows), "utility_id long, url string, content_hash string").coalesce(1).write.mode("append").parquet(source)
     add((1, "a", "h1"), (1, "b", "h1"))
     stream = spark.readStream.schema("utility_id long, url string, content_hash string").option("maxFilesPerTrigger", 1).parquet(source)
-    query = M.write_changed_pages(stream, spark, stored, str(tmp_path / "c")).start()
+    query = fingerprints.write_changed_pages(stream, spark, stored, str(tmp_path / "c")).start()
     query.processAllAvailable()
     add((1, "a", "h1"), (1, "b", "h2"), (2, "a", "h1"))
     drain(query)

@@ -61,19 +61,52 @@ def cascade_delete(parents: DataFrame, children: DataFrame, gone: DataFrame, id_
     return parents.join(ids, id_col, "left_anti"), children.join(ids.withColumnRenamed(id_col, child_key), child_key, "left_anti")
 
 
-def merge_prefix_duplicates(rows: DataFrame, group: list[str], id_col: str, name_col: str, core: str, total: str) -> DataFrame:
-    """(group, id, merged_into): within a group, a name that begins with another's and goes on at a blank is its duplicate; of all names under the shortest such one the row with most core, then all components (then the smallest id) stays.
-
-    Names are met with their own word prefixes by equality, so a group may have any size. Rows without a name stay.
+def absorb_duplicates(rows: DataFrame, group: list[str], id_col: str, name_col: str, core: str, total: str, least_suffix: int = 4) -> DataFrame:
+    """(group, id, merged_into): which row of its group each row loses to, itself where it stays.
+
+    Rows of a group are gone through by name, then id. Each row that is still there meets the later ones that are still there, in
+    order: of two whose plain names are equal, or of which one begins the other and leaves least_suffix characters or more (outer blanks not
+    counted), the one with more core, then more total components stays, the earlier on a draw; a row that loses is out.
+
+    The pass is made in rounds. A row may act when no earlier row that it could meet is left; those for which it is the first
+    it could meet lose to it, up to the first richer one, to which it loses itself if that one waits for nobody else. So every round
+    does what the pass would do, in all groups and at many places of a group at once, and rounds follow the changes of the
+    keeper, not the rows. What a row could meet first is a minimum over equal names and beginnings of names, so no pairs of a
+    group are listed but those with a row that may act. Rows without a name stay; null components are fewest; nulls in a group are equal.
     """
-    rows = rows.withColumn("g_", F.struct(*group))
-    names = rows.where(F.col(name_col).isNotNull()).groupBy("g_", F.col(name_col).alias("name_")).agg(F.min(F.struct(F.col(core).isNull(), -F.col(core), F.col(total).isNull(), -F.col(total), F.col(id_col).alias("id"))).alias("best_"))
-    own = F.split("name_", " ")
-    prefixes = names.select("g_", F.col("name_").alias("of_"), F.explode(F.transform(F.sequence(F.lit(1), F.size(own)), lambda n: F.array_join(F.slice(own, F.lit(1), n), " "))).alias("name_"))
-    leaders = prefixes.join(names.select("g_", "name_"), ["g_", "name_"], "left_semi").groupBy("g_", "of_").agg(F.min_by("name_", F.char_length("name_")).alias("leader_"))
-    best = leaders.join(names.select("g_", F.col("name_").alias("of_"), "best_"), ["g_", "of_"]).groupBy("g_", "leader_").agg(F.min("best_").alias("best_"))
-    merged = leaders.join(best, ["g_", "leader_"]).select("g_", F.col("of_").alias(name_col), F.col("best_.id").alias("merged_into"))
-    return rows.select("g_", *group, id_col, name_col).join(merged, ["g_", name_col], "left").select(*group, id_col, F.coalesce("merged_into", id_col).alias("merged_into"))
+    scratch = Scratch(rows.sparkSession, "absorb")
+    order = F.struct(F.col(name_col).alias("name"), F.col(id_col).alias("id"))
+    worth = F.struct(F.coalesce(F.col(core), F.lit(-1)).alias("core"), F.coalesce(F.col(total), F.lit(-1)).alias("total"))
+    live = rows.where(F.col(name_col).isNotNull()).select(F.struct(*group).alias("g_"), plain_name(F.col(name_col)).alias("n_"), order.alias("r_"), worth.alias("w_"))
+    live, lost = scratch.cut(live), None
+    begun_list = lambda n: F.filter(F.transform(F.sequence(F.lit(0), F.char_length(n)), lambda k: F.when(F.char_length(F.trim(F.substring(n, k + 1, F.char_length(n)))) >= least_suffix, F.substring(n, F.lit(1), k))), lambda p: p.isNotNull())
+    begun = lambda n: F.explode(begun_list(n))
+    while True:
+        names = live.groupBy("g_", "n_").agg(F.min("r_").alias("c_"), F.min_by("w_", "r_").alias("cw_"), F.count("*").alias("many_"))
+        tied = names.select("g_", "n_", "c_", begun(F.col("n_")).alias("p_")).join(names.select("g_", F.col("n_").alias("p_"), F.col("c_").alias("pc_")), ["g_", "p_"])
+        ends = F.explode(F.array(F.struct(F.col("n_").alias("n"), F.col("pc_").alias("c")), F.struct(F.col("p_").alias("n"), F.col("c_").alias("c"))))
+        near = tied.select("g_", ends.alias("e_")).groupBy("g_", F.col("e_.n").alias("n_")).agg(F.min("e_.c").alias("near_"))
+        names = scratch.cut(names.join(near, ["g_", "n_"], "left"))
+        met = live.join(names, ["g_", "n_"]).select("g_", "n_", "r_", "w_", F.when(F.col("r_") == F.col("c_"), F.coalesce("near_", F.when(F.col("many_") > 1, F.col("r_")))).otherwise(F.least("c_", "near_")).alias("first_")).where("first_ is not null")
+        acts = names.where("near_ is null and many_ > 1 or c_ < near_").select("g_", "n_", F.col("c_").alias("i_"), F.col("cw_").alias("iw_"))
+        # A row meets those that may act under its own name, under the beginnings of its name, and under names that its own begins.
+        down = met.select("g_", "r_", "w_", "first_", F.explode(F.array_append(begun_list(F.col("n_")), F.col("n_"))).alias("n_")).join(acts, ["g_", "n_"])
+        up = acts.select("g_", "i_", "iw_", begun(F.col("n_")).alias("n_")).join(met, ["g_", "n_"])
+        cols = ["g_", "i_", "iw_", "r_", "w_", "first_"]
+        pairs = scratch.cut(down.select(*cols).union(up.select(*cols)).where("r_ <> i_"))
+        richer = pairs.groupBy("g_", "i_").agg(F.min(F.when(F.col("w_") > F.col("iw_"), F.struct("r_", "first_"))).alias("t_"))
+        beaten = richer.where("t_.first_ = i_").select("g_", F.col("i_").alias("r_"), F.col("t_.r_").alias("to_"))
+        taken = pairs.where("first_ = i_").join(richer, ["g_", "i_"]).where("t_ is null or r_ < t_.r_").select("g_", "r_", F.col("i_").alias("to_"))
+        done = scratch.cut(met.select("g_", "n_", "r_", "w_").join(beaten.union(taken), ["g_", "r_"], "left"))
+        scratch.drop(names, pairs)
+        gone, live = done.where("to_ is not null").select("g_", "r_", "to_"), done.where("to_ is null").select("g_", "n_", "r_", "w_")
+        if gone.isEmpty():
+            break
+        lost = gone if lost is None else lost.union(gone)
+    out = rows.select(F.struct(*group).alias("g_"), *group, id_col, order.alias("r_"))
+    if lost is None:
+        return out.select(*group, id_col, F.col(id_col).alias("merged_into"))
+    return out.join(lost, ["g_", "r_"], "left").select(*group, id_col, F.coalesce("to_.id", id_col).alias("merged_into"))
 
 
 def greedy_matches(pairs: DataFrame, group: str, left: str, right: str, rank: list[str]) -> DataFrame:
@@ -178,9 +211,10 @@ def unchanged_utilities(pages: DataFrame, known: DataFrame) -> DataFrame:
     return per.where("same").select("utility_id")
 
 
-def update_values(rows: DataFrame, updates: DataFrame, key: str, column: str, valid: Column | None = None) -> DataFrame:
-    """rows with the column's new values from updates (key, column); null and invalid ones are left out."""
-    new = updates.where(F.col(column).isNotNull() & (valid if valid is not None else F.lit(True))).groupBy(key).agg(F.max(column).alias("_new"))
+def update_values(rows: DataFrame, updates: DataFrame, key: str, column: str, valid: Column | None = None, order: str | None = None) -> DataFrame:
+    """rows with the column's new values from updates (key, column); null and invalid ones are left out. Of several updates of a key the last by order counts, of equal ones (or without an order) the largest value."""
+    place = F.struct(*([order] if order else []), column)
+    new = updates.where(F.col(column).isNotNull() & (valid if valid is not None else F.lit(True))).groupBy(key).agg(F.max_by(column, place).alias("_new"))
     return rows.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 

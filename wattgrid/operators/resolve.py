@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattgrid.functions import lists as L
 from wattgrid.functions import text as X
 
 # Corporate suffixes, and words that say little about a name.
@@ -165,12 +166,80 @@ def foreign_names(tariffs: DataFrame, markers: list[str]) -> DataFrame:
     return tariffs.withColumn("foreign", F.coalesce(~F.contains(utility, held), F.lit(False)))
 
 
-def identity_verdict(pages: DataFrame, least_share: float = 0.5) -> DataFrame:
-    """(utility_id, words, hits, verdict) over the pages (utility_id, utility, content) of each utility: which of its name's words any page holds."""
-    rows = pages.select("utility_id", name_words(F.col("utility")).alias("words"), F.lower("content").alias("content"))
-    per = rows.select("utility_id", "words", F.filter("words", lambda w: F.contains(F.col("content"), w)).alias("found"))
-    out = per.groupBy("utility_id").agg(F.max(F.size("words")).alias("words"), F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("hits"))
-    return out.withColumn("verdict", F.when(F.col("words") == 0, "unknown").when(F.col("hits") >= least_share * F.col("words"), "own").when(F.col("hits") == 0, "other").otherwise("doubtful"))
+# Words that say little about whose page it is, and why a page is taken for another's.
+PLAIN_WORDS = "of the and for in at by to a an city town village county electric power light energy utility utilities service services dept department board commission authority".split()
+COMPANY_SUFFIXES = r"(?i)\s+(Co|Corp|Inc|LLC|LLP|Ltd|Company|Corporation|Incorporated|Assn|Assoc|Association|Member|Coop|PLC|LP|PA|NA)\.?$"
+REASONS = {
+    "other_states": "Page mentions %d other states more than target state (%s) and domain doesn't match — likely cross-contamination.",
+    "nothing_fits": "Page content does not mention the utility name (%s), state (%s), and pages are from a different domain. Likely cross-contamination.",
+    "no_mention": "Page content does not mention the utility name (%s) or state (%s). Possible cross-contamination.",
+    "state_only": "Page mentions target state (%s) but utility name (%s) not found and domain doesn't match — possible cross-contamination.",
+}
+#: States and provinces whose names are looked for; Iowa, Yukon and the territories are not among them.
+NAMED_STATES = {code: name for name, code in L.US_STATES.items() if code != "IA"} | {code: "newfoundland" if code == "NL" else name for name, code in L.CA_PROVINCES.items() if code not in ("YT", "NT", "NU")}
+WORDS_AT_ONCE = 60
+
+
+def own_words(name: Column) -> Column:
+    """Words of over two letters of a name without corporate suffixes, in their order, but for those that many names have."""
+    n = name
+    for _ in range(3):
+        n = F.rtrim(F.trim(F.regexp_replace(n, COMPANY_SUFFIXES, "")), F.lit(","))
+    plain = F.array(*map(F.lit, PLAIN_WORDS))
+    return F.filter(F.split(F.trim(F.lower(n)), r"\s+"), lambda w: (F.char_length(w) > 2) & ~F.array_contains(plain, w))
+
+
+def identity_verdicts(utilities: DataFrame, pages: DataFrame) -> DataFrame:
+    """utility_id, n_words, hits, other_states, is_own, code, reason: whether the pages fetched for each utility are its own.
+
+    utilities: utility_id, name, state, domain (null where none is known); pages: utility_id, url, title, content. Over all pages of a
+    utility, whole, it is counted how many words of its name they hold (as parts of words too); where hosts, paths and titles
+    hold two of them, or one of a name of at most two, these count if they are more. With three tenths of the words or two, or any
+    at all, the pages are its own. Else code says why not: its state is named but three others too and no page is of its
+    domain; neither name nor state is named, with or without its domain; its state alone is named and no page is of its domain. A page
+    is of a domain on it, below it, or with the same last two labels; without a known domain all are. Utilities without
+    words, pages or content are taken as they are.
+
+    Per page the hits are bits of a number (names in parts of WORDS_AT_ONCE words), so the pages of a utility are combined before they
+    are shuffled. State names are a short fixed list and part of the expression. Null texts are empty; null utility ids meet nothing.
+    """
+    u = utilities.select("utility_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("state", F.lit("")).alias("state"), F.replace(F.lower("domain"), F.lit("www."), F.lit("")).alias("domain"))
+    u = u.withColumn("words", own_words(F.col("name")))
+    codes = F.create_map(*[F.lit(x) for k, code in enumerate(NAMED_STATES) for x in (code, k)])
+    full = F.create_map(*[F.lit(x) for code, name in NAMED_STATES.items() for x in (code, name)])
+    u = u.withColumns({"own_": F.coalesce(F.pow(F.lit(2.0), codes[F.upper("state")]).cast("bigint"), F.lit(0).cast("bigint")), "full_": F.coalesce(full[F.upper("state")], F.lower("state"))})
+    site = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    p = pages.select("utility_id", F.lower(F.coalesce("content", F.lit(""))).alias("body"), F.lower(F.concat_ws(" ", site, X.path(F.coalesce("url", F.lit(""))), F.coalesce("title", F.lit("")))).alias("head"), F.replace(F.lower(site), F.lit("www."), F.lit("")).alias("site"))
+    rows = p.join(u.select("utility_id", "words", "state", "full_", "domain"), "utility_id")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("words") / WORDS_AT_ONCE) - 1, F.lit(0)).cast("int"))))
+    some = F.slice("words", F.col("part") * WORDS_AT_ONCE + 1, F.lit(WORDS_AT_ONCE))
+    bits = lambda where, of: F.aggregate(F.transform(of, lambda w, k: F.when(F.contains(where, w), F.pow(F.lit(2.0), k).cast("bigint")).otherwise(0)), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+    base = lambda d: F.array_join(F.slice(F.split(d, r"\."), F.greatest(F.size(F.split(d, r"\.")) - 1, F.lit(1)), F.lit(2)), ".")
+    fits = (F.col("site") == F.col("domain")) | F.endswith(F.col("site"), F.concat(F.lit("."), F.col("domain"))) | (base(F.col("site")) == base(F.col("domain")))
+    states = F.lit(0).cast("bigint")
+    for k, name in enumerate(NAMED_STATES.values()):
+        states = states + F.when(F.contains("body", F.lit(name)), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint")
+    first = F.col("part") == 0
+    seen = rows.select(
+        "utility_id", "part", bits(F.col("body"), some).alias("body_"), bits(F.col("head"), some).alias("head_"), F.when(first, states).otherwise(0).alias("states_"),
+        (F.contains("body", F.lower("state")) | F.contains("body", "full_")).alias("state_"), (F.col("body") != "").alias("text_"), (F.col("site") != "").alias("site_"), ((F.col("site") != "") & F.coalesce(fits, F.lit(False))).alias("fits_"),
+    )
+    flags = [F.bool_or(c).alias(c) for c in ("state_", "text_", "site_", "fits_")]
+    per = seen.groupBy("utility_id", "part").agg(F.bit_or("body_").alias("body_"), F.bit_or("head_").alias("head_"), F.bit_or("states_").alias("states_"), *flags)
+    per = per.groupBy("utility_id").agg(F.sum(F.bit_count("body_")).alias("in_body"), F.sum(F.bit_count("head_")).alias("in_head"), F.bit_or("states_").alias("states_"), *flags)
+    out = u.join(per, "utility_id", "left").withColumn("n_words", F.size("words"))
+    rescued = (F.col("in_head") >= 2) | ((F.col("in_head") >= 1) & (F.col("n_words") <= 2))
+    out = out.withColumn("hits", F.when(rescued, F.greatest("in_body", "in_head")).otherwise(F.coalesce("in_body", F.lit(0))))
+    out = out.withColumn("other_states", F.bit_count(F.coalesce("states_", F.lit(0)).bitwiseAND(F.bitwise_not("own_"))))
+    judged = (F.col("n_words") > 0) & F.coalesce("text_", F.lit(False)) & (F.col("hits") == 0)
+    abroad = F.col("domain").isNotNull() & (F.col("domain") != "") & F.col("site_") & ~F.col("fits_")
+    code = F.when(F.col("state_") & (F.col("other_states") >= 3) & abroad, "other_states").when(~F.col("state_") & abroad, "nothing_fits").when(~F.col("state_"), "no_mention").when(abroad, "state_only")
+    out = out.withColumn("code", F.when(judged, code))
+    said = {"other_states": ("other_states", "state"), "nothing_fits": ("name", "state"), "no_mention": ("name", "state"), "state_only": ("state", "name")}
+    reason = F.lit("")
+    for c, cols in said.items():
+        reason = F.when(F.col("code") == c, F.format_string(REASONS[c], *cols)).otherwise(reason)
+    return out.select("utility_id", F.col("n_words").cast("bigint").alias("n_words"), F.col("hits").cast("bigint").alias("hits"), F.col("other_states").cast("bigint").alias("other_states"), F.col("code").isNull().alias("is_own"), "code", reason.alias("reason"))
 
 
 def alternate_order(pages: DataFrame) -> DataFrame:

@@ -630,13 +630,6 @@ def benchmark_match(t: Tables) -> DataFrame:
     return changes.greedy_matches(_benchmark_pairs(t), "utility_id", "want", "got", ["want", "stage", "overlap"])
 
 
-@query(None)
-def merge_prefixes(t: Tables) -> DataFrame:
-    """Parts as tariffs of their brand: names that begin with another's name are merged into the richer one."""
-    rows = t.read("part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("name"), F.col("p_size").alias("core"), F.col("p_retailprice").cast("long").alias("total"))
-    return changes.merge_prefix_duplicates(rows, ["brand"], "id", "name", "core", "total")
-
-
 @query(r"""+ l as (select page_id, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)))) as place, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) as href, url from pages),
     r as (select page_id, place, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0) || regexp_replace(href, '#.*$', '') as target from l where href like '/%')
     select page_id, target, min(place)::int as place from r group by 1, 2""")
@@ -874,4 +867,4 @@ def page_text(t: Tables) -> DataFrame:
     return t.read("pages").select("page_id", F.sha2(main_text(F.col("html")).cast("binary"), 256).alias("text_sha256"))
 
 
-from wattgrid import queries_jobs, queries_reports  # noqa: E402, F401  (they register themselves)
+from wattgrid import queries_jobs, queries_reports, queries_runs  # noqa: E402, F401  (they register themselves)

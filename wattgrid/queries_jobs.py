@@ -357,17 +357,6 @@ def foreign_names(t: Tables) -> DataFrame:
     return resolve.foreign_names(rows, MARKERS).select("id", "foreign")
 
 
-@query(r"""+ p as (select page_id % 40 as utility_id, lower(html) as content from pages), n as (select utility_id, unnest(case utility_id % 4 when 0 then ['article', 'zzqqy'] when 1 then ['zzqqy', 'qqzzx', 'nowhere9'] when 2 then ['article', 'header', 'zzqqy'] else [] end) as w, from (select distinct utility_id from p)),
-    h as (select n.utility_id, n.w, bool_or(contains(content, n.w)) as hit from n join p using (utility_id) group by 1, 2), c as (select utility_id, count(*) as words, count(*) filter (hit) as hits from h group by 1)
-    select u.utility_id, coalesce(words, 0) as words, coalesce(hits, 0) as hits, case when coalesce(words, 0) = 0 then 'unknown' when hits >= 0.5 * words then 'own' when hits = 0 then 'other' else 'doubtful' end as verdict from (select distinct utility_id from p) u left join c using (utility_id)""")
-def identity_verdicts(t: Tables) -> DataFrame:
-    """Whether the pages of a utility are its own, by the words of its name."""
-    u = F.col("page_id") % 40
-    name = F.when(u % 4 == 0, "Article Zzqqy Electric").when(u % 4 == 1, "Zzqqy Qqzzx Nowhere9").when(u % 4 == 2, "The Article Header Zzqqy").otherwise("City Power")
-    out = resolve.identity_verdict(t.read("pages").select(u.alias("utility_id"), name.alias("utility"), F.col("html").alias("content")))
-    return out.select("utility_id", F.col("words").cast("long"), F.col("hits").cast("long"), "verdict")
-
-
 @query("""+ f as (select distinct case p_partkey % 3 when 0 then 'SUPPLIER#' || lpad((p_partkey % 150)::varchar, 9, '0') when 1 then 'New ' || p_brand else 'Supplier-#' || lpad((p_partkey % 150)::varchar, 9, '0') || ' Inc' end as name from part)
     select name from f where not exists (select 1 from supplier where lower(s_name) = lower(name)) and not exists (select 1 from supplier where lower(replace(s_name, '#', '')) = lower(replace(replace(replace(name, ' Inc', ''), '-', ''), '#', '')))""")
 def missing_utilities(t: Tables) -> DataFrame:

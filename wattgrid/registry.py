@@ -15,7 +15,7 @@ AS_OF = "2001-08-01"
 
 
 def query(sql: str | None):
-    """Registers a function of Tables under its name, with SQL that follows the views of the tariff schema; SQL that begins with + adds views of its own."""
+    """Registers a function of Tables under its name, with SQL that follows the views of the tariff schema; SQL that begins with + adds views of its own, with ++ recursive ones."""
 
     def add(f: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,7 +25,7 @@ def query(sql: str | None):
         QUERIES[f.__name__] = run
         if sql:
             own = sql.lstrip()
-            ORACLES[f.__name__] = f"with {SQL}{',' if own.startswith('+') else ''}\n{own.removeprefix('+')}"
+            ORACLES[f.__name__] = f"with {'recursive ' if own.startswith('++') else ''}{SQL}{',' if own.startswith('+') else ''}\n{own.lstrip('+')}"
         return f
 
     return add

@@ -27,7 +27,8 @@ def stream_changes(checks: DataFrame, delay: str = "1 day") -> DataFrame:
     """(source_id, id, checked_at, outcome, review) from a stream of checks (source_id, id, checked_at, content_hash, failed).
 
     State per source is the last good hash and its time. Checks of a batch are taken in order of checked_at; a check older
-    than the known one is reported as late and does not roll the hash back. Rows older than the watermark are dropped by Spark.
+    than the known one is reported as late and does not roll the hash back. Rows older than the watermark are dropped by Spark,
+    which it does where state has timeouts; runs.LateRows counts them.
     """
     schema = "source_id long, id long, checked_at timestamp, outcome string, review string"
 
@@ -49,7 +50,7 @@ def stream_changes(checks: DataFrame, delay: str = "1 day") -> DataFrame:
         yield pd.DataFrame(out, columns=["source_id", "id", "checked_at", "outcome", "review"])
 
     rows = checks.select("source_id", "id", "checked_at", "content_hash", "failed").withWatermark("checked_at", delay)
-    return rows.groupBy("source_id").applyInPandasWithState(step, schema, "known string, seen long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("source_id").applyInPandasWithState(step, schema, "known string, seen long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_outcomes(outcomes: DataFrame, width: str = "7 days", slide: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -105,20 +106,3 @@ def stream_run_completion(results: DataFrame, runs: DataFrame) -> DataFrame:
 
     rows = results.join(runs, "run_id").select("run_id", "failed", "targeted")
     return rows.groupBy("run_id").applyInPandasWithState(step, "run_id long, reported long, errors long, complete boolean", "reported long, errors long", "append", GroupStateTimeout.NoTimeout)
-
-
-def write_changed_pages(pages: DataFrame, spark, folder: str, checkpoint: str):
-    """A query over a stream of pages (utility_id, url, content_hash) that stores, batch by batch, those that are new or changed; folder holds one table of fingerprints per batch.
-
-    A batch that is written again after a failure replaces its own table, so nothing is stored twice.
-    """
-
-    def store(batch: DataFrame, number: int) -> None:
-        seen = batch.select("utility_id", "url", "content_hash").dropDuplicates(["utility_id", "url"])
-        if number:
-            earlier = spark.read.schema("utility_id bigint, url string, content_hash string, batch bigint").parquet(*[f"{folder}/{k}" for k in range(number)])
-            known = earlier.groupBy("utility_id", "url").agg(F.max_by("content_hash", "batch").alias("content_hash"))
-            seen = seen.join(known, ["utility_id", "url", "content_hash"], "left_anti")
-        seen.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/{number}")
-
-    return pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
