@@ -180,7 +180,7 @@ def test_reasons_touches_and_benchmarks(spark):
     rows = [(0, 0, 0, 0, 0, 0, 0, True, False), (5, 0, 0, 0, 1, 0, 4, False, False), (5, 5, 5, 0, 0, 0, 0, False, True), (3, 2, 0, 2, 0, 0, 0, False, False), (3, 2, 1, 0, 0, 0, 0, False, False)]
     df = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names) + ", had_page boolean, aborted boolean")
     got = [r.x for r in df.select(pages.failure_reason({c: F.col(c) for c in df.columns}).alias("x")).collect()]
-    assert [g.split(" ")[0] for g in got] == ["No", "No", "0", "All", "Extracted"] and "4 pages had no rate content signals; 1 pages had too little content" in got[1]
+    assert [g.split(" ")[0] for g in got] == ["No", "No", "LLM", "LLM", "Extracted"] and "aborted early" in got[2] and "4 pages had no rate content signals; 1 pages had too little content" in got[1]
     t = spark.createDataFrame([(1, None), (2, None)], "utility_id long, last_verified date")
     assert {(r.utility_id, str(r.last_verified)) for r in changes.touch_verified(t, t.where("utility_id = 1"), "utility_id", "2024-01-01").collect()} == {(1, "2024-01-01"), (2, "None")}
     e = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "utility_id long, id long")

@@ -19,7 +19,11 @@ def densest(text, budget):
     if n >= len(blocks):
         return text[:budget]
     at = max(range(len(blocks) - n + 1), key=lambda k: (sum(scores[k : k + n]), -k))
-    return text[at * 500 : at * 500 + budget]
+    return marked(text, at * 500, at * 500 + budget)
+
+
+def marked(text, a, b):
+    return (pages.LEFT_OUT + "\n" if a else "") + text[a:b] + ("\n" + pages.LEFT_OUT if b < len(text) else "")
 
 
 def test_windows_of_long_texts(spark):
@@ -29,22 +33,24 @@ def test_windows_of_long_texts(spark):
     near = x(20_000) + HOME + x(8000) + HOME + x(12_000).rstrip()
     spread = x(12_000) + HOME + x(12_000) + HOME + x(18_000).rstrip()
     book = x(100_000) + HOME + x(80_000) + HOME + x(40_000).rstrip()
+    many = x(1500) + "".join(HOME + x(2200) for _ in range(4)) + x(30_000).rstrip()
     spaced = ("a" + " " * 99) * 600 + "end"
-    rows = [(1, late), (2, far), (3, near), (4, spread), (5, book), (6, "short"), (7, None), (8, spaced)]
+    rows = [(1, late), (2, far), (3, near), (4, spread), (5, book), (6, "short"), (7, None), (8, spaced), (9, many)]
     got = {r.id: r for r in pages.rate_windows(spark.createDataFrame(rows, "i long, t string"), "i", "t").collect()}
     second = near.index(HOME, 20_001)
     want = {
         1: densest(late, 30_000),
         2: densest(far, 90_000),
-        3: near[19_000:26_000] + "\n" + near[second - 1000 : second + 6000],
-        4: spread[2000:32_000],
-        5: book[90_000:180_000],
+        3: f"{pages.LEFT_OUT}\n{near[19_000:26_000]}\n\n{pages.LEFT_OUT}\n\n{near[second - 1000 : second + 6000]}\n{pages.LEFT_OUT}",
+        4: marked(spread, 2000, 32_000),
+        5: marked(book, 90_000, 180_000),
+        9: marked(many, 500, many.rindex(HOME) + 6000),
         6: "short",
         7: "",
         8: "a  " * 600 + "end",
     }
     assert {i: r.window for i, r in got.items()} == want and all(r.kept == len(r.window) for r in got.values())
-    assert "energy charge" in want[1] and "energy charge" in want[2] and got[2].kept == 90_000
+    assert "energy charge" in want[1] and "energy charge" in want[2] and got[2].kept == 90_000 + len(want[2]) - 90_000
 
 
 def test_query_returns_windows(spark):

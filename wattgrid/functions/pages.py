@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -139,70 +138,87 @@ def is_complex(text: Column, least_chars: int = 8000, least_signals: int = 5) ->
     return (F.char_length(text) >= least_chars) & (F.regexp_count(text, F.lit(COMPLEX)) >= least_signals)
 
 
-def _dense_window(text: str, budget: int, block: int = 500) -> str:
-    """The run of whole blocks within the budget with the most signs of rates: amounts 3, rate words 2, schedules 2 a block; of equal ones the first."""
-    signs = ((re.compile(X.RATE_AMOUNTS), 3), (re.compile(X.RATE_WORDS), 2), (re.compile(X.RATE_SCHEDULES), 2))
-    scores = [sum(n for sign, n in signs if sign.search(text, a, a + block)) for a in range(0, len(text), block)]
-    width = budget // block
-    if width >= len(scores):
-        return text[:budget]
-    best, top, now = 0, sum(scores[:width]), sum(scores[:width])
-    for k in range(1, len(scores) - width + 1):
-        now += scores[k + width - 1] - scores[k - 1]
-        if now > top:
-            best, top = k, now
-    return text[best * block : best * block + budget]
-
-
-def best_windows(text: str, budget: int = 30_000, near: int = 2500) -> str:
-    """The parts of a text, runs of white space shortened, that say most about residential rates, in order, within the budget; whole if it fits.
-
-    Anchors are residential signals with an amount and a unit in the next ``near`` characters. Anchors over 10,000 characters
-    apart, or a budget over 30,000, give one contiguous window that leads in 10,000 characters before the first; closer
-    ones windows merged where they nearly meet; a text without anchors its densest window. Parts are joined by line ends,
-    without marks where text is left out.
-    """
-    for pattern, short in SPACES:
-        text = re.sub(pattern, short, text)
-    text = text.strip()
-    if len(text) <= budget:
-        return text
+#: Fixed value: what stands where text is left out.
+LEFT_OUT = "[...document truncated...]"
+BLOCK, NEAR = 500, 2500
+
+
+def _signal_places(texts: pd.Series) -> pd.Series:
+    """Where each text's residential signals begin that have an amount and a unit in the next NEAR characters."""
     amount, unit = re.compile(X.RATE_AMOUNTS), re.compile(PER_UNIT)
-    anchors = [m.start() for m in re.finditer(HOME_SIGNAL, text) if amount.search(text, m.start(), m.start() + near) and unit.search(text, m.start(), m.start() + near)]
-    if not anchors:
-        return _dense_window(text, budget)
-    if anchors[-1] - anchors[0] > 10_000 or budget > 30_000:
-        start = max(0, anchors[0] - 10_000)
-        return text[start : start + budget]
-    spans: list[list[int]] = []
-    for at in anchors:
-        a, b = max(0, at - 1000), min(len(text), at + 6000)
-        if spans and a <= spans[-1][1] + 500:
-            spans[-1][1] = b
-        else:
-            spans.append([a, b])
-    out, left = [], budget
-    for a, b in spans:
-        out.append(text[a : min(b, a + left)])
-        left -= len(out[-1]) + 1
-        if left <= 500:
-            break
-    return "\n".join(out)
+    follows = lambda t, a: all(sign.search(t, a, a + NEAR) for sign in (amount, unit))
+    return texts.map(lambda t: [m.start() for m in re.finditer(HOME_SIGNAL, t) if follows(t, m.start())])
 
 
-def rate_windows(docs: DataFrame, id_col: str, text_col: str, budget: int = 30_000, long: int = 50_000) -> DataFrame:
-    """(id, chars, kept, window): the windows of each text, with three times the budget for texts over ``long`` characters; whole texts go in, one at a time per row."""
+def _block_scores(texts: DataFrame) -> DataFrame:
+    """(key, block, score): how much each block of a text says of rates: amounts 3, rate words 2, schedules 2."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK).cast("int")), lambda k: F.substring("text", k * BLOCK + 1, F.lit(BLOCK)))
+    rows = texts.select("key", F.posexplode(blocks).alias("block", "b"))
+    score = sum((F.when(F.col("b").rlike(sign), n).otherwise(0) for sign, n in ((X.RATE_AMOUNTS, 3), (X.RATE_WORDS, 2), (X.RATE_SCHEDULES, 2))), F.lit(0))
+    return rows.select("key", "block", score.alias("score"))
+
+
+def _spans(texts: DataFrame, budget: int) -> DataFrame:
+    """(key, a, b, to): the parts of each text (key, text, size, room) that are kept, and how far parts would reach if there were room for all.
+
+    Without signals: the run of whole blocks with the largest sum of scores, all if they have room. With signals over 10,000 characters apart, or more room than
+    ``budget``: from 10,000 characters before the first. Else 1,000 characters before and 6,000 behind each, joined where they are
+    at most 500 apart, as far as the room goes with the marks between them; a cut part has over 500 characters.
+    """
+    from wattgrid.operators.relational import best_span
+
+    at = texts.select("key", "size", "room", F.explode(F.pandas_udf(_signal_places, "array<int>")("text")).alias("at"))
+    ends = at.groupBy("key").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    met = texts.select("key", "size", "room").join(ends, "key", "left")
+    wide = F.col("first").isNotNull() & ((F.col("last") - F.col("first") > 10_000) | (F.col("room") > budget))
+    start = F.greatest(F.col("first") - 10_000, F.lit(0))
+    one = met.where(wide).select("key", start.alias("a"), F.least("size", start + F.col("room")).alias("b"), F.least("size", start + F.col("room")).alias("to"))
+
+    plain = met.where("first is null")
+    scores = _block_scores(texts.join(plain.select("key"), "key", "left_semi")).join(plain.select("key", "room", "size"), "key")
+    width = F.floor(F.col("room") / BLOCK)
+    dense = plain.where(width * BLOCK >= F.col("size")).select("key", F.lit(0).alias("a"), F.col("size").alias("b"), F.col("size").alias("to"))
+    for room in (budget, 3 * budget):
+        n = room // BLOCK
+        whole = scores.where((F.col("room") == room) & (F.col("size") > n * BLOCK))
+        best = best_span(whole, "key", "block", F.col("score"), n, last=F.floor((F.col("size") - 1) / BLOCK) + 1 - n).join(plain.select("key", "size"), "key")
+        begin = F.col("first") * BLOCK
+        dense = dense.union(best.select("key", begin.alias("a"), F.least("size", begin + room).alias("b"), F.least("size", begin + room).alias("to")))
+
+    order = Window.partitionBy("key").orderBy("at")
+    tight = at.join(met.where("first is not null").where(~wide).select("key"), "key", "left_semi").select("key", "room", "at", F.greatest(F.col("at") - 1000, F.lit(0)).alias("a"), F.least("size", F.col("at") + 6000).alias("b"))
+    reached = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    isles = tight.withColumn("new", F.coalesce((F.col("a") > reached + 500).cast("int"), F.lit(1))).withColumn("isle", F.sum("new").over(order))
+    isles = isles.groupBy("key", "isle").agg(F.first("room").alias("room"), F.min("a").alias("a"), F.max("b").alias("b"))
+    by = Window.partitionBy("key").orderBy("isle")
+    mark = len(LEFT_OUT) + 4
+    left = F.col("room") - F.coalesce(F.sum(F.col("b") - F.col("a") + mark).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = isles.select("key", "a", "b", left.alias("left"), F.max("b").over(Window.partitionBy("key")).alias("to"))
+    kept = kept.where((F.col("left") >= F.col("b") - F.col("a")) | (F.col("left") > 500)).select("key", "a", F.least("b", F.col("a") + F.col("left")).alias("b"), "to")
+    return one.union(dense).union(kept)
 
-    def window(text: str) -> str:
-        size = len(best_windows(text, len(text)))
-        return best_windows(text, 3 * budget if size > long else budget)
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            kept = [window(t or "") for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "chars": [len(t or "") for t in pdf["text"]], "kept": [len(t) for t in kept], "window": kept})
+def rate_windows(docs: DataFrame, id_col: str, text_col: str, budget: int = 30_000, long: int = 50_000) -> DataFrame:
+    """(id, chars, kept, window): the parts of each text, runs of white space shortened, that say most about residential rates, in order; whole if it fits the budget, which is tripled for texts over ``long`` characters.
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, chars long, kept long, window string")
+    Which parts are kept is decided over rows of places and blocks (_spans); only texts over the budget take part, and are written once.
+    Marks stand where text is left out: before, between and behind parts. Null texts are empty; ids are passed on.
+    """
+    from wattgrid.functions.scratch import Scratch
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    short = text
+    for pattern, shorter in SPACES:
+        short = F.regexp_replace(short, pattern, shorter)
+    rows = docs.select(F.col(id_col).alias("id"), F.char_length(text).cast("bigint").alias("chars"), F.trim(short, F.lit(" \t\n\x0b\f\r")).alias("text")).withColumn("size", F.char_length("text"))
+    fits = rows.where(F.col("size") <= budget).select("id", "chars", F.col("size").cast("bigint").alias("kept"), F.col("text").alias("window"))
+    over = rows.where(F.col("size") > budget).withColumns({"key": F.monotonically_increasing_id(), "room": F.when(F.col("size") > long, 3 * budget).otherwise(budget)})
+    over = Scratch(docs.sparkSession, "windows").cut(over)
+    parts = _spans(over.select("key", "text", "size", "room"), budget).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("parts"), F.max("to").alias("to"))
+    said = F.array_join(F.transform("parts", lambda p: F.substring("text", p["a"] + 1, p["b"] - p["a"])), f"\n\n{LEFT_OUT}\n\n")
+    before, behind = F.when(F.col("parts")[0]["a"] > 0, f"{LEFT_OUT}\n").otherwise(""), F.when(F.col("to") < F.col("size"), f"\n{LEFT_OUT}").otherwise("")
+    cut = over.join(parts, "key").withColumn("window", F.concat(before, said, behind))
+    return fits.union(cut.select("id", "chars", F.char_length("window").cast("bigint"), "window"))
 
 
 def tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -290,16 +306,34 @@ def cached_results(requests: DataFrame, results: DataFrame, as_of: Column, days:
     return requests.join(fresh, "cache_key"), requests.join(fresh.select("cache_key"), "cache_key", "left_anti")
 
 
+#: What is said of an extraction without results, and of pages that were not sent.
+FAILURES = {
+    "no_candidates": ("No candidate pages found after visiting rate page", []),
+    "no_results": ("No candidate pages found — search returned no usable URLs", []),
+    "nothing_sent": ("No pages reached the LLM: %s", ["skipped"]),
+    "stopped": ("LLM returned 0 tariffs on all %s pages (aborted early after 5 consecutive 0-extractions)", ["sent"]),
+    "all_empty": ("LLM returned 0 tariffs on all %s pages", ["sent"]),
+    "all_failed": ("LLM errored on all %s attempts — possible API issue", ["sent"]),
+    "invalid": ("Extracted tariffs did not pass validation (%s pages total, %s reached LLM, %s returned 0)", ["pages", "sent", "zero"]),
+}
+SKIPPED = {"no_signal": "%s pages had no rate content signals", "off_topic": "%s pages were off-topic", "thin": "%s pages had too little content"}
+UNFILTERED = "%s pages did not pass filters"
+
+
+def failure_code(c: dict[str, Column]) -> Column:
+    """Where an extraction without results broke off, as a key of FAILURES: the first of these that holds for its counters."""
+    none_sent, every = c["sent"] == 0, lambda n: (n > 0) & (n >= c["sent"])
+    empty = every(c["zero"]) & (c["zero"] == c["sent"])
+    holds = {
+        "no_candidates": (c["pages"] == 0) & c["had_page"], "no_results": c["pages"] == 0, "nothing_sent": none_sent, "stopped": empty & c["aborted"],
+        "all_empty": empty, "all_failed": every(c["failed"]), "invalid": F.lit(True),
+    }
+    return F.element_at(F.filter(F.array(*[F.when(F.coalesce(x, F.lit(False)), F.lit(k)) for k, x in holds.items()]), lambda k: k.isNotNull()), 1)
+
+
 def failure_reason(c: dict[str, Column]) -> Column:
-    """Where an extraction without results broke off, from its counters: pages, sent, zero, failed, thin, off_topic, no_signal and, as booleans, had_page and aborted."""
-    said = lambda n, text: F.when(n > 0, F.concat(n.cast("string"), F.lit(text)))
-    skipped = F.concat_ws("; ", said(c["no_signal"], " pages had no rate content signals"), said(c["off_topic"], " pages were off-topic"), said(c["thin"], " pages had too little content"))
-    skipped = F.when(skipped != "", skipped).otherwise(F.concat(c["pages"].cast("string"), F.lit(" pages did not pass filters")))
-    zero = F.concat(F.lit("0 tariffs returned for all "), c["sent"].cast("string"), F.lit(" pages"), F.when(c["aborted"], " (stopped early after 5 in a row)").otherwise(""))
-    return (
-        F.when(c["pages"] == 0, F.when(c["had_page"], "No candidate pages found after visiting rate page").otherwise("No candidate pages found: search returned no usable URLs"))
-        .when(c["sent"] == 0, F.concat(F.lit("No pages were sent on: "), skipped))
-        .when((c["zero"] > 0) & (c["zero"] == c["sent"]), zero)
-        .when((c["failed"] > 0) & (c["failed"] >= c["sent"]), F.concat(F.lit("All "), c["sent"].cast("string"), F.lit(" attempts failed")))
-        .otherwise(F.concat(F.lit("Extracted tariffs did not pass validation ("), c["pages"].cast("string"), F.lit(" pages, "), c["sent"].cast("string"), F.lit(" sent, "), c["zero"].cast("string"), F.lit(" returned 0)")))
-    )
+    """failure_code in words, from the counters pages, sent, zero, failed, thin, off_topic, no_signal and, as booleans, had_page and aborted."""
+    told = F.concat_ws("; ", *[F.when(c[k] > 0, F.format_string(said, c[k].cast("string"))) for k, said in SKIPPED.items()])
+    words = {k: v.cast("string") for k, v in c.items()} | {"skipped": F.when(told == "", F.format_string(UNFILTERED, c["pages"].cast("string"))).otherwise(told)}
+    said = F.create_map(*[x for k, (text, of) in FAILURES.items() for x in (F.lit(k), F.format_string(text, *[words[w] for w in of]) if of else F.lit(text))])
+    return F.element_at(said, failure_code(c))

@@ -84,11 +84,11 @@ def budgeted(rows: DataFrame, keys: list[str], order: list[str], cost: Column, b
     return rows.where((F.col("_spent") <= budget) & (F.col("_stopped") == 0)).drop("_spent", "_island", "_hit", "_misses", "_stopped")
 
 
-def best_span(rows: DataFrame, key: str, position: str, score: Column, width: int) -> DataFrame:
-    """(key, first, score): the run of ``width`` positions with the largest sum of scores; the first of equal ones."""
+def best_span(rows: DataFrame, key: str, position: str, score: Column, width: int, last: Column | None = None) -> DataFrame:
+    """(key, first, score): the run of ``width`` positions with the largest sum of scores; the first of equal ones, and none that begins after last."""
     w = Window.partitionBy(key).orderBy(position).rowsBetween(0, width - 1)
-    sums = rows.select(key, F.col(position).alias("first"), F.sum(score).over(w).alias("score"))
-    return sums.groupBy(key).agg(F.max(F.struct("score", (-F.col("first")).alias("neg"))).alias("m")).select(key, (-F.col("m.neg")).alias("first"), F.col("m.score").alias("score"))
+    sums = rows.select(key, F.col(position).alias("first"), F.sum(score).over(w).alias("score"), (F.lit(True) if last is None else F.col(position) <= last).alias("in_"))
+    return sums.where("in_").groupBy(key).agg(F.max(F.struct("score", (-F.col("first")).alias("neg"))).alias("m")).select(key, (-F.col("m.neg")).alias("first"), F.col("m.score").alias("score"))
 
 
 def browse_tariffs(

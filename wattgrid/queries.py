@@ -650,8 +650,16 @@ def rate_windows(t: Tables) -> DataFrame:
     return rows.select("id", "chars", whole.alias("whole"), F.when(whole, F.sha2(F.col("window").cast("binary"), 256)).alias("window_sha256"))
 
 
-@query(None)
+@query(rf"""+ d as (select doc_id as id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{4,}}', '  ', 'g'), '(?:\n\s*){{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t from documents),
+    s as (select id, t, length(t) as n, case when length(t) > 50000 then 90000 else 30000 end as room from d),
+    k as (select id, n, room, unnest(range(0, n, 500)) as a, unnest(list_transform(range(0, n, 500), lambda x: t[x + 1:x + 500])) as b from s where n > room),
+    p as (select id, n, room, a, 3 * regexp_matches(b, '{X.RATE_AMOUNTS}')::int + 2 * regexp_matches(b, '{X.RATE_WORDS}')::int + 2 * regexp_matches(b, '{X.RATE_SCHEDULES}')::int as score from k),
+    w as (select id, n, room, a, sum(score) over (partition by id order by a rows between current row and 59 following) as s60, sum(score) over (partition by id order by a rows between current row and 179 following) as s180 from p),
+    m as (select id, arg_max(a, (case when room = 30000 then s60 else s180 end, -a)) as a from w where a + room < n + 500 group by 1),
+    o as (select id, case when n <= room then t else case when a > 0 then '[...document truncated...]' || chr(10) else '' end || t[a + 1:a + room] || case when a + room < n then chr(10) || '[...document truncated...]' else '' end end as w from s left join m using (id))
+    select id, length(w) as kept, sha256(w) as window_sha256 from o""")
 def rate_window_texts(t: Tables) -> DataFrame:
+    """The window of each document; none has residential signals, so those over the budget keep their densest run."""
     from wattgrid.functions.pages import rate_windows as run
 
     return run(t.read("documents"), "doc_id", "text").select("id", "kept", F.sha2(F.col("window").cast("binary"), 256).alias("window_sha256"))

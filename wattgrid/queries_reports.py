@@ -421,9 +421,9 @@ def url_rewrites(t: Tables) -> DataFrame:
 
 @query("""+ c as (select source_id as id, count(*) % 3 = 0 as none, count(*) filter (failed) as failed, count(*) filter (content_hash = 'view') as thin, count(*) filter (content_hash = 'click') as off_topic, count(*) as n from checks group by 1),
     w as (select id, case when none then 0 else n end as pages, case id % 4 when 0 then 0 else 5 end as sent, case id % 4 when 1 then 5 else 0 end as zero, case id % 4 when 2 then 5 else 0 end as bad, thin, off_topic, id % 2 = 0 as had from c)
-    select id, case when pages = 0 then case when had then 'No candidate pages found after visiting rate page' else 'No candidate pages found: search returned no usable URLs' end
-      when sent = 0 then 'No pages were sent on: ' || off_topic || ' pages were off-topic; ' || thin || ' pages had too little content' when zero = sent then '0 tariffs returned for all 5 pages' when bad >= sent then 'All 5 attempts failed'
-      else 'Extracted tariffs did not pass validation (' || pages || ' pages, 5 sent, 0 returned 0)' end as reason from w""")
+    select id, case when pages = 0 then case when had then 'No candidate pages found after visiting rate page' else 'No candidate pages found — search returned no usable URLs' end
+      when sent = 0 then 'No pages reached the LLM: ' || off_topic || ' pages were off-topic; ' || thin || ' pages had too little content' when zero = sent then 'LLM returned 0 tariffs on all 5 pages' when bad >= sent then 'LLM errored on all 5 attempts — possible API issue'
+      else 'Extracted tariffs did not pass validation (' || pages || ' pages total, 5 reached LLM, 0 returned 0)' end as reason from w""")
 def failure_reasons(t: Tables) -> DataFrame:
     """Where the extraction of each source broke off, from its counters."""
     n = lambda kind: F.count_if(F.col("content_hash") == kind)
