@@ -36,6 +36,10 @@ def test_references_decode_once(spark):
         ("http://p.org/d/e", '<link rel=canonical data-href="/no" href="../x">', {"p.org/x"}),
         ("http://p.org/d/e", '<link rel=canonical href="//Q.org/x">', {"q.org/x"}),
         ("http://p.org/d/e", '<link rel=canonical href="mailto:a@b">', set()),
+        ("http://p.org/d/e", '<link data-rel="canonical" href=/x><link rel="canonical-wpml" href=/x><textarea><link rel=canonical href=/x></textarea><links rel=canonical href=/x>', set()),
+        ("http://p.org/d/e", '<link rel="alternate Canonical" href=/1><link title="x>y" rel=canonical href=/2><link href = "/3"rel=\'canonical\'/><link rel=canonical HREF=/4 href=/x>', {"p.org/1", "p.org/2", "p.org/3", "p.org/4"}),
+        ("http://p.org/d/e", '<meta content="5;http://q.org/x" http-equiv=refresh><meta http-equiv="refresh" content="0; URL=\'/1\'; x"><meta http-equiv=refresh content=7><meta name=refresh content="0;url=/no">', {"q.org/x", "p.org/1"}),
+        ("http://p.org/d/e", '<style><link rel=canonical href=/x></style><title><link rel=canonical href=/x></title><link rel=canonical href="/1"', set()),
     ],
 )
 def test_edges(spark, url, html, want):

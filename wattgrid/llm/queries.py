@@ -102,13 +102,17 @@ ORACLES = {
         n as (select *, case when host <> '' then host || case when tail = '' then '/' else tail end end as node from p),
         fits as (select page_id, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(own, length(rh || rp)) as own
                  from n join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id),
-        h as (select node as a, scheme, host, path, regexp_replace(html, '(?is)<!--.*?(-->|$)|<script[\s/>].*?(</script[\s/>]|$)', '', 'g') as html from n where node is not null),
+        h as (select node as a, scheme, host, path, regexp_replace(html, '(?is)<!--.*?(-->|$)|<script[\s/>].*?(</script[\s/>]|$)|<style[\s/>].*?(</style[\s/>]|$)|<textarea[\s/>].*?(</textarea[\s/>]|$)|<title[\s/>].*?(</title[\s/>]|$)|<xmp[\s/>].*?(</xmp[\s/>]|$)|<iframe[\s/>].*?(</iframe[\s/>]|$)|<noembed[\s/>].*?(</noembed[\s/>]|$)|<noframes[\s/>].*?(</noframes[\s/>]|$)', '', 'g') as html from n where node is not null),
+        raw as (select *, row_number() over () as tag_no from (select a, scheme, host, path, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)(?:[\s/](?:[^>"''<]|"[^"<]*"|''[^''<]*'')*)?>')) as tag from h)),
+        attr as (select tag_no, lower(regexp_extract(x, '^[^\s=]+')) as name, regexp_replace(trim(regexp_replace(x, '^[^\s=]+\s*=?', ''), chr(9) || chr(10) || chr(12) || chr(13) || ' '), '^(["''])((?s:.*))["'']$', '\2') as value, k
+                 from (select tag_no, unnest(regexp_extract_all(tag[6:], '[^\s"''>/=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"'']+))?')) as x, generate_subscripts(regexp_extract_all(tag[6:], '[^\s"''>/=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"'']+))?'), 1) as k from raw)),
+        given as (select tag_no, arg_min(value, k) filter (name = 'rel') as rel, arg_min(value, k) filter (name = 'href') as href, arg_min(value, k) filter (name = 'http-equiv') as equiv, arg_min(value, k) filter (name = 'content') as content from attr group by 1),
         tags as (
-            select a, scheme, host, path, regexp_extract(tag, '(?i)[\s"''/]href\s*=\s*["'']?([^"''\s>]+)', 1) as t
-            from (select *, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*>')) as tag from h) where regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b')
-            union all
-            select a, scheme, host, path, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)
-            from (select *, unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*>')) as tag from h) where regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')),
+            select a, scheme, host, path, trim(t, chr(9) || chr(10) || chr(12) || chr(13) || ' ') as t from (
+                select a, scheme, host, path, href as t from raw join given using (tag_no) where lower(tag[2:5]) = 'link' and list_contains(regexp_split_to_array(lower(rel), '\s+'), 'canonical')
+                union all
+                select a, scheme, host, path, regexp_replace(regexp_replace(content, '(?i)^\s*[0-9.]*\s*[;,]?\s*(url\s*=\s*)?', ''), '^(?:"([^"]*)"?|''([^'']*)''?).*$', '\1\2')
+                from raw join given using (tag_no) where lower(tag[2:5]) = 'meta' and lower(trim(equiv)) = 'refresh')),
         marks as (select *, regexp_extract_all(t, '(?s)&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|amp|lt|gt|quot|apos);|[^&]+|&') as parts from tags where t <> ''),
         codes as (select *, list_transform(parts, lambda x: case when starts_with(lower(x), '&#x') and ends_with(x, ';') then try_cast('0x' || x[4:-2] as bigint) when starts_with(x, '&#') and ends_with(x, ';') then try_cast(x[3:-2] as bigint) end) as nums from marks),
         d as (select a, scheme, host, path, array_to_string(list_transform(parts, lambda x, i: case

@@ -16,14 +16,18 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-TAGS = r"(?i)<(?:link|meta)\b[^>]*>"
-CANONICAL = r"""(?i)^<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*(?<![\w-])href\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?i)^<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
-#: What browsers don't read as mark-up: comments and scripts.
-UNREAD = r"(?is)<!--.*?(?:-->|\z)|<script(?=[\s/>]).*?(?:</script(?=[\s/>])|\z)"
+#: Tags end at a '>' outside quotes. None holds a '<', so every search for an end stops at the next one.
+TAGS = r"""(?i)<(?:link|meta)(?=[\s/>])(?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+>"""
+#: An attribute's name and, perhaps in quotes, its value.
+ATTRIBUTE = r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*+"|'[^']*+'|[^\s>"']+))?"""
+#: What stands before the target in the content of a refresh.
+DELAY = r"(?i)^\s*[0-9.]*\s*[;,]?\s*(?:url\s*=\s*)?"
+#: What browsers don't read as mark-up: comments, and elements that hold text only.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|xmp|iframe|noembed|noframes)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\z)"
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 #: Character references, what lies between them, and an & alone.
 REFERENCE = r"(?s)&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|amp|lt|gt|quot|apos);|[^&]+|&"
+WHITE = " \t\n\f\r"
 NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
 
 
@@ -100,12 +104,25 @@ def resolved(target: Column, url: Column) -> Column:
     return F.when(target.rlike(SCHEME + "//"), target).otherwise(relative)
 
 
+def _target(tag: Column) -> Column:
+    """Where a tag points to: a link's href if canonical is a word of its rel, or what a meta refresh names; else null. Of attributes of one name the first counts."""
+    rest = F.substring(tag, F.lit(6), F.char_length(tag))  # both names have four letters
+    names, values = (F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(k)) for k in (1, 2))
+    names = F.transform(names, F.lower)
+    bare = lambda v: F.when(v.rlike("^[\"']"), F.substring(v, F.lit(2), F.char_length(v) - 2)).otherwise(v)
+    value = lambda name: F.trim(bare(F.coalesce(F.get(values, (F.array_position(names, name) - 1).cast("int")), F.lit(""))), F.lit(WHITE))
+    is_link = F.lower(F.substring(tag, 2, 4)) == "link"
+    canonical = F.array_contains(F.split(F.lower(value("rel")), r"\s+"), "canonical")
+    named = F.regexp_replace(value("content"), DELAY, "")
+    named = F.when(named.rlike("^[\"']"), F.regexp_extract(named, "^([\"'])(.*?)(?:\\1|$)", 2)).otherwise(named)
+    return F.when(is_link & canonical, value("href")).when(~is_link & (F.lower(value("http-equiv")) == "refresh"), F.trim(named, F.lit(WHITE)))
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
-    """Edges (a, b) between url nodes from all canonical links and refresh redirects in the html, outside comments and scripts, and from redirects (source, target)."""
+    """Edges (a, b) between url nodes from all canonical links and refresh redirects in the html, outside comments, scripts and other elements that hold text only, and from redirects (source, target). A tag with a '<' inside is not read."""
     closed = F.expr(f"left(`{html_col}`, length(`{html_col}`) - length(substring_index(`{html_col}`, '>', -1)))")  # up to the last '>', so that every search for one ends soon
     tags = F.regexp_extract_all(F.regexp_replace(closed, UNREAD, ""), F.lit(TAGS), F.lit(0))
-    inside = lambda tag, pattern: F.nullif(F.regexp_extract(tag, pattern, 1), F.lit(""))
-    targets = F.array_compact(F.transform(tags, lambda tag: F.coalesce(inside(tag, CANONICAL), inside(tag, REFRESH))))
+    targets = F.filter(F.transform(tags, _target), lambda t: t.isNotNull() & (t != ""))
     url, marked = F.col(url_col), F.col(html_col).rlike("(?i)canonical|refresh") & F.col(html_col).contains(">")
     found = pages.where(marked).select(_node(url).alias("a"), url.alias("url"), F.explode(targets).alias("t"))
     found = found.select("a", _node(resolved(decoded(F.col("t")), F.col("url"))).alias("b"))
