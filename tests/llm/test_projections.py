@@ -72,3 +72,11 @@ def test_windows_count_as_differences_do():
                 want.add((i, j))
     got = {(i, j) for x, y in _pairs(role, cid, unit, 0, p, 0.98) for i, j in zip(x.tolist(), y.tolist())}
     assert got == want and len(want) > 20
+
+
+def test_very_large_and_small_components(spark):
+    """Squares of these components vanish or overflow in double precision; cosines are those of any other scale."""
+    base = [(0, [1.0, 1.0]), (1, [1.0, 1.0000001]), (2, [1.0, 2.0]), (3, [3.0, -1.0])]
+    rows = [(10 * k + i, [x * scale for x in v], k) for k, scale in enumerate((1.0, 1e-200, 1e200, 1e307, 5e-324 * 2**40)) for i, v in base]
+    got = link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: ((1, i - i % 10) if i % 10 < 2 else (0, i)) for i, _, _ in rows}
