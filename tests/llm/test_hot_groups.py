@@ -35,3 +35,13 @@ def test_pairs_of_a_group_are_held_by_slice():
     tracemalloc.stop()
     assert (ids == np.arange(6000)).all() and (root == 0).all() and (linked == 3000).all()
     assert peak < 150_000_000  # nine million pairs
+
+
+def test_repeated_rows_of_one_id(spark):
+    """Many rows of two linked texts, all of one id each, are two classes with a text each."""
+    from wattgrid.llm.near_dups import near_duplicates
+
+    a, b = (" ".join(f"w{i}" for i in range(60)) + end for end in (" x", " y"))
+    rows = [(1, a)] * 3000 + [(2, b)] * 3000 + [(3, "other words of its own here")] * 3
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).groupBy("doc_id", "component_id").count().collect()
+    assert {tuple(r) for r in got} == {(1, 1, 3000), (2, 1, 3000), (3, 3, 3)}

@@ -278,8 +278,8 @@ class _Join:
         two = texts.select(F.col("cid").alias("b"), F.col("text").alias("u"))
         return pairs.join(two, "b").join(one, "a").select("a", "b", "t", "u").mapInArrow(run, "a bigint, b bigint")
 
-    def texts_of(self, members: DataFrame) -> DataFrame:
-        """(cid, text) of a document of each class in members (cid, rep)."""
+    def texts_of(self, members: DataFrame, known: DataFrame) -> DataFrame:
+        """(cid, text), one row for each class in members (cid, rep); known: doc_id and cid of all rows, as a class may have many rows of one id."""
         words, seed = self.words, self.seed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +288,12 @@ class _Join:
                 yield b.filter(pa.array(keep, pa.bool_()))
 
         rows = self.rows.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").select("cid", "text")
-        return self.scratch.cut(rows.mapInArrow(run, "cid bigint, text string"))
+        found = rows.mapInArrow(run, "cid bigint, text string")
+        many = self.scratch.cut(members.join(known.groupBy("doc_id", "cid").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("doc_id", "rep"), ["cid", "rep"]).select("cid"))
+        if many.isEmpty():
+            return self.scratch.cut(found)
+        found = self.scratch.cut(found)
+        return self.scratch.cut(found.join(many, "cid", "left_anti").union(found.join(many, "cid", "left_semi").groupBy("cid").agg(F.min("text").alias("text"))))
 
     def components(self, links: DataFrame) -> DataFrame:
         """(cid, comp) for every class on a link; comp is a class."""
@@ -351,7 +356,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         scratch.drop(known, classes)
         j.seed += 1
     met = scratch.cut(j.meetings())
-    texts = j.texts_of(met.select("cid").distinct().join(classes.select("cid", "rep"), "cid"))
+    texts = j.texts_of(met.select("cid").distinct().join(classes.select("cid", "rep"), "cid"), known.select("doc_id", "cid"))
     size = classes.select("cid", "n", "sketch")
     firsts = known.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("doc_id", "a")
     same_id = known.where("n > 0").join(firsts, "doc_id").where("cid <> a").select("a", F.col("cid").alias("b"))
