@@ -144,13 +144,14 @@ def is_held_out(id_col: Column, folds: int = 5) -> Column:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> RuleEnsemble:
-    """Fits on at most ``most`` labelled rows outside the held-out fold; of repeated labels the largest counts, null ones are dropped."""
+    """Fits on at most ``most`` labelled rows outside the held-out fold; of repeated labels the largest counts, null ones are dropped. Of documents that share a labelled id the one with the least statistics, in their order, is fitted on, so what is collected is bounded too."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     found = texts.join(F.broadcast(known), "doc_id")  # at most ``most`` rows of two numbers
     stats = statistics(F.col("text"))
-    rows = found.select("doc_id", "y", *[c.alias(s) for s, c in stats.items()]).toPandas().sort_values(["doc_id", *stats], kind="stable")
+    one = found.select("doc_id", "y", F.struct(*[c.alias(s) for s, c in stats.items()]).alias("s_")).groupBy("doc_id", "y").agg(F.min("s_").alias("s_"))
+    rows = one.select("doc_id", "y", "s_.*").toPandas().sort_values(["doc_id", *stats], kind="stable")
     return fit({s: rows[s].to_numpy(float) for s in stats}, (rows["y"].to_numpy(float) > 0).astype(float))
 
 
