@@ -37,13 +37,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links join, the one with the smallest id, and of rows that share that id one; documents without an id stay."""
+    """Of the documents that links join, the one with the smallest id; documents without an id stay. Of rows that share that id the one whose text comes first (by bytes; null as empty), then whose columns do, as JSON."""
     gone = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n_rows")).where("n_rows > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
-    one = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    order = F.struct(F.coalesce("text", F.lit("")), F.to_json(F.struct("*")))
+    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
     return kept.join(repeated, "doc_id", "left_anti").unionByName(one).select(*docs.columns)
 
 
