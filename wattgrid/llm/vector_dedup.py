@@ -67,9 +67,10 @@ class Projections:
 
 
 def _unit(raw: list[bytes], dims: int) -> np.ndarray:
-    """Unit vectors in double precision from the bytes of floats or doubles; each is scaled by its largest component first, so that squares neither vanish nor overflow."""
+    """Unit vectors in double precision from the bytes of floats or doubles; doubles are scaled by their largest component first, so that squares neither vanish nor overflow."""
     x = np.frombuffer(b"".join(raw), f"<f{len(raw[0]) // dims if raw else 8}").reshape(len(raw), dims).astype(np.float64)
-    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if len(x) else x
+    if raw and len(raw[0]) == 8 * dims:  # the squares of floats fit
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
