@@ -97,3 +97,10 @@ def test_bulk_records_by_line(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"label": "a", "tiers": [1]},\n{"label": "b"}\n]\n')
     (tmp_path / "b.json").write_text('{"label": "c", "x": {"y": 2}}\n\n')
     assert {r.r["label"]: r.r.get("x") for r in S.read_bulk_lines(spark, str(tmp_path)).collect()} == {"a": None, "b": None, "c": '{"y":2}'}
+
+
+def test_the_first_of_a_number_stays(spark, tmp_path):
+    rows = [f"{i % 50},name {i},TX,Municipal" for i in range(2000)]
+    (tmp_path / "u.csv").write_text("\n".join(["Utility Number,Utility Name,State,Ownership Type", *rows, ",no number,TX,State"]))
+    good, bad = S.read_utility_master(spark, str(tmp_path / "u.csv"), {"Municipal": "municipal"})
+    assert {(r.eia_id, r.name) for r in good.collect()} == {(i, f"name {i}") for i in range(50)} and [r.name for r in bad.collect()] == ["no number"]

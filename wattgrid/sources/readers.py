@@ -91,13 +91,15 @@ def read_utility_master(spark: SparkSession, path: str, ownership: dict[str, str
 
 
 def utility_master(raw: DataFrame, ownership: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of a utility list whose columns are strings under any of the known headings."""
+    """(rows, rejects) of a utility list whose columns are strings under any of the known headings. Of rows with one number the first of the list stays."""
     c = resolve_columns(raw, OWNERSHIP_COLUMNS)
     kinds = F.create_map(*[F.lit(x) for kv in ownership.items() for x in kv])
     text = lambda n: F.nullif(F.trim(F.col(f"`{c[n]}`")), F.lit("")) if n in c else F.lit(None).cast("string")
     rows = raw.select(text("eia_id").try_cast("double").cast("long").alias("eia_id"), text("name").alias("name"), F.coalesce(text("state"), F.lit("Unknown")).alias("state"), F.coalesce(F.element_at(kinds, text("ownership")), F.lit("other")).alias("utility_type"))
     good = F.col("eia_id").isNotNull() & F.col("name").isNotNull()
-    return rows.where(good).dropDuplicates(["eia_id"]), rows.where(~good)
+    placed = rows.withColumn("at_", F.monotonically_increasing_id())  # files are read from first to last
+    first = placed.where(good).groupBy("eia_id").agg(F.min_by(F.struct(*rows.columns), "at_").alias("row_")).select("row_.*")
+    return first, rows.where(~good)
 
 
 def read_territories(spark: SparkSession, path: str) -> DataFrame:
