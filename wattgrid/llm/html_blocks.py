@@ -22,15 +22,21 @@ CLOSED = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 WORDS = re.compile(r"[a-z]+")
+#: Elements that hold one piece of text or a list of them, and roots of names that are written as one word with others.
+PIECES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd td th tr tbody thead tfoot table blockquote pre figure figcaption center font hgroup address".split())
+ROOTS = re.compile("comment|footer|header|sidebar|widget|article|content|advert|cookie|newsletter|breadcrumb|navbar|related|respon[ds]")
 
 
 @dataclass
 class Block:
-    """above: features of the elements around the block; linked: characters inside links."""
+    """above: features of the elements around the block; linked: characters inside links; home: its container; share, over: quarters of the page's text that the container and the one around it hold."""
 
     above: frozenset[str]
     text: str
     linked: int
+    home: int = 0
+    share: int = 4
+    over: int = 4
 
 
 def names_of(attributes: str) -> list[str]:
@@ -38,6 +44,7 @@ def names_of(attributes: str) -> list[str]:
     if not attributes:
         return []
     found = [w for m in NAMED.finditer(attributes) for w in WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower())]
+    found += [root for w in found for root in ROOTS.findall(w) if root != w]
     return [*found, "hidden"] if HIDDEN.search(attributes) else found
 
 
@@ -74,10 +81,13 @@ def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
     """Blocks in page order: text between the tags of block elements, in time that grows with the page.
 
     Scripts, styles, comments, form texts and drawings are left out; tags that pages leave open are closed as browsers do;
-    references are decoded and white space is one space. known: the features that count, else all do.
+    references are decoded and white space is one space. Elements that are not shown are left out where they stand inside a
+    text, and are a feature of the blocks below them elsewhere. known: the features that count, else all do.
     """
     blocks: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[tuple[str, frozenset[str], int]] = []
+    around = [0]  # the container around each container
+    unseen, unseen_depth = "", 0  # the element inside a text that is not shown
     open_tags: Counter[str] = Counter()
     skipping: list[int] = []  # depths of the elements without text
     parts: list[str] = []
@@ -92,18 +102,18 @@ def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 above = stack[-1][1] | counts(f"last={stack[-1][0]}") if stack else frozenset()
-                blocks.append(Block(above, text, min(linked, len(text))))
+                blocks.append(Block(above, text, min(linked, len(text)), stack[-1][2] if stack else 0))
             parts.clear()
         linked = 0
 
     def close(depth: int) -> None:
-        open_tags.subtract(tag for tag, _ in stack[depth:])
+        open_tags.subtract(tag for tag, _, _ in stack[depth:])
         del stack[depth:]
         while skipping and skipping[-1] >= depth:
             skipping.pop()
 
     for start, end, tag, ends, attributes in _marks(page):
-        if start > at and not skipping:
+        if start > at and not skipping and not unseen:
             parts.append(page[at:start])
             if links:
                 linked += start - at
@@ -114,6 +124,11 @@ def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
             flush()
             continue
         if tag in INLINE:
+            if tag == unseen:
+                unseen_depth += -1 if ends else 1
+                unseen = unseen if unseen_depth else ""
+            elif not unseen and not ends and tag not in VOID and HIDDEN.search(attributes):
+                unseen, unseen_depth = tag, 1
             if tag == "a":
                 links = 0 if ends else 1
             continue
@@ -121,7 +136,7 @@ def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
             parts.append(" ")
             continue
         flush()
-        links = 0
+        links, unseen = 0, ""
         if ends:
             if open_tags[tag] > 0:
                 close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
@@ -140,10 +155,21 @@ def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
             if tag in SKIPPED:
                 skipping.append(len(stack))
             open_tags[tag] += 1
-            stack.append((tag, above if own <= above else above | own))
-    if at < len(page) and not skipping:
+            home = stack[-1][2] if stack else 0
+            if tag not in PIECES:
+                around.append(home)
+                home = len(around) - 1
+            stack.append((tag, above if own <= above else above | own, home))
+    if at < len(page) and not skipping and not unseen:
         parts.append(page[at:])
         if links:
             linked += len(page) - at
     flush()
+    held = [0] * len(around)
+    for b in blocks:
+        held[b.home] += (len(b.text) - b.linked) * (b.text.count(" ") >= 4)
+    for k in range(len(around) - 1, 0, -1):  # containers come after those around them
+        held[around[k]] += held[k]
+    for b in blocks:
+        b.share, b.over = (round(4 * held[k] / held[0]) if held[0] else 4 for k in (b.home, around[b.home]))
     return blocks
