@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from wattgrid.functions import lists as L
+from wattgrid.functions import elements, lists as L
 from wattgrid.functions import pages, text as X
 from wattgrid.functions.components import connected_components
 from wattgrid.functions.scratch import Scratch
@@ -38,7 +38,9 @@ def test_text(spark):
     assert one(spark, X.host(F.col("u")), u="https://WWW.a.b/c?d") == "a.b" and one(spark, X.is_homepage(F.col("u")), u="https://a.b?x") is True
     assert one(spark, X.is_gas_only(F.col("n")), n="Natural Gas Service") is True and one(spark, X.is_gas_only(F.col("n")), n="Gas turbine electric") is False
     assert one(spark, X.page_priority(F.col("t")), t="Energy charge: $0.10 per kWh") == 0 and one(spark, X.page_priority(F.col("t")), t="nothing") == 3
-    assert one(spark, X.is_comparison_page(F.col("u")), u="http://a/rates-comparison") is True
+    assert one(spark, X.is_comparison_page(F.col("u")), u="http://a/electricity_rates-comparison") is True
+    assert one(spark, X.is_comparison_page(F.col("u")), u="http://a/rates-comparison") is False
+    assert one(spark, X.is_comparison_page(F.col("u")), u="http://a/Electricity%20Prices/electricity_prices-2031.pdf") is True
     assert sorted(one(spark, X.rate_codes(F.col("n")), n="Schedule D-1 (E-1)")) == ["d-1", "d1", "e-1", "e1"]
     day = F.lit("2024-01-01").cast("date")
     assert one(spark, X.freshness(F.lit(None).cast("date"), F.lit("2023-12-31").cast("date"), day)) == "current" and one(spark, X.freshness(F.lit(None).cast("date"), F.lit(None).cast("date"), day)) == "stale"
@@ -50,13 +52,14 @@ def test_pages(spark):
     assert [(r.target, r.priority) for r in got] == [("http://a.com/rates/residential", 0), ("http://a.com/x/b.pdf", 2)]
     assert pages.capped_links(spark.createDataFrame([(1, 0, "t", "l", 1)], "page_id long, place int, target string, label string, priority int")).count() == 1
     table = "<table><tr><th>Name</th><th>Rate</th></tr><tr><td>Tier 1</td><td>8.7&cent;</td></tr><tr><td>short</td></tr></table>"
-    got = pages.tables(spark.createDataFrame([(1, table)], "page_id long, html string")).collect()
-    assert [r.cells for r in got] == [{"Name": "Tier 1", "Rate": "8.7&cent;"}]
+    got = elements.table_rows(spark.createDataFrame([(1, table)], "page_id long, html string")).orderBy("row_no").collect()
+    assert [r.cells for r in got] == [{"Name": "Tier 1", "Rate": "8.7&cent;"}, {"Name": "short"}]
     assert one(spark, pages.dollars(F.col("t")), t="8.7 cents") == 0.087 and one(spark, pages.dollars(F.col("t")), t="$1,200") is None
     assert one(spark, pages.effective_date(F.col("t")), t="Effective May 1, 2024") == dt.date(2024, 5, 1) and one(spark, pages.effective_date(F.col("t")), t="none") is None
     assert one(spark, pages.term_changes(F.col("a"), F.col("b")), a="x y", b="y z") == "New terms: z; Removed terms: x" and one(spark, pages.term_changes(F.col("a"), F.col("b")), a="", b="y").startswith("Initial")
-    text = "filler " * 6000 + "energy charge $0.10 per kWh" + " filler" * 6000
-    assert "energy charge $0.10" in pages.best_windows(text) and len(pages.best_windows(text)) <= 30_000 and pages.best_windows("short") == "short"
+    text = "filler " * 3000 + "energy charge $0.10 per kWh" + " filler" * 3000
+    got = {r.id: r.window for r in pages.rate_windows(spark.createDataFrame([(1, text), (2, "short")], "id long, text string"), "id", "text").collect()}
+    assert "energy charge $0.10" in got[1] and len(got[1].replace(pages.LEFT_OUT, "").strip("\n")) <= 30_000 and got[2] == "short"
     gate = pages.gate(F.col("u"), F.col("t"), F.lit(False))
     assert one(spark, gate, u="http://a", t="x") == "thin" and one(spark, gate, u="http://a", t="x" * 200) == "no signal" and one(spark, gate, u="http://a/wholesale", t="$ 5" * 100) == "irrelevant"
     assert one(spark, pages.request_tier(F.lit("x"), F.lit(True))) == "B" and len(one(spark, pages.cache_key(F.lit("h"), "m", "1"))) == 64

@@ -44,9 +44,17 @@ THIRD_PARTY_DOMAINS = [
     "compareelectricity.com", "electricalratesgeorgia.com", "electricityrate.com", "gotelectric.com", "ratetruth.com", "comparepower.com", "ohenergyratings.com", "vaultelectricity.com", "maenergyratings.com", "energysavings.com",
     "getcurrents.com", "utilitiesformyhome.com", "uselectricgrid.com", "qmerit.com", "xoomenergy.com", "ilagg.com", "ilenergyratings.com", "goananta.com", "solar.com", "nrgcleanpower.com", "greenridgesolar.com", "madison.com", "sandboxsolar.com",
 ]
+#: Patterns of urls and titles of pages that compare prices.
 COMPARISON_PAGES = [
-    "comparison-electricity-prices", "comparison-of-electricity", "comparing-electricity", "rate-comparison", "rates-comparison", "average-electricity-rates", "electricity-prices-2019", "electricity-prices-2020",
-    "electricity-prices-2021", "electricity-prices-2022", "electricity-prices-2023", "electricity-prices-2024", "electricity-prices-2025", "electricity-prices-2026",
+    r"comparison[-_]of[-_]electricity", r"comparison[-_]electricity[-_]prices", r"comparing[-_]electricity", r"electricity[-_]rate[s]?[-_]comparison", r"rate[-_]comparison", r"average[-_]electricity[-_]rates",
+    r"electricity[-_]prices[-_]\d{4}",
+]
+#: Names in tariffs that show whose they are.
+OTHER_UTILITIES = [
+    "penelec", "met-ed", "met ed", "metropolitan edison", "duquesne light", "west penn power", "ppl electric", "aep ohio", "aep texas", "appalachian power", "first energy", "firstenergy", "ohio edison", "the illuminating company",
+    "toledo edison", "national grid", "eversource", "pseg", "pse&g", "jersey central power", "atlantic city electric", "delmarva power", "pepco", "bge", "baltimore gas", "consolidated edison", "con edison", "con ed", "central hudson",
+    "orange and rockland", "centerpoint energy", "oncor", "aep central", "tnmp", "txu energy", "reliant energy", "georgia power", "alabama power", "mississippi power", "duke energy", "progress energy", "dominion energy",
+    "dominion virginia", "pacific gas", "pg&e", "pge", "southern california edison", "sce", "san diego gas", "sdg&e", "xcel energy", "northern states power",
 ]
 #: Spellings of rate types that count as complex.
 COMPLEX_TYPES = [

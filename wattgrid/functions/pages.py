@@ -98,20 +98,6 @@ def kept_pages(pages: DataFrame, doc_cols: list[str], text_col: str) -> DataFram
     return ranked.join(most, same & (F.col("priority") <= F.col("most")), "left_semi")
 
 
-def main_text(html: Column) -> Column:
-    """Text of a page: without scripts, styles, navigation, header, footer and frames; of the main element, article or element with that role if there is one, else of the body. White space is one space; the five named references of XML and &nbsp; are decoded."""
-    t = html
-    for tag in DROPPED:
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    main, article = (F.regexp_extract(t, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1) for tag in ("main", "article"))
-    role = F.regexp_extract(t, r"(?is)<(\w+)\b[^>]*\brole\s*=\s*[\"']?main\b[^>]*>(.*)</\1\s*>", 2)
-    t = F.when(main != "", main).when(article != "", article).when(role != "", role).otherwise(F.regexp_replace(t, r"(?is)^.*?</head\s*>", ""))
-    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
-    for name, char in REFERENCES:
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
-
-
 def capped_links(found: DataFrame, first: int = 15) -> DataFrame:
     """The first links of each page by priority, superseded ones last; the cap is the crawl's own budget per page."""
     from wattgrid.operators.relational import latest
@@ -221,18 +207,6 @@ def rate_windows(docs: DataFrame, id_col: str, text_col: str, budget: int = 30_0
     return fits.union(cut.select("id", "chars", F.char_length("window").cast("bigint"), "window"))
 
 
-def tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, table_no, row_no, cells): rows of HTML tables as maps from the header cells to the texts; rows before a header are left out."""
-    cell = r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"
-    strip = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " "))
-    t = pages.select(F.col(id_col).alias("page_id"), F.posexplode(F.regexp_extract_all(html_col, F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), 1)).alias("table_no", "body"))
-    rows = t.select("page_id", "table_no", F.regexp_extract_all("body", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1).alias("rows"))
-    rows = rows.select("page_id", "table_no", F.transform("rows", lambda r: F.transform(F.regexp_extract_all(r, F.lit(cell), 1), strip)).alias("rows")).where(F.size("rows") > 1)
-    body = rows.select("page_id", "table_no", F.get("rows", F.lit(0)).alias("head"), F.posexplode(F.slice("rows", 2, F.size("rows"))).alias("row_no", "values"))
-    same = F.size("head") == F.size("values")
-    return body.where(same).select("page_id", "table_no", "row_no", F.map_from_entries(F.arrays_zip(F.transform("head", lambda h, i: F.concat(h, F.when(F.array_position("head", h) == i + 1, "").otherwise(F.concat(F.lit("_"), i.cast("string"))))).alias("k"), F.col("values").alias("v"))).alias("cells"))
-
-
 def dollars(text: Column) -> Column:
     """A rate in cents or dollars, with thousands separators, in dollars to five places; null outside 0 to 1."""
     number = F.regexp_replace(F.regexp_extract(text, r"([\d,]*\.?\d+)", 1), ",", "").try_cast("double")

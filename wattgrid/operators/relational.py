@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -130,3 +130,47 @@ def audit_summary(audits: DataFrame) -> DataFrame:
     best = audits.agg(F.lit("perfect").alias("what"), F.lit("A").alias("name"), perfect.alias("n"), F.round(100.0 * perfect / F.nullif(F.count("*"), F.lit(0)), 1).cast("double").alias("pct"))
     poor = audits.where("grade in ('C', 'D', 'F')").select(F.lit("attention").alias("what"), F.concat_ws(" ", "utility_id", "grade").alias("name"), F.size("issues").cast("long").alias("n"), none)
     return grades.union(kinds[0]).union(kinds[1]).union(best).union(poor)
+
+
+def explicit_list(spark: SparkSession, ids: list[int], most: int = 2000) -> DataFrame:
+    """(place, id) of ids in their order, repeated ones once; an error for more than ``most`` different ones."""
+    own = list(dict.fromkeys(ids))
+    if len(own) > most:
+        raise ValueError(f"{len(own)} ids, at most {most}")
+    return spark.createDataFrame(list(enumerate(own)), "place int, id bigint")
+
+
+def run_targets(utilities: DataFrame, tariffs: DataFrame, sources: DataFrame, kind: str, limit: int, country: str | None = None, state: str | None = None) -> DataFrame:
+    """The ids of the utilities that a run is for, the smallest ``limit`` ones: active ones without tariffs (missing) or with some (having), of a country and state if given; or those with a source in error (error), whatever else they are."""
+    if kind == "error":
+        found = sources.where("status = 'ERROR'").select(F.col("utility_id").alias("id")).distinct()
+    else:
+        rows = utilities.where("is_active")
+        for column, value in (("country", country), ("state", state)):
+            rows = rows if value is None else rows.where(F.col(column) == value)
+        owners = tariffs.select(F.col("utility_id").alias("id"))
+        found = rows.select("id").join(owners, "id", {"missing": "left_anti", "having": "left_semi"}[kind])
+    return found.where("id is not null").orderBy("id").limit(limit)
+
+
+def source_domains(tariffs: DataFrame, url_col: str, most: int = 30) -> DataFrame:
+    """(domain, tariffs, utilities) of the sites that most tariffs come from; utilities are different ones. Of equal sites the first by name."""
+    domain = F.regexp_extract(url_col, "https?://([^/]+)", 1)
+    per = tariffs.where(F.col(url_col).isNotNull()).groupBy(F.nullif(domain, F.lit("")).alias("domain"), "utility_id").agg(F.count("*").alias("n"))
+    return per.groupBy("domain").agg(F.sum("n").alias("tariffs"), F.count("utility_id").alias("utilities")).orderBy(F.desc("tariffs"), "domain").limit(most)
+
+
+def section(kind: Column) -> Column:
+    """The part of a tariff's page that a component stands in: fixed for fixed and minimum charges, energy, demand; null for other kinds."""
+    return F.when(kind.isin("fixed", "minimum"), "fixed").when(kind.isin("energy", "demand"), kind)
+
+
+def country_audit(utilities: DataFrame, tariffs: DataFrame, components: DataFrame, first: str, second: str) -> DataFrame:
+    """Per country of active utilities: how many have tariffs, pct of them, tariffs by class (two classes and the rest), tariffs with components, components, and their mean per tariff, both over tariffs and, as the larger tariffs count more, over components."""
+    n = components.groupBy(F.col("tariff_id").alias("id")).agg(F.count("*").alias("c"))
+    kind = lambda c: F.count_if(F.col("customer_class") == c)
+    own = tariffs.join(n, "id", "left").groupBy(F.col("utility_id").alias("id")).agg(
+        F.count("*").alias("t"), kind(first).alias("a"), kind(second).alias("b"), F.count_if(~F.col("customer_class").isin(first, second)).alias("o"), F.count("c").alias("filled"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+    out = utilities.where("is_active").join(own, "id", "left").groupBy("country").agg(F.count("*").alias("utilities"), F.count("t").alias("having"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("t", "a", "b", "o", "filled", "c", "squares")])
+    mean = lambda x, y: F.round(F.col(x) / F.nullif(y, F.lit(0)), 1)
+    return out.select("country", "utilities", "having", (F.col("utilities") - F.col("having")).alias("missing"), F.round(100 * F.col("having") / F.col("utilities")).cast("int").alias("pct"), F.col("t").alias("tariffs"), F.col("a").alias("first"), F.col("b").alias("second"), F.col("o").alias("other"), "filled", F.col("c").alias("components"), mean("c", "filled").alias("per_tariff"), mean("squares", "c").alias("per_component"))

@@ -141,11 +141,12 @@ def seed_only_tariffs(t: Tables) -> DataFrame:
     return t.tariffs.where("rate_type <> 'F' and last_verified is null").groupBy("customer_class").agg(F.count("*").alias("unverified"))
 
 
-@query("""select tariff_id, coalesce(nullif(trim(case when ordinal > 4 then ' ' else period end), ''), 'All Seasons') as season, case component_type when 'A' then 'fixed' when 'R' then 'fixed' else 'energy' end as section, count(*) as parts, max(rate_value)::double as top from components group by all""")
+@query("""select tariff_id, coalesce(nullif(trim(case when ordinal > 4 then ' ' else period end), ''), 'All Seasons') as season, case component_type when 'A' then 'fixed' when 'R' then 'energy' else case when ordinal % 3 = 0 then 'fixed' when ordinal % 3 = 1 then 'demand' end end as section, count(*) as parts, max(rate_value)::double as top from components where component_type <> 'N' or ordinal % 3 < 2 group by all""")
 def component_sections(t: Tables) -> DataFrame:
     season = F.when(F.col("ordinal") > 4, " ").otherwise(F.col("period"))
-    section = F.when(F.col("component_type").isin("A", "R"), "fixed").otherwise("energy")
-    return t.components.groupBy("tariff_id", F.coalesce(F.nullif(F.trim(season), F.lit("")), F.lit("All Seasons")).alias("season"), section.alias("section")).agg(F.count("*").alias("parts"), F.max("rate_value").alias("top"))
+    kind = F.when(F.col("component_type") == "A", "fixed").when(F.col("component_type") == "R", "energy").otherwise(F.get(F.array(F.lit("minimum"), F.lit("demand"), F.lit("adjustment")), F.col("ordinal") % 3))
+    rows = t.components.withColumn("section", R.section(kind)).where("section is not null")
+    return rows.groupBy("tariff_id", F.coalesce(F.nullif(F.trim(season), F.lit("")), F.lit("All Seasons")).alias("season"), "section").agg(F.count("*").alias("parts"), F.max("rate_value").alias("top"))
 
 
 BATCHES = {name: [f"NATION_{k}" for k in range(i, 25, 15)] for i, name in enumerate(L.STATE_BATCHES)}
@@ -720,8 +721,7 @@ def deactivate_listed(t: Tables) -> DataFrame:
 @query("""+ ids as (select unnest([7, 3, 7, 11, 3, 5]) as id, unnest(range(6)) as pos), f as (select id, min(pos) as pos from ids group by 1)
     select (row_number() over (order by pos) - 1)::int as place, u.id, u.name from f join utilities u using (id)""")
 def explicit_ids(t: Tables) -> DataFrame:
-    wanted = F.array_distinct(F.array(*[F.lit(i).cast("long") for i in (7, 3, 7, 11, 3, 5)]))
-    listed = t.spark.range(1).select(F.posexplode(wanted).alias("place", "id"))
+    listed = R.explicit_list(t.spark, [7, 3, 7, 11, 3, 5])
     return t.utilities.join(F.broadcast(listed), "id").select("place", "id", "name")
 
 
@@ -870,9 +870,9 @@ def lookup_summary(t: Tables) -> DataFrame:
     r as (select page_id, regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') as t from m), u as (select page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as t from r)
     select page_id, sha256(trim(regexp_replace(t, '[ \t\n\r\f\v]+', ' ', 'g'))) as text_sha256 from u""")
 def page_text(t: Tables) -> DataFrame:
-    from wattgrid.functions.pages import main_text
+    from wattgrid.functions.elements import main_texts
 
-    return t.read("pages").select("page_id", F.sha2(main_text(F.col("html")).cast("binary"), 256).alias("text_sha256"))
+    return main_texts(t.read("pages")).select("page_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 from wattgrid import queries_jobs, queries_reports, queries_runs  # noqa: E402, F401  (they register themselves)

@@ -343,8 +343,8 @@ def utility_words(t: Tables) -> DataFrame:
     return rows.select("id", resolve.plain_utility(F.col("n")).alias("plain"), F.array_join(F.sort_array(resolve.name_words(F.col("n"))), ",").alias("words"))
 
 
-MARKERS = ["penelec", "ppl electric", "national grid", "con ed", "sce", "xcel energy"]
-MARKED = ["Penelec Default Service", "SCE and Penelec plan", "National Grid RS", "Rate R", "Con Ed SCE rider"]
+MARKERS = L.OTHER_UTILITIES
+MARKED = ["Penelec Default Service", "SCE and Penelec plan", "National Grid RS", "Rate R", "Con Ed SCE rider", "Toledo Edison GS", "PG&E E-1", "Duke Energy RS"]
 OWNERS = ["Penelec", "PPL Electric Utilities", "National Grid NY", "Xcel Energy"]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattgrid.functions import elements as E
 from wattgrid.functions import lists as L
 from wattgrid.functions import pages as P
 from wattgrid.functions import text as X
@@ -399,14 +400,81 @@ def regulator_tariffs(t: Tables) -> DataFrame:
     return P.tariff_templates(rows, "doc_id", "text")
 
 
-@query("""select page_id, 0 as table_no, k as row_no, 'tier ' || k as tier, (page_id % 50 + k) || ' cents' as price from pages, range(3) r(k) where page_id % 3 <> 2""")
+@query("""select page_id, 0 as table_no, k as row_no, case k when 3 then 'note' else 'tier ' || k end as tier, case when k < 3 then (page_id % 50 + k) || ' cents' end as price from pages, range(4) r(k) where page_id % 3 <> 2""")
 def page_tables(t: Tables) -> DataFrame:
-    """Rows of the tables of pages, keyed by the header; rows of another width are left out."""
+    """Rows of the tables of pages, keyed by the header; short rows have the first keys only."""
     i = F.col("page_id")
     row = lambda k: text(f"<tr><td>tier {k}</td><td class='p'>", i % 50 + k, " <b>cents</b></td></tr>")
     table = text("<TABLE border=1><tr><th>Tier</th><th>Price</th></tr>", row(0), row(1), row(2), "<tr><td>note</td></tr></TABLE>")
     rows = t.read("pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), F.when(i % 3 == 2, "").otherwise(table)).alias("html"))
-    return P.tables(rows).select("page_id", "table_no", "row_no", F.col("cells")["Tier"].alias("tier"), F.col("cells")["Price"].alias("price"))
+    return E.table_rows(rows).select("page_id", "table_no", "row_no", F.try_element_at("cells", F.lit("Tier")).alias("tier"), F.try_element_at("cells", F.lit("Price")).alias("price"))
+
+
+@query(r"""+ a as (select page_id, regexp_extract(html, '(?is)<article\b[^>]*>(.*)</article\s*>', 1) as t from pages), r as (select page_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as t from a)
+    select page_id, sha256(trim(regexp_replace(case page_id % 3 when 0 then 'b ' || t || ' inner tail' when 1 then t else 'd ' || t || ' e' end, '[ \t\n\r\f\v]+', ' ', 'g'))) as text_sha256 from r""")
+def nested_page_text(t: Tables) -> DataFrame:
+    """Main text of pages whose articles stand in nested elements of one name: a main inside a main, an article inside an article, sections inside one with the role."""
+    i, article = F.col("page_id"), F.regexp_extract("html", r"(?is)<article\b[^>]*>.*</article\s*>", 0)
+    bare = F.regexp_replace(article, r"(?i)</?article\b[^>]*>", " ")
+    page = F.when(i % 3 == 0, text("<body><nav>x<nav>y</nav>z</nav><main>b ", article, "<main>inner</main> tail</main>after</body>")).when(i % 3 == 1, text("<body>top <article>", article, "</article><article>more</article></body>"))
+    page = page.otherwise(text("<head><title>t</title></head><section>x</section><section role='main'>d <section>", bare, "</section> e</section> f"))
+    return E.main_texts(t.read("pages").select("page_id", page.alias("html"))).select("page_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query("""+ p as (select page_id, page_id % 5 as k, (page_id % 90 + 10) / 10.0 as a from pages), s as (
+    select page_id, 'tou' as kind, 'table' as source, '2025-11-01' as effective, 3 as n, a as low, a + 2 as high, null::int as summer, null::int as winter from p where k = 0
+    union all select page_id, 'tiered', 'table', '2024-05-01', 2, a, a + 1, 600, (1000 + page_id % 7)::int from p where k in (0, 1)
+    union all select page_id, 'tou', 'text', '2000-11-01', 3, a, a + 2, null, null from p where k = 1
+    union all select page_id, 'ulo', case page_id % 2 when 0 then 'text' else 'table' end, case page_id % 2 when 0 then '2000-11-01' else '2023-11-03' end, 4, a, a + 3, null, null from p where k = 2
+    union all select page_id, 'tou', 'table', '2021-02-10', 3, a + 1, a + 3, null, null from p where k = 3)
+    select page_id, kind, source, effective, n, round(low / 100, 5)::double as low, round(high / 100, 5)::double as high, summer, winter from s""")
+def table_rates(t: Tables) -> DataFrame:
+    """Rate sets of pages from the cells of their tables: headers in any order, short rows, rows without prices or a year, several tables of a kind; from the text where cells are empty or the first row is short."""
+    i = F.col("page_id")
+    price = lambda k: F.format_string("%.1f", (i % 90 + 10) / 10 + k)
+    row = lambda *cells: text("<tr>", *[x for c in cells for x in ("<td>", c if not isinstance(c, str) else F.lit(c), "</td>")], "</tr>")
+    head = lambda *names: F.lit("<table><tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>")
+    tou = lambda *rows: text(head("Effective date", "Off-Peak", "On-Peak", "Mid-Peak"), *rows, "</table>")
+    tiered = text(head("Date", "Lower tier", "Threshold (kWh)", "Higher tier"), row("May 1, 2024", price(0), text("600 (Summer) ", F.format_string("%,d", 1000 + i % 7), " (Winter)"), price(1)), "</table>")
+    ulo = text(head("From", "Ultra-Low Overnight", "Weekend Off-Peak", "Mid-Peak", "On-Peak"), F.when(i % 2 == 0, row("Jan 1, 2024", "1.0")).otherwise(""), row("Moon 3 2023", price(0), price(1), price(2), price(3)), row("Jan 1, 2024", "1.0"), "</table>")
+    page = F.when(i % 5 == 0, text(tou(row("soon", "1", "2", "3"), row("Nov 1, 2025", price(0), price(2), price(1)), row("Nov 1, 2024", "1", "1", "1")), tiered))
+    page = page.when(i % 5 == 1, text(tou(row("Nov 1, 2025", "", "", "")), tiered, "<p>Time-of-Use prices</p><p>", price(0), "</p><p>", price(1), "</p><p>", price(2), "</p>")).when(i % 5 == 2, ulo)
+    page = page.when(i % 5 == 3, text(tou(row("Jan 1, 2020", price(0), price(2), price(1))), tou(row("Feb 10 2021", price(1), price(3), price(2))))).otherwise(tou(row("Jan 1, 2020", "1", "200", "x")))
+    found = E.page_rate_sets(t.read("pages").select("page_id", text(F.coalesce("html", F.lit("")), page).alias("html")), "2001-08-01")
+    return found.select("page_id", "kind", "source", "effective", F.size("prices").alias("n"), F.get("prices", F.lit(0)).alias("low"), F.array_max("prices").alias("high"), "summer", "winter")
+
+
+@query(SOURCES + """ select 'missing' as target, id from (select id from utilities u where is_active and country = 'ASIA' and not exists (select 1 from tariffs t where t.utility_id = u.id) order by id limit 40)
+    union all select 'having', id from (select id from utilities u where is_active and state = 'NATION_7' and exists (select 1 from tariffs t where t.utility_id = u.id) order by id limit 40) union all select 'error', id from (select id from s where status = 'ERROR' order by id limit 40)""")
+def run_targets(t: Tables) -> DataFrame:
+    """The first 40 utilities that each kind of run is for."""
+    sources = _sources(t).select(F.col("id").alias("utility_id"), "status")
+    of = lambda kind, **where: R.run_targets(t.utilities, t.tariffs, sources, kind, 40, **where).select(F.lit(kind).alias("target"), "id")
+    return of("missing", country="ASIA").union(of("having", state="NATION_7")).union(of("error"))
+
+
+@query("""select domain, count(*) as tariffs, count(distinct utility_id) as utilities from (select utility_id, 'www.s' || id % 83 || '.example' as domain from tariffs where id % 5 <> 0) group by 1 order by tariffs desc, domain limit 30""")
+def source_domains(t: Tables) -> DataFrame:
+    """The 30 sites that most tariffs come from, with their different utilities."""
+    i = F.col("id")
+    url = F.when(i % 5 != 0, text("https://www.s", i % 83, ".example/rates/", i))
+    return R.source_domains(t.tariffs.select("utility_id", url.alias("url")), "url")
+
+
+@query("""select t.id, 'http://' || t.id % 61 || '.example/' as url, sha256(p.html) as hash, t.last_verified::varchar as verified, t.amount > 100000 as approved from tariffs t left join pages p on p.page_id = t.id % 61""")
+def tariff_origins(t: Tables) -> DataFrame:
+    """Where each tariff comes from: url, hash of the page, when it was verified and whether it is approved."""
+    hashed = t.read("pages").where("page_id < 61").select(F.col("page_id").alias("page"), F.sha2(F.col("html").cast("binary"), 256).alias("hash"))
+    rows = t.tariffs.withColumn("page", F.col("id") % 61).join(hashed, "page", "left")
+    return rows.select("id", text("http://", F.col("page"), ".example/").alias("url"), "hash", F.col("last_verified").cast("string").alias("verified"), (F.col("amount") > 100000).alias("approved"))
+
+
+@query("""+ n as (select tariff_id, count(*) as c from components group by 1), a as (select u.country, u.id as uid, t.id, t.customer_class as k, n.c from utilities u left join tariffs t on t.utility_id = u.id left join n on n.tariff_id = t.id where u.is_active)
+    select country, count(distinct uid) as utilities, count(distinct uid) filter (id is not null) as having, count(distinct uid) - count(distinct uid) filter (id is not null) as missing, round(100.0 * count(distinct uid) filter (id is not null) / count(distinct uid))::int as pct, count(id) as tariffs,
+      count(*) filter (k = '1-URGENT') as first, count(*) filter (k = '2-HIGH') as second, count(*) filter (k not in ('1-URGENT', '2-HIGH')) as other, count(c) as filled, coalesce(sum(c), 0)::bigint as components, round(sum(c) / count(c), 1)::double as per_tariff, round(sum(c * c) / sum(c), 1)::double as per_component from a group by 1""")
+def country_audit(t: Tables) -> DataFrame:
+    """Utilities, tariffs by class and components of each country, with both means."""
+    return R.country_audit(t.utilities, t.tariffs, t.components, "1-URGENT", "2-HIGH")
 
 
 @query("""+ s as (select id as source_id, case when id % 3 = 0 then 'http' else 'https' end as scheme, case when id % 2 = 0 then 'www.' else '' end as w, 's' || id || '.example' as h, case id % 4 when 0 then '' when 1 then '/' when 2 then '/a?b=1' else '/rates' end as tail from utilities), u as (select *, scheme || '://' || w || h || tail as url from s),
@@ -459,7 +527,7 @@ def own_domains(t: Tables) -> DataFrame:
     return resolve.own_domain(results, names, listed)
 
 
-COMPARISON = ["/electricity-prices-2024.pdf", "/Rate%2Dcomparison", "/rates", "/comparison-of-electricity", "/average-electricity-rates", "/compare"]
+COMPARISON = ["/electricity_prices-2031.pdf", "/Rate%2Dcomparison", "/rates", "/comparison_of-electricity", "/average-electricity_rates", "/rates-comparison"]
 
 
 @query(f"select id, true as comparison, name from (select id, name, list_extract([true, true, false, true, true, false], (id % 6 + 1)::int) as hit from tariffs) where hit and id % 4 <> 1 union all select id, false, 'gas' from tariffs where id % 4 = 1")
