@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from wattgrid.llm import vector_dedup
 from wattgrid.llm.vector_dedup import Projections, link_vectors
@@ -45,3 +46,35 @@ def test_repeated_rows_of_one_id(spark):
     rows = [(1, a)] * 3000 + [(2, b)] * 3000 + [(3, "other words of its own here")] * 3
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).groupBy("doc_id", "component_id").count().collect()
     assert {tuple(r) for r in got} == {(1, 1, 3000), (2, 1, 3000), (3, 3, 3)}
+
+
+def test_one_text_full_of_an_anchor_lies_in_many_shards(spark, monkeypatch):
+    """Windows that repeat in one long text are found across the shards that its blocks are dealt to."""
+    from collections import Counter
+
+    from wattgrid.llm import substring_dedup
+
+    rng = np.random.default_rng(3)
+    runs = [" ".join(["a"] * 3000), " ".join(f"u{i}" for i in range(50)), " ".join(["a"] * 500 + ["b"] * 36), " ".join(rng.choice(["x", "y"], 400))]
+    texts = [" ".join(runs), " ".join(["a"] * 36 + ["b"] * 36), "a b c " * 700, " ".join(["b"] * 34)]
+    held = Counter(tuple(w[i : i + 35]) for w in map(str.split, texts) for i in range(len(w) - 34))
+    want = {}
+    for k, words in enumerate(map(str.split, texts)):
+        gone = np.zeros(len(words), bool)
+        for i in range(len(words) - 34):
+            if held[tuple(words[i : i + 35])] > 1:
+                gone[i : i + 35] = True
+        want[k] = (len(words), int(gone.sum()))
+    spread, cut = [], substring_dedup.Scratch.cut
+
+    def watched(self, df):
+        out = cut(self, df)
+        if "kind" in out.columns:
+            spread.append(out.where("kind = 2").groupBy("t1", "t2", "h1", "h2").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(substring_dedup.Scratch, "cut", watched)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substring_dedup.substring_digests(rows, hot_segments=200, shard_words=2000)
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in got.collect()} == want and want[0][1] >= 3500
+    assert spread[0] > 5  # shards in which one text's window of equal words is

@@ -21,8 +21,10 @@ from wattgrid.llm.words import hashed_words, mixed, rolled
 WINDOW, ANCHOR = 35, 8
 #: Words of a piece that is streamed through an index.
 PIECE = 128
-#: Words of a shard, and segments of one anchor that go to one shard; texts whose anchors a task has written. They bound the memory of a task.
+#: Words of a shard, and places of one anchor that go to one shard; texts whose anchors a task has written. They bound the memory of a task.
 SHARD_WORDS, HOT_SEGMENTS, SEEN = 600_000, 4_000, 200_000
+#: Places of a text that are dealt to a shard together where their anchor is a hot one, so that one text may lie in many shards.
+BLOCK = 2_048
 
 
 def window_anchors(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +153,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str = "text", wi
                     often_at[at_all[counts[k] : counts[k + 1]]] = times_all[counts[k] : counts[k + 1]]
                     many = often_at[anchor_at]
                     salts = np.maximum(1, -(-many // hot_segments)).astype(np.uint64)
-                    salt = mixed(np.full(1, a, np.int64).astype(np.uint64))[0] % salts
+                    block = np.arange(len(many), dtype=np.uint64) // np.uint64(min(BLOCK, hot_segments))
+                    salt = mixed(np.full(1, a, np.int64).astype(np.uint64) + block * np.uint64(0xD1342543DE82EF95)) % salts
                     shard = np.where(many > 0, spread(grams[anchor_at] + salt * np.uint64(0x9E3779B97F4A7C15), shards), -1)
                     hot = many > hot_segments
                     cut = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (hot[1:] != hot[:-1]), True])
@@ -204,8 +207,8 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", window: int = WIND
 
     Words lie between ASCII white space, unchanged. Every word in a window of ``window`` words whose sequence also starts
     anywhere else, in the same text or another row, is removed, all occurrences alike; windows are judged on the input.
-    Windows with equal anchors meet in a shard; where very many share one, its shards are salted by text, and windows that two
-    of them report are repeated too. In a shard words are told apart by their bytes; hashes of 64 bits only choose anchors. Texts, and
+    Windows with equal anchors meet in a shard; where very many share one, its shards are salted by text and block of places,
+    so that one long text full of an anchor is split too, and windows that two of them report are repeated as well. In a shard words are told apart by their bytes; hashes of 64 bits only choose anchors. Texts, and
     windows of two such shards, are told apart by 128 bits: among 10^13 of them two differing ones meet with a chance of 10^-12.
 
     Null texts count as empty. Shorter texts than a window lose nothing. Ids play no part: rows that repeat are occurrences
