@@ -5,6 +5,7 @@ import json
 
 import pytest
 
+from wattgrid.sources import readers as S
 from wattgrid.sources.arrays import read_array_objects
 
 ODD = ['plain', 'a "quoted" {brace}', "}{][", 'ends in \\', '\\"}', "", "é ✓ ]}", '{"$oid":"no"}']
@@ -38,3 +39,12 @@ def test_other_heads_are_errors(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"meta": 1, "items": []}')
     with pytest.raises(Exception, match="items first"):
         read_array_objects(spark, str(tmp_path)).collect()
+
+
+def test_ids_and_dates_become_plain(spark, tmp_path):
+    deep = {"_id": {"$oid": "x1"}, "rateName": 'says {"$oid":"no"}', "effectiveDate": {"$date": "2020-01-02T00:00:00Z"}, "meta": [{"by": {"$oid": "y \" z"}, "at": {"$date": 5}}, {"a": {"b": {"$date": "d"}}}]}
+    (tmp_path / "a.json").write_text(json.dumps([deep, {"label": "l", "startdate": 1577836800}]))
+    raw = S.read_bulk_array(spark, str(tmp_path))
+    first = {r.r.get("_id"): r.r for r in raw.collect()}["x1"]
+    assert first["rateName"] == deep["rateName"] and json.loads(first["meta"]) == [{"by": 'y " z', "at": 5}, {"a": {"b": "d"}}]
+    assert {(r.label, str(r.startdate)[:10]) for r in S.normalize_bulk(raw).collect()} == {("x1", "2020-01-02"), ("l", "2020-01-01")}

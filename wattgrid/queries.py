@@ -300,6 +300,21 @@ def counts_by_country(t: Tables) -> DataFrame:
     return out.withColumn("per_tariff", F.round(F.col("components") / F.nullif("tariffs", F.lit(0)), 4))
 
 
+@query("""+ n as (select utility_id, count(*) c, count(*) filter (customer_class = '1-URGENT') res, count(*) filter (customer_class = '2-HIGH') com from tariffs group by 1)
+    select country, count(*) as utilities, count(n.c) as with_tariffs, count(*) - count(n.c) as without_tariffs, round(100.0 * count(n.c) / count(*), 0)::double as pct,
+      coalesce(sum(n.res), 0)::bigint as residential, coalesce(sum(n.com), 0)::bigint as commercial, coalesce(sum(n.c - n.res - n.com), 0)::bigint as others
+    from utilities u left join n on n.utility_id = u.id where is_active group by 1""")
+def audit_by_country(t: Tables) -> DataFrame:
+    """Active utilities of each country with and without tariffs, and their tariffs by class."""
+    of = lambda c: F.count_if(F.col("customer_class") == c)
+    per = t.tariffs.groupBy(F.col("utility_id").alias("id")).agg(F.count("*").alias("n"), of("1-URGENT").alias("res"), of("2-HIGH").alias("com"))
+    out = t.utilities.where("is_active").join(per, "id", "left").groupBy("country").agg(
+        F.count("*").alias("utilities"), F.count("n").alias("with_tariffs"), F.count_if(F.col("n").isNull()).alias("without_tariffs"), F.round(100.0 * F.count("n") / F.count("*"), 0).alias("pct"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("res", "residential"), ("com", "commercial"))], F.coalesce(F.sum(F.col("n") - F.col("res") - F.col("com")), F.lit(0)).alias("others"),
+    )
+    return out
+
+
 @query("""select country, rate_type, count(*) as n from tariffs t join utilities u on u.id = t.utility_id group by 1, 2""")
 def rate_types_by_country(t: Tables) -> DataFrame:
     u = t.utilities.select(F.col("id").alias("utility_id"), "country")

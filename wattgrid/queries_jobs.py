@@ -50,6 +50,20 @@ def bulk_records(t: Tables) -> DataFrame:
     return rows.select("label", "eiaid", "name", known.alias("customer_class"), F.date_format("startdate", "yyyy-MM-dd").alias("starts"), F.col("fixedchargefirstmeter").alias("fixed"))
 
 
+@query("""select 'r' || id as label, utility_id as eiaid, name || case when id % 7 = 0 then ' {"]' else '' end as name, strftime(effective_date, '%Y-%m-%d') as starts from tariffs""")
+def bulk_array(t: Tables) -> DataFrame:
+    """Records written as arrays of one line, one a task, and read back in splits; ids and dates come as objects, some names hold braces and quotes."""
+    i = F.col("id")
+    name = F.concat("name", F.when(i % 7 == 0, ' {"]').otherwise(""))
+    id_, date = F.create_map(F.lit("$oid"), text("r", i)), F.create_map(F.lit("$date"), text(F.col("effective_date"), "T00:00:00.000Z"))
+    json = F.to_json(F.struct(id_.alias("_id"), F.col("utility_id").alias("eiaId"), name.alias("rateName"), date.alias("effectiveDate")))
+    opens = F.when(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0, "[").otherwise("")
+    path = f"{Scratch(t.spark, 'bulk-array').root}/arrays"
+    t.tariffs.select(F.concat(opens, json).alias("value")).write.option("lineSep", ",").text(path)
+    rows = S.normalize_bulk(S.read_bulk_array(t.spark, path))
+    return rows.select("label", "eiaid", "name", F.date_format("startdate", "yyyy-MM-dd").alias("starts"))
+
+
 @query("""select id as eia_id, name, case when id % 5 = 0 then 'Unknown' else state end as state, case utility_type when 'BUILDING' then 'iou' when 'MACHINERY' then 'municipal' else 'other' end as utility_type, true as kept
     from utilities where id % 11 <> 0 and id % 13 <> 0
     union all select case when id % 11 = 0 then null else id end, case when id % 11 <> 0 then null else name end, case when id % 5 = 0 then 'Unknown' else state end, case utility_type when 'BUILDING' then 'iou' when 'MACHINERY' then 'municipal' else 'other' end, false

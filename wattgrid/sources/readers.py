@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattgrid.functions import text as X
+from wattgrid.sources.arrays import read_array_objects
 
 #: Bulk fields in both spellings, (name, camel case, lower case).
 BULK_FIELDS = [
@@ -43,10 +44,20 @@ def read_bulk_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.from_json("line", "map<string,string>").alias("r"))
 
 
+def plain_values(json: Column) -> Column:
+    """JSON text with each object that holds $oid or $date alone put down as its value, at any depth; in strings quotes are escaped, so none is touched there."""
+    return F.regexp_replace(json, r'\{\s*"\$(?:oid|date)"\s*:\s*("[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\s"{}\[\],]++)\s*\}', "$1")
+
+
+def read_bulk_array(spark: SparkSession, path: str) -> DataFrame:
+    """Bulk rate records, raw as read_bulk_rates gives them but with plain ids and dates, from arrays of any length, also on one line, which many tasks read."""
+    return read_array_objects(spark, path).select(F.from_json(plain_values(F.col("json")), "map<string,string>").alias("r"))
+
+
 def _moment(c: Column) -> Column:
-    """Epoch seconds or an object with an ISO $date, as a timestamp."""
+    """Epoch seconds, an ISO date, or an object with one under $date, as a timestamp."""
     iso = F.from_json(c, "map<string,string>")["$date"]
-    return F.coalesce(F.try_to_timestamp(iso), F.timestamp_seconds(c.try_cast("double")))
+    return F.coalesce(F.try_to_timestamp(iso), F.timestamp_seconds(c.try_cast("double")), F.try_to_timestamp(c))
 
 
 def _periods(c: Column, tiers: str) -> Column:
