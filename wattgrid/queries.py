@@ -125,6 +125,20 @@ def target_selectors(t: Tables) -> DataFrame:
     return R.without(u, owners, "id").withColumn("target", F.lit("missing")).unionByName(R.having(u, owners, "id").withColumn("target", F.lit("having")))
 
 
+@query("""+ owners as (select distinct utility_id from tariffs), last as (select source_id as id, arg_max(failed, (checked_us, id)) as failed from checks group by 1), c as (
+      select id, 'missing' as target from utilities where is_active and country = 'ASIA' and id not in (select utility_id from owners)
+      union all select id, 'having' from utilities where is_active and state = 'NATION_3' and id in (select utility_id from owners)
+      union all select distinct id, 'in error' from last where failed)
+    select id, target from c qualify row_number() over (partition by target order by id) <= 40""")
+def update_targets(t: Tables) -> DataFrame:
+    """The first utilities to look at: without tariffs in a country, with tariffs in a state, and those whose source is in error now; 40 of each."""
+    u, owners = t.utilities.where("is_active"), t.tariffs.select(F.col("utility_id").alias("id")).distinct()
+    failed = t.checks.groupBy(F.col("source_id").alias("id")).agg(F.max_by("failed", F.struct("checked_us", "id")).alias("failed")).where("failed")
+    chosen = {"missing": R.without(u.where("country = 'ASIA'"), owners, "id"), "having": R.having(u.where("state = 'NATION_3'"), owners, "id"), "in error": failed}
+    parts = [R.browse(rows.select("id"), [], [F.col("id")], 0, 40).withColumn("target", F.lit(name)) for name, rows in chosen.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("""select tariff_id, ordinal, rate_value::double as rate_value from components where component_type = 'N' and (rate_value > 0.09 or rate_value < 0.02) and rate_value <> 0 order by components.rate_value desc, tariff_id, ordinal limit 30""")
 def suspicious_rates(t: Tables) -> DataFrame:
     rows = t.components.where("component_type = 'N' and (rate_value > 0.09 or rate_value < 0.02) and rate_value <> 0")
@@ -471,9 +485,9 @@ def cascade_delete(t: Tables) -> DataFrame:
 # Pages and texts
 
 
-@query(r"""select regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^www\.', '') as domain, count(*) as pages from pages group by 1 order by pages desc, domain limit 30""")
+@query(r"""select regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^www\.', '') as domain, count(*) as pages, count(distinct page_id % 60) as utilities from pages group by 1 order by pages desc, domain limit 30""")
 def top_domains(t: Tables) -> DataFrame:
-    return t.read("pages").groupBy(X.host(F.col("url")).alias("domain")).agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "domain").limit(30)
+    return t.read("pages").groupBy(X.host(F.col("url")).alias("domain")).agg(F.count("*").alias("pages"), F.count_distinct(F.col("page_id") % 60).alias("utilities")).orderBy(F.desc("pages"), "domain").limit(30)
 
 
 BLOCKED = ["cheap-pills.example.com", "casino-win.example.org", "free-bets.example.com", "spam-farm.example.org"]
