@@ -194,6 +194,30 @@ def lookup_sink(t: Tables) -> DataFrame:
     return t.spark.read.option("header", True).schema("id string, name string, state string, country string, is_active string").csv(path)
 
 
+@query("""+ n as (select utility_id, count(*) c from tariffs group by 1), z as (select id, name, id % 700 as zip from utilities where is_active),
+    per as (select vec_id, count(*) as k, string_agg(z.name, '; ' order by z.id) as names, string_agg(distinct case when z.id % 3 = 0 then 'zip_code' else 'polygon' end, '; ' order by case when z.id % 3 = 0 then 'zip_code' else 'polygon' end) as methods, max(n.c) as most
+      from embeddings join z on zip = vec_id % 900 left join n on n.utility_id = z.id group by 1)
+    select 'region ' || (e.vec_id % 7) as region, e.vec_id || ' "Main" St, Unit 1' as address, case when e.vec_id % 9 = 0 then 'no' else 'yes' end as geocoded, case when e.vec_id % 9 = 0 then null else 'Main St ' || e.vec_id end as geocoded_address,
+      case when e.vec_id % 9 <> 0 then printf('%.5f', (e.vec_id * 7919 % 90000) / 1000.0) end as lat, case when e.vec_id % 9 <> 0 then printf('%.5f', -(e.vec_id * 104729 % 180000) / 1000.0) end as lon,
+      coalesce(k, 0)::varchar as utilities_found, names as utility_names, methods as match_methods, case when most > 0 then 'yes' else 'no' end as has_tariffs, case when e.vec_id % 9 = 0 then 'not placed' end as error
+    from embeddings e left join per using (vec_id)""")
+def lookup_report(t: Tables) -> DataFrame:
+    """Looked-up addresses as the report's CSV of eleven columns, read back as text; empty fields come back as nulls."""
+    v = F.col("vec_id")
+    degrees = lambda c: F.when(v % 9 != 0, c / 1000.0)
+    addresses = t.read("embeddings").select(
+        v.alias("address_id"), text("region ", v % 7).alias("region"), text(v, ' "Main" St, Unit 1').alias("address"), text("Main St ", v).alias("formatted"), degrees(v * 7919 % 90000).alias("latitude"),
+        degrees(-(v * 104729 % 180000)).alias("longitude"), F.when(v % 9 == 0, "not placed").alias("error"),
+    )
+    u = t.utilities.where("is_active").join(t.tariffs.groupBy(F.col("utility_id").alias("id")).agg(F.count("*").alias("n_tariffs")), "id", "left")
+    found = addresses.select("address_id", (F.col("address_id") % 900).alias("zip")).join(u.withColumn("zip", F.col("id") % 700), "zip")
+    found = found.select("address_id", F.col("id").alias("place"), "name", F.when(F.col("id") % 3 == 0, "zip_code").otherwise("polygon").alias("match_method"), "n_tariffs")
+    path = f"{Scratch(t.spark, 'lookup-report').root}/csv"
+    rows = S.lookup_results(addresses, found)
+    S.write_lookup_results(rows, path)
+    return t.spark.read.option("header", True).option("escape", "\"").schema(", ".join(f"{c} string" for c in rows.columns)).csv(path)
+
+
 @query("""select id, name, country from utilities where country in ('ASIA', 'EUROPE')""")
 def snapshot_sink(t: Tables) -> DataFrame:
     """A snapshot by country, of which a query reads the folders that it asks for."""
