@@ -2,36 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattgrid.functions.dominance import LEAST, window_counts
 
-def run_trail(runs: DataFrame, tariffs: DataFrame, as_of: str, hours: int = 24, bin_minutes: int = 60) -> DataFrame:
+
+def run_trail(runs: DataFrame, tariffs: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     """run_id, ended_at, created, verified_only, processed, errors of each run, from the times of tariffs.
 
     runs: run_id, started_at, targeted; tariffs: utility_id, created_at, verified_at. A run's window goes from its start to ``hours``
     later, or as_of where that is earlier. created counts tariffs made in it, verified_only those verified in it that are older than the run
     (or of no known age), processed the different utilities verified in it, errors the targeted ones beyond these, at least 0.
 
-    Runs may overlap by the thousand: windows are cut into bins, bins are joined with the tariffs' times by equality and the
-    edges checked, and a run's hits are added up per utility before they are shuffled by run. Runs without a start have nulls, tariffs
-    without times count nowhere, and a run without hits has zeros.
+    Runs may overlap by the thousand, so no run meets its tariffs row by row: all three are counts of times in the window beside a
+    second time before it, which for processed is the utility's verification before this one. Runs without a start have nulls,
+    tariffs without times count nowhere, and a run without hits has zeros.
     """
-    us = lambda c: F.unix_micros(c)
-    width = bin_minutes * 60_000_000
-    at = lambda c: F.floor(us(c) / width).cast("bigint")
     start = F.col("started_at").cast("timestamp")
     end = F.least(F.lit(as_of).cast("timestamp"), start + F.make_dt_interval(hours=F.lit(hours)))
-    spans = runs.select("run_id", start.alias("s_"), end.alias("e_")).where("e_ > s_")
-    bins = spans.select("*", F.explode(F.sequence(at(F.col("s_")), F.floor((us(F.col("e_")) - 1) / width).cast("bigint"))).alias("bin_"))
-    made, seen = F.col("created_at").cast("timestamp"), F.col("verified_at").cast("timestamp")
-    times = tariffs.select("utility_id", made.alias("made_"), F.explode(F.array(F.struct(F.lit(True).alias("new"), made.alias("at")), F.struct(F.lit(False).alias("new"), seen.alias("at")))).alias("t_"))
-    times = times.select("utility_id", "made_", F.col("t_.new").alias("new_"), F.col("t_.at").alias("at_"), at(F.col("t_.at")).alias("bin_")).where("at_ is not null")
-    hits = bins.join(times, "bin_").where("at_ >= s_ and at_ < e_")
-    per = hits.groupBy("run_id", "utility_id").agg(F.count_if("new_").alias("c_"), F.count_if(~F.col("new_") & (F.col("made_").isNull() | (F.col("made_") < F.col("s_")))).alias("v_"), F.bool_or(~F.col("new_")).alias("p_"))
-    sums = per.groupBy("run_id").agg(F.sum("c_").alias("created"), F.sum("v_").alias("verified_only"), F.count_if(F.col("p_") & F.col("utility_id").isNotNull()).alias("processed"))
-    out = runs.select("run_id", end.alias("ended_at"), F.coalesce("targeted", F.lit(0)).cast("bigint").alias("targeted")).join(sums, "run_id", "left")
+    made, seen = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("created_at", "verified_at"))
+    before = F.lag("x").over(Window.partitionBy("utility_id").orderBy("x"))
+    of = lambda rows, kind, y: rows.where("x is not null").select(F.lit(kind).alias("kind"), "x", F.coalesce(y, F.lit(LEAST)).alias("y"))
+    times = tariffs.select("utility_id", made.alias("made_"), seen.alias("x"))
+    points = of(tariffs.select(made.alias("x")), "created", F.lit(None)).unionAll(of(times, "verified_only", F.col("made_")))
+    points = points.unionAll(of(times.where("utility_id is not null and x is not null").select("utility_id", "x").distinct().select("x", before.alias("before_")), "processed", F.col("before_")))
+    spans = runs.select("run_id", end.alias("ended_at"), F.coalesce("targeted", F.lit(0)).cast("bigint").alias("targeted"), F.unix_micros(start).alias("s"), F.unix_micros(end).alias("e"))
+    sums = window_counts(spans, points).groupBy("s", "e").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in ("created", "verified_only", "processed")])
     none = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    out = spans.join(sums, ["s", "e"], "left")
     return out.select("run_id", "ended_at", none("created").alias("created"), none("verified_only").alias("verified_only"), none("processed").alias("processed"), F.greatest(F.col("targeted") - none("processed"), F.lit(0)).alias("errors"))
 
 
