@@ -146,15 +146,22 @@ def wrong_state(url: Column, state: Column, states: dict[str, str]) -> Column:
 
 
 def url_rewrites(sources: DataFrame, paths: list[str]) -> DataFrame:
-    """(source_id, prio, url): other spellings of a url worth trying: other scheme, no query, www or not, the root, common paths."""
+    """(source_id, prio, url): other spellings of a url worth trying: other scheme, no query, www or not, the root, common paths.
+
+    A url's own spellings are told apart in its row; only sources with several rows are grouped.
+    """
     url, h = F.col("url"), F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
     bare = F.regexp_replace(url, r"[?#].*$", "")
     root = F.concat(F.regexp_extract(url, r"^([a-z]+://)", 1), h)
     www = F.when(h.startswith("www."), F.replace(url, F.lit("://www."), F.lit("://"))).otherwise(F.replace(url, F.lit("://"), F.lit("://www.")))
     swap = F.when(url.startswith("https:"), F.replace(url, F.lit("https:"), F.lit("http:"))).otherwise(F.replace(url, F.lit("http:"), F.lit("https:")))
     tries = F.array(swap, bare, www, F.concat(root, F.lit("/")), *[F.concat(root, F.lit(p)) for p in paths])
-    rows = sources.select("source_id", F.col("url").alias("_old"), F.posexplode(tries).alias("prio", "url")).where("url <> _old")
-    return rows.groupBy("source_id", "url").agg(F.min("prio").alias("prio"))
+    rows = sources.select("source_id", "url").repartition("source_id").withColumn("_n", F.count("*").over(Window.partitionBy("source_id")))
+    rows = rows.select("source_id", F.col("url").alias("_old"), "_n", tries.alias("_tries"))
+    numbered = F.transform("_tries", lambda u, k: F.struct(u.alias("url"), k.alias("prio")))
+    kept = F.filter(numbered, lambda t: (t["url"] != F.col("_old")) & (F.array_position("_tries", t["url"]) == t["prio"] + 1))
+    several = rows.where("_n > 1").select("source_id", F.inline(kept)).groupBy("source_id", "url").agg(F.min("prio").alias("prio"))
+    return rows.where("_n = 1").select("source_id", F.inline(kept)).unionByName(several)
 
 
 def foreign_names(tariffs: DataFrame, markers: list[str]) -> DataFrame:
