@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -227,18 +230,23 @@ def insert_missing_sources(utilities: DataFrame, sources: DataFrame, urls: DataF
 def merge_new_names(existing: DataFrame, extra: DataFrame, group: str, name: str, order: str) -> DataFrame:
     """Extra candidates, in their order, whose plain name neither begins an existing or accepted name of their group nor begins with one; rejected ones stand in nobody's way.
 
-    Clashes are found by equality of names with beginnings of names. In each round candidates that clash with an accepted
-    one go, and those without an undecided clash before them are accepted. Order is unique in a group.
+    Clashes are found by equality of names with beginnings of names; which names begin which is told once for the distinct names.
+    Of candidates with one plain name only the first can be accepted, so the others go at once. In each round candidates that clash with an
+    accepted one go, and those without an undecided clash before them are accepted. Order is unique in a group; null groups and orders are not taken.
     """
     scratch = Scratch(extra.sparkSession, "new-names")
     begin = lambda n: F.explode(F.transform(F.sequence(F.lit(0), F.char_length(n)), lambda k: F.substring(n, F.lit(1), k)))
-    x = scratch.cut(extra.select(F.col(group).alias("g_"), F.col(order).alias("at_"), F.coalesce(plain_name(F.col(name)), F.lit("")).alias("n_")))
+    x = extra.select(F.col(group).alias("g_"), F.col(order).alias("at_"), F.coalesce(plain_name(F.col(name)), F.lit("")).alias("n_"))
+    x = scratch.cut(x.where("g_ is not null and at_ is not null").groupBy("g_", "n_").agg(F.min("at_").alias("at_")))
     e = existing.select(F.col(group).alias("g_"), F.coalesce(plain_name(F.col(name)), F.lit("")).alias("n_")).distinct()
 
+    names = scratch.cut(x.select("n_").union(e.select("n_")).distinct())
+    begins = scratch.cut(names.select("n_", begin(F.col("n_")).alias("p_")).join(names.withColumnRenamed("n_", "p_"), "p_"))
+
     def clashes(a: DataFrame, b: DataFrame) -> DataFrame:
         """(g_, at_) of a beside the columns of b whose name begins one's of a, or the other way round."""
-        up = a.select("g_", "at_", begin(F.col("n_")).alias("p_")).join(b.withColumnRenamed("n_", "p_"), ["g_", "p_"])
-        down = a.withColumnRenamed("n_", "p_").join(b.withColumn("p_", begin(F.col("n_"))).drop("n_"), ["g_", "p_"])
+        up = a.join(begins, "n_").select("g_", "at_", "p_").join(b.withColumnRenamed("n_", "p_"), ["g_", "p_"])
+        down = a.withColumnRenamed("n_", "p_").join(b.join(begins, "n_").drop("n_"), ["g_", "p_"])
         return up.drop("p_").unionByName(down.drop("p_"))
 
     left = scratch.cut(x.join(clashes(x, e).distinct(), ["g_", "at_"], "left_anti").select("g_", "at_", "n_"))
