@@ -283,13 +283,37 @@ def supersede(seeds: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     return seeds.select(*keys, "id", F.col("name").alias("a")).join(met, [*keys, "a"]).select("id", "fresh_id")
 
 
+FEW_PAIRS = 1000  # pairs of a group that is matched as one row
+
+
 def nearest_components(pairs: DataFrame, group: list[str]) -> DataFrame:
-    """Of pairs (group, want_no, got_no, component_type, want, got) of one type, the nearest values one to one, greedily, with whether they are close: 5 for fixed, 15 % else."""
+    """Of pairs (group, want_no, got_no, component_type, want, got) of one type, the nearest values one to one, greedily, with whether they are close: 5 for fixed, 15 % else.
+
+    Groups of few pairs are matched as one row each, without a shuffle where pairs come by group; larger ones in the rounds of greedy_matches.
+    """
     apart = F.abs(F.col("want") - F.col("got"))
     close = F.when(F.col("component_type") == "fixed", apart <= 5).otherwise(apart <= 0.15 * F.abs("want"))
-    keyed = pairs.withColumn("_group", F.concat_ws("|", *group)).withColumn("_apart", apart)
-    picked = greedy_matches(keyed.select("_group", "want_no", "got_no", "_apart"), "_group", "want_no", "got_no", ["_apart"])
-    return keyed.join(picked, ["_group", "want_no", "got_no"]).withColumn("close", close).drop("_group", "_apart")
+    pairs, columns = pairs.where("want_no is not null and got_no is not null"), pairs.columns
+    large = pairs.groupBy(*group).agg(F.count("*").alias("n_")).where(F.col("n_") > FEW_PAIRS).select(*[F.col(c).alias(f"_{c}") for c in group])
+    large = Scratch(pairs.sparkSession, "large-groups").cut(large, 8)
+    of_large = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group])
+    rest = [c for c in columns if c not in group and c not in ("want_no", "got_no")]
+    item = F.struct(apart.alias("_apart"), "want_no", "got_no", *rest)
+    rows = pairs.join(large, of_large, "left_anti").groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    none = F.struct(*[F.array().cast(pairs.select(F.array(c)).schema[0].dataType).alias(c) for c in ("want_no", "got_no")])
+    gone = lambda t, x: F.array_contains(t["want_no"], x["want_no"]) | F.array_contains(t["got_no"], x["got_no"])
+    both = lambda t, x: F.struct(*[F.array_append(t[c], x[c]).alias(c) for c in ("want_no", "got_no")])
+    taken = F.aggregate("_items", none, lambda t, x: F.when(gone(t, x), t).otherwise(both(t, x)))
+    place = lambda t, x, c: F.array_position(t[c], x[c])
+    kept = lambda t: F.filter("_items", lambda x: (place(t, x, "want_no") > 0) & (place(t, x, "want_no") == place(t, x, "got_no")))
+    # taken is bound as the one element of an array: as a column it would be worked out anew for each pair
+    rows = rows.withColumn("_kept", F.when(F.size("_items") > 1, F.get(F.transform(F.array(taken), kept), F.lit(0))).otherwise(F.col("_items")))
+    out = rows.select(*group, F.inline("_kept")).select(*columns)
+    if not large.isEmpty():
+        keyed = pairs.join(large, of_large, "left_semi").withColumn("_group", F.concat_ws("|", *group)).withColumn("_apart", apart)
+        picked = greedy_matches(keyed.select("_group", "want_no", "got_no", "_apart"), "_group", "want_no", "got_no", ["_apart"])
+        out = out.unionByName(keyed.join(picked, ["_group", "want_no", "got_no"]).select(*columns))
+    return out.withColumn("close", close)
 
 
 def touch_verified(rows: DataFrame, ids: DataFrame, key: str, as_of: str) -> DataFrame:

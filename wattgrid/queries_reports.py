@@ -226,8 +226,9 @@ def nearest_components(t: Tables) -> DataFrame:
     line = t.read("lineitem")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
     rows = line.select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("component_type"), place.alias("no"), F.col("l_discount").cast("double").alias("want"), F.col("l_tax").cast("double").alias("got"))
-    a, b = rows.select("id", "component_type", F.col("no").alias("want_no"), "want"), rows.select("id", "component_type", F.col("no").alias("got_no"), "got")
-    return changes.nearest_components(a.join(b, ["id", "component_type"]), ["id", "component_type"]).select("id", "component_type", "want_no", "got_no", "want", "got", "close")
+    sides = rows.groupBy("id", "component_type").agg(F.collect_list(F.struct(F.col("no").alias("want_no"), "want")).alias("wants"), F.collect_list(F.struct(F.col("no").alias("got_no"), "got")).alias("gots"))
+    pairs = sides.where("id is not null and component_type is not null").select("id", "component_type", F.inline("wants"), "gots").select("id", "component_type", "want_no", "want", F.inline("gots"))
+    return changes.nearest_components(pairs, ["id", "component_type"]).select("id", "component_type", "want_no", "got_no", "want", "got", "close")
 
 
 @query("""+ e as (select utility_id, id from tariffs where rate_type = 'O'), x as (select utility_id, id from tariffs where rate_type = 'F'), m as (select utility_id, id as want from e where id % 3 <> 0), c as (select t.utility_id, c.rate_value > 0.01 as close from components c join tariffs t on t.id = c.tariff_id where t.rate_type = 'O'),
