@@ -199,26 +199,27 @@ def write_summary(counts: DataFrame, errors: DataFrame, path: str) -> None:
     errors.write.mode("overwrite").json(f"{path}/errors")
 
 
-def lookup_results(addresses: DataFrame, found: DataFrame) -> DataFrame:
+def lookup_results(addresses: DataFrame, found: DataFrame, key: str = "address_id") -> DataFrame:
     """One row per address with the report's eleven columns, as text but for the number of utilities.
 
     addresses: address_id, region, address, formatted, latitude, longitude, error; without coordinates an address was not
-    placed. found: address_id, place (the order of names), name, match_method, n_tariffs; an address's utilities are few.
+    placed. found: key, place (the order of names), name, match_method, n_tariffs. The key is a column of both; where all addresses
+    of a ZIP code, say, find the same utilities, it is the code, and their names are put together once.
     """
     names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "name"))), lambda u: u["name"]), "; ")
-    per = found.groupBy("address_id").agg(F.count("*").alias("n"), names.alias("names"), F.array_join(F.sort_array(F.collect_set("match_method")), "; ").alias("methods"), F.max("n_tariffs").alias("most"))
+    per = found.groupBy(key).agg(F.count("*").alias("n"), names.alias("names"), F.array_join(F.sort_array(F.collect_set("match_method")), "; ").alias("methods"), F.max("n_tariffs").alias("most"))
     placed = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     or_empty = lambda c: F.coalesce(c, F.lit(""))
     degrees = lambda c: F.when(placed, F.format_string("%.5f", F.col(c))).otherwise("")
-    return addresses.join(per, "address_id", "left").select(
+    return addresses.join(per, key, "left").select(
         "region", "address", F.when(placed, "yes").otherwise("no").alias("geocoded"), F.when(placed, or_empty(F.col("formatted"))).otherwise("").alias("geocoded_address"), degrees("latitude").alias("lat"), degrees("longitude").alias("lon"),
         F.coalesce("n", F.lit(0)).alias("utilities_found"), or_empty(F.col("names")).alias("utility_names"), or_empty(F.col("methods")).alias("match_methods"), F.when(F.col("most") > 0, "yes").otherwise("no").alias("has_tariffs"), or_empty(F.col("error")).alias("error"),
     )
 
 
-def write_lookup_results(rows: DataFrame, path: str) -> None:
+def write_lookup_results(rows: DataFrame, path: str, compression: str = "none") -> None:
     """CSV with a header; quotes in fields are doubled, as spreadsheets read them."""
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("compression", compression).csv(path)
 
 
 def write_snapshot(df: DataFrame, path: str, partition: str | None = None) -> None:
