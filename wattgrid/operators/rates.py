@@ -16,15 +16,24 @@ NOT_IN_FORCE = ["proposed rate", "(proposed)", "pending approval", "subject to a
 
 
 def rate_type(energy: Column, weekday: Column, has_demand: Column) -> Column:
-    """Type of a record from its energy structure (periods of tiers), its 12 x 24 weekday schedule and whether it has demand rates."""
+    """Type of a record from its energy structure (periods of tiers), its 12 x 24 weekday schedule and whether it has demand rates.
+
+    Both inputs, and what is told from them, are bound as the one element of an array, as Spark works out an expression wherever it stands.
+    """
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    hours = lambda w: F.coalesce(F.size(F.array_distinct(F.flatten(w))) > 1, F.lit(False))
+    months = lambda w: F.coalesce((F.size(w) >= 12) & (F.size(F.array_distinct(w)) > 1), F.lit(False))
     tiers = F.coalesce(F.exists(energy, lambda p: F.size(p) > 1), F.lit(False))
-    tou = F.coalesce(F.size(F.array_distinct(F.flatten(weekday))) > 1, F.lit(False))
-    seasonal = F.coalesce((F.size(weekday) >= 12) & (F.size(F.array_distinct(weekday)) > 1), F.lit(False))
-    demand = F.coalesce(has_demand, F.lit(False))
-    return (
-        F.when(demand & tou, "demand_tou").when(tou & tiers, "tou_tiered").when(seasonal & tou, "seasonal_tou").when(seasonal & tiers, "seasonal_tiered")
-        .when(seasonal, "seasonal").when(demand, "demand").when(tou, "tou").when(tiers, "tiered").otherwise("flat")
-    )
+    marks = F.struct(tiers.alias("tiers"), F.coalesce(has_demand, F.lit(False)).alias("demand"), once(weekday, lambda w: F.struct(hours(w).alias("tou"), months(w).alias("seasonal"))).alias("w"))
+
+    def kind(m: Column) -> Column:
+        tiers, demand, tou, seasonal = m["tiers"], m["demand"], m["w"]["tou"], m["w"]["seasonal"]
+        return (
+            F.when(demand & tou, "demand_tou").when(tou & tiers, "tou_tiered").when(seasonal & tou, "seasonal_tou").when(seasonal & tiers, "seasonal_tiered")
+            .when(seasonal, "seasonal").when(demand, "demand").when(tou, "tou").when(tiers, "tiered").otherwise("flat")
+        )
+
+    return once(marks, kind)
 
 
 def stored_type(kind: Column) -> Column:
