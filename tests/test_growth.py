@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from wattgrid.functions.pages import term_changes
 from wattgrid.operators import changes, rates, resolve
 from wattgrid.queries import QUERIES
 from wattgrid.sources import readers as S
@@ -84,3 +85,29 @@ def test_merged_names_compare_a_name_of_a_group_once(spark, monkeypatch):
     extra = spark.range(300).select(F.lit(1).alias("u"), F.when(F.col("id") % 2 == 0, "Rate A").otherwise("Rate A plus").alias("n"), F.col("id").alias("at"))
     kept = changes.merge_new_names(spark.createDataFrame([(1, "Rate")], "u long, n string").where("1 = 0"), extra, "u", "n", "at")
     assert [(r.n, r.at) for r in kept.collect()] == [("Rate A", 0)] and max(sizes) < 10
+
+
+def test_texts_are_split_once_for_their_changes(spark):
+    rows = spark.createDataFrame([(None, "a"), ("", "a"), ("a b", None), ("a b", ""), ("a b", "b  a"), ("a b b", "b c c d"), ("x", "x y")], "o string, n string")
+    out = rows.select(term_changes(F.col("o"), F.col("n")).alias("c"))
+    assert plan(out).count("split(") == 2
+    first, gone, same = "Initial check - no previous content to compare", "Content became unavailable", "Content changed (details in full diff)"
+    assert [r.c for r in out.collect()] == [first, first, gone, gone, same, "New terms: c, d; Removed terms: a", "New terms: y"]
+
+
+def test_answers_are_parsed_once(spark):
+    answers = [(1, 'x [{"name": "A"}, null] y'), (2, '{"name": "B", "components": []}'), (3, "none"), (4, None), (5, "[]"), (6, '```json\n{"name": "C"}\n``` [{"name": "D"}]'), (7, '[1] {"name": "E"}')]
+    out = S.read_responses(spark.createDataFrame(answers, "id long, answer string"), "answer")
+    seen = out.where("found is not null").select("id", F.col("found")[0]["name"].alias("name"), F.size("found").alias("n"))
+    assert plan(seen).count("from_json") == 2
+    got = {r.id: r.found and [t and t.name for t in r.found] for r in out.collect()}
+    assert got[1] == ["A", None] and got[2] == ["B"] and got[3] is None and got[4] is None and got[5] == [] and got[6] == ["C"]
+    found, rejects = S.parse_responses(spark.createDataFrame(answers, "id long, answer string"), "id", "answer")
+    assert {(r.id, r.name) for r in found.collect()} >= {(1, "A"), (2, "B"), (6, "C")} and {r.id for r in rejects.collect()} >= {3, 4}
+
+
+def test_plain_dates_and_ids_are_not_parsed_as_objects(spark):
+    given = [{"_id": "r1", "startdate": "2020-01-02T00:00:00.000Z"}, {"_id": ' {"$oid": "r2"}', "startdate": ' {"$date": "2020-01-03T00:00:00.000Z"}'}, {"label": "r3", "startdate": "1577836800"}, {"_id": "[1]", "startdate": "?"}]
+    out = S.normalize_bulk(spark.createDataFrame([(r,) for r in given], "r map<string,string>")).select("label", F.date_format("startdate", "yyyy-MM-dd").alias("d"))
+    assert plan(out).count("RLIKE") >= 2
+    assert [tuple(r) for r in out.collect()] == [("r1", "2020-01-02"), ("r2", "2020-01-03"), ("r3", "2020-01-01"), ("[1]", None)]

@@ -223,12 +223,18 @@ def effective_date(text: Column) -> Column:
 
 
 def term_changes(old: Column, new: Column, sample: int = 10) -> Column:
-    """What a new preview adds and drops, up to ``sample`` sorted words each."""
-    a, b = F.array_distinct(F.split(F.coalesce(old, F.lit("")), r"\s+")), F.array_distinct(F.split(F.coalesce(new, F.lit("")), r"\s+"))
+    """What a new preview adds and drops, up to ``sample`` sorted words each.
+
+    Words, and those added and removed, are bound as the one element of an array: each text is split once.
+    """
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    words = lambda c: F.split(F.coalesce(c, F.lit("")), r"\s+")
     few = lambda x: F.array_join(F.slice(F.sort_array(x), 1, sample), ", ")
-    added, removed = F.array_except(b, a), F.array_except(a, b)
-    said = F.concat_ws("; ", F.when(F.size(added) > 0, F.concat(F.lit("New terms: "), few(added))), F.when(F.size(removed) > 0, F.concat(F.lit("Removed terms: "), few(removed))))
-    return F.when(old.isNull() | (old == ""), "Initial check - no previous content to compare").when(new.isNull() | (new == ""), "Content became unavailable").otherwise(F.when(said != "", said).otherwise("Content changed (details in full diff)"))
+    told = lambda d: F.concat_ws("; ", F.when(F.size(d["added"]) > 0, F.concat(F.lit("New terms: "), few(d["added"]))), F.when(F.size(d["removed"]) > 0, F.concat(F.lit("Removed terms: "), few(d["removed"]))))
+    apart = lambda w: F.struct(F.array_except(w["b"], w["a"]).alias("added"), F.array_except(w["a"], w["b"]).alias("removed"))
+    said = once(F.struct(words(old).alias("a"), words(new).alias("b")), lambda w: once(apart(w), told))
+    said = once(said, lambda s: F.when(s != "", s).otherwise("Content changed (details in full diff)"))
+    return F.when(old.isNull() | (old == ""), "Initial check - no previous content to compare").when(new.isNull() | (new == ""), "Content became unavailable").otherwise(said)
 
 
 def request_tier(text: Column, is_pdf: Column, first_found: Column | None = None) -> Column:
