@@ -12,11 +12,13 @@ HEAD = r'^\s*(?:\[|\{\s*"items"\s*:\s*\[)'
 
 def _walk(outside: Column, closed: Column) -> Column:
     """Struct (delta, low) of a piece's brackets outside strings: what they add to the depth, and the lowest depth on the way; a closed piece ends with a brace."""
+    opens, ends = F.char_length(outside) - F.char_length(F.translate(outside, "{[", "")), closed.cast("int")
+    plain = F.struct((opens - ends).alias("delta"), F.least(F.lit(0), opens - ends).alias("low"))  # brackets open, and at most the last brace closes
     marks = F.concat(F.regexp_replace(outside, r"[^{\[\]]", ""), F.when(closed, "}").otherwise(""))
     step = lambda acc, c: F.struct(
         (acc["delta"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("delta"), F.least(acc["low"], acc["delta"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("low")
     )
-    return F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), F.struct(F.lit(0).alias("delta"), F.lit(0).alias("low")), step)
+    return F.when(~outside.contains("]"), plain).otherwise(F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), F.struct(F.lit(0).alias("delta"), F.lit(0).alias("low")), step))
 
 
 def read_array_objects(spark: SparkSession, path: str) -> DataFrame:
@@ -36,13 +38,14 @@ def read_array_objects(spark: SparkSession, path: str) -> DataFrame:
     first = (F.col("block") == 0) & (F.row_number().over(split) == 1)
     known = F.when(F.col("value").rlike(HEAD) | (F.trim("value") == ""), F.regexp_replace("value", HEAD, "")).otherwise(F.raise_error(F.lit("not an array of objects, nor an object with items first")))
     rows = pieces.withColumn("value", F.when(first, known).otherwise(F.col("value")))
-    rows = rows.withColumn("plain", F.regexp_replace("value", r"(?s)\\.", ""))
-    rows = rows.withColumn("quotes", F.regexp_count("plain", F.lit('"'))).withColumn("odd", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    rows = rows.withColumn("plain", F.when(F.contains("value", F.lit("\\")), F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value")))
+    rows = rows.withColumn("quotes", F.char_length("plain") - F.char_length(F.translate("plain", '"', ""))).withColumn("odd", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
     for state in (0, 1):  # whether the split begins inside a string
         inside = (F.col("odd") + state) % 2 == 1
         outside = F.regexp_replace(F.concat(F.when(inside, '"').otherwise(""), F.col("plain")), r'(?s)"[^"]*+(?:"|$)', "")
         rows = rows.withColumn(f"ends{state}", (F.col("odd") + F.col("quotes") + state) % 2 == 0)
-        rows = rows.withColumn(f"walk{state}", _walk(outside, F.col(f"ends{state}")))
+        rows = rows.withColumn(f"outside{state}", outside)
+        rows = rows.withColumn(f"walk{state}", _walk(F.col(f"outside{state}"), F.col(f"ends{state}")))
         rows = rows.withColumn(f"start{state}", F.coalesce(F.sum(f"walk{state}.delta").over(before), F.lit(0)))
     rows = scratch.cut(rows.select("file", "block", "at", "value", "quotes", *[f"{c}{s}" for c in ("ends", "walk", "start") for s in (0, 1)]))
     order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -56,7 +56,7 @@ def read_bulk_array(spark: SparkSession, path: str) -> DataFrame:
 
 def _moment(c: Column) -> Column:
     """Epoch seconds, an ISO date, or an object with one under $date, as a timestamp."""
-    iso = F.from_json(c, "map<string,string>")["$date"]
+    iso = F.when(c.rlike(r"^\s*\{"), F.from_json(c, "map<string,string>")["$date"])  # other text is no object, which costs an exception to find out
     return F.coalesce(F.try_to_timestamp(iso), F.timestamp_seconds(c.try_cast("double")), F.try_to_timestamp(c))
 
 
@@ -75,7 +75,8 @@ def normalize_bulk(raw: DataFrame) -> DataFrame:
     cols |= {n: _moment(cols[n]) for n in ("startdate", "enddate")} | {n: _periods(cols[n], t) for n, t in TIERS.items()}
     cols |= {n: F.from_json(cols[n], "array<array<int>>") for n in ("energyweekdayschedule", "energyweekendschedule")}
     cols |= {n: cols[n].try_cast("double") for n in ("fixedchargefirstmeter", "mincharge")} | {"eiaid": cols["eiaid"].try_cast("long"), "name": F.coalesce(cols["name"], F.lit("Unknown Rate"))}
-    oid = F.coalesce(F.from_json(F.col("r")["_id"], "map<string,string>")["$oid"], F.col("r")["_id"], F.col("r")["label"])
+    given = F.col("r")["_id"]
+    oid = F.coalesce(F.when(given.rlike(r"^\s*\{"), F.from_json(given, "map<string,string>")["$oid"]), given, F.col("r")["label"])
     classes = F.create_map(*[F.lit(x) for kv in SECTORS.items() for x in kv])
     return raw.select(oid.alias("label"), *[c.alias(n) for n, c in cols.items()]).withColumn("customer_class", F.element_at(classes, F.col("sector")))
 
