@@ -157,14 +157,26 @@ def truth_rows(answers: DataFrame) -> DataFrame:
     return c.select(*[x for x in c.columns if x != "c"], "c.*")
 
 
+def read_responses(responses: DataFrame, column: str) -> DataFrame:
+    """responses with found, the tariffs of an answer that holds a JSON array or object, bare, in a code fence or inside other text; null where it holds none.
+
+    Its parts are bound as the one element of an array, and found is one that is exploded, so that an answer is parsed once however often found is named.
+    """
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    body = once(F.regexp_extract(column, r"(?s)```(?:json)?\s*(.*?)```", 1), lambda fenced: F.when(fenced != "", fenced).otherwise(F.col(column)))
+    parts = lambda b: F.struct(F.nullif(F.regexp_extract(b, r"(?s)(\[.*\])", 1), F.lit("")).alias("listed"), F.nullif(F.regexp_extract(b, r"(?s)(\{.*\})", 1), F.lit("")).alias("single"), F.regexp_extract(b, r"[\[{]", 0).alias("first"))
+
+    def parsed(p: Column) -> Column:
+        listed, single = p["listed"], F.concat(F.lit("["), p["single"], F.lit("]"))
+        first, second = F.when(p["first"] == "{", single).otherwise(listed), F.when(p["first"] == "{", listed).otherwise(single)  # what opens first is tried first
+        return F.coalesce(F.from_json(first, RESPONSE), F.from_json(second, RESPONSE))
+
+    return responses.select("*", F.explode(F.array(once(once(body, parts), parsed))).alias("found"))
+
+
 def parse_responses(responses: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]:
-    """(tariffs, rejects): the tariffs of answers that hold a JSON array or object, bare, in a code fence or inside other text; rejects hold none."""
-    body = F.regexp_extract(column, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.when(body != "", body).otherwise(F.col(column))
-    listed, single = F.regexp_extract(body, r"(?s)(\[.*\])", 1), F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    parsed = [F.from_json(F.when(listed != "", listed), RESPONSE), F.from_json(F.when(single != "", F.concat(F.lit("["), single, F.lit("]"))), RESPONSE)]
-    first = F.regexp_extract(body, r"[\[{]", 0)  # what opens first is tried first
-    rows = responses.select(key, column, F.when(first == "{", F.coalesce(parsed[1], parsed[0])).otherwise(F.coalesce(*parsed)).alias("found"))
+    """(tariffs, rejects): the tariffs of answers as read_responses finds them; rejects hold none."""
+    rows = read_responses(responses.select(key, column), column)
     found = rows.where("found is not null").select(key, F.posexplode("found").alias("place", "t")).where("t is not null").select(key, "place", "t.*")
     return found, rows.where("found is null").select(key, column)
 
