@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from wattgrid.operators import geo
 from wattgrid.queries import QUERIES
 
@@ -60,3 +62,13 @@ def test_lookup_beside_a_plain_program(spark):
     )
     rows = found.collect()
     assert {(r.address_id, r.utility_id, r.match_method): r.n for r in rows} == want and len(rows) == len(want)
+
+
+def test_a_task_holds_the_pairs_of_one_row(spark):
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.adaptive.enabled", "false")  # then the plan names its compiled stages
+    a, b = (plain.range(5).select((F.col("id") % 2).alias("k"), F.col("id").alias(name)) for name in "ab")
+    pairs = geo.class_pairs(a, b, ["k"])
+    over, within = [line for line in pairs._jdf.queryExecution().executedPlan().toString().split("\n") if " Generate " in line][:2]
+    assert "*(" in over and "*(" not in within, (over, within)
+    assert sorted(map(tuple, pairs.collect())) == [(k, i, j) for k in (0, 1) for i in range(5) for j in range(5) if i % 2 == j % 2 == k]
