@@ -72,3 +72,31 @@ def test_a_task_holds_the_pairs_of_one_row(spark):
     over, within = [line for line in pairs._jdf.queryExecution().executedPlan().toString().split("\n") if " Generate " in line][:2]
     assert "*(" in over and "*(" not in within, (over, within)
     assert sorted(map(tuple, pairs.collect())) == [(k, i, j) for k in (0, 1) for i in range(5) for j in range(5) if i % 2 == j % 2 == k]
+
+
+def test_utilities_of_a_state_in_small_blocks_beside_a_plain_program(spark, monkeypatch):
+    monkeypatch.setattr(geo, "BLOCK", 3)
+    rnd = random.Random(8)
+    utilities = [(u, rnd.choice("AB"), "X", True, rnd.choice([0, 2])) for u in range(60)]
+    utilities += utilities[7:9] * 2
+    addresses = [(i, rnd.choice("AB"), "X", rnd.choice(["1", "2", "9", None])) for i in range(30)]
+    addresses += addresses[:3] * 2
+    areas = [(u, rnd.sample(["1", "2", "3", None], 2)) for u in range(0, 60, 2)]
+    inside = [(i, rnd.randrange(60)) for i in range(0, 30, 5)]
+    zips, polygon = dict(areas), {i: {u for j, u in inside if j == i} for i, *_ in addresses}
+    served, want = {z for zs in zips.values() for z in zs if z}, Counter()
+    for i, state, _, z in addresses:
+        for u, s, _, _, n in utilities:
+            same = u in polygon[i] if polygon[i] else z is not None and z in zips.get(u, [])
+            want[i, u] += s == state and not same and (n > 0 or not polygon[i] and z not in served)
+    found = geo.lookup(
+        spark.createDataFrame(addresses, "address_id long, state string, country string, zip string"), spark.createDataFrame(inside, "address_id long, utility_id long"),
+        spark.createDataFrame(areas, "utility_id long, zip_codes array<string>"), spark.createDataFrame(utilities, "id long, state string, country string, is_active boolean, n_tariffs long"),
+    )
+    pairs = found.where("match_method = 'state'").collect()
+    assert {(r.address_id, r.utility_id): r.n for r in pairs} == +want and len(pairs) == len(+want)
+
+
+def test_utilities_of_a_state_are_not_told_apart_pair_by_pair(spark, sf):
+    plan = QUERIES["address_lookup"](spark, sf)._jdf.queryExecution().sparkPlan().toString().split("\n")
+    assert not [line for line in plan if "Filter" in line and "array_contains" in line]
