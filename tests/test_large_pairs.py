@@ -100,3 +100,7 @@ def test_utilities_of_a_state_in_small_blocks_beside_a_plain_program(spark, monk
 def test_utilities_of_a_state_are_not_told_apart_pair_by_pair(spark, sf):
     plan = QUERIES["address_lookup"](spark, sf)._jdf.queryExecution().sparkPlan().toString().split("\n")
     assert not [line for line in plan if "Filter" in line and "array_contains" in line]
+
+
+def test_tariffs_are_counted_once_for_all_stages_of_a_lookup(spark, sf):
+    assert "o_custkey" not in QUERIES["all_address_lookup"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
